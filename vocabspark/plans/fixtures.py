@@ -370,7 +370,7 @@ CTES: dict[str, tuple[str, str]] = {
     "predictions": ("candidates", """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, gencfg, sample ORDER BY score DESC, pred) AS k FROM candidates)
         WHERE k <= gen_topk"""),
-    "annotations": ("", """
+    "annotations": ("pairs", """
         SELECT 'img_' || s AS sample, category, p_name || ' ' || l_partkey AS noun FROM (
             SELECT s, l_partkey, CASE WHEN code <= 1 THEN 'correct_primary' WHEN code = 2 THEN 'correct_secondary' WHEN code = 3 THEN 'close_primary'
                        WHEN code = 4 THEN 'close_secondary' WHEN code <= 7 THEN 'incorrect' END AS category FROM pairs
