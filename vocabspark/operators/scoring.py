@@ -239,11 +239,11 @@ def direct_guided_buckets(direct: DataFrame, guided: DataFrame | None = None) ->
 
 def mean_over_models(ratios: DataFrame, value: str, max_k: int, by: tuple[str, ...] = ("gencfg",)) -> DataFrame:
     """Mean over models per (by, k) with best flags; a k that some model lacks makes the mean -infinity."""
-    models = ratios.agg(F.countDistinct("file").alias("n_models"))
+    n_models = ratios.agg(F.countDistinct("file").alias("n_models")).scalar()
     cells = ratios.filter(F.col("k") <= max_k).groupBy(*by, "k").agg(F.avg(value).alias("mean"), F.countDistinct("file").alias("n"))
     grid = ratios.select(*by).distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_k))))
-    full = grid.join(cells, [*by, "k"], "left").join(F.broadcast(models))  # one row by construction
-    mean = F.when(F.col("n") == F.col("n_models"), F.col("mean")).otherwise(F.lit(float("-inf")))
+    full = grid.join(cells, [*by, "k"], "left")
+    mean = F.when(F.col("n") == n_models, F.col("mean")).otherwise(F.lit(float("-inf")))
     over_k = W.partitionBy(*[b for b in by if b != "gencfg"], "k")
     rows = full.withColumn("mean", mean)
     return rows.select(*by, "k", "mean", (F.col("mean") == F.max("mean").over(over_k)).alias("is_best"))
