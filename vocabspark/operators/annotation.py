@@ -179,12 +179,21 @@ _VERDICT_LINE = r"(?mid)^([1-9][0-9]*)%s[^\S\n]*(.*?(?:correct|incorrect))[^\S\n
 _VERDICT = r"(?i)^(.*?)['.\W\s]+(correct|incorrect)$"
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a generator, so that each is computed once however often it is used later.
+
+    Plain projections would be merged, and the regular expressions run again for every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Answers (request_id, image, nouns, finish_reason, content) with parsed lines, description and error.
 
     `error` is null for an accepted answer; a rejected one gives no opinions at all.
     """
     text, n = F.col("content"), F.size("nouns")
+    marks = {"dots": r"\.", "brackets": r"\)"}
 
     def found(pattern: str, mark: str) -> Column:
         regex = F.lit(pattern % mark)
@@ -192,36 +201,36 @@ def parse_answers(answers: DataFrame) -> DataFrame:
             F.regexp_extract_all(text, regex, 1).alias("number"), F.regexp_extract_all(text, regex, 2).alias("line")
         )
 
-    rows = answers.withColumns({"dots": found(_LINE, r"\."), "brackets": found(_LINE, r"\)")})
-    both = (F.size("dots") > 0) & (F.size("brackets") > 0)
-    strict = {"dots": (F.size("dots") > n) | both, "brackets": (F.size("brackets") > n) | both}
-    rows = rows.withColumns({f"strict_{c}": test for c, test in strict.items()})
-    for name, mark in (("dots", r"\."), ("brackets", r"\)")):
-        rows = rows.withColumn(name, F.when(F.col(f"strict_{name}"), found(_VERDICT_LINE, mark)).otherwise(F.col(name)))
+    rows = _once(answers, **{f"all_{name}": found(_LINE, mark) for name, mark in marks.items()})
+    both = (F.size("all_dots") > 0) & (F.size("all_brackets") > 0)
+    strict = {name: (F.size(f"all_{name}") > n) | both for name in marks}
+    rows = _once(rows, **{name: F.when(strict[name], found(_VERDICT_LINE, mark)).otherwise(F.col(f"all_{name}")) for name, mark in marks.items()})
     use_dots, use_brackets = F.size("dots") == n, F.size("brackets") == n
+    first_line = F.when(use_dots, _line_pattern(strict["dots"], marks["dots"])).otherwise(_line_pattern(strict["brackets"], marks["brackets"]))
+    head = F.call_function("substring_index", text, F.regexp_substr(text, first_line), F.lit(1))
     chosen = F.when(use_dots, F.col("dots")).when(use_brackets, F.col("brackets"))
-    first_line = F.when(
-        use_dots, F.when(F.col("strict_dots"), F.lit(_VERDICT_LINE % r"\.")).otherwise(F.lit(_LINE % r"\."))
-    ).otherwise(F.when(F.col("strict_brackets"), F.lit(_VERDICT_LINE % r"\)")).otherwise(F.lit(_LINE % r"\)")))
-    head = F.substring_index(text, F.regexp_substr(text, first_line), 1)
+    rows = _once(rows, chosen=chosen, description=squeeze(head))
+
+    def read(u: Column) -> Column:
+        line = squeeze(u["c"]["line"])
+        return F.struct(
+            u["noun"].alias("noun"), u["c"]["number"].cast("int").alias("number"), line.rlike(_VERDICT).alias("fits"),
+            F.regexp_replace(F.regexp_extract(line, _VERDICT, 1), r"^[*_]+|[*_]+$", "").alias("said"),
+            (F.length(F.regexp_extract(line, _VERDICT, 2)) == 7).alias("opinion"),
+        )
 
     def judge(u: Column, i: Column) -> Column:
-        line = squeeze(u["line"])
-        said = F.regexp_replace(F.regexp_extract(line, _VERDICT, 1), r"^[*_]+|[*_]+$", "")
-        word = F.regexp_extract(line, _VERDICT, 2)
         blank = u["noun"] == ""
         error = (
-            F.when(u["number"].cast("int") != i + 1, "order")
-            .when(~blank & ~line.rlike(_VERDICT), "line")
-            .when(~blank & (canon(said) != canon(u["noun"])), "noun")
+            F.when(u["number"] != i + 1, "order")
+            .when(~blank & ~u["fits"], "line")
+            .when(~blank & (u["said"] != u["noun"]) & (canon(u["said"]) != canon(u["noun"])), "noun")
         )
-        return F.struct(u["noun"].alias("noun"), (~blank & (F.length(word) == 7)).alias("opinion"), error.alias("error"))
+        return F.struct(u["noun"].alias("noun"), (~blank & u["opinion"]).alias("opinion"), error.alias("error"))
 
-    zipped = F.transform(
-        F.arrays_zip(F.col("nouns").alias("noun"), F.col("chosen").alias("c")),
-        lambda u: F.struct(u["noun"].alias("noun"), u["c"]["number"].alias("number"), u["c"]["line"].alias("line")),
-    )
-    rows = rows.withColumn("chosen", chosen).withColumn("judged", F.when(F.col("chosen").isNotNull(), F.transform(zipped, judge)))
+    zipped = F.arrays_zip(F.col("nouns").alias("noun"), F.col("chosen").alias("c"))
+    rows = _once(rows, lines=F.when(F.col("chosen").isNotNull(), F.transform(zipped, read)))
+    rows = _once(rows, judged=F.transform("lines", judge))
     first_error = F.get(F.array_compact(F.transform("judged", lambda j: j["error"])), F.lit(0))
     error = (
         F.when(F.col("finish_reason") != "stop", "finish")
@@ -230,8 +239,11 @@ def parse_answers(answers: DataFrame) -> DataFrame:
         .when(first_error.isNotNull(), first_error)
         .when(F.size(F.array_distinct("nouns")) != n, "repeated_noun")
     )
-    drop = ["dots", "brackets", "strict_dots", "strict_brackets", "chosen"]
-    return rows.withColumns({"description": squeeze(head), "error": error}).drop(*drop)
+    return _once(rows, error=error).drop("all_dots", "all_brackets", "dots", "brackets", "chosen", "lines")
+
+
+def _line_pattern(strict: Column, mark: str) -> Column:
+    return F.when(strict, F.lit(_VERDICT_LINE % mark)).otherwise(F.lit(_LINE % mark))
 
 
 def answer_opinions(parsed: DataFrame) -> DataFrame:

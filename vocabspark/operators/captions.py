@@ -259,7 +259,7 @@ def caption_accounting(captions: DataFrame, vocab: DataFrame, template_multiplie
     limits = _template_limits(vocab, min(template_multiplier, sample_multiplier)).drop("target_noun")
     counts = captions.groupBy("id", "kind").agg(F.count("*").alias("n"))
     joined = counts.join(limits, ["id", "kind"], "left")
-    used = F.least("n", "n_wanted")
+    used = F.when(F.col("n_wanted").isNotNull(), F.least("n", "n_wanted"))
     return joined.groupBy("kind").agg(
         F.sum("n").alias("n_total"), F.coalesce(F.sum(F.when(F.col("n_wanted").isNull(), F.col("n"))), F.lit(0)).alias("n_outside"),
         F.coalesce(F.sum(used), F.lit(0)).alias("n_used"), F.coalesce(F.sum(F.col("n") - used), F.lit(0)).alias("n_unused"),

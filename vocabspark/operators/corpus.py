@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import field_names, fill_template, indefinite, squeeze
-from .ordinals import bucketed_rank, bucketed_sums, prefix_ids
-from .small import pin_small
+from .ordinals import bucketed_rank, bucketed_sums, ordered_sums, prefix_ids
+from .small import pin_small, try_pin
 from .vocab import explode_nouns, freq_sum, with_hypernym_targets
 
 # Characters after a field that make a closing comma unnecessary.
@@ -72,12 +72,14 @@ def _seen_bucket() -> Column:
     return F.struct(F.col("seen.coll"), F.floor(F.col("seen.pos") / TEMPLATE_BLOCK).alias("block"))
 
 
-def number_prompts(compiled: DataFrame) -> DataFrame:
+def _numbered(df: DataFrame, by: list[str], bucket: Column, order: list[Column], small: bool, **values: Column) -> DataFrame:
+    return ordered_sums(df, by, order, **values) if small else bucketed_sums(df, by, bucket, order, **values)
+
+
+def number_prompts(compiled: DataFrame, small: bool = False) -> DataFrame:
     """Compiled prompts with their position (tpos) and frequency before them (tfreq_before) per kind."""
     one = F.lit(1).cast("long")
-    return bucketed_sums(
-        compiled, ["kind"], _seen_bucket(), [F.col("seen")], tpos=one, tfreq_before=F.col("tfreq")
-    )
+    return _numbered(compiled, ["kind"], _seen_bucket(), [F.col("seen")], small, tpos=one, tfreq_before=F.col("tfreq"))
 
 
 def compile_hypernyms(templates: DataFrame, spec: str) -> DataFrame:
@@ -99,12 +101,11 @@ def compile_hypernyms(templates: DataFrame, spec: str) -> DataFrame:
     )
 
 
-def number_hypernyms(compiled: DataFrame) -> DataFrame:
+def number_hypernyms(compiled: DataFrame, small: bool = False) -> DataFrame:
     """Non-null hypernym templates with position (hpos) and frequency before them (hfreq_before)."""
     one = F.lit(1).cast("long")
-    return bucketed_sums(
-        compiled.filter("template IS NOT NULL"), [], _seen_bucket(), [F.col("seen")], hpos=one, hfreq_before=F.col("hfreq")
-    )
+    rows = compiled.filter("template IS NOT NULL")
+    return _numbered(rows, [], _seen_bucket(), [F.col("seen")], small, hpos=one, hfreq_before=F.col("hfreq"))
 
 
 def hypernym_freq_dist(numbered: DataFrame, max_hypernyms: int) -> DataFrame:
@@ -116,9 +117,9 @@ def hypernym_freq_dist(numbered: DataFrame, max_hypernyms: int) -> DataFrame:
     return dealt.groupBy("n_hyp", "hpos", "hyp_idx").agg(F.count("*").alias("sfreq"))
 
 
-def suffix_table(compiled: DataFrame, max_hypernyms: int) -> DataFrame:
+def suffix_table(compiled: DataFrame, max_hypernyms: int, small: bool = False) -> DataFrame:
     """All suffix choices for rows with n_hyp hypernyms, the empty suffix first, with spos and sfreq_before."""
-    numbered = number_hypernyms(compiled)
+    numbered = number_hypernyms(compiled, small)
     spread = hypernym_freq_dist(numbered, max_hypernyms).join(numbered, "hpos")
     plain = compiled.groupBy().agg(
         F.sum(F.when(F.col("template").isNull(), F.col("hfreq"))).alias("none_freq"), F.sum("hfreq").alias("all_freq")
@@ -136,16 +137,12 @@ def suffix_table(compiled: DataFrame, max_hypernyms: int) -> DataFrame:
         F.col("template_comma").alias("suffix_template_comma"), F.col("need_article").alias("suffix_article"),
     )
     one = F.lit(1).cast("long")
-    return bucketed_sums(
+    return _numbered(
         empty.unionByName(filled), ["n_hyp"], F.floor(F.col("hpos") / TEMPLATE_BLOCK),
-        [F.col("hpos"), F.col("hyp_idx")], spos=one, sfreq_before=F.col("sfreq"),
+        [F.col("hpos"), F.col("hyp_idx")], small, spos=one, sfreq_before=F.col("sfreq"),
     )
 
 
-def max_hypernym_count(vocab: DataFrame) -> int:
-    return int(vocab.agg(F.max(F.size("hypernyms"))).first()[0] or 0)
-
-
 class CorpusPlan:
     """A compiled corpus: vocabulary blocks with id offsets, prompt templates and suffixes."""
 
@@ -153,8 +150,12 @@ class CorpusPlan:
         self, vocab: DataFrame, prompt_rows: DataFrame, hypernym_rows: DataFrame, prompts: str, hypernyms: str,
         lookup: DataFrame | None = None,
     ):
-        self.prompts = pin_small(number_prompts(compile_prompts(prompt_rows, prompts)).drop("seen"))
-        self.suffixes = pin_small(suffix_table(compile_hypernyms(hypernym_rows, hypernyms), max_hypernym_count(vocab)))
+        compiled_prompts, small_prompts = try_pin(compile_prompts(prompt_rows, prompts))
+        compiled_hypernyms, small_hypernyms = try_pin(compile_hypernyms(hypernym_rows, hypernyms))
+        self.prompts = number_prompts(compiled_prompts, small_prompts).drop("seen")
+        most, low, high = vocab.agg(F.max(F.size("hypernyms")), F.min("id"), F.max("id")).first()
+        self.key_bounds = (2 * int(low or 0), 2 * int(high or 0) + 1)
+        self.suffixes = pin_small(suffix_table(compiled_hypernyms, int(most or 0), small_hypernyms))
         rows = with_hypernym_targets(vocab, lookup).withColumn("n_hyp", F.size("hypernyms"))
         sides = F.array(
             *[
@@ -185,7 +186,7 @@ class CorpusPlan:
     def blocks(self) -> DataFrame:
         """Sized blocks with the first usid and fsid of each."""
         keyed = self.sized_blocks().withColumn("block_key", F.col("id") * 2 + F.col("side"))
-        return prefix_ids(keyed, "block_key", usid_start=F.col("n_usids"), fsid_start=F.col("n_fsids"))
+        return prefix_ids(keyed, "block_key", self.key_bounds, usid_start=F.col("n_usids"), fsid_start=F.col("n_fsids"))
 
     def totals(self) -> DataFrame:
         """Row counts of the corpus from arithmetic alone (num_tids, num_usids, num_fsids)."""

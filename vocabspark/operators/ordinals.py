@@ -43,6 +43,12 @@ def bucketed_sums(
     return summed.join(offsets, same).select(*kept, *[(F.col(f"__o_{n}") + F.col(f"__l_{n}")).alias(n) for n in values])
 
 
+def ordered_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], **values: Column) -> DataFrame:
+    """`bucketed_sums` for tables checked to be small: one window, no buckets."""
+    window = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumns({n: F.coalesce(F.sum(v).over(window), F.lit(0)) for n, v in values.items()})
+
+
 def bucketed_rank(
     df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], out: str = "rank", bucket_desc: bool = False
 ) -> DataFrame:
@@ -50,17 +56,26 @@ def bucketed_rank(
     return bucketed_sums(df, by, bucket, order, bucket_desc, **{out: F.lit(1).cast("long")})
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int = BUCKETS) -> Column:
-    """Equal ranges of an integer key; one cheap min/max job reads a single column."""
+def key_bounds(df: DataFrame, key: str) -> tuple[int, int]:
+    """Smallest and largest integer key; a cheap job that reads one column."""
     low, high = df.agg(F.min(key), F.max(key)).first()
-    low, high = int(low or 0), int(high or 0)
+    return int(low or 0), int(high or 0)
+
+
+def range_bucket(key: str, bounds: tuple[int, int], buckets: int = BUCKETS) -> Column:
+    """Equal ranges of an integer key between its bounds."""
+    low, high = bounds
     width = max(1, -(-(high - low + 1) // buckets))
-    return F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long")
+    return F.expr(f"({key} - {low}L) div {width}L")
+
 
+def prefix_ids(df: DataFrame, key: str, bounds: tuple[int, int] | None = None, **sizes: Column) -> DataFrame:
+    """For each named size, its exclusive prefix sum over all rows ordered by an integer key.
 
-def prefix_ids(df: DataFrame, key: str, **sizes: Column) -> DataFrame:
-    """For each named size, its exclusive prefix sum over all rows ordered by an integer key."""
-    return bucketed_sums(df, [], range_bucket(df, key), [F.col(key)], **sizes)
+    Pass known key bounds to save the job that finds them.
+    """
+    bucket = range_bucket(key, bounds or key_bounds(df, key))
+    return bucketed_sums(df, [], bucket, [F.col(key)], **sizes)
 
 
 def deal_round_robin(

@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame
 MAX_PINNED_ROWS = 20_000
 
 
-def pin_small(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
-    """`df` as a local relation if it has at most `max_rows` rows, else `df` itself.
+def try_pin(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> tuple[DataFrame, bool]:
+    """`df` as a local relation and True if it has at most `max_rows` rows, else `df` itself and False.
 
     Used for template and mapping tables. A pinned table has an exact size estimate, so the planner
     broadcasts it without a shuffle; a larger one stays distributed and joins by shuffle.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(head, schema=df.schema)
+        return df, False
+    return df.sparkSession.createDataFrame(head, schema=df.schema), True
+
+
+def pin_small(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
+    return try_pin(df, max_rows)[0]

@@ -196,6 +196,20 @@ def faulty_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "kind", "pos", caption.alias("caption"))
 
 
+def caption_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One enumerated caption answer per English document, about noun doc_id % 150; some lines are not numbered."""
+    rows = caption_rows(spark, sf_dir).select(
+        F.expr("id div 3").alias("doc_id"), "pos", F.regexp_extract("caption", r"^(.*) near the \{", 1).alias("sentence")
+    )
+    part = table(spark, sf_dir, "part").select((F.col("p_partkey")).alias("id"), part_noun().alias("noun"))
+    named = rows.withColumn("id", F.col("doc_id") % 150).join(part, "id")
+    noun = F.when(F.col("pos") % 3 == 2, F.concat("noun", F.lit("s"))).otherwise(F.upper("noun"))
+    head = F.when(F.col("pos") % 5 == 4, F.lit("- ")).otherwise(F.concat((F.col("pos") + 1).cast("string"), F.lit(". ")))
+    line = F.concat(head, F.col("sentence"), F.lit(" with "), noun, F.when(F.col("pos") % 2 == 0, F.lit(", shown.")).otherwise(F.lit(".")))
+    lists = named.groupBy("id", F.col("doc_id").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
+    return lists.select("id", "seq", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("content"))
+
+
 def doc_templates(spark: SparkSession, sf_dir: str, hypernym: bool = False) -> DataFrame:
     """Template rows per document source: each sentence with one field; repeated sentences merge."""
     rows = caption_rows(spark, sf_dir).withColumn("doc_id", F.expr("id div 3"))
@@ -324,6 +338,38 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infer runs with a log text built from the order's lines; every 11th log has its markers in the wrong order."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    said = F.concat(F.lit("[I] img_"), F.col("l_linenumber").cast("string"), F.lit(".jpg -->  "), part_noun("p_name", "l_partkey"))
+    texts = lines.groupBy(F.col("l_orderkey").alias("run_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", said.alias("line")))), lambda x: x["line"]), "\n").alias("body")
+    )
+    rows = runs(spark, sf_dir).join(texts, "run_id")
+    start, end = "[I] Inferencing loaded model on the generated embeddings...\n", "\n[I] " + "-" * 50 + "\n"
+    body = F.when(F.col("run_id") % 11 == 0, F.concat(F.lit(end + start), "body")).otherwise(F.concat(F.lit(start), F.col("body"), F.lit(end)))
+    log = F.concat(F.lit("[I] img_0 --> before\n[I] Loading model: /data/"), F.concat_ws("/", "model_dir", "model_name"), F.lit("\n"), body, F.lit("[I] img_9 --> after"))
+    return rows.withColumn("log", log).drop("body")
+
+
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three search results per noun, from page titles."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").select(
+        F.expr("page_id div 3").alias("noun"), (F.col("page_id") % 3).alias("rank"),
+        F.when(F.col("page_id") % 4 == 0, F.concat(title, F.lit(" (Disambiguation)"))).otherwise(F.concat(title, F.lit(" "), (F.col("page_id") % 7).cast("string"))).alias("title"),
+    )
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" "), (F.col("page_id") % 7).cast("string"))
+    tail = F.get(F.array(F.lit(".jpg"), F.lit(".SVG"), F.lit(".png"), F.lit(".pdf")), (F.col("page_id") % 4).cast("int"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", title.alias("title"), (F.col("page_id") * 37 % 900 + 20).alias("width"), (F.col("page_id") * 53 % 700 + 10).alias("height"),
+        F.concat("url", tail).alias("source"),
+    )
+
+
 # --- the same fixtures as DuckDB CTEs ---------------------------------------------------------
 
 _NOUN = "p_name || ' ' || p_partkey"
@@ -410,6 +456,20 @@ CTES: dict[str, tuple[str, str]] = {
                CASE WHEN (doc_id + pos) % 19 <> 0 THEN sentence || ' {' || (['target', 'article_target'])[pos % 2 + 1] || '}'
                || (['', ' shown', ', indeed'])[pos % 3 + 1] END AS template
         FROM (SELECT *, id // 3 AS doc_id, regexp_extract(caption, '^(.*) near the \{', 1) AS sentence FROM caption_rows) JOIN documents USING (doc_id)"""),
+    "caption_lines": ("caption_rows", r"""
+        SELECT doc_id % 150 AS id, doc_id AS seq, pos, pos % 5 <> 4 AS numbered, p_name || ' ' || p_partkey AS noun,
+               sentence || ' with ' || CASE WHEN pos % 3 = 2 THEN p_name || ' ' || p_partkey || 's' ELSE upper(p_name || ' ' || p_partkey) END || CASE WHEN pos % 2 = 0 THEN ', shown.' ELSE '.' END AS caption
+        FROM (SELECT id // 3 AS doc_id, pos, regexp_extract(caption, '^(.*) near the \{', 1) AS sentence FROM caption_rows) JOIN part ON p_partkey = doc_id % 150"""),
+    "run_logs": ("runs", """
+        SELECT r.*, l_linenumber AS line, l_partkey, p_name || ' ' || l_partkey AS noun FROM runs r JOIN lineitem ON l_orderkey = run_id JOIN part ON p_partkey = l_partkey
+        WHERE action = 'infer' AND run_id % 11 <> 0"""),
+    "search_results": ("", """
+        SELECT page_id // 3 AS noun, page_id % 3 AS rank, CASE WHEN page_id % 4 = 0 THEN t || ' (Disambiguation)' ELSE t || ' ' || (page_id % 7) END AS title
+        FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)"""),
+    "page_images": ("", """
+        SELECT page_id, t || ' ' || (page_id % 7) AS title, page_id * 37 % 900 + 20 AS width, page_id * 53 % 700 + 10 AS height,
+               url || (['.jpg', '.SVG', '.png', '.pdf'])[page_id % 4 + 1] AS source
+        FROM (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)"""),
     "opinions": ("", """
         SELECT 'img_' || user_id AS image, event_type || ' ' || (event_id % 4) AS noun, ts, event_id, value > 20 AS opinion FROM events"""),
     "opinion_pairs": ("opinions", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import runs as R
 from ..operators import scoring as S
 
 # Fixed value: first number inside a report cell.
@@ -60,3 +61,42 @@ def grid_report(preds: DataFrame, ann: DataFrame, k: int) -> DataFrame:
 
 def specificity_report(preds: DataFrame, ann: DataFrame, spec: DataFrame, strict: bool = True) -> DataFrame:
     return S.specificity_scores(preds, ann, spec, strict)
+
+
+def eval_report(runs: DataFrame, patterns: dict[str, str], sort: str | None = None) -> DataFrame:
+    """One row per model of any run, with the first result of each named dataset pattern."""
+    keys = ["model_dir", "model_name"]
+    picked = R.pick_by_pattern(R.eval_results(runs), patterns)
+    columns = [F.max(F.when(F.col("column") == name, F.col("noun_top1"))).alias(name) for name in patterns]
+    report = runs.select(*keys).distinct().join(picked.groupBy(*keys).agg(*columns), keys, "left")
+    return order_report(report, sort) if sort else report
+
+
+def infer_report(logs: DataFrame, samples: list[str]) -> DataFrame:
+    """Newest infer run per model with its prediction for each named sample, '-' where it has none."""
+    newest = R.latest_per_model(logs.filter("action = 'infer'")).drop("created_at")
+    said = R.parse_run_logs(logs).select("run_id", "sample", "pred")
+    columns = [
+        F.coalesce(F.max(F.when(F.col("sample") == s, F.col("pred"))), F.lit("-")).alias(s.rsplit(".", 1)[0]) for s in samples
+    ]
+    return newest.join(said, "run_id", "left").groupBy("model_dir", "model_name", "run_id").agg(*columns)
+
+
+def all_report(logs: DataFrame, runs: DataFrame, ann: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Eval results and infer scores per model; models with one side only keep defaults on the other."""
+    evals = eval_report(runs, patterns)
+    newest = R.latest_per_model(logs.filter("action = 'infer'")).select("run_id")
+    preds = R.parse_run_logs(logs).join(newest, "run_id", "left_semi")
+    scored = S.attach_category(preds.select("model_dir", "model_name", "sample", "pred"), ann)
+    counts = scored.groupBy("model_dir", "model_name").agg(F.count("*").alias("n"), *S.category_counts(F.col("category")))
+    infers = counts.withColumn("score", S.score_of_counts())
+    joined = evals.join(infers, ["model_dir", "model_name"], "full")
+    filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in [*S.CATEGORY_SCORES, "other", "n"]})
+    return filled.withColumns({
+        "score": F.coalesce("score", F.lit(0.0)), "score_ratio": F.when(F.col("n") > 0, F.col("score") / F.col("n")),
+    })
+
+
+def diff_report(docs: DataFrame, by: list[str], doc: str) -> DataFrame:
+    """Values of the fields that differ between documents, long form."""
+    return R.differing_values(R.flatten_documents(docs, [*by, doc]), by, doc)
