@@ -22,9 +22,9 @@ PREDICTION_SCHEMA = T.StructType.fromDDL(
 ANNOTATION_TYPE = "map<string, map<string, array<string>>>"
 
 
-def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """A vocabulary: one JSON array of noun objects."""
-    return spark.read.schema(VOCAB_SCHEMA).json(path, multiLine=True)
+def read_vocab(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A vocabulary: one JSON array of noun objects, or one object per line (splittable, for large ones)."""
+    return spark.read.schema(VOCAB_SCHEMA).json(path, multiLine=not lines)
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
@@ -34,13 +34,13 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([*VOCAB_SCHEMA.fields, *lists, *quotas])).json(path, multiLine=True)
 
 
-def read_templates(spark: SparkSession, path: str, section: str) -> DataFrame:
-    """Section 'prompts' or 'hypernyms' of a template file as rows (collection, pos, freq, template).
+def parse_templates(texts: DataFrame, section: str) -> DataFrame:
+    """Section 'prompts' or 'hypernyms' of template documents (column value) as rows (collection, pos, freq, template).
 
     An entry is a [frequency, template] pair; a null template is a legal row.
     """
     pairs = "array<array<string>>"
-    parsed = spark.read.text(path, wholetext=True).select(
+    parsed = texts.select(
         F.from_json("value", f"struct<prompts: map<string, {pairs}>, hypernyms: map<string, {pairs}>>").alias("doc")
     )
     collections = parsed.select(F.explode(F.col("doc")[section]).alias("collection", "entries"))
@@ -49,13 +49,21 @@ def read_templates(spark: SparkSession, path: str, section: str) -> DataFrame:
     )
 
 
-def read_class_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """Class prompts as rows (dataset, pos, template), with {c} turned into {noun}."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<string>>").alias("doc"))
+def read_templates(spark: SparkSession, path: str, section: str) -> DataFrame:
+    return parse_templates(spark.read.text(path, wholetext=True), section)
+
+
+def parse_class_prompts(texts: DataFrame) -> DataFrame:
+    """Class prompt documents as rows (dataset, pos, template), with {c} turned into {noun}."""
+    parsed = texts.select(F.from_json("value", "map<string, array<string>>").alias("doc"))
     rows = parsed.select(F.explode("doc").alias("dataset", "prompts")).select("dataset", F.posexplode("prompts").alias("pos", "template"))
     return rows.withColumn("template", F.replace("template", F.lit("{c}"), F.lit("{noun}")))
 
 
+def read_class_prompts(spark: SparkSession, path: str) -> DataFrame:
+    return parse_class_prompts(spark.read.text(path, wholetext=True))
+
+
 # Datasets that use another dataset's prompts when they have none of their own.
 PROMPT_ALIASES = {
     "fashionmnist": "cifar10",
@@ -151,9 +159,9 @@ def write_predictions(preds: DataFrame, path: str, shard: list[str]) -> None:
     prediction_documents(preds, shard).write.mode("overwrite").partitionBy("model").json(path)
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Class annotations as rows (sample, category, category_pos, noun); a sample without nouns keeps a null row."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", ANNOTATION_TYPE).alias("doc"))
+def parse_annotations(texts: DataFrame) -> DataFrame:
+    """Annotation documents as rows (sample, category, category_pos, noun); a sample without nouns keeps a null row."""
+    parsed = texts.select(F.from_json("value", ANNOTATION_TYPE).alias("doc"))
     samples = parsed.select(F.explode("doc").alias("sample", "categories"))
     categories = samples.select("sample", F.posexplode_outer(F.map_entries("categories")).alias("category_pos", "entry"))
     return categories.select(
@@ -161,6 +169,10 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    return parse_annotations(spark.read.text(path, wholetext=True))
+
+
 def annotation_categories(ann: DataFrame) -> DataFrame:
     """Categories in order of first appearance position."""
     return ann.filter("category IS NOT NULL").groupBy("category").agg(F.min("category_pos").alias("pos")).orderBy("pos", "category")
@@ -172,6 +184,10 @@ def upsert_samples(ann: DataFrame, samples: DataFrame) -> DataFrame:
     return ann.select("sample", "category", "noun").unionByName(unseen, allowMissingColumns=True)
 
 
-def read_specificity(spark: SparkSession, path: str) -> DataFrame:
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, double>").alias("doc"))
+def parse_specificity(texts: DataFrame) -> DataFrame:
+    parsed = texts.select(F.from_json("value", "map<string, double>").alias("doc"))
     return parsed.select(F.explode("doc").alias("noun", "specificity"))
+
+
+def read_specificity(spark: SparkSession, path: str) -> DataFrame:
+    return parse_specificity(spark.read.text(path, wholetext=True))
