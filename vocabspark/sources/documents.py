@@ -12,7 +12,7 @@ GENCFG_SCHEMA = (
     "struct<method:string,topk:int,vocab_prior:boolean,vocab_per_token:boolean,vocab_scaler:double,"
     "guided:boolean,guide_renorm:boolean,temperature:double,length_alpha:double,name:string>"
 )
-PREDICTION_SCHEMA = T.StructType.fromDDL(
+PREDICTION_SCHEMA = (
     "version int, model string, model_cfg map<string,string>, infer_cfg map<string,string>, "
     "guide_targets array<string>, vocab_targets array<string>, samples array<string>, "
     f"predictions map<string, struct<gen_cfg:{GENCFG_SCHEMA}, "

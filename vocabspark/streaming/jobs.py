@@ -97,18 +97,22 @@ def stream_consensus(opinions: DataFrame, rule: OpinionRule) -> DataFrame:
     )
 
 
-def stream_usage(responses: DataFrame, window: str, watermark: str, slide: str | None = None, session_gap: str | None = None) -> DataFrame:
-    """Usage and cost per window of `ts`; tumbling, sliding (with `slide`) or session windows (with `session_gap`).
+def stream_usage(
+    responses: DataFrame, window: str, watermark: str, slide: str | None = None, session_gap: str | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Usage and cost per window of `ts` and key; tumbling, sliding (with `slide`) or session windows (with `session_gap`).
 
-    Rows later than the watermark are dropped.
+    Rows later than the watermark are dropped. Session windows need at least one key.
     """
+    if session_gap and not by:
+        raise ValueError("session windows need a key")
     timed = responses.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     span = F.session_window("ts", session_gap) if session_gap else F.window("ts", window, slide) if slide else F.window("ts", window)
-    sums = timed.groupBy(span.alias("span")).agg(
+    sums = timed.groupBy(*by, span.alias("span")).agg(
         F.count("*").alias("requests"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens")
     )
     return sums.select(
-        F.col("span.start").alias("start"), F.col("span.end").alias("end"), "requests", "prompt_tokens", "completion_tokens",
+        *by, F.col("span.start").alias("start"), F.col("span.end").alias("end"), "requests", "prompt_tokens", "completion_tokens",
         usage_cost(F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost_usd"),
     )
 
