@@ -93,8 +93,7 @@ def test_missing_null_hypernym_fails(spark, vocab):
 
 def test_unpinned_templates_give_the_same_corpus(spark, vocab, plan, monkeypatch):
     """Template tables beyond the row check take the distributed path with the same result."""
-    monkeypatch.setattr(C, "try_pin", lambda df, *a: (df, False))
-    monkeypatch.setattr(C, "pin_small", lambda df, *a: df)
+    monkeypatch.setattr(C, "try_pin", lambda df, *a: (df, None))
     wide = C.CorpusPlan(vocab, template_rows(spark, PROMPTS), template_rows(spark, DEBUG), "P", "Debug")
     columns = ("usid", "fsid", "freq", "text")
     assert sorted(map(tuple, wide.samples().select(*columns).collect())) == sorted(r[:4] for r in expected())

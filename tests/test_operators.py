@@ -176,50 +176,50 @@ def test_multiset_difference(spark):
     assert tuple(multiset_difference(df("a", "b"), df("b", "a")).first()) == (0, 0)
 
 
-def collect_by_loop(answers, vocab):
-    """Caption collection by plain loops over answers and lines."""
+def placeholders(caption, nouns, kind):
+    """Templates of a caption for each noun that occurs in it as a word (letters and digits only here)."""
     import re
 
     out = []
-    for vid, pretty, singulars, plurals, want_s, want_p in vocab:
-        have = {"singular": [], "plural": []}
-        idle = 0
-        for seq, content in sorted(answers.get(vid, [])):
-            if not (len(have["singular"]) < want_s or len(have["plural"]) < want_p):
-                break
-            for line in content.strip().split("\n"):
-                if not re.match(r"^\s*\d+\s*\.", line):
-                    continue
-                caption = line.split(".", maxsplit=1)[1].strip()
-                if len(caption) < 10:
-                    continue
-                picks = {}
-                for kind, nouns in (("singular", [pretty, *singulars] if singulars else []), ("plural", plurals)):
-                    picks[kind] = None
-                    for n in nouns:
-                        regex = r"(^|\s)(" + re.escape(n) + r")(\.(?!$))?('s?|[,.?!:])?(\s|$)"
-                        if re.search(regex, caption, flags=re.IGNORECASE):
-                            text = re.sub(regex, r"\1{" + kind + r"}\4\5", caption, flags=re.IGNORECASE).rstrip(",.?!:")
-                            if text not in have[kind]:
-                                picks[kind] = text
-                                break
-                if picks["singular"] and picks["plural"]:
-                    if want_s - len(have["singular"]) <= want_p - len(have["plural"]):
-                        picks["singular"] = None
-                    else:
-                        picks["plural"] = None
-                for kind, text in picks.items():
-                    if text:
-                        out.append((vid, kind, len(have[kind]), text, seq))
-                        have[kind].append(text)
-                        idle = 0
-            if idle > 3:
-                break
-            idle += 1
+    for noun in nouns:
+        word = re.compile(rf"(?i)(?<!\S){noun}(?P<tail>'s|[.,]?)(?!\S)")
+        if word.search(caption):
+            keep = lambda m: "{" + kind + "}" + m["tail"]
+            out.append(word.sub(keep, caption).rstrip(".,"))
     return out
 
 
-def test_collect_captions_equals_loop(spark):
+def collect_by_rule(answers, vocab):
+    """Expected captions, written from the rules: quotas, duplicates, shared captions, fruitless answers."""
+    result = []
+    for vid, pretty, singulars, plurals, want_s, want_p in vocab:
+        quota, taken, fruitless = {"singular": want_s, "plural": want_p}, {"singular": [], "plural": []}, 0
+        lack = lambda kind: quota[kind] - len(taken[kind])
+        for seq, content in sorted(answers[vid]):
+            if max(lack("singular"), lack("plural")) <= 0 or fruitless == "stop":
+                break
+            found_any = False
+            for line in content.split("\n"):
+                number, dot, caption = line.partition(". ")
+                if not (dot and number.isdigit() and len(caption) >= 10):
+                    continue
+                fresh = {
+                    kind: [t for t in placeholders(caption, nouns, kind) if t not in taken[kind]][:1]
+                    for kind, nouns in (("singular", [pretty, *singulars]), ("plural", plurals))
+                }
+                if fresh["singular"] and fresh["plural"]:
+                    fresh["plural" if lack("singular") > lack("plural") else "singular"] = []
+                for kind, texts in fresh.items():
+                    for text in texts:
+                        result.append((vid, kind, len(taken[kind]), text, seq))
+                        taken[kind].append(text)
+                        found_any = True
+            fruitless = 1 if found_any else "stop" if fruitless == 4 else fruitless + 1
+    return result
+
+
+@pytest.mark.parametrize("head", [500, 3])
+def test_collect_captions_follows_the_rules(spark, head):
     rng = random.Random(9)
     vocab = [(i, f"cat{i}", [f"cat{i}", f"kitty{i}"], [f"cats{i}"] if i % 3 else [], rng.randrange(0, 6), rng.randrange(0, 5) if i % 3 else 0) for i in range(12)]
     answers, rows = {}, []
@@ -232,6 +232,6 @@ def test_collect_captions_equals_loop(spark):
             rows.append((vid, seq, content))
     df = spark.createDataFrame(rows, "id long, seq long, content string")
     nouns = spark.createDataFrame(vocab, "id long, pretty_noun string, singulars array<string>, plurals array<string>, num_singular_captions int, num_plural_captions int")
-    got = sorted(tuple(r) for r in C.collect_captions(df, nouns).collect())
-    assert got == sorted(collect_by_loop(answers, vocab))
+    got = sorted(tuple(r) for r in C.collect_captions(df, nouns, head=head).collect())
+    assert got == sorted(collect_by_rule(answers, vocab))
     assert got

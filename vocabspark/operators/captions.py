@@ -10,13 +10,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import CAPTION_TAIL, caption_lines, caption_template, fill_template, transliterate
+from ..session import cut_lineage
 from .ordinals import bucketed_rank
 from .vocab import explode_nouns, freq_sum
 
 QUOTA_CAP = 10  # frequency above which a noun gets no more captions
+HEAD_ANSWERS = 500  # answers per noun in the first fold
 
 # Fixed value: the request text for a list of captions.
 CAPTION_REQUEST = (
@@ -154,12 +157,28 @@ class _CaptionState:
         return accepted
 
 
-def collect_captions(answers: DataFrame, vocab: DataFrame) -> DataFrame:
+def collect_captions(answers: DataFrame, vocab: DataFrame, head: int = HEAD_ANSWERS) -> DataFrame:
     """Accepted captions (id, kind, pos, caption, seq) from answers in `seq` order, under the quotas of `vocab`.
 
-    The rule depends on what was accepted before, so each noun's answers run in order. Parsing and
-    matching happen in the JVM; the fold streams over sorted partitions and keeps one noun's
-    accepted captions in memory, never its answers.
+    The rule depends on what was accepted before, so each noun's answers run in order. Nearly every
+    noun is settled after a few answers, so the first `head` answers per noun are folded first; the
+    ranked filter cuts every noun before the shuffle, however many answers it has. Only nouns that
+    are still open after that, and have more answers, are folded again over all their answers.
+    """
+    ranked = answers.withColumn("__rank", F.row_number().over(W.partitionBy("id").orderBy("seq")))
+    first = cut_lineage(_fold_captions(ranked.filter(F.col("__rank") <= head).drop("__rank"), vocab))
+    longer = answers.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > head).select("id")
+    rest = first.filter("kind = 'open'").select("id").join(longer, "id", "left_semi")
+    settled = first.filter("kind != 'open'").join(rest, "id", "left_anti")
+    again = _fold_captions(answers.join(rest, "id", "left_semi"), vocab).filter("kind != 'open'")
+    return settled.unionByName(again)
+
+
+def _fold_captions(answers: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Fold each noun's answers in order; a noun that would take more ends with an 'open' row.
+
+    Parsing and matching happen in the JVM. The fold streams over sorted partitions and keeps one
+    noun's accepted captions in memory, never its answers.
     """
     nouns = vocab.select("id", "pretty_noun", "singulars", "plurals", "num_singular_captions", "num_plural_captions")
     singulars = F.when(F.size("singulars") > 0, F.concat(F.array("pretty_noun"), F.col("singulars"))).otherwise(F.col("singulars"))
@@ -185,14 +204,23 @@ def collect_captions(answers: DataFrame, vocab: DataFrame) -> DataFrame:
             out = []
             for row in batch.itertuples(index=False):
                 if row.id != current:
+                    if state is not None and state.open():
+                        out.append((current, "open", 0, None, None))
                     current, state = row.id, _CaptionState(row.num_singular_captions, row.num_plural_captions)
                 if state.open():
                     out.extend((row.id, kind, pos, text, row.seq) for kind, pos, text in state.answer(row.lines))
-            yield pd.DataFrame(out, columns=["id", "kind", "pos", "caption", "seq"])
+            yield _caption_frame(out)
+        if state is not None and state.open():
+            yield _caption_frame([(current, "open", 0, None, None)])
 
     return rows.mapInPandas(fold, "id long, kind string, pos int, caption string, seq long")
 
 
+def _caption_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["id", "kind", "pos", "caption", "seq"])
+    return frame.astype({"seq": "Int64"})
+
+
 def join_captions(captions: DataFrame, vocab: DataFrame) -> DataFrame:
     """Dotted captions of vocabulary nouns with `target_noun`."""
     return captions.join(vocab.select("id", "target_noun"), "id").withColumn("caption", with_full_stop(F.col("caption")))

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import field_names, fill_template, indefinite, squeeze
 from .ordinals import bucketed_rank, bucketed_sums, ordered_sums, prefix_ids
-from .small import pin_small, try_pin
+from .small import try_pin
 from .vocab import explode_nouns, freq_sum, with_hypernym_targets
 
 # Characters after a field that make a closing comma unnecessary.
 NO_COMMA_BEFORE = (".", ",", "?", "!", ":", ";")
 
 TEMPLATE_BLOCK = 1024  # template positions per bucket when templates are numbered
+ROWS_PER_PARTITION = 200_000  # expected samples per task of an expansion
+MAX_PARTITIONS = 100_000
 
 
 def merge_collections(templates: DataFrame, spec: str) -> DataFrame:
@@ -150,12 +152,19 @@ class CorpusPlan:
         self, vocab: DataFrame, prompt_rows: DataFrame, hypernym_rows: DataFrame, prompts: str, hypernyms: str,
         lookup: DataFrame | None = None,
     ):
-        compiled_prompts, small_prompts = try_pin(compile_prompts(prompt_rows, prompts))
-        compiled_hypernyms, small_hypernyms = try_pin(compile_hypernyms(hypernym_rows, hypernyms))
-        self.prompts = number_prompts(compiled_prompts, small_prompts).drop("seen")
-        most, low, high = vocab.agg(F.max(F.size("hypernyms")), F.min("id"), F.max("id")).first()
-        self.key_bounds = (2 * int(low or 0), 2 * int(high or 0) + 1)
-        self.suffixes = pin_small(suffix_table(compiled_hypernyms, int(most or 0), small_hypernyms))
+        compiled_prompts, n_prompts = try_pin(compile_prompts(prompt_rows, prompts))
+        compiled_hypernyms, n_hypernyms = try_pin(compile_hypernyms(hypernym_rows, hypernyms))
+        facts = vocab.agg(
+            F.max(F.size("hypernyms")).alias("most"), F.min("id").alias("low"), F.max("id").alias("high"),
+            F.sum(F.size("singulars") + F.size("plurals")).alias("nouns"),
+        ).first()
+        most = int(facts["most"] or 0)
+        self.key_bounds = (2 * int(facts["low"] or 0), 2 * int(facts["high"] or 0) + 1)
+        self.prompts = number_prompts(compiled_prompts, n_prompts is not None).drop("seen")
+        self.suffixes, n_suffixes = try_pin(suffix_table(compiled_hypernyms, most, n_hypernyms is not None))
+        # The vocabulary is small and its expansion is not: spread the rows by the expected output.
+        expected = int(facts["nouns"] or 0) * (n_prompts or 1) * (n_suffixes or 1)
+        self.partitions = min(MAX_PARTITIONS, 1 + expected // ROWS_PER_PARTITION)
         rows = with_hypernym_targets(vocab, lookup).withColumn("n_hyp", F.size("hypernyms"))
         sides = F.array(
             *[
@@ -207,7 +216,8 @@ class CorpusPlan:
         )
         keep = [c for c in blocks.columns if c not in ("nouns", "freqs")]
         rows = (
-            blocks.select(*keep, F.inline(nouns))
+            blocks.repartition(self.partitions, "id")
+            .select(*keep, F.inline(nouns))
             .join(self.suffixes, "n_hyp")
             .join(self.prompts, "kind")
         )
@@ -307,7 +317,7 @@ def noun_multisets(vocab: DataFrame, prompts: DataFrame, multi_target_freq: list
             for s in range(m)
         ]
     )
-    rows = units.join(slots, "kind").select("*", F.inline(draws))
+    rows = units.repartition("item").join(slots, "kind").select("*", F.inline(draws))
     by = ["m", "repetition", "kind", "tslot"]
     digest = seeded_digest(seed, *[F.col(c) for c in by], F.col("slot"), F.col("item"))
     rows = rows.withColumn("__digest", digest).withColumn(

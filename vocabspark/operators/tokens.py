@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.tokens import is_monotone
 from .ordinals import bucketed_rank
+from .small import local_rows
 
 TOKEN_BLOCK = 256
 
@@ -54,7 +55,7 @@ def compact_ids(df: DataFrame, pad_id: int, end_id: int, start_id: int | None =
     used = df.select(F.explode("token_ids").alias("token_id")).distinct().filter(~F.col("token_id").isin(*skip))
     ranked = bucketed_rank(used, [], F.floor(F.col("token_id") / TOKEN_BLOCK), [F.col("token_id")], "compact_id")
     dense = ranked.select(F.col("token_id").cast("int").alias("token_id"), (F.col("compact_id") + n_special).cast("int").alias("compact_id"))
-    fixed = df.sparkSession.createDataFrame(sorted(special.items()), "token_id int, compact_id int")
+    fixed = local_rows(df.sparkSession, sorted(special.items()), "token_id int, compact_id int")
     return fixed.unionByName(dense)
 
 
@@ -145,14 +146,14 @@ def guided_log_softmax(logits: DataFrame, allowed: DataFrame, renormalise: bool)
     """Log-softmax of the allowed next tokens of each (sample, prefix).
 
     With renormalisation only allowed tokens share the probability; otherwise all tokens do and the
-    rest is then masked out. The maximum is taken off before exponentiating.
+    rest is then masked out. A group holds at most one row per vocabulary token.
     """
-    keys = ["sample", "prefix"]
-    legal = logits.join(allowed, ["prefix", "token"], "left_semi")
-    basis = legal if renormalise else logits
-    tops = basis.groupBy(*keys).agg(F.max("logit").alias("top"))
-    sums = basis.join(tops, keys).groupBy(*keys, "top").agg(F.sum(F.exp(F.col("logit") - F.col("top"))).alias("z"))
-    return legal.join(sums, keys).select(*keys, "token", (F.col("logit") - F.col("top") - F.log("z")).alias("logprob"))
+    flagged = logits.join(allowed.withColumn("legal", F.lit(True)), ["prefix", "token"], "left_semi" if renormalise else "left")
+    group = W.partitionBy("sample", "prefix")
+    shifted = flagged.withColumn("shifted", F.col("logit") - F.max("logit").over(group))
+    scored = shifted.withColumn("logprob", F.col("shifted") - F.log(F.sum(F.exp("shifted")).over(group)))
+    legal = scored if renormalise else scored.filter("legal")
+    return legal.select("sample", "prefix", "token", "logprob")
 
 
 def token_accuracy(df: DataFrame, pad_id: int) -> DataFrame:

@@ -1,9 +1,9 @@
 """Vector scoring: prototypes, nearest prototype, modality gap, shifts and summaries.
 
 Embeddings are rows (id, embedding ARRAY<FLOAT>, ...). Prototypes are rows (class_id, vector).
-Scoring is a block matrix product in Arrow batches. A prototype table within `PROTO_LIMIT_BYTES`
-is broadcast as one matrix; a larger one is cut into blocks and met by salted slices of the
-embeddings, so neither side is ever whole in one task. No pair is written as a row.
+Scoring is a block matrix product in Arrow batches. A prototype table within `PROTO_LIMIT_ROWS` and
+`PROTO_LIMIT_BYTES` is broadcast as one matrix; a larger one is written out, cut into blocks and met
+by slices of the embeddings, so neither side is ever whole in one task. No pair is written as a row.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 
 PROTO_LIMIT_BYTES = 64 * 1024 * 1024
+PROTO_LIMIT_ROWS = 16_384
 PROTO_BLOCK = 2048
 ROWS_PER_SLICE = 20_000
 HIST_BINS, HIST_MIN, HIST_MAX = 360, 0.0, 180.0
@@ -41,16 +43,18 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.empty((0, 0))
 
 
-def _proto_size(protos: DataFrame) -> int:
-    return int(protos.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0)
-
-
 def _bounded_matrix(protos: DataFrame, limit: int):
-    """(class ids, matrix) in class order if the table is within the limit, else None."""
-    if _proto_size(protos) > limit:
+    """(class ids, matrix) in class order if the table is within the limits, else None.
+
+    One job: it stops at `PROTO_LIMIT_ROWS` rows, so no larger table comes to the driver.
+    """
+    if limit <= 0:
+        return None
+    head = protos.select("class_id", "vector").limit(PROTO_LIMIT_ROWS + 1).toArrow()
+    if head.num_rows > PROTO_LIMIT_ROWS or head.nbytes > limit:
         return None
-    rows = protos.orderBy("class_id").collect()
-    return [r["class_id"] for r in rows], _matrix([r["vector"] for r in rows])
+    rows = sorted(zip(head["class_id"].to_pylist(), head["vector"].to_pylist()))
+    return [r[0] for r in rows], _matrix([r[1] for r in rows])
 
 
 def _score_blocks(
@@ -74,6 +78,9 @@ def _score_blocks(
 
         return data.mapInPandas(run, schema), True
 
+    if df.isStreaming:
+        raise ValueError("a stream needs a prototype table within the size limits")
+    protos = cut_lineage(protos)
     n_rows, n_protos = df.count(), protos.count()
     n_blocks, n_slices = -(-n_protos // block), max(1, -(-n_rows // slice_rows))
     key = F.xxhash64(*[F.col(c) for c in keep])

@@ -78,8 +78,7 @@ def _(spark, sf):
     rows = X.predictions(spark, sf).filter("gencfg LIKE 'beam_k3%'").withColumn("block", F.expr("sample_id div 64"))
     path = scratch(spark)
     D.write_predictions(rows, path, ["block"])
-    docs = spark.read.schema(D.PREDICTION_SCHEMA).json(path).withColumn("file", F.col("_metadata.file_path"))
-    return D.flatten_predictions(docs).select("model", "gencfg", "gen_topk", "sample", "k", "pred", "score")
+    return D.flatten_predictions(D.read_predictions(spark, [path], lines=True)).select("model", "gencfg", "gen_topk", "sample", "k", "pred", "score")
 
 
 @query("io09_embedding_table", "multi_targets", "SELECT row_id, len(embedding) AS dim, target_ids[1] AS first_target, target_weights[1] AS first_weight, (SELECT count(*) FROM multi_targets) AS embed_num, 3::INT AS width, true AS complete FROM multi_targets")

@@ -12,6 +12,7 @@ from ..operators import tokens as K
 from ..operators import vectors as VS
 from ..operators.embedding import embed_texts, hashing_model
 from ..operators.noise import add_noise
+from ..operators.small import local_rows
 from . import fixtures as X
 from .registry import query
 
@@ -359,7 +360,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = X.target_tokens(spark, sf)
     own = K.compact_ids(rows, PAD, END)
-    extra = spark.createDataFrame([([50, 126, 125],)], "token_ids array<int>")
+    extra = local_rows(spark, [([50, 126, 125],)], "token_ids array<int>")
     more = rows.select("token_ids").unionByName(extra)
     other = K.compact_ids(more, PAD, END)
     translated = K.translate_tokens(K.encode_tokens(rows, own), own, other)

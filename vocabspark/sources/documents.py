@@ -93,9 +93,13 @@ def prediction_paths(paths: list[str]) -> list[str]:
     return sorted({path.rstrip("/") for path in paths if path})
 
 
-def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Prediction documents of files and folders, each with its file name."""
-    reader = spark.read.schema(PREDICTION_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json")
+def read_predictions(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """Prediction documents of files and folders, each with its file name.
+
+    A file is one document, or with `lines` one document per line, as `write_predictions` writes
+    them; only the latter can be split over tasks.
+    """
+    reader = spark.read.schema(PREDICTION_SCHEMA).option("multiLine", not lines).option("pathGlobFilter", "*.json")
     return reader.json(prediction_paths(paths)).withColumn("file", F.col("_metadata.file_path"))
 
 
