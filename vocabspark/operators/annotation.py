@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import canon, squeeze
+from ..session import cut_lineage
 from .ordinals import bucketed_rank, bucketed_sums
 
 # Token estimate and price of a request.
@@ -98,8 +99,10 @@ def request_lists(needs: DataFrame, min_nouns: int, seed: int) -> DataFrame:
 
     Each noun appears in as many requests as it needs opinions, most needed first, then by name.
     Short requests are padded with nouns that need no more, in seeded order. Positions come from
-    bucketed running sums, so an image with very many nouns is spread over tasks.
+    bucketed running sums, so an image with very many nouns is spread over tasks. The needs are read
+    several times, so they are written out once.
     """
+    needs = cut_lineage(needs.select("image", "noun", "need"))
     open_nouns = needs.filter("need > 0")
     totals = needs.groupBy("image").agg(
         F.sum("need").alias("total"), F.max("need").alias("top"), F.count_if(F.col("need") <= 0).alias("n_done")

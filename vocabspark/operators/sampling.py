@@ -12,19 +12,20 @@ from ..functions.keys import digest_bucket, digest_uniform, seeded_digest
 def n_smallest(df: DataFrame, n: int, key: Column, tie: Column, bucket: Column) -> DataFrame:
     """The n rows with the smallest (key, tie), for any n, without sorting the table.
 
-    `bucket` is a monotone function of the key. Counting per bucket finds the one bucket the cut
-    falls into; buckets below it are kept whole and only that bucket is ranked.
+    `bucket` is a monotone function of the key. One counting job finds the bucket the cut falls
+    into; the buckets below it are then a plain filter, and only that bucket is ranked.
     """
-    work = df.withColumns({"__key": key, "__tie": tie, "__bucket": bucket})
-    counts = work.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    limits = counts.select("__bucket", (F.lit(n) - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__left"), "__n")
-    chosen = work.join(limits.filter("__left > 0"), "__bucket")
-    whole = chosen.filter("__left >= __n")
-    cut = chosen.filter("__left < __n")
-    order = W.partitionBy("__bucket").orderBy("__key", "__tie")
-    part = cut.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= F.col("__left")).drop("__rank")
-    return whole.unionByName(part).select(*df.columns)
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    before = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    left = counts.withColumn("left", F.lit(n) - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    last = left.filter("left > 0").orderBy(F.desc("bucket")).limit(1).collect()
+    if not last:
+        return df.limit(0)
+    edge = F.lit(last[0]["bucket"])
+    if last[0]["left"] >= last[0]["n"]:
+        return df.filter(bucket <= edge)
+    cut = df.filter(bucket == edge).orderBy(key, tie).limit(int(last[0]["left"]))
+    return df.filter(bucket < edge).unionByName(cut)
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+
 # The weight of each annotation category, in category order.
 CATEGORY_SCORES = {
     "correct_primary": 1.0,
@@ -19,7 +21,8 @@ CATEGORY_SCORES = {
     "incorrect": 0.0,
 }
 CORRECT_CATEGORIES = ("correct_primary", "correct_secondary")
-GROUP = ("file", "model", "gencfg")
+GROUP = ("file", "model", "gencfg")  # a file has one model
+PER_SAMPLE = ("file", "gencfg", "sample")
 
 
 def category_score(category: Column) -> Column:
@@ -83,7 +86,7 @@ def cumulative_best_category(scored: DataFrame, topk: int) -> DataFrame:
     The best weight so far counts. An item that equals it counts with its own category; one that is
     worse counts with the earliest category that reached it. The window holds one sample's ranks.
     """
-    upto = W.partitionBy(*GROUP, "sample").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*PER_SAMPLE).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     rows = scored.filter((F.col("k") <= topk) & (F.col("k") <= F.col("gen_topk"))).withColumn(
         "cat_score", category_score(F.col("category"))
     )
@@ -193,7 +196,7 @@ def result_types(preds: DataFrame, correct: DataFrame, guides: DataFrame, vocab:
 
 def topk_hit_ratios(results: DataFrame) -> DataFrame:
     """Shares of samples with any hit among the first k: correct, also guide, also vocabulary; invalid and valid."""
-    upto = W.partitionBy(*GROUP, "sample").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*PER_SAMPLE).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     # The smallest code so far says which nested sets are hit; code 3 anywhere says invalid.
     rows = results.withColumn("best", F.min("result").over(upto)).withColumn("worst", F.max("result").over(upto))
     n = F.count("*")
@@ -238,7 +241,11 @@ def direct_guided_buckets(direct: DataFrame, guided: DataFrame | None = None) ->
 
 
 def mean_over_models(ratios: DataFrame, value: str, max_k: int, by: tuple[str, ...] = ("gencfg",)) -> DataFrame:
-    """Mean over models per (by, k) with best flags; a k that some model lacks makes the mean -infinity."""
+    """Mean over models per (by, k) with best flags; a k that some model lacks makes the mean -infinity.
+
+    The ratios are a report-sized table used three times, so they are computed once and written out.
+    """
+    ratios = cut_lineage(ratios)
     n_models = ratios.agg(F.countDistinct("file").alias("n_models")).scalar()
     cells = ratios.filter(F.col("k") <= max_k).groupBy(*by, "k").agg(F.avg(value).alias("mean"), F.countDistinct("file").alias("n"))
     grid = ratios.select(*by).distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_k))))
@@ -264,7 +271,7 @@ def prediction_sets(preds: DataFrame, topk: int, gencfgs: list[str] | None = Non
 
 def top_k(preds: DataFrame, k: int) -> DataFrame:
     """The best k rows per (file, model, gencfg, sample) by score; ties by noun."""
-    order = W.partitionBy(*GROUP, "sample").orderBy(F.desc("score"), "pred")
+    order = W.partitionBy(*PER_SAMPLE).orderBy(F.desc("score"), "pred")
     return preds.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

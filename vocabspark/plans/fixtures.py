@@ -113,33 +113,38 @@ def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- predictions and annotations --------------------------------------------------------------
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored candidate nouns per (file, decoding, sample), from lineitem."""
+def _candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
     rows = line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linestatus", "l_extendedprice")
     keyed = rows.groupBy(
-        F.expr("l_suppkey % 4").cast("int").alias("m"), "l_linestatus",
-        F.expr("l_orderkey div 10").alias("s"), "l_partkey",
+        F.expr("l_suppkey % 4").cast("int").alias("m"), (F.col("l_linestatus") == "F").alias("short"),
+        F.expr("l_orderkey div 10").alias("sample_id"), F.col("l_partkey").alias("noun_id"),
     ).agg(F.max("l_extendedprice").alias("price"))
-    named = keyed.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return named.select(
+    named = keyed.join(part, F.col("noun_id") == F.col("p_partkey"))
+    return named.select("m", "short", "sample_id", "noun_id", part_noun("p_name", "noun_id").alias("pred"), (F.col("price") / 100000).alias("score"))
+
+
+def _candidate_names(rows: DataFrame, *extra: str) -> DataFrame:
+    return rows.select(
         F.concat(F.lit("preds_m"), F.col("m"), F.lit(".json")).alias("file"),
         F.concat(F.lit("model_"), F.col("m")).alias("model"),
-        F.when(F.col("l_linestatus") == "F", "beam_k3_vnone_gn_t1_a0").otherwise("beam_k5_vnone_gp_t1_a0").alias("gencfg"),
-        F.when(F.col("l_linestatus") == "F", 3).otherwise(5).alias("gen_topk"),
-        F.concat(F.lit("img_"), F.col("s")).alias("sample"),
-        F.col("s").alias("sample_id"),
-        F.col("l_partkey").alias("noun_id"),
-        part_noun("p_name", "l_partkey").alias("pred"),
-        (F.col("price") / 100000).alias("score"),
+        F.when(F.col("short"), "beam_k3_vnone_gn_t1_a0").otherwise("beam_k5_vnone_gp_t1_a0").alias("gencfg"),
+        F.when(F.col("short"), 3).otherwise(5).alias("gen_topk"),
+        F.concat(F.lit("img_"), F.col("sample_id")).alias("sample"),
+        "sample_id", "noun_id", "pred", "score", *extra,
     )
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored candidate nouns per (file, decoding, sample), from lineitem."""
+    return _candidate_names(_candidate_rows(spark, sf_dir))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked predictions: the best gen_topk candidates, k from 1."""
-    order = W.partitionBy("file", "gencfg", "sample").orderBy(F.desc("score"), "pred")
-    ranked = candidates(spark, sf_dir).withColumn("k", F.row_number().over(order))
-    return ranked.filter((F.col("k") <= 5) & (F.col("k") <= F.col("gen_topk")))
+    """Ranked predictions: the best 3 or 5 candidates by decoding, k from 1."""
+    order = W.partitionBy("m", "short", "sample_id").orderBy(F.desc("score"), "pred")
+    ranked = _candidate_rows(spark, sf_dir).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= 5)
+    return _candidate_names(ranked.filter((F.col("k") <= 3) | ~F.col("short")), "k")
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

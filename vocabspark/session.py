@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of `df`, so that a lost executor does not replay the whole history."""
+    """`df` as a written table in the shared checkpoint folder.
+
+    A lost executor then does not replay the whole history, a table that is read several times is
+    computed once, and the planner knows its true size.
+    """
     spark = df.sparkSession
-    path = checkpoint_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
