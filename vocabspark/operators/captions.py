@@ -260,8 +260,10 @@ def choose_templates(captions: DataFrame, vocab: DataFrame, template_multiplier:
 def fill_captions(templates: DataFrame, vocab: DataFrame, sample_multiplier: int) -> DataFrame:
     """Each noun variant frequency x multiplier times, templates taken in turn across the variants.
 
-    Columns: id, kind, sample, noun, tidx, text, target.
+    Columns: id, kind, sample, noun, tidx, text, target. The templates are read twice, so they are
+    written out once.
     """
+    templates = cut_lineage(templates)
     counts = templates.groupBy("id", "kind").agg(F.count("*").alias("n_templates"))
     nouns = explode_nouns(vocab).join(counts, ["id", "kind"])
     unit = F.expr(f"sequence(freq_before * {sample_multiplier}, (freq_before + freq) * {sample_multiplier} - 1)")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import field_names, fill_template, indefinite, squeeze
 from .ordinals import bucketed_rank, bucketed_sums, ordered_sums, prefix_ids
-from .small import try_pin
+from .small import pin_small, try_pin
 from .vocab import explode_nouns, freq_sum, with_hypernym_targets
 
 # Characters after a field that make a closing comma unnecessary.
@@ -303,10 +303,10 @@ def noun_multisets(vocab: DataFrame, prompts: DataFrame, multi_target_freq: list
         .withColumn("item", F.concat_ws("/", "id", "unit"))
         .select("target_noun", "kind", "noun", "item")
     )
-    slots = prompts.select(
+    slots = pin_small(prompts.select(
         "kind", "template", "need_article",
         F.explode(F.expr("sequence(tfreq_before, tfreq_before + tfreq - 1)")).alias("tslot"),
-    )
+    ))
     plan = [(m, r) for m, f in enumerate(multi_target_freq, 1) for r in range(1, f + 1)]
     if not plan:
         raise ValueError("at least one multi-target frequency must be positive")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
 from .ordinals import bucketed_rank
 
 SMALLEST_DOUBLE_HALVINGS = 1075
@@ -48,6 +49,7 @@ def ewa_metrics(metrics: DataFrame, halflife: float, chunk: int = 1, run: str =
     out = joined.select(
         run, "batch_id", "block", (state["loss"] / state["basis"]).alias("ewa_loss"), (state["correct"] / state["tokens"]).alias("ewa_top1")
     )
+    out = cut_lineage(out)  # read twice below
     tops = out.groupBy(run, "block").agg(F.max("ewa_top1").alias("top"))
     earlier = W.partitionBy(run).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     before = tops.select(run, "block", F.max("top").over(earlier).alias("before"))

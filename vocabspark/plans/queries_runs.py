@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import runs as R
 from ..operators import scoring as S
 from ..operators import windows as W
+from ..session import cut_lineage
 from . import fixtures as X
 from . import reports as RP
 from .registry import query
@@ -154,7 +155,7 @@ def _(spark, sf):
                FROM b WINDOW w AS (PARTITION BY run_id ORDER BY batch_id))
     SELECT run_id, batch_id, round(ewa_loss, 6) AS ewa_loss, round(ewa_top1, 6) AS ewa_top1, round(max(ewa_top1) OVER (PARTITION BY run_id ORDER BY batch_id), 6) AS ewa_top1_max FROM e""")
 def _(spark, sf):
-    rows = W.batch_positions(X.run_metrics(spark, sf))
+    rows = cut_lineage(W.batch_positions(X.run_metrics(spark, sf)))
     # Small blocks here, so that the carries between blocks and parts take part at any scale.
     out = W.ewa_metrics(rows, halflife=8, chunk=1, block=16)
     return out.withColumns({c: F.round(c, 6) for c in ("ewa_loss", "ewa_top1", "ewa_top1_max")})
