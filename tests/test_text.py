@@ -85,3 +85,15 @@ def test_order_report(spark):
     assert names("0cell") == ["a", "b", "c"]
     assert names("-0CELL") == ["b", "a", "c"]
     assert names("-name") == ["c", "b", "a"]
+
+
+def test_sql_functions_equal_column_functions(spark):
+    from vocabspark.functions.register import register_functions
+
+    register_functions(spark)
+    nouns = ["hour", "F1 car", "X-ray", "  Café   au-lait ", "St. John's/Wort", "Straße", "Œuvre – x", "one-way", "apple"]
+    rows = spark.createDataFrame([(n,) for n in nouns], "n string").select("n", T.indefinite(F.col("n")).alias("a"), T.canon(F.col("n")).alias("c"))
+    rows.createOrReplaceTempView("sql_function_nouns")
+    got = spark.sql("SELECT count_if(a = with_article(n) AND c = canonical_noun(n)) AS n FROM sql_function_nouns").first()["n"]
+    assert got == len(nouns)
+    assert spark.sql("SELECT decoding_topk('beam_k10_vnone_gn_t1_a0') AS k").first()["k"] == 10

@@ -32,6 +32,9 @@ CAPTION_MIN_CHARS = 10
 CAPTION_LINE = r"^\s*\d+\s*\."
 
 NON_CANON = r"[^ 0-9a-z]"
+SPACES = r"(?U)\s+"
+CANON_BREAKS = r"(?U)[\s/-]+"
+CANON_DROPPED = "'."
 
 
 def indefinite_article(noun: Column) -> Column:
@@ -52,7 +55,7 @@ def indefinite(noun: Column, suffix: Column | None = None) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def _latin_table() -> tuple[str, str]:
@@ -84,8 +87,8 @@ def transliterate(text: Column) -> Column:
 def canon(noun: Column, sanitize: bool = True) -> Column:
     """Canonical noun: lower case, no apostrophes or dots, words joined by single spaces."""
     text = transliterate(squeeze(noun)) if sanitize else noun
-    text = F.translate(F.lower(text), "'.", "")
-    return F.trim(F.regexp_replace(text, r"(?U)[\s/-]+", " "))
+    text = F.translate(F.lower(text), CANON_DROPPED, "")
+    return F.trim(F.regexp_replace(text, CANON_BREAKS, " "))
 
 
 def has_bad_canon(canonical: Column) -> Column:
@@ -125,7 +128,7 @@ def caption_lines(content: Column) -> Column:
 
 
 def caption_field_pattern(noun: Column) -> Column:
-    """Pattern of a whole-word noun in a caption, with its possessive or punctuation."""
+    """Fixed pattern of a whole-word noun in a caption, with its possessive or punctuation."""
     return F.concat(F.lit(r"(?iu)(^|\s)(\Q"), noun, F.lit(r"\E)(\.(?!$))?('s?|[,.?!:])?(\s|$)"))
 
 

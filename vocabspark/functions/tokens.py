@@ -41,3 +41,10 @@ def trim_pad_columns(ids: Column, pad_id: int) -> Column:
 def is_monotone(flags: Column) -> Column:
     """True when a boolean array never goes back to false."""
     return F.size(F.filter(F.transform(flags, lambda f, i: (~f) & F.coalesce(F.get(flags, i - 1), F.lit(False))), lambda x: x)) == 0
+
+
+def prefix_equal(a: Column, b: Column) -> Column:
+    """Per position, whether both arrays agree there and everywhere before."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, F.lit(False))
+    return F.transform(same, lambda _, i: (first == 0) | (i + 1 < first))

@@ -176,7 +176,8 @@ def pack_requests(requests: DataFrame, max_requests: int, max_bytes: int, max_to
     return rows.mapInPandas(pack, schema)
 
 
-# Enumerated answer lines: number, then text up to the line end. (?d) makes only \n end a line.
+# Enumerated answer lines (number, then text up to the line end) and the verdict that ends one.
+# (?d) makes only \n end a line.
 _LINE = r"(?mid)^([1-9][0-9]*)%s[^\S\n]*(.*?)[^\S\n]*$"
 _VERDICT_LINE = r"(?mid)^([1-9][0-9]*)%s[^\S\n]*(.*?(?:correct|incorrect))[^\S\n]*$"
 _VERDICT = r"(?i)^(.*?)['.\W\s]+(correct|incorrect)$"

@@ -61,7 +61,7 @@ def pick_by_pattern(results: DataFrame, patterns: dict[str, str]) -> DataFrame:
     ).select("model_dir", "model_name", "column", "r.*", "n_options")
 
 
-# Run log markers.
+# The marker and prediction lines of a run log.
 _START_LINE = r"(?md)\] Inferencing loaded model on the generated embeddings\.\.\.$"
 _END_LINE = r"(?md)\] -{40,}$"
 _PREDICTION_LINE = r"(?md)\] (.*) -->(.*)$"

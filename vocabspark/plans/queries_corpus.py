@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.register import register_functions
 from ..operators import corpus as C
 from ..operators import vocab as V
 from . import fixtures as X
@@ -142,6 +143,14 @@ def _(spark, sf):
     return nouns.select("noun", T.indefinite(F.col("noun")).alias("indefinite"))
 
 
+@query("f01_sql_functions", "vocab_nouns", f"""
+    SELECT noun, ({article_sql('noun')}) || noun AS indefinite, trim(regexp_replace(translate(lower(noun), '.', ''), '[ /-]+', ' ', 'g')) AS canonical FROM vocab_nouns""")
+def _(spark, sf):
+    register_functions(spark)
+    V.explode_nouns(X.vocab(spark, sf)).select("noun").createOrReplaceTempView("vocabspark_nouns")
+    return spark.sql("SELECT noun, with_article(noun) AS indefinite, canonical_noun(noun) AS canonical FROM vocabspark_nouns")
+
+
 @query("f02_canonical_noun", "", r"""
     SELECT page_id, name, regexp_matches(name, '[^ 0-9a-z]') AS bad FROM (
         SELECT page_id, trim(regexp_replace(replace(replace(lower(replace(strip_accents(trim(regexp_replace(title, '\s+', ' ', 'g'))), 'ß', 'ss')), '''', ''), '.', ''), '[\s/-]+', ' ', 'g')) AS name
@@ -216,6 +225,12 @@ def _(spark, sf):
     return corpus_plan(spark, sf).samples(with_ids=False)
 
 
+@query("j02_expansion_counts", CORPUS_CTES, corpus_sql("SELECT id, kind, count(*) AS n_samples, sum(freq)::BIGINT AS n_weighted FROM corpus GROUP BY ALL"))
+def _(spark, sf):
+    rows = corpus_plan(spark, sf).samples(with_ids=False)
+    return rows.groupBy("id", "kind").agg(F.count("*").alias("n_samples"), F.sum("freq").alias("n_weighted"))
+
+
 @query("g05_sample_ids", CORPUS_CTES, corpus_sql("SELECT usid, fsid, freq, text FROM corpus"))
 def _(spark, sf):
     return corpus_plan(spark, sf).samples().select("usid", "fsid", "freq", "text")

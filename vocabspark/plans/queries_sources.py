@@ -65,6 +65,18 @@ def _(spark, sf):
     return D.resolve_class_prompts(prompts, wanted)
 
 
+@query("io04_prediction_files", "predictions", """
+    SELECT model, gencfg, count(DISTINCT sample) AS n_samples, count(*) AS n_predictions FROM predictions WHERE model IN ('model_0', 'model_2') GROUP BY ALL""")
+def _(spark, sf):
+    """Two model folders, one of them named twice."""
+    path = scratch(spark)
+    D.write_predictions(X.predictions(spark, sf).withColumn("block", F.expr("sample_id div 64")), path, ["block"])
+    folders = [f"{path}/model=model_2", f"{path}/model=model_0", f"{path}/model=model_0/"]
+    docs = D.read_predictions(spark, folders, lines=True)
+    rows = D.flatten_predictions(docs.withColumn("model", F.regexp_extract("file", "/model=([^/]*)/", 1)))
+    return rows.groupBy("model", "gencfg").agg(F.countDistinct("sample").alias("n_samples"), F.count("*").alias("n_predictions"))
+
+
 @query("io06_annotation_documents", "annotations", "SELECT sample, category, noun FROM annotations")
 def _(spark, sf):
     by_category = X.annotations(spark, sf).groupBy("sample", "category").agg(F.collect_list("noun").alias("nouns"))

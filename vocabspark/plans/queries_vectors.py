@@ -470,6 +470,19 @@ _TOKEN_PRED = """
             FROM own, unnest(range(1, length(noun) + 1)) u(i))"""
 
 
+@query("w04_shared_prefixes", "vocab vocab_links", """
+    SELECT l.id, l.pos, (list_aggregate(list_transform(range(1, least(length(target_noun), length(hypernym_target)) + 1),
+           lambda i: CASE WHEN target_noun[1:i] = hypernym_target[1:i] THEN 1 ELSE 0 END), 'sum'))::INT AS n_shared FROM vocab_links l JOIN vocab v ON v.id = l.id""")
+def _(spark, sf):
+    from ..operators.vocab import resolve_hypernyms
+
+    codes = lambda noun: F.transform(F.split(noun, ""), lambda c: F.ascii(c))
+    vocab = X.vocab(spark, sf)
+    rows = resolve_hypernyms(vocab).join(vocab.select("id", "target_noun"), "id")
+    flags = TK.prefix_equal(codes(F.col("target_noun")), codes(F.col("hypernym_target")))
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), F.size(F.filter(flags, lambda f: f)).alias("n_shared"))
+
+
 @query("a13_token_accuracy", "vocab vocab_links", f"""
     WITH {_TOKEN_PRED.strip()} SELECT pos::INT AS pos, count(*) AS n_tokens, count(*) FILTER (WHERE t = p) AS n_correct, count(*) FILTER (WHERE t = p) / count(*) AS accuracy FROM units GROUP BY ROLLUP (pos)""")
 def _(spark, sf):
