@@ -235,3 +235,13 @@ def test_collect_captions_follows_the_rules(spark, head):
     got = sorted(tuple(r) for r in C.collect_captions(df, nouns, head=head).collect())
     assert got == sorted(collect_by_rule(answers, vocab))
     assert got
+
+
+def test_noise_draws_are_standard():
+    from vocabspark.operators.noise import _normals, _uniforms
+
+    u = _uniforms(np.arange(2000) * 7919 + 3, 64)
+    g = _normals(u)
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 5e-3
+    assert abs(g.mean()) < 0.01 and abs(g.std() - 1) < 0.01
+    assert np.abs(np.corrcoef(g[:, :16].T) - np.eye(16)).max() < 0.12

@@ -13,6 +13,23 @@ from pyspark.sql.functions import pandas_udf
 SCHEMES = ("GaussElem", "GaussVec", "GaussAngle", "UniformAngle", "GaussElemUniformAngle")
 
 
+def _uniforms(keys: np.ndarray, n: int) -> np.ndarray:
+    """n uniform draws in (0, 1) per 64-bit key: splitmix64 of the key's counter sequence, for all rows at once."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _normals(uniforms: np.ndarray) -> np.ndarray:
+    """As many normal draws as uniform ones (an even number), by the Box-Muller transform."""
+    half = uniforms.shape[1] // 2
+    radius, angle = np.sqrt(-2.0 * np.log(uniforms[:, :half])), 2.0 * np.pi * uniforms[:, half:]
+    return np.concatenate([radius * np.cos(angle), radius * np.sin(angle)], axis=1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
@@ -45,10 +62,10 @@ def add_noise(
         if not len(vectors):
             return pd.Series([], dtype=object)
         x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        draws = [np.random.Generator(np.random.Philox(key=int(k) & 0xFFFFFFFFFFFFFFFF)) for k in keys]
-        gauss = np.stack([g.standard_normal(x.shape[1]) for g in draws])
-        scalar = np.array([[g.standard_normal()] for g in draws])
-        uniform = np.array([[g.random(), g.random()] for g in draws])
+        dim = x.shape[1]
+        draws = _uniforms(keys.to_numpy(dtype=np.int64), dim + dim % 2 + 4)
+        uniform, scalar = draws[:, :2], _normals(draws[:, 2:4])[:, :1]
+        gauss = _normals(draws[:, 4:])[:, :dim]
         element = lambda: _unit(x + gauss * (vec_norm / math.sqrt(x.shape[1])))
         spread = lambda: _rotate(x, gauss, low + uniform[:, :1] * (high - low))
         if scheme == "GaussElem":

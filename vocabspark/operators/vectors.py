@@ -12,10 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import vectors as V
 from ..session import cut_lineage
@@ -43,6 +46,11 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.empty((0, 0))
 
 
+def _list_matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix; the values are not copied row by row."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
 def _bounded_matrix(protos: DataFrame, limit: int):
     """(class ids, matrix) in class order if the table is within the limits, else None.
 
@@ -69,14 +77,17 @@ def _score_blocks(
     bounded = _bounded_matrix(protos, limit)
     if bounded is not None:
         shared = df.sparkSession.sparkContext.broadcast(bounded)
+        arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
-            for rows in batches:
-                if len(rows):
-                    yield fn(rows, ids, matrix, _matrix(rows["__vec"]) @ matrix.T)
+            for batch in batches:
+                if batch.num_rows:
+                    rows = batch.select(keep).to_pandas()
+                    out = fn(rows, ids, matrix, _list_matrix(batch.column("__vec")) @ matrix.T)
+                    yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
-        return data.mapInPandas(run, schema), True
+        return data.mapInArrow(run, schema), True
 
     if df.isStreaming:
         raise ValueError("a stream needs a prototype table within the size limits")
@@ -148,13 +159,20 @@ def prototype_logits(df: DataFrame, protos: DataFrame, keep: list[str], vec: str
         raise ValueError("too many prototypes for one array per row; use top_prototypes")
     shared = df.sparkSession.sparkContext.broadcast(bounded)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"{_ddl(df, keep)}, logits array<double>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, matrix = shared.value
-        for rows in batches:
-            if len(rows):
-                yield pd.DataFrame({**{c: rows[c] for c in keep}, "logits": list(_matrix(rows[vec]) @ matrix.T)})
+        for batch in batches:
+            if batch.num_rows:
+                dots = _list_matrix(batch.column(vec)) @ matrix.T
+                offsets = np.arange(0, dots.size + 1, dots.shape[1], dtype=np.int32)
+                logits = pa.ListArray.from_arrays(offsets, dots.ravel())
+                columns = [batch.column(c) for c in keep] + [logits]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return df.select(*keep, vec).mapInPandas(run, f"{_ddl(df, keep)}, logits array<double>")
+    return df.select(*keep, vec).mapInArrow(run, schema)
 
 
 def accuracy(predicted: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
@@ -243,19 +261,22 @@ def position_correlation(df: DataFrame, positions: int, vec: str = "embedding")
     """
     schema = "i int, j int, p double, si double, sj double, qi double, qj double, n bigint"
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if not len(rows):
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = _matrix(rows[vec]).reshape(len(rows), positions, -1)
+            x = _list_matrix(batch.column(vec)).reshape(batch.num_rows, positions, -1)
             products, sums, squares = np.einsum("bie,bje->ij", x, x), x.sum(axis=(0, 2)), (x * x).sum(axis=(0, 2))
             i, j = np.indices((positions, positions)).reshape(2, -1)
-            yield pd.DataFrame({
+            out = pd.DataFrame({
                 "i": i.astype(np.int32), "j": j.astype(np.int32), "p": products.ravel(), "si": sums[i], "sj": sums[j],
                 "qi": squares[i], "qj": squares[j], "n": np.full(len(i), x.shape[0] * x.shape[2]),
             })
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
-    sums = df.select(vec).mapInPandas(partial, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("p", "si", "sj", "qi", "qj", "n")])
+    sums = df.select(vec).mapInArrow(partial, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("p", "si", "sj", "qi", "qj", "n")])
     n = F.col("n")
     std = lambda q, s: F.sqrt(F.col(q) / n - (F.col(s) / n) * (F.col(s) / n))
     cov = F.col("p") / n - (F.col("si") / n) * (F.col("sj") / n)

@@ -22,13 +22,14 @@ from ..operators.vectors import top_prototypes
 from ..session import checkpoint_dir
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet table file (or a folder that files arrive in) as a stream, with the table's schema."""
+def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
+    """A Parquet table file (or a folder that files arrive in) as a stream, with the table's schema.
+
+    `files_per_trigger` bounds a micro-batch, and so the rows of one key that are ordered at a time.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
 def run_available(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
@@ -122,15 +123,21 @@ def stream_ewa(metrics: DataFrame, halflife: float, chunk: int = 1) -> DataFrame
 
     Rows of a run count in (ts, event_id) order; `files_per_trigger` bounds a micro-batch.
     """
-    decay = 0.5 ** (1.0 / (halflife * chunk))
+    steps = halflife * chunk
+    block = max(1, min(4096, int(400 * steps)))  # keeps the relative weights inside the double range
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, loss, basis, correct, tokens, best = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        n, *sums, best = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for x in rows[["loss_sum", "loss_basis", "correct", "tokens"]].to_numpy(dtype=np.float64):
-            loss, basis, correct, tokens = loss * decay + x[0], basis * decay + x[1], correct * decay + x[2], tokens * decay + x[3]
-            best = max(best, correct / tokens)
-            n += 1
+        values = rows[["loss_sum", "loss_basis", "correct", "tokens"]].to_numpy(dtype=np.float64)
+        last = np.array(sums)
+        for start in range(0, len(values), block):
+            part = values[start : start + block]
+            age = np.arange(1, len(part) + 1)[:, None] / steps
+            running = (last + np.cumsum(part * 2.0**age, axis=0)) * 2.0**-age
+            best = max(best, float((running[:, 2] / running[:, 3]).max()))
+            last = running[-1]
+        n, (loss, basis, correct, tokens) = n + len(values), map(float, last)
         state.update((n, loss, basis, correct, tokens, best))
         yield pd.DataFrame({"run_id": [key[0]], "n_batches": [n], "ewa_loss": [loss / basis], "ewa_top1": [correct / tokens], "ewa_top1_max": [best]})
 
