@@ -182,13 +182,14 @@ def accuracy(predicted: DataFrame, label: str, by: list[str] | None = None) -> D
 
 
 def angle_statistics(
-    df: DataFrame, protos: DataFrame, label: str, vec: str = "embedding",
-    limit: int = PROTO_LIMIT_BYTES, block: int = PROTO_BLOCK, slice_rows: int = ROWS_PER_SLICE, key: str | None = None,
+    df: DataFrame, protos: DataFrame, label: str, key: str, vec: str = "embedding",
+    limit: int = PROTO_LIMIT_BYTES, block: int = PROTO_BLOCK, slice_rows: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Bin counts and moments of the angles to all classes ('all') and to the own class ('own').
 
     Each batch emits its own histogram, at most 2 x 360 rows; the batches are then summed.
-    The upper edge belongs to the last bin.
+    The upper edge belongs to the last bin. `key` must identify a row: it spreads the rows over
+    slices when the prototypes do not fit one matrix, so that a hot label is no hot slice.
     """
     schema = "kind string, bin int, n bigint, total double, squares double"
 
@@ -208,8 +209,7 @@ def angle_statistics(
                 }))
         return pd.concat(frames) if frames else pd.DataFrame({"kind": [], "bin": [], "n": [], "total": [], "squares": []})
 
-    keep = [label] if key is None else [key, label]
-    parts, _ = _score_blocks(df, protos, keep, vec, schema, partial, limit, block, slice_rows)
+    parts, _ = _score_blocks(df, protos, [key, label], vec, schema, partial, limit, block, slice_rows)
     return parts.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
 
 
