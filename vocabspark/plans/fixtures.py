@@ -173,15 +173,17 @@ def specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def caption_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions (id, target_noun, kind, pos, caption) from the sentences of English documents."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    sentences = docs.select(
+    """Captions (doc_id, id, kind, pos, caption) from all sentences of all documents.
+
+    The ids run over the vocabulary's keys and a quarter more, so some captions are of no vocabulary row.
+    """
+    sentences = table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\.")).alias("pos", "sentence")
     ).withColumn("sentence", F.trim("sentence"))
-    kept = sentences.filter((F.length("sentence") >= 10) & ~F.col("sentence").rlike(r"[{}]") & F.col("sentence").rlike("^[ -~]*$"))
+    keys = table(spark, sf_dir, "part").agg(F.max("p_partkey").cast("long").alias("n")).select(F.expr("n + n div 4")).scalar()
     kind = F.when(F.col("pos") % 3 == 2, "plural").otherwise("singular")
-    return kept.select(
-        (F.col("doc_id") * 3).alias("id"), kind.alias("kind"), "pos",
+    return sentences.filter("sentence != ''").select(
+        "doc_id", (F.pmod(F.col("doc_id") * 3, keys) + 1).alias("id"), kind.alias("kind"), "pos",
         F.concat("sentence", F.lit(" near the {"), kind, F.lit("}")).alias("caption"),
     )
 
@@ -198,16 +200,14 @@ def faulty_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(code == 5, F.concat(F.lit("repeated {"), F.col("kind"), F.lit("}")))
         .otherwise(F.col("caption"))
     )
-    return rows.select("id", "kind", "pos", caption.alias("caption"))
+    return rows.select("doc_id", "id", "kind", "pos", caption.alias("caption"))
 
 
 def caption_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One enumerated caption answer per English document, about noun doc_id % 150; some lines are not numbered."""
-    rows = caption_rows(spark, sf_dir).select(
-        F.expr("id div 3").alias("doc_id"), "pos", F.regexp_extract("caption", r"^(.*) near the \{", 1).alias("sentence")
-    )
+    """One enumerated caption answer per document, eight to a noun; some lines are not numbered."""
+    rows = caption_rows(spark, sf_dir).select("doc_id", "pos", F.regexp_extract("caption", r"^(.*) near the \{", 1).alias("sentence"))
     part = table(spark, sf_dir, "part").select((F.col("p_partkey")).alias("id"), part_noun().alias("noun"))
-    named = rows.withColumn("id", F.col("doc_id") % 150).join(part, "id")
+    named = rows.withColumn("id", F.expr("doc_id div 8 + 1")).join(part, "id")
     noun = F.when(F.col("pos") % 3 == 2, F.concat("noun", F.lit("s"))).otherwise(F.upper("noun"))
     head = F.when(F.col("pos") % 5 == 4, F.lit("- ")).otherwise(F.concat((F.col("pos") + 1).cast("string"), F.lit(". ")))
     line = F.concat(head, F.col("sentence"), F.lit(" with "), noun, F.when(F.col("pos") % 2 == 0, F.lit(", shown.")).otherwise(F.lit(".")))
@@ -217,7 +217,7 @@ def caption_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_templates(spark: SparkSession, sf_dir: str, hypernym: bool = False) -> DataFrame:
     """Template rows per document source: each sentence with one field; repeated sentences merge."""
-    rows = caption_rows(spark, sf_dir).withColumn("doc_id", F.expr("id div 3"))
+    rows = caption_rows(spark, sf_dir)
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
     names = ("target", "article_target") if hypernym else ("article_noun", "noun", "singular", "article_singular", "plural")
     field = F.get(F.array(*[F.lit(n) for n in names]), (F.col("pos") % len(names)).cast("int"))
@@ -441,30 +441,30 @@ CTES: dict[str, tuple[str, str]] = {
              LEFT JOIN cat_scores s ON s.category = c.category"""),
     "specificity": ("", f"SELECT {_NOUN} AS noun, (p_size % 10 + 1) / 10.0::DOUBLE AS specificity FROM part"),
     "caption_rows": ("", r"""
-        SELECT doc_id * 3 AS id, CASE WHEN pos % 3 = 2 THEN 'plural' ELSE 'singular' END AS kind, pos,
+        SELECT doc_id, doc_id * 3 % n + 1 AS id, CASE WHEN pos % 3 = 2 THEN 'plural' ELSE 'singular' END AS kind, pos,
                sentence || ' near the {' || CASE WHEN pos % 3 = 2 THEN 'plural' ELSE 'singular' END || '}' AS caption
         FROM (SELECT doc_id, i - 1 AS pos, trim(parts[i]) AS sentence
-              FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), '.') AS parts FROM documents WHERE lang = 'en'),
-                   unnest(range(1, len(parts) + 1)) u(i))
-        WHERE length(sentence) >= 10 AND NOT regexp_matches(sentence, '[{}]') AND regexp_full_match(sentence, '[ -~]*')"""),
+              FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), '.') AS parts FROM documents),
+                   unnest(range(1, len(parts) + 1)) u(i)), (SELECT max(p_partkey)::BIGINT + max(p_partkey)::BIGINT // 4 AS n FROM part)
+        WHERE sentence <> ''"""),
     "faulty_captions": ("caption_rows", """
-        SELECT id, kind, pos, CASE (id + pos) % 23 WHEN 1 THEN replace(caption, '{', '') WHEN 2 THEN caption || ' {other}'
+        SELECT doc_id, id, kind, pos, CASE (id + pos) % 23 WHEN 1 THEN replace(caption, '{', '') WHEN 2 THEN caption || ' {other}'
                WHEN 3 THEN caption || ',' WHEN 4 THEN caption || ' café' WHEN 5 THEN 'repeated {' || kind || '}' ELSE caption END AS caption
         FROM caption_rows"""),
     "doc_prompts": ("caption_rows", r"""
         SELECT CAST(source[4:] AS INT) AS coll, doc_id * 10000 + pos AS pos, (doc_id + pos) % 4 AS freq,
                sentence || ' {' || (['article_noun', 'noun', 'singular', 'article_singular', 'plural'])[pos % 5 + 1] || '}'
                || (['', ' shown', ', indeed'])[pos % 3 + 1] AS template
-        FROM (SELECT *, id // 3 AS doc_id, regexp_extract(caption, '^(.*) near the \{', 1) AS sentence FROM caption_rows) JOIN documents USING (doc_id)"""),
+        FROM (SELECT *, regexp_extract(caption, '^(.*) near the \{', 1) AS sentence FROM caption_rows) JOIN documents USING (doc_id)"""),
     "doc_hypernyms": ("caption_rows", r"""
         SELECT CAST(source[4:] AS INT) AS coll, doc_id * 10000 + pos AS pos, (doc_id + pos) % 4 AS freq,
                CASE WHEN (doc_id + pos) % 19 <> 0 THEN sentence || ' {' || (['target', 'article_target'])[pos % 2 + 1] || '}'
                || (['', ' shown', ', indeed'])[pos % 3 + 1] END AS template
-        FROM (SELECT *, id // 3 AS doc_id, regexp_extract(caption, '^(.*) near the \{', 1) AS sentence FROM caption_rows) JOIN documents USING (doc_id)"""),
+        FROM (SELECT *, regexp_extract(caption, '^(.*) near the \{', 1) AS sentence FROM caption_rows) JOIN documents USING (doc_id)"""),
     "caption_lines": ("caption_rows", r"""
-        SELECT doc_id % 150 AS id, doc_id AS seq, pos, pos % 5 <> 4 AS numbered, p_name || ' ' || p_partkey AS noun,
-               sentence || ' with ' || CASE WHEN pos % 3 = 2 THEN p_name || ' ' || p_partkey || 's' ELSE upper(p_name || ' ' || p_partkey) END || CASE WHEN pos % 2 = 0 THEN ', shown.' ELSE '.' END AS caption
-        FROM (SELECT id // 3 AS doc_id, pos, regexp_extract(caption, '^(.*) near the \{', 1) AS sentence FROM caption_rows) JOIN part ON p_partkey = doc_id % 150"""),
+        SELECT doc_id // 8 + 1 AS id, doc_id AS seq, pos, pos % 5 <> 4 AND length(sentence) > 0 AS numbered, p_name || ' ' || p_partkey AS noun,
+               replace(strip_accents(sentence), 'ß', 'ss') || ' with ' || CASE WHEN pos % 3 = 2 THEN p_name || ' ' || p_partkey || 's' ELSE upper(p_name || ' ' || p_partkey) END || CASE WHEN pos % 2 = 0 THEN ', shown.' ELSE '.' END AS caption
+        FROM (SELECT doc_id, pos, regexp_extract(caption, '^(.*) near the \{', 1) AS sentence FROM caption_rows) JOIN part ON p_partkey = doc_id // 8 + 1"""),
     "run_logs": ("runs", """
         SELECT r.*, l_linenumber AS line, l_partkey, p_name || ' ' || l_partkey AS noun FROM runs r JOIN lineitem ON l_orderkey = run_id JOIN part ON p_partkey = l_partkey
         WHERE action = 'infer' AND run_id % 11 <> 0"""),

@@ -34,7 +34,7 @@ _QUOTA = "quota AS (SELECT id, kind, (least(sum(freq), 10) * 2)::INT AS quota FR
     UNION ALL SELECT DISTINCT id, kind, 'no_placeholder' FROM c WHERE strpos(caption, '{{' || kind || '}}') = 0
     UNION ALL SELECT DISTINCT id, kind, 'other_placeholder' FROM f WHERE fields <> ['{{' || kind || '}}']
     UNION ALL SELECT DISTINCT id, kind, 'end_punctuation' FROM c WHERE regexp_matches(caption, '[,.?!:]$')
-    UNION ALL SELECT DISTINCT id, kind, 'non_ascii' FROM c WHERE strip_accents(caption) <> caption""")
+    UNION ALL SELECT DISTINCT id, kind, 'non_ascii' FROM c WHERE replace(strip_accents(caption), 'ß', 'ss') <> caption""")
 def _(spark, sf):
     vocab = X.vocab(spark, sf)
     captions = X.faulty_captions(spark, sf).join(vocab.select("id"), "id", "left_semi")

@@ -11,11 +11,11 @@ from ..operators import vocab as V
 from . import fixtures as X
 from .registry import query
 
-# The article rules as DuckDB text; \b needs no Unicode flag on these nouns.
+# The article rules as DuckDB text, whose \b knows only ASCII letters.
 ARTICLE = (
-    r"CASE WHEN regexp_matches({n}, '^[AEFHILMNORSX][B-Z][A-Z]?\b') THEN 'an '"
+    r"CASE WHEN regexp_matches({n}, '^[AEFHILMNORSX][B-Z][A-Z]?($|[^\pL\pM\pN_])') THEN 'an '"
     r" WHEN regexp_matches({n}, '^([aefhilmnorsx][.-]|hour)', 'i') THEN 'an '"
-    r" WHEN regexp_matches({n}, '^([a-z][.-]|e[uw]|onc?e\b|uni|u[bcfghjkqrst][aeiou])', 'i') THEN 'a '"
+    r" WHEN regexp_matches({n}, '^([a-z][.-]|e[uw]|onc?e($|[^\pL\pM\pN_])|uni|u[bcfghjkqrst][aeiou])', 'i') THEN 'a '"
     r" WHEN regexp_matches({n}, '^[aeiou]', 'i') THEN 'an ' ELSE 'a ' END"
 )
 
@@ -134,11 +134,9 @@ def _(spark, sf):
 @query("f01_indefinite_article", "vocab_nouns", f"""
     SELECT noun, ({article_sql('noun')}) || noun AS indefinite FROM (
         SELECT DISTINCT noun FROM vocab_nouns
-        UNION SELECT DISTINCT unnest(string_split(regexp_replace(lower(text), '[^a-z .-]', '', 'g'), ' ')) FROM documents WHERE lang = 'en') WHERE noun <> ''""")
+        UNION SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n,!|]+')) FROM documents) WHERE noun <> ''""")
 def _(spark, sf):
-    words = X.table(spark, sf, "documents").filter("lang = 'en'").select(
-        F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z .-]", ""), " ")).alias("noun")
-    )
+    words = X.table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n,!|]+"), 0)).alias("noun"))
     nouns = V.explode_nouns(X.vocab(spark, sf)).select("noun").union(words).distinct().filter("noun != ''")
     return nouns.select("noun", T.indefinite(F.col("noun")).alias("indefinite"))
 

@@ -348,10 +348,10 @@ def _(spark, sf):
 
 
 @query("io05_normalised_documents", "predictions", """
-    SELECT file, model, gencfg, 5::INT AS gen_topk, sample, k, pred, score FROM predictions WHERE gencfg LIKE 'beam_k5%'""")
+    SELECT file, model, gencfg, gen_topk::INT AS gen_topk, sample, k, pred, score FROM predictions""")
 def _(spark, sf):
     """Documents are built per (file, block of samples) and read back with the document reader's own flattening."""
-    rows = X.predictions(spark, sf).filter("gencfg LIKE 'beam_k5%'").withColumn("block", F.expr("sample_id div 64"))
+    rows = X.predictions(spark, sf).withColumn("block", F.expr("sample_id div 64"))
     docs = J.prediction_documents(rows, ["block"])
     return J.flatten_predictions(docs).select("file", "model", "gencfg", "gen_topk", "sample", "k", "pred", "score")
 

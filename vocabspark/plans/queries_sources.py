@@ -49,29 +49,29 @@ _DATASETS = ("imagenet1k", "cifar10", "food101", "imagenette", "fashionmnist", "
 
 
 @query("io03_class_prompts", "caption_rows", f"""
-    WITH p AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INT AS pos, (['imagenet1k', 'cifar10', 'food101'])[(id // 3) % 3 + 1] || '' AS ds, caption AS template FROM caption_rows),
-         d AS (SELECT doc_id, ({list(_DATASETS)})[doc_id % 7 + 1] AS dataset FROM documents WHERE lang = 'en'),
+    WITH p AS (SELECT id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos, (['imagenet1k', 'cifar10', 'food101'])[doc_id % 3 + 1] || '' AS ds, caption AS template FROM caption_rows),
+         d AS (SELECT doc_id, ({list(_DATASETS)})[doc_id % 7 + 1] AS dataset FROM documents),
          r AS (SELECT dataset, CASE dataset WHEN 'imagenette' THEN 'imagenet1k' WHEN 'imagenet-r' THEN 'imagenet1k' WHEN 'fashionmnist' THEN 'cifar10' ELSE dataset END AS source FROM (SELECT DISTINCT dataset FROM d))
     SELECT r.dataset, r.source, p.pos, replace(replace(template, '{{singular}}', '{{noun}}'), '{{plural}}', '{{noun}}') AS template FROM r JOIN p ON p.ds = r.source""")
 def _(spark, sf):
-    rows = X.caption_rows(spark, sf).withColumn("doc_id", F.expr("id div 3"))
+    rows = X.caption_rows(spark, sf)
     name = F.get(F.array(*[F.lit(n) for n in _DATASETS[:3]]), (F.col("doc_id") % 3).cast("int"))
     text = F.replace(F.replace("caption", F.lit("{singular}"), F.lit("{c}")), F.lit("{plural}"), F.lit("{c}"))
     lists = rows.groupBy("doc_id", name.alias("ds")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda r: r["t"]).alias("l"))
     prompts = D.parse_class_prompts(lists.select(F.to_json(F.create_map("ds", "l")).alias("value")))
-    wanted = X.table(spark, sf, "documents").filter("lang = 'en'").select(
+    wanted = X.table(spark, sf, "documents").select(
         F.get(F.array(*[F.lit(n) for n in _DATASETS]), (F.col("doc_id") % 7).cast("int")).alias("dataset")
     ).distinct()
     return D.resolve_class_prompts(prompts, wanted)
 
 
 @query("io04_prediction_files", "predictions", """
-    SELECT model, gencfg, count(DISTINCT sample) AS n_samples, count(*) AS n_predictions FROM predictions WHERE model IN ('model_0', 'model_2') GROUP BY ALL""")
+    SELECT model, gencfg, count(DISTINCT sample) AS n_samples, count(*) AS n_predictions FROM predictions GROUP BY ALL""")
 def _(spark, sf):
-    """Two model folders, one of them named twice."""
+    """All model folders, one of them named twice."""
     path = scratch(spark)
     D.write_predictions(X.predictions(spark, sf).withColumn("block", F.expr("sample_id div 64")), path, ["block"])
-    folders = [f"{path}/model=model_2", f"{path}/model=model_0", f"{path}/model=model_0/"]
+    folders = [f"{path}/model=model_{m}" for m in (2, 0, 3, 1)] + [f"{path}/model=model_0/"]
     docs = D.read_predictions(spark, folders, lines=True)
     rows = D.flatten_predictions(docs.withColumn("model", F.regexp_extract("file", "/model=([^/]*)/", 1)))
     return rows.groupBy("model", "gencfg").agg(F.countDistinct("sample").alias("n_samples"), F.count("*").alias("n_predictions"))
@@ -85,9 +85,9 @@ def _(spark, sf):
     return D.parse_annotations(docs).select("sample", "category", "noun")
 
 
-@query("io08_written_predictions", "predictions", "SELECT model, gencfg, gen_topk, sample, k, pred, score FROM predictions WHERE gencfg LIKE 'beam_k3%'")
+@query("io08_written_predictions", "predictions", "SELECT model, gencfg, gen_topk, sample, k, pred, score FROM predictions")
 def _(spark, sf):
-    rows = X.predictions(spark, sf).filter("gencfg LIKE 'beam_k3%'").withColumn("block", F.expr("sample_id div 64"))
+    rows = X.predictions(spark, sf).withColumn("block", F.expr("sample_id div 64"))
     path = scratch(spark)
     D.write_predictions(rows, path, ["block"])
     return D.flatten_predictions(D.read_predictions(spark, [path], lines=True)).select("model", "gencfg", "gen_topk", "sample", "k", "pred", "score")

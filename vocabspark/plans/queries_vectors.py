@@ -260,9 +260,10 @@ def _(spark, sf):
     return E.single_target_view(X.multi_targets(spark, sf).drop("embedding"), 3, unit_weights=True, table_unit_weights=True)
 
 
-@query("e06_shuffled_rows", "", "SELECT vec_id, md5('7|' || vec_id) AS shuffle_key FROM embeddings")
+@query("e06_shuffled_rows", "", "SELECT vec_id, label, len(embedding) AS dim, embedding[1]::DOUBLE AS first, md5('7|' || vec_id) AS shuffle_key FROM embeddings")
 def _(spark, sf):
-    return L.shuffle_rows(X.embeddings(spark, sf).select("vec_id"), "vec_id", X.SEED)
+    rows = L.shuffle_rows(X.embeddings(spark, sf), "vec_id", X.SEED)
+    return rows.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.get("embedding", F.lit(0)).cast("double").alias("first"), "shuffle_key")
 
 
 @query("e07_training_batches", "", """

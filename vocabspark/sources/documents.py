@@ -27,11 +27,15 @@ def read_vocab(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     return spark.read.schema(VOCAB_SCHEMA).json(path, multiLine=not lines)
 
 
-def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """A captions file: vocabulary objects with their caption lists and quotas."""
+def read_captions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A captions file: vocabulary objects with their caption lists and quotas; one object per line with `lines`."""
     lists = [T.StructField(f"{k}_captions", T.ArrayType(T.StringType())) for k in ("singular", "plural")]
     quotas = [T.StructField(f"num_{k}_captions", T.IntegerType()) for k in ("singular", "plural")]
-    return spark.read.schema(T.StructType([*VOCAB_SCHEMA.fields, *lists, *quotas])).json(path, multiLine=True)
+    return spark.read.schema(T.StructType([*VOCAB_SCHEMA.fields, *lists, *quotas])).json(path, multiLine=not lines)
+
+
+# Readers of documents that are one JSON map take the whole file as one document; with `lines` each line is a
+# document with any part of the map, so that large ones are split over tasks.
 
 
 def parse_templates(texts: DataFrame, section: str) -> DataFrame:
@@ -49,8 +53,8 @@ def parse_templates(texts: DataFrame, section: str) -> DataFrame:
     )
 
 
-def read_templates(spark: SparkSession, path: str, section: str) -> DataFrame:
-    return parse_templates(spark.read.text(path, wholetext=True), section)
+def read_templates(spark: SparkSession, path: str, section: str, lines: bool = False) -> DataFrame:
+    return parse_templates(spark.read.text(path, wholetext=not lines), section)
 
 
 def parse_class_prompts(texts: DataFrame) -> DataFrame:
@@ -60,8 +64,8 @@ def parse_class_prompts(texts: DataFrame) -> DataFrame:
     return rows.withColumn("template", F.replace("template", F.lit("{c}"), F.lit("{noun}")))
 
 
-def read_class_prompts(spark: SparkSession, path: str) -> DataFrame:
-    return parse_class_prompts(spark.read.text(path, wholetext=True))
+def read_class_prompts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return parse_class_prompts(spark.read.text(path, wholetext=not lines))
 
 
 # Datasets that use another dataset's prompts when they have none of their own.
@@ -130,32 +134,24 @@ def prediction_documents(preds: DataFrame, shard: list[str]) -> DataFrame:
     """
     has_result = "result" in preds.columns
     result = F.col("result").cast("int") if has_result else F.lit(None).cast("int")
-    by_sample = preds.groupBy("file", "model", *shard, "gencfg", "gen_topk", "sample").agg(
+    keys = ["file", "model", *shard]
+    by_sample = preds.groupBy(*keys, "gencfg", "gen_topk", "sample").agg(
         F.array_sort(F.collect_list(F.struct("k", "pred", "score", result.alias("result")))).alias("items")
     )
     # Sample lists must agree between decodings: samples are the shard's union, with empty lists where a decoding lacks one.
-    per_config = by_sample.groupBy("file", "model", *shard, "gencfg", "gen_topk").agg(F.collect_list(F.struct("sample", "items")).alias("rows"))
-    gathered = per_config.groupBy("file", "model", *shard).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("rows", lambda r: r["sample"]))))).alias("samples"),
-        F.collect_list(F.struct("gencfg", "gen_topk", F.map_from_entries("rows").alias("by_sample"))).alias("configs"),
-    )
-
-    def entry(cfg):
-        items = F.transform("samples", lambda s: F.coalesce(cfg["by_sample"][s], F.array().cast(
-            "array<struct<k:int,pred:string,score:double,result:int>>")))
-        return F.struct(
-            cfg["gencfg"],
-            F.struct(
-                F.struct(cfg["gen_topk"].alias("topk"), cfg["gencfg"].alias("name")).alias("gen_cfg"),
-                F.transform(items, lambda x: F.transform(x, lambda y: y["pred"])).alias("pred"),
-                F.transform(items, lambda x: F.transform(x, lambda y: y["score"])).alias("score"),
-                F.transform(items, lambda x: F.transform(x, lambda y: y["result"])).alias("result"),
-            ),
-        )
-
-    return gathered.select(
-        "file", "model", *shard, F.lit(1).alias("version"), "samples", F.map_from_entries(F.transform("configs", entry)).alias("predictions")
+    configs = by_sample.groupBy(*keys, "sample").agg(F.collect_list(F.struct("gencfg", "gen_topk", "items")).alias("own"))
+    known = by_sample.groupBy(*keys).agg(F.collect_set(F.struct("gencfg", "gen_topk")).alias("all"))
+    every = configs.join(known, keys).select(*keys, "sample", "own", F.explode("all").alias("cfg"))
+    mine = F.get(F.filter("own", lambda x: (x["gencfg"] == F.col("cfg.gencfg")) & x["gen_topk"].eqNullSafe(F.col("cfg.gen_topk"))), F.lit(0))["items"]
+    none = F.array().cast("array<struct<k:int,pred:string,score:double,result:int>>")
+    lists = every.select(*keys, "cfg", F.struct("sample", F.coalesce(mine, none).alias("items")).alias("row"))
+    per_config = lists.groupBy(*keys, "cfg").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    part = lambda name: F.transform("rows", lambda r: F.transform(r["items"], lambda y: y[name])).alias(name)
+    entry = F.struct(F.struct(F.col("cfg.gen_topk").alias("topk"), F.col("cfg.gencfg").alias("name")).alias("gen_cfg"), *[part(n) for n in ("pred", "score", "result")])
+    made = per_config.groupBy(*keys).agg(
+        F.first(F.transform("rows", lambda r: r["sample"])).alias("samples"), F.map_from_entries(F.collect_list(F.struct("cfg.gencfg", entry))).alias("predictions")
     )
+    return made.select(*keys, F.lit(1).alias("version"), "samples", "predictions")
 
 
 def write_predictions(preds: DataFrame, path: str, shard: list[str]) -> None:
@@ -173,8 +169,8 @@ def parse_annotations(texts: DataFrame) -> DataFrame:
     )
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    return parse_annotations(spark.read.text(path, wholetext=True))
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return parse_annotations(spark.read.text(path, wholetext=not lines))
 
 
 def annotation_categories(ann: DataFrame) -> DataFrame:
@@ -193,5 +189,5 @@ def parse_specificity(texts: DataFrame) -> DataFrame:
     return parsed.select(F.explode("doc").alias("noun", "specificity"))
 
 
-def read_specificity(spark: SparkSession, path: str) -> DataFrame:
-    return parse_specificity(spark.read.text(path, wholetext=True))
+def read_specificity(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return parse_specificity(spark.read.text(path, wholetext=not lines))
