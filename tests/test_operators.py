@@ -245,3 +245,36 @@ def test_noise_draws_are_standard():
     assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 5e-3
     assert abs(g.mean()) < 0.01 and abs(g.std() - 1) < 0.01
     assert np.abs(np.corrcoef(g[:, :16].T) - np.eye(16)).max() < 0.12
+
+
+def test_end_token_is_scored(spark):
+    from vocabspark.operators import tokens as K
+
+    rows = spark.createDataFrame([("a", [5, 6, 0, 0], [5, 6, 7, 0]), ("b", [5, 6, 7, 0], [5, 6, 7, 0]), ("c", [5, 6, 7, 8], [5, 6, 7, 8])], "sample string, target_tokens array<int>, pred_tokens array<int>")
+    assert K.noun_accuracy(rows, 0).first()["n_correct"] == 3
+    assert K.noun_accuracy(rows, 0, end_id=0).first()["n_correct"] == 2
+    total = K.token_accuracy(rows, 0, end_id=0).filter("pos IS NULL").first()
+    assert (total["n_tokens"], total["n_correct"]) == (3 + 4 + 4, 2 + 4 + 4)
+
+
+def test_a_noun_that_begins_another_shares_its_prior(spark):
+    import math
+
+    from vocabspark.operators import tokens as K
+
+    vocab = spark.createDataFrame([(1, [5, 6]), (2, [5, 6, 7])], "target_id long, token_ids array<int>")
+    got = {r.target_id: r.prior for r in K.vocabulary_prior(vocab, vocab, per_token=False, end_id=1).collect()}
+    assert got == {1: math.log(0.5), 2: math.log(0.5)}
+    allowed = {(r.prefix, r.token) for r in K.allowed_tokens(vocab, 1).collect()}
+    assert ("5,6", 1) in allowed and ("5,6", 7) in allowed and ("5", 1) not in allowed
+
+
+def test_rescore_loses_no_candidate(spark):
+    from vocabspark.operators import tokens as K
+
+    rows = spark.createDataFrame([("s", 1, -1.0, 2), ("s", 2, -2.0, 2), ("s", 3, -0.5, 2)], "sample string, target_id long, logprob double, n_tokens int")
+    prior = spark.createDataFrame([(1, float("inf")), (2, -1.0)], "target_id long, prior double")
+    plain = [(r.target_id, r.score) for r in K.rescore(rows, prior, 0.0, 0.0, 5).orderBy("rank").collect()]
+    assert plain == [(3, -0.5), (1, -1.0), (2, -2.0)]
+    scored = [(r.target_id, r.score, r.prob) for r in K.rescore(rows, prior, 1.0, 0.0, 5).orderBy("rank").collect()]
+    assert scored == [(2, -1.0, scored[0][2]), (1, -float("inf"), 0.0), (3, -float("inf"), 0.0)]

@@ -14,6 +14,7 @@ from .ordinals import bucketed_rank
 from .small import local_rows
 
 TOKEN_BLOCK = 256
+MOST_TOKENS = 1 << 22  # ids of any tokenizer are smaller
 
 
 def token_violations(df: DataFrame, vocab_size: int, pad_id: int, end_id: int | None, start_id: int | None, mask: str | None = None) -> DataFrame:
@@ -64,31 +65,38 @@ def token_length(df: DataFrame) -> DataFrame:
     return df.agg(F.max(F.size("token_ids")).alias("token_length"), F.count("*").alias("n_targets"))
 
 
-def encode_tokens(df: DataFrame, mapping: DataFrame, source: str = "token_id", target: str = "compact_id") -> DataFrame:
-    """Token rows through a mapping table, with `n_missing` tokens that the mapping lacks."""
-    units = df.select("target_id", F.posexplode("token_ids").alias("pos", source))
-    found = units.join(mapping.select(source, target), source, "left")
-    grouped = found.groupBy("target_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", target))).alias("found"), F.count_if(F.col(target).isNull()).alias("n_missing")
+def _lookup(mapping: DataFrame, source: str, target: str) -> Column:
+    """The mapping as one dense array by `source`, null where it has no entry.
+
+    Its length is that of a tokenizer's vocabulary, which doesn't grow with the data; a larger id is an error.
+    """
+    top = mapping.agg(F.max(source).alias("top")).select(
+        F.explode(F.sequence(F.lit(0), F.when(F.col("top") < MOST_TOKENS, F.col("top")).otherwise(F.raise_error(F.lit("a token id beyond any tokenizer")).cast("int")))).alias("__at")
     )
-    return grouped.select("target_id", F.transform("found", lambda x: x[target]).alias("token_ids"), "n_missing")
+    filled = top.join(mapping.select(F.col(source).alias("__at"), F.col(target).alias("__to")), "__at", "left")
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__to"))), lambda x: x["__to"])).scalar()
+
+
+def _mapped(df: DataFrame, lookup: Column) -> DataFrame:
+    ids = F.transform("token_ids", lambda t: F.when(t >= 0, F.get("__lookup", t)))
+    return df.withColumn("__lookup", lookup).select("target_id", ids.alias("token_ids")).withColumn("n_missing", F.size(F.filter("token_ids", lambda t: t.isNull())).cast("long"))
+
+
+def encode_tokens(df: DataFrame, mapping: DataFrame, source: str = "token_id", target: str = "compact_id") -> DataFrame:
+    """Token rows through a mapping table, with `n_missing` tokens that the mapping lacks; rows are not shuffled."""
+    return _mapped(df, _lookup(mapping, source, target))
 
 
 def translate_tokens(df: DataFrame, from_map: DataFrame, to_map: DataFrame, strict: bool = True) -> DataFrame:
     """Compact token rows of one model in the compact ids of another; all tokens must exist in the other."""
     back = from_map.filter("compact_id > 0").select("token_id", F.col("compact_id").alias("from_id"))
-    zero = F.lit(0)
     step = back.join(to_map.select("token_id", F.col("compact_id").alias("to_id")), "token_id").select("from_id", "to_id")
-    units = df.select("target_id", F.posexplode("token_ids").alias("pos", "from_id"))
-    found = units.join(step, "from_id", "left").withColumn("to_id", F.when(F.col("from_id") == 0, zero).otherwise(F.col("to_id")))
-    grouped = found.groupBy("target_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "to_id"))).alias("found"), F.count_if(F.col("to_id").isNull()).alias("n_missing")
-    )
-    ids = F.transform("found", lambda x: x["to_id"])
+    zero = local_rows(df.sparkSession, [(0, 0)], "from_id int, to_id int")
+    rows = _mapped(df, _lookup(step.unionByName(zero), "from_id", "to_id"))
     if strict:
         failed = F.raise_error(F.lit("the other vocabulary is not a superset")).cast("array<int>")
-        ids = F.when(F.col("n_missing") == 0, ids).otherwise(failed)
-    return grouped.select("target_id", ids.alias("token_ids"), "n_missing")
+        rows = rows.withColumn("token_ids", F.when(F.col("n_missing") == 0, F.col("token_ids")).otherwise(failed))
+    return rows
 
 
 def unencodable_targets(df: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -96,8 +104,13 @@ def unencodable_targets(df: DataFrame, mapping: DataFrame) -> DataFrame:
     return encode_tokens(df, mapping).filter("n_missing > 0").select("target_id", "n_missing")
 
 
-def _prefixes(df: DataFrame, *keep: str) -> DataFrame:
-    """Rows (target_id, pos, prefix, token): each token with the text of all tokens before it."""
+def _prefixes(df: DataFrame, *keep: str, end_id: int | None = None) -> DataFrame:
+    """Rows (target_id, pos, prefix, token): each token with the text of all tokens before it.
+
+    With `end_id` the end of each target is a token as well, so that a target that begins another has a path of its own.
+    """
+    if end_id is not None:
+        df = df.withColumn("token_ids", F.concat("token_ids", F.array(F.lit(end_id).cast("int"))))
     ids = F.col("token_ids")
     return df.select(
         "target_id", *keep,
@@ -109,37 +122,43 @@ def _prefixes(df: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def prefix_nodes(vocab: DataFrame) -> DataFrame:
+def prefix_nodes(vocab: DataFrame, end_id: int | None = None) -> DataFrame:
     """Prefix tree nodes (prefix, token): targets through the node, through its prefix, and sibling tokens."""
-    nodes = _prefixes(vocab).groupBy("prefix", "token").agg(F.count("*").alias("n"))
+    nodes = _prefixes(vocab, end_id=end_id).groupBy("prefix", "token").agg(F.count("*").alias("n"))
     totals = nodes.groupBy("prefix").agg(F.sum("n").alias("n_prefix"), F.count("*").alias("n_siblings"))
     return nodes.join(totals, "prefix")
 
 
-def vocabulary_prior(targets: DataFrame, vocab: DataFrame, per_token: bool) -> DataFrame:
+def vocabulary_prior(targets: DataFrame, vocab: DataFrame, per_token: bool, end_id: int | None = None) -> DataFrame:
     """Log prior of each target from the vocabulary's prefix tree, +infinity for an unseen path.
 
     Per token: uniform over the next tokens seen after the prefix. Per target: share of targets.
+    Targets are unpadded; with `end_id` their end is a step of the path too.
     """
-    nodes = prefix_nodes(vocab)
-    joined = _prefixes(targets).join(nodes, ["prefix", "token"], "left")
+    nodes = prefix_nodes(vocab, end_id)
+    joined = _prefixes(targets, end_id=end_id).join(nodes, ["prefix", "token"], "left")
     share = F.lit(1.0) / F.col("n_siblings") if per_token else F.col("n") / F.col("n_prefix")
     summed = joined.groupBy("target_id").agg(F.count_if(F.col("n").isNull()).alias("unseen"), F.sum(F.log(share)).alias("s"))
     return summed.select("target_id", F.when(F.col("unseen") > 0, F.lit(float("inf"))).otherwise(F.col("s")).alias("prior"))
 
 
-def rescore(candidates: DataFrame, prior: DataFrame, scaler: float, alpha: float, k: int) -> DataFrame:
-    """Top-k candidates per sample by (logprob - scaler * prior) * max(length, 1) ** -alpha, with probability."""
-    joined = candidates.join(prior, "target_id")
-    score = (F.col("logprob") - F.lit(scaler) * F.col("prior")) * F.pow(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"), F.lit(-alpha))
+def rescore(candidates: DataFrame, prior: DataFrame | None, scaler: float, alpha: float, k: int) -> DataFrame:
+    """Top-k candidates per sample by (logprob - scaler * prior) * max(length, 1) ** -alpha, with probability.
+
+    With scaler 0 the prior has no part. Otherwise a candidate without a prior, or with an infinite one, scores minus infinity.
+    """
+    joined = candidates.withColumn("__off", F.lit(0.0))
+    if scaler:
+        joined = candidates.join(prior, "target_id", "left").withColumn("__off", F.coalesce(F.lit(scaler) * F.col("prior"), F.lit(float("inf"))))
+    score = (F.col("logprob") - F.col("__off")) * F.pow(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"), F.lit(-alpha))
     order = W.partitionBy("sample").orderBy(F.desc("score"), "target_id")
     ranked = joined.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("sample", "rank", "target_id", "score", F.exp("score").alias("prob"))
 
 
-def allowed_tokens(guides: DataFrame) -> DataFrame:
-    """Distinct (prefix, token) that some guide target allows."""
-    return _prefixes(guides).select("prefix", "token").distinct()
+def allowed_tokens(guides: DataFrame, end_id: int | None = None) -> DataFrame:
+    """Distinct (prefix, token) that some guide target allows; with `end_id`, the end after a whole target."""
+    return _prefixes(guides, end_id=end_id).select("prefix", "token").distinct()
 
 
 def guided_log_softmax(logits: DataFrame, allowed: DataFrame, renormalise: bool) -> DataFrame:
@@ -156,32 +175,38 @@ def guided_log_softmax(logits: DataFrame, allowed: DataFrame, renormalise: bool)
     return legal.select("sample", "prefix", "token", "logprob")
 
 
-def token_accuracy(df: DataFrame, pad_id: int) -> DataFrame:
-    """Token accuracy per position and overall (pos null). Rows hold `target_tokens` and `pred_tokens`."""
-    units = df.select(
-        F.posexplode(F.arrays_zip(F.col("target_tokens").alias("t"), F.col("pred_tokens").alias("p"))).alias("pos", "u")
-    ).filter(F.col("u.t").isNotNull() & (F.col("u.t") != pad_id))
+def _scored(target: Column, pad_id: int, end_id: int | None) -> Column:
+    """Which positions of a padded target are scored: its tokens and its end, which is the first pad where both share an id."""
+    ends = F.array_position(target, F.lit(pad_id).cast("int")) if end_id is not None and end_id == pad_id else F.lit(0)
+    return F.transform(target, lambda t, i: (t != pad_id) | (i + 1 == ends))
+
+
+def token_accuracy(df: DataFrame, pad_id: int, end_id: int | None = None) -> DataFrame:
+    """Token accuracy per position and overall (pos null). Rows hold `target_tokens` and `pred_tokens`; the end is scored if given."""
+    parts = F.arrays_zip(F.col("target_tokens").alias("t"), F.col("pred_tokens").alias("p"), _scored(F.col("target_tokens"), pad_id, end_id).alias("s"))
+    units = df.select(F.posexplode(parts).alias("pos", "u")).filter("u.s")
     hit = F.coalesce(F.col("u.t") == F.col("u.p"), F.lit(False))
     counts = units.rollup("pos").agg(F.count("*").alias("n_tokens"), F.count_if(hit).alias("n_correct"))
     return counts.withColumn("accuracy", F.col("n_correct") / F.col("n_tokens"))
 
 
-def noun_accuracy(df: DataFrame, pad_id: int, sample: str = "sample") -> DataFrame:
-    """Share of samples with at least one valid target whose non-padding tokens are all right."""
-    pairs = F.arrays_zip(F.col("target_tokens").alias("t"), F.col("pred_tokens").alias("p"))
-    right = F.forall(pairs, lambda u: u["t"].isNull() | (u["t"] == pad_id) | F.coalesce(u["t"] == u["p"], F.lit(False)))
+def noun_accuracy(df: DataFrame, pad_id: int, sample: str = "sample", end_id: int | None = None) -> DataFrame:
+    """Share of samples with at least one valid target of which all scored tokens are right."""
+    pairs = F.arrays_zip(F.col("target_tokens").alias("t"), F.col("pred_tokens").alias("p"), _scored(F.col("target_tokens"), pad_id, end_id).alias("s"))
+    right = F.forall(pairs, lambda u: ~F.coalesce(u["s"], F.lit(False)) | F.coalesce(u["t"] == u["p"], F.lit(False)))
     valid = F.exists("target_tokens", lambda t: t != pad_id)
     per_sample = df.groupBy(sample).agg(F.bool_or(right & valid).alias("hit"))
     return per_sample.agg(F.count("*").alias("n_samples"), F.count_if("hit").alias("n_correct"), (F.count_if("hit") / F.count("*")).alias("accuracy"))
 
 
-def achievable_accuracy(df: DataFrame, pad_id: int) -> DataFrame:
+def achievable_accuracy(df: DataFrame, pad_id: int, end_id: int | None = None) -> DataFrame:
     """Best possible token and noun accuracy of multi-target rows (row_id, m, weight, token_ids).
 
     Targets of a row that share a prefix can only get one next token: the heaviest (ties: lowest id).
-    Groups are the few targets of one row.
+    Groups are the few targets of one row. Rows are padded, or unpadded with `end_id`, whose end is then scored too.
     """
-    units = _prefixes(df.withColumnRenamed("m", "target_id"), "row_id", "weight").filter((F.col("token") != pad_id) & (F.col("weight") > 0))
+    rows = df.withColumnRenamed("m", "target_id").withColumn("token_ids", F.filter("token_ids", lambda t: t != pad_id))
+    units = _prefixes(rows, "row_id", "weight", end_id=end_id).filter(F.col("weight") > 0)
     keys = ["row_id", "pos", "prefix"]
     sums = units.groupBy(*keys, "token").agg(F.sum("weight").alias("w"))
     best = sums.groupBy(*keys).agg(F.max_by("token", F.struct("w", -F.col("token"))).alias("best"))

@@ -376,7 +376,8 @@ def _(spark, sf):
 
 
 _TRIE = """
-  px AS (SELECT target_id, i - 1 AS pos, array_to_string(token_ids[1:i - 1], ',') AS prefix, token_ids[i] AS token FROM target_tokens, unnest(range(1, len(token_ids) + 1)) u(i)),
+  ended AS (SELECT target_id, list_append(token_ids, 1) AS token_ids FROM target_tokens),
+  px AS (SELECT target_id, i - 1 AS pos, array_to_string(token_ids[1:i - 1], ',') AS prefix, token_ids[i] AS token FROM ended, unnest(range(1, len(token_ids) + 1)) u(i)),
   nodes AS (SELECT prefix, token, count(*) AS n FROM px WHERE target_id % 2 = 0 OR target_id % 5 = 0 GROUP BY ALL),
   tree AS (SELECT *, sum(n) OVER (PARTITION BY prefix) AS n_prefix, count(*) OVER (PARTITION BY prefix) AS n_siblings FROM nodes)"""
 
@@ -388,14 +389,14 @@ def _trie_vocab(spark, sf):
 @query("e20_prior_per_target", "target_tokens", f"""
     WITH {_TRIE.strip()} SELECT target_id, CASE WHEN count(*) > count(n) THEN 'inf'::DOUBLE ELSE round(sum(ln(n / n_prefix)), 6) END AS prior FROM px LEFT JOIN tree USING (prefix, token) GROUP BY target_id""")
 def _(spark, sf):
-    prior = K.vocabulary_prior(X.target_tokens(spark, sf), _trie_vocab(spark, sf), per_token=False)
+    prior = K.vocabulary_prior(X.target_tokens(spark, sf), _trie_vocab(spark, sf), per_token=False, end_id=END)
     return prior.withColumn("prior", F.when(F.col("prior") == float("inf"), F.col("prior")).otherwise(F.round("prior", 6)))
 
 
 @query("e20_prior_per_token", "target_tokens", f"""
     WITH {_TRIE.strip()} SELECT target_id, CASE WHEN count(*) > count(n) THEN 'inf'::DOUBLE ELSE round(sum(ln(1.0 / n_siblings)), 6) END AS prior FROM px LEFT JOIN tree USING (prefix, token) GROUP BY target_id""")
 def _(spark, sf):
-    prior = K.vocabulary_prior(X.target_tokens(spark, sf), _trie_vocab(spark, sf), per_token=True)
+    prior = K.vocabulary_prior(X.target_tokens(spark, sf), _trie_vocab(spark, sf), per_token=True, end_id=END)
     return prior.withColumn("prior", F.when(F.col("prior") == float("inf"), F.col("prior")).otherwise(F.round("prior", 6)))
 
 
@@ -408,7 +409,7 @@ def _(spark, sf):
     SELECT sample, rank, target_id, round(score, 6) AS score, round(exp(score), 6) AS prob FROM r WHERE rank <= 3""")
 def _(spark, sf):
     tokens = X.target_tokens(spark, sf)
-    prior = K.vocabulary_prior(tokens, tokens, per_token=False)
+    prior = K.vocabulary_prior(tokens, tokens, per_token=False, end_id=END)
     rows = X.candidates(spark, sf).groupBy(F.concat("file", "sample").alias("sample"), F.col("noun_id").alias("target_id")).agg(
         F.log(F.max("score") / 2).alias("logprob"), F.max(F.length("pred")).alias("n_tokens")
     )
@@ -417,7 +418,8 @@ def _(spark, sf):
 
 
 _LOGITS = """
-  logits AS (SELECT l_orderkey AS sample, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE ascii(p_name)::VARCHAR END AS prefix, (97 + l_suppkey % 26)::INT AS token, max(l_discount * 10 + l_quantity / 10) AS logit
+  logits AS (SELECT l_orderkey AS sample, CASE WHEN l_linenumber % 5 = 0 THEN array_to_string(list_transform(string_split(p_name || ' ' || p_partkey, ''), lambda c: ascii(c)), ',')
+                     WHEN l_linenumber % 2 = 0 THEN '' ELSE ascii(p_name)::VARCHAR END AS prefix, CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE (97 + l_suppkey % 26)::INT END AS token, max(l_discount * 10 + l_quantity / 10) AS logit
              FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
   allowed AS (SELECT DISTINCT prefix, token FROM px WHERE target_id % 2 = 0),
   legal AS (SELECT l.* FROM logits l JOIN allowed USING (prefix, token))"""
@@ -425,10 +427,11 @@ _LOGITS = """
 
 def logit_rows(spark, sf):
     rows = X.table(spark, sf, "lineitem").join(X.table(spark, sf, "part").select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
+    whole = F.array_join(F.transform(F.split(X.part_noun("p_name", "l_partkey"), ""), lambda c: F.ascii(c).cast("string")), ",")
     return rows.groupBy(
         F.col("l_orderkey").alias("sample"),
-        F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.ascii("p_name").cast("string")).alias("prefix"),
-        (F.lit(97) + F.col("l_suppkey") % 26).cast("int").alias("token"),
+        F.when(F.col("l_linenumber") % 5 == 0, whole).when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.ascii("p_name").cast("string")).alias("prefix"),
+        F.when(F.col("l_suppkey") % 3 == 0, END).otherwise((F.lit(97) + F.col("l_suppkey") % 26).cast("int")).alias("token"),
     ).agg(F.max(F.col("l_discount") * 10 + F.col("l_quantity") / 10).alias("logit"))
 
 
@@ -436,7 +439,7 @@ def logit_rows(spark, sf):
     WITH {_TRIE.strip()}, {_LOGITS.strip()}
     SELECT sample, prefix, token, round(logit - ln(sum(exp(logit)) OVER (PARTITION BY sample, prefix)), 6) AS logprob FROM legal""")
 def _(spark, sf):
-    allowed = K.allowed_tokens(X.target_tokens(spark, sf).filter("target_id % 2 = 0"))
+    allowed = K.allowed_tokens(X.target_tokens(spark, sf).filter("target_id % 2 = 0"), END)
     return K.guided_log_softmax(logit_rows(spark, sf), allowed, renormalise=True).withColumn("logprob", F.round("logprob", 6))
 
 
@@ -445,7 +448,7 @@ def _(spark, sf):
          z AS (SELECT sample, prefix, ln(sum(exp(logit))) AS z FROM logits GROUP BY ALL)
     SELECT sample, prefix, token, round(logit - z, 6) AS logprob FROM legal JOIN z USING (sample, prefix)""")
 def _(spark, sf):
-    allowed = K.allowed_tokens(X.target_tokens(spark, sf).filter("target_id % 2 = 0"))
+    allowed = K.allowed_tokens(X.target_tokens(spark, sf).filter("target_id % 2 = 0"), END)
     return K.guided_log_softmax(logit_rows(spark, sf), allowed, renormalise=False).withColumn("logprob", F.round("logprob", 6))
 
 
@@ -457,6 +460,7 @@ def token_predictions(spark, sf):
     rows = with_hypernym_targets(X.vocab(spark, sf))
     own = codes(F.col("target_noun"))
     wrong = F.transform(own, lambda t, i: F.when((F.col("id") % 3 == 0) & (i == F.col("id") % F.size(own)), t + 1).otherwise(t))
+    wrong = F.when(F.col("id") % 5 == 1, F.concat(wrong, F.array(F.lit(99)))).otherwise(wrong)  # goes on after the noun's end
     first = F.get("hypernym_targets", F.lit(0))
     targets = F.array_compact(F.array(F.col("target_noun"), first))
     return rows.select(F.col("id").alias("sample"), wrong.alias("pred"), F.posexplode(targets).alias("m", "noun")).select(
@@ -467,8 +471,9 @@ def token_predictions(spark, sf):
 _TOKEN_PRED = """
   own AS (SELECT id AS sample, 0 AS m, target_noun AS noun, target_noun AS own FROM vocab
           UNION ALL SELECT v.id, 1, l.hypernym_target, v.target_noun FROM vocab v JOIN vocab_links l ON l.id = v.id AND l.pos = 0),
-  units AS (SELECT sample, m, i - 1 AS pos, ascii(noun[i]) AS t, CASE WHEN i > length(own) THEN 0 ELSE ascii(own[i]) END + CASE WHEN sample % 3 = 0 AND i - 1 = sample % length(own) AND i <= length(own) THEN 1 ELSE 0 END AS p
-            FROM own, unnest(range(1, length(noun) + 1)) u(i))"""
+  units AS (SELECT sample, m, i - 1 AS pos, CASE WHEN i > length(noun) THEN 0 ELSE ascii(noun[i]) END AS t,
+            CASE WHEN i = length(own) + 1 AND sample % 5 = 1 THEN 99 WHEN i > length(own) THEN 0 ELSE ascii(own[i]) END + CASE WHEN sample % 3 = 0 AND i - 1 = sample % length(own) AND i <= length(own) THEN 1 ELSE 0 END AS p
+            FROM own, unnest(range(1, length(noun) + 2)) u(i))"""
 
 
 @query("w04_shared_prefixes", "vocab vocab_links", """
@@ -487,20 +492,20 @@ def _(spark, sf):
 @query("a13_token_accuracy", "vocab vocab_links", f"""
     WITH {_TOKEN_PRED.strip()} SELECT pos::INT AS pos, count(*) AS n_tokens, count(*) FILTER (WHERE t = p) AS n_correct, count(*) FILTER (WHERE t = p) / count(*) AS accuracy FROM units GROUP BY ROLLUP (pos)""")
 def _(spark, sf):
-    return K.token_accuracy(token_predictions(spark, sf), PAD)
+    return K.token_accuracy(token_predictions(spark, sf), PAD, end_id=PAD)
 
 
 @query("a13_noun_accuracy", "vocab vocab_links", f"""
     WITH {_TOKEN_PRED.strip()}, r AS (SELECT sample, m, bool_and(t = p) AS hit FROM units GROUP BY ALL), s AS (SELECT sample, bool_or(hit) AS hit FROM r GROUP BY sample)
     SELECT count(*) AS n_samples, count(*) FILTER (WHERE hit) AS n_correct, count(*) FILTER (WHERE hit) / count(*) AS accuracy FROM s""")
 def _(spark, sf):
-    return K.noun_accuracy(token_predictions(spark, sf), PAD)
+    return K.noun_accuracy(token_predictions(spark, sf), PAD, end_id=PAD)
 
 
 @query("a30_achievable_accuracy", "vocab vocab_links", """
     WITH own AS (SELECT id AS row_id, 0 AS m, 0.5 AS w, target_noun AS noun FROM vocab
                  UNION ALL SELECT id, pos + 1, CASE WHEN id % 2 = 0 THEN 0.5 ELSE 0.25 END, hypernym_target FROM vocab_links),
-         u AS (SELECT row_id, m, w, i AS pos, noun[1:i - 1] AS prefix, ascii(noun[i]) AS token FROM own, unnest(range(1, length(noun) + 1)) x(i)),
+         u AS (SELECT row_id, m, w, i AS pos, noun[1:i - 1] AS prefix, CASE WHEN i > length(noun) THEN 1 ELSE ascii(noun[i]) END AS token FROM own, unnest(range(1, length(noun) + 2)) x(i)),
          s AS (SELECT row_id, pos, prefix, token, sum(w) AS w FROM u GROUP BY ALL),
          b AS (SELECT row_id, pos, prefix, arg_max(token, (w, -token)) AS best FROM s GROUP BY ALL),
          t AS (SELECT row_id, m, count(*) AS n, count(*) FILTER (WHERE token = best) AS c FROM u JOIN b USING (row_id, pos, prefix) GROUP BY ALL),
@@ -514,7 +519,7 @@ def _(spark, sf):
     own = vocab.select(F.col("id").alias("row_id"), F.lit(0).alias("m"), F.lit(0.5).alias("weight"), F.col("target_noun").alias("noun"))
     weight = F.when(F.col("id") % 2 == 0, 0.5).otherwise(0.25)
     up = resolve_hypernyms(vocab).select(F.col("id").alias("row_id"), (F.col("pos") + 1).alias("m"), weight.alias("weight"), F.col("hypernym_target").alias("noun"))
-    return K.achievable_accuracy(own.unionByName(up).select("row_id", "m", "weight", codes), PAD)
+    return K.achievable_accuracy(own.unionByName(up).select("row_id", "m", "weight", codes), PAD, END)
 
 
 # --- sampling, noise, text embedding ---
