@@ -91,12 +91,48 @@ def test_missing_null_hypernym_fails(spark, vocab):
         C.CorpusPlan(vocab, template_rows(spark, PROMPTS), template_rows(spark, DEBUG[1:]), "P", "Debug")
 
 
-def test_unpinned_templates_give_the_same_corpus(spark, vocab, plan, monkeypatch):
-    """Template tables beyond the row check take the distributed path with the same result."""
-    monkeypatch.setattr(C, "try_pin", lambda df, *a: (df, None))
-    wide = C.CorpusPlan(vocab, template_rows(spark, PROMPTS), template_rows(spark, DEBUG), "P", "Debug")
-    columns = ("usid", "fsid", "freq", "text")
-    assert sorted(map(tuple, wide.samples().select(*columns).collect())) == sorted(r[:4] for r in expected())
+def test_small_blocks_and_shares_give_the_same_corpus(spark, vocab, monkeypatch):
+    """Templates in several blocks and the vocabulary in several shares, joined by shuffle."""
+    monkeypatch.setattr(C, "TEMPLATE_BLOCK", 2)
+    monkeypatch.setattr(C, "VOCAB_SHARE", 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = C.CorpusPlan(vocab, template_rows(spark, PROMPTS), template_rows(spark, DEBUG), "P", "Debug")
+        assert wide.shares == 4
+        columns = ("usid", "fsid", "freq", "text")
+        assert sorted(map(tuple, wide.samples().select(*columns).collect())) == sorted(r[:4] for r in expected())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_templates_use_all_tasks(spark, vocab):
+    """50,000 templates: the expansion is dealt to as many tasks as its rows need, all with rows."""
+    prompts = spark.range(50_000).select(
+        F.lit("P").alias("collection"), F.col("id").alias("pos"), F.lit(1).alias("freq"), F.concat(F.lit("photo "), "id", F.lit(" of {noun}")).alias("template")
+    )
+    plan = C.CorpusPlan(vocab, prompts, template_rows(spark, DEBUG), "P", "Debug")
+    rows = plan.samples(with_ids=False)
+    assert plan.partitions > 4 and rows.count() == plan.totals().first()["num_usids"]
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 0.8 * plan.partitions
+
+
+def test_huge_frequencies_stay_arithmetic(spark):
+    """A frequency of 10**9 makes no row per unit."""
+    numbered = spark.createDataFrame([(0, 10**9, 0), (1, 5, 10**9)], "hpos long, hfreq long, hfreq_before long")
+    got = {(r.n_hyp, r.hpos, r.hyp_idx): r.sfreq for r in C.hypernym_freq_dist(numbered, 3).collect()}
+    assert got[3, 0, 0] == 333_333_334 and got[3, 0, 1] == got[3, 0, 2] == 333_333_333
+    assert [got[3, 1, i] for i in (1, 2, 0)] == [2, 2, 1] and got[1, 0, 0] == 10**9
+    assert sum(v for (n, _, _), v in got.items() if n == 2) == 10**9 + 5
+    vocab = spark.createDataFrame(
+        [(1, "ox", "ox", ["ox", "bull"], [10**9, 3], [], [], [])],
+        "id long, target_noun string, pretty_noun string, singulars array<string>, singulars_freq array<int>, plurals array<string>, plurals_freq array<int>, hypernyms array<long>",
+    )
+    plan = C.CorpusPlan(vocab, template_rows(spark, [("P", 0, 10**9, "a {noun}"), ("P", 1, 2, "the {noun}")]), template_rows(spark, [("D", 0, 1, None)]), "P", "D")
+    last = 10**18 + 3 * 10**9 + 2 * 10**9 + 6 - 1
+    asked = spark.createDataFrame([(0,), (10**18 - 1,), (10**18,), (last,)], "fsid long")
+    assert [r.text for r in plan.lookup_fsids(asked).orderBy("fsid").collect()] == ["a ox.", "a ox.", "a bull.", "the bull."]
 
 
 def test_multisets_have_full_permutations(spark, vocab):

@@ -42,6 +42,31 @@ def test_bucketed_rank_with_null_group(spark):
     assert sorted((r["g"] or "", r["x"], r["r"]) for r in got) == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
 
 
+def test_ranges_spread_a_far_key_and_a_hot_group(spark):
+    """One id far from all others, and one group with nearly all rows: no range holds more than a few times its share."""
+    df = spark.range(40_000).select(F.when(F.col("id") == 0, F.lit(1 << 55)).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 50 == 1, 1).otherwise(0).alias("g"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in O.in_ranges(df, [F.col("g"), F.col("id")]).groupBy(O._BUCKET).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+        got = O.ranged_rank(df, ["g"], [F.col("id")], "r")
+        want = df.withColumn("w", F.row_number().over(W.partitionBy("g").orderBy("id")) - 1)
+        assert got.join(want.select("id", "w"), "id").filter("r != w").count() == 0 and got.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_last_start_equals_a_search(spark):
+    rng = random.Random(3)
+    starts = {g: sorted(rng.sample(range(1000), 20)) for g in ("a", "b")}
+    points = [(rng.choice("abc"), rng.randrange(-5, 1005)) for _ in range(500)] + [("a", 1 << 50)]
+    found = O.last_start(spark.createDataFrame(points, "g string, x long"), spark.createDataFrame([(g, s) for g, v in starts.items() for s in v], "g string, start long"), ["g"], "x", "start")
+    want = [(g, x, max((s for s in starts.get(g, []) if s <= x), default=None)) for g, x in points]
+    key = lambda r: (r[0], r[1], r[2] is None)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+
+
 def test_prefix_ids_cover_without_gaps(spark):
     rows = O.prefix_ids(skewed(spark).filter("id % 5 != 2"), "id", start=F.col("x")).orderBy("id").collect()
     total = 0

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import canon, squeeze
 from ..session import cut_lineage
-from .ordinals import bucketed_rank, bucketed_sums
+from .ordinals import bucketed_rank, ranged_sums
 
 # Token estimate and price of a request.
 CHARS_PER_TOKEN = 3.8
@@ -99,7 +99,7 @@ def request_lists(needs: DataFrame, min_nouns: int, seed: int) -> DataFrame:
 
     Each noun appears in as many requests as it needs opinions, most needed first, then by name.
     Short requests are padded with nouns that need no more, in seeded order. Positions come from
-    bucketed running sums, so an image with very many nouns is spread over tasks. The needs are read
+    running sums over ranges, so an image with very many nouns is spread over tasks. The needs are read
     several times, so they are written out once.
     """
     needs = cut_lineage(needs.select("image", "noun", "need"))
@@ -112,8 +112,7 @@ def request_lists(needs: DataFrame, min_nouns: int, seed: int) -> DataFrame:
     missing = F.col("n_requests") * (min_nouns - F.expr("total div n_requests")) - F.expr("total % n_requests")
     sized = sized.withColumn("n_pad", F.greatest(F.least(missing, F.col("n_requests") * F.col("n_done")), F.lit(0)))
 
-    bucket = F.struct((-F.col("need")).alias("need"), F.substring("noun", 1, 2).alias("head"))
-    placed = bucketed_sums(open_nouns.select("image", "noun", "need"), ["image"], bucket, [(-F.col("need")), F.col("noun")], start=F.col("need"))
+    placed = ranged_sums(open_nouns.select("image", "noun", "need"), ["image"], [(-F.col("need")), F.col("noun")], start=F.col("need"))
     dealt = placed.join(sized.select("image", "n_requests"), "image").select(
         "image", "noun", "n_requests", F.explode(F.expr("sequence(start, start + need - 1)")).alias("position"), F.lit(False).alias("padded")
     )

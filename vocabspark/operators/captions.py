@@ -251,7 +251,7 @@ def choose_templates(captions: DataFrame, vocab: DataFrame, template_multiplier:
     """
     limits = _template_limits(vocab, min(template_multiplier, sample_multiplier))
     rows = join_captions(captions, vocab).withColumn("__digest", seeded_digest(seed, F.col("id"), F.col("kind"), F.col("caption")))
-    ranked = bucketed_rank(rows, ["id", "kind"], digest_bucket(F.col("__digest"), 2), [F.col("__digest"), F.col("caption")], "tidx")
+    ranked = bucketed_rank(rows, ["id", "kind"], digest_bucket(F.col("__digest")), [F.col("__digest"), F.col("caption")], "tidx")
     return ranked.join(limits.drop("target_noun"), ["id", "kind"]).filter(F.col("tidx") < F.col("n_wanted")).select(
         "id", "kind", "target_noun", "tidx", F.col("caption").alias("template")
     )

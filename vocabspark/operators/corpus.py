@@ -1,7 +1,9 @@
 """Corpus expansion: templates x hypernym suffixes x nouns, with dense ids and random access.
 
-Template tables are configuration-sized: they are pinned behind a row check and then broadcast by the
-planner; beyond the check they join by shuffle, where AQE splits the hot keys. Ids come from arithmetic on per-vocabulary-row prefix sums, so the expanded corpus itself is never sorted.
+Template and suffix tables are numbered and written once, in blocks. A vocabulary row is spread over the blocks it meets before
+any join, so a key is one block of templates and one share of the vocabulary, whatever the sizes; while the tables are small the planner,
+which knows their written size, broadcasts them instead. Ids come from arithmetic on per-vocabulary-row prefix sums,
+so the expanded corpus itself is never sorted.
 """
 
 from __future__ import annotations
@@ -11,16 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import field_names, fill_template, indefinite, squeeze
-from .ordinals import bucketed_rank, bucketed_sums, ordered_sums, prefix_ids
-from .small import pin_small, try_pin
+from ..session import cut_lineage
+from .ordinals import bucketed_rank, last_start, prefix_ids, ranged_sums
 from .vocab import explode_nouns, freq_sum, with_hypernym_targets
 
 # Characters after a field that make a closing comma unnecessary.
 NO_COMMA_BEFORE = (".", ",", "?", "!", ":", ";")
 
-TEMPLATE_BLOCK = 1024  # template positions per bucket when templates are numbered
+TEMPLATE_BLOCK = 256  # templates, or suffixes, that a vocabulary row meets at a time
+VOCAB_SHARE = 50_000  # vocabulary rows that meet a block of templates at a time
 ROWS_PER_PARTITION = 200_000  # expected samples per task of an expansion
-MAX_PARTITIONS = 100_000
 
 
 def merge_collections(templates: DataFrame, spec: str) -> DataFrame:
@@ -70,18 +72,9 @@ def compile_prompts(templates: DataFrame, spec: str) -> DataFrame:
     )
 
 
-def _seen_bucket() -> Column:
-    return F.struct(F.col("seen.coll"), F.floor(F.col("seen.pos") / TEMPLATE_BLOCK).alias("block"))
-
-
-def _numbered(df: DataFrame, by: list[str], bucket: Column, order: list[Column], small: bool, **values: Column) -> DataFrame:
-    return ordered_sums(df, by, order, **values) if small else bucketed_sums(df, by, bucket, order, **values)
-
-
-def number_prompts(compiled: DataFrame, small: bool = False) -> DataFrame:
+def number_prompts(compiled: DataFrame) -> DataFrame:
     """Compiled prompts with their position (tpos) and frequency before them (tfreq_before) per kind."""
-    one = F.lit(1).cast("long")
-    return _numbered(compiled, ["kind"], _seen_bucket(), [F.col("seen")], small, tpos=one, tfreq_before=F.col("tfreq"))
+    return ranged_sums(compiled, ["kind"], [F.col("seen")], tpos=F.lit(1).cast("long"), tfreq_before=F.col("tfreq"))
 
 
 def compile_hypernyms(templates: DataFrame, spec: str) -> DataFrame:
@@ -103,25 +96,26 @@ def compile_hypernyms(templates: DataFrame, spec: str) -> DataFrame:
     )
 
 
-def number_hypernyms(compiled: DataFrame, small: bool = False) -> DataFrame:
+def number_hypernyms(compiled: DataFrame) -> DataFrame:
     """Non-null hypernym templates with position (hpos) and frequency before them (hfreq_before)."""
-    one = F.lit(1).cast("long")
     rows = compiled.filter("template IS NOT NULL")
-    return _numbered(rows, [], _seen_bucket(), [F.col("seen")], small, hpos=one, hfreq_before=F.col("hfreq"))
+    return ranged_sums(rows, [], [F.col("seen")], hpos=F.lit(1).cast("long"), hfreq_before=F.col("hfreq"))
 
 
 def hypernym_freq_dist(numbered: DataFrame, max_hypernyms: int) -> DataFrame:
     """(n_hyp, hpos, hyp_idx, sfreq): frequencies dealt round-robin over the hypernym slots of a row,
     each template going on at the slot where the one before it stopped."""
-    units = numbered.select("hpos", F.explode(F.expr("sequence(hfreq_before, hfreq_before + hfreq - 1)")).alias("unit"))
-    counts = F.explode(F.sequence(F.lit(1), F.lit(max(1, max_hypernyms)))).alias("n_hyp")
-    dealt = units.select("hpos", "unit", counts).withColumn("hyp_idx", F.pmod("unit", F.col("n_hyp")).cast("int"))
-    return dealt.groupBy("n_hyp", "hpos", "hyp_idx").agg(F.count("*").alias("sfreq"))
+    counts = numbered.select("hpos", "hfreq", "hfreq_before", F.explode(F.sequence(F.lit(1), F.lit(max(1, max_hypernyms)))).alias("n_hyp"))
+    slots = counts.withColumn("hyp_idx", F.explode(F.sequence(F.lit(0), F.col("n_hyp") - 1)))
+    # units hfreq_before to hfreq_before + hfreq - 1 that leave the remainder hyp_idx
+    upto = lambda end: F.floor((end - 1 - F.col("hyp_idx")) / F.col("n_hyp"))
+    dealt = slots.withColumn("sfreq", upto(F.col("hfreq_before") + F.col("hfreq")) - upto(F.col("hfreq_before")))
+    return dealt.filter("sfreq > 0").select("n_hyp", "hpos", "hyp_idx", "sfreq")
 
 
-def suffix_table(compiled: DataFrame, max_hypernyms: int, small: bool = False) -> DataFrame:
+def suffix_table(compiled: DataFrame, max_hypernyms: int) -> DataFrame:
     """All suffix choices for rows with n_hyp hypernyms, the empty suffix first, with spos and sfreq_before."""
-    numbered = number_hypernyms(compiled, small)
+    numbered = cut_lineage(number_hypernyms(compiled))
     spread = hypernym_freq_dist(numbered, max_hypernyms).join(numbered, "hpos")
     plain = compiled.groupBy().agg(
         F.sum(F.when(F.col("template").isNull(), F.col("hfreq"))).alias("none_freq"), F.sum("hfreq").alias("all_freq")
@@ -138,11 +132,7 @@ def suffix_table(compiled: DataFrame, max_hypernyms: int, small: bool = False) -
         "n_hyp", "hpos", "hyp_idx", "sfreq", F.col("template").alias("suffix_template"),
         F.col("template_comma").alias("suffix_template_comma"), F.col("need_article").alias("suffix_article"),
     )
-    one = F.lit(1).cast("long")
-    return _numbered(
-        empty.unionByName(filled), ["n_hyp"], F.floor(F.col("hpos") / TEMPLATE_BLOCK),
-        [F.col("hpos"), F.col("hyp_idx")], small, spos=one, sfreq_before=F.col("sfreq"),
-    )
+    return ranged_sums(empty.unionByName(filled), ["n_hyp"], [F.col("hpos"), F.col("hyp_idx")], spos=F.lit(1).cast("long"), sfreq_before=F.col("sfreq"))
 
 
 class CorpusPlan:
@@ -152,19 +142,17 @@ class CorpusPlan:
         self, vocab: DataFrame, prompt_rows: DataFrame, hypernym_rows: DataFrame, prompts: str, hypernyms: str,
         lookup: DataFrame | None = None,
     ):
-        compiled_prompts, n_prompts = try_pin(compile_prompts(prompt_rows, prompts))
-        compiled_hypernyms, n_hypernyms = try_pin(compile_hypernyms(hypernym_rows, hypernyms))
         facts = vocab.agg(
-            F.max(F.size("hypernyms")).alias("most"), F.min("id").alias("low"), F.max("id").alias("high"),
-            F.sum(F.size("singulars") + F.size("plurals")).alias("nouns"),
+            F.max(F.size("hypernyms")).alias("most"), F.count("*").alias("rows"), F.sum(F.size("singulars") + F.size("plurals")).alias("nouns")
         ).first()
-        most = int(facts["most"] or 0)
-        self.key_bounds = (2 * int(facts["low"] or 0), 2 * int(facts["high"] or 0) + 1)
-        self.prompts = number_prompts(compiled_prompts, n_prompts is not None).drop("seen")
-        self.suffixes, n_suffixes = try_pin(suffix_table(compiled_hypernyms, most, n_hypernyms is not None))
+        block = lambda pos: F.floor(F.col(pos) / TEMPLATE_BLOCK)
+        self.prompts = cut_lineage(number_prompts(compile_prompts(prompt_rows, prompts)).drop("seen").withColumn("pblock", block("tpos")))
+        compiled_hypernyms = compile_hypernyms(hypernym_rows, hypernyms)
+        self.suffixes = cut_lineage(suffix_table(compiled_hypernyms, int(facts["most"] or 0)).withColumn("sblock", block("spos")))
         # The vocabulary is small and its expansion is not: spread the rows by the expected output.
-        expected = int(facts["nouns"] or 0) * (n_prompts or 1) * (n_suffixes or 1)
-        self.partitions = min(MAX_PARTITIONS, 1 + expected // ROWS_PER_PARTITION)
+        expected = int(facts["nouns"] or 0) * max(1, self.prompts.count()) * max(1, self.suffixes.count())
+        self.partitions = 1 + expected // ROWS_PER_PARTITION
+        self.shares = 1 + int(facts["rows"]) // VOCAB_SHARE
         rows = with_hypernym_targets(vocab, lookup).withColumn("n_hyp", F.size("hypernyms"))
         sides = F.array(
             *[
@@ -195,7 +183,7 @@ class CorpusPlan:
     def blocks(self) -> DataFrame:
         """Sized blocks with the first usid and fsid of each."""
         keyed = self.sized_blocks().withColumn("block_key", F.col("id") * 2 + F.col("side"))
-        return prefix_ids(keyed, "block_key", self.key_bounds, usid_start=F.col("n_usids"), fsid_start=F.col("n_fsids"))
+        return prefix_ids(keyed, "block_key", usid_start=F.col("n_usids"), fsid_start=F.col("n_fsids"))
 
     def totals(self) -> DataFrame:
         """Row counts of the corpus from arithmetic alone (num_tids, num_usids, num_fsids)."""
@@ -215,11 +203,14 @@ class CorpusPlan:
             ),
         )
         keep = [c for c in blocks.columns if c not in ("nouns", "freqs")]
+        parts = lambda n: F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / TEMPLATE_BLOCK))
+        met = blocks.withColumn("pblock", F.explode(parts("n_templates"))).withColumn("sblock", F.explode(parts("n_suffixes")))
+        spread = met.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(self.shares))).repartition(self.partitions, "id", "kind", "pblock", "sblock")
+        shared = lambda df: df.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.shares - 1).cast("long"))))
         rows = (
-            blocks.repartition(self.partitions, "id")
-            .select(*keep, F.inline(nouns))
-            .join(self.suffixes, "n_hyp")
-            .join(self.prompts, "kind")
+            spread.select(*keep, "pblock", "sblock", "share", F.inline(nouns))
+            .join(shared(self.suffixes), ["n_hyp", "sblock", "share"])
+            .join(shared(self.prompts), ["kind", "pblock", "share"])
         )
         out = rows.withColumn("text", sample_text()).withColumn("sample_freq", F.expr("tfreq * sfreq * nfreq"))
         columns = ["id", "kind", "noun", "text", F.col("target_noun").alias("target"), F.col("sample_freq").alias("freq")]
@@ -235,31 +226,22 @@ class CorpusPlan:
     def lookup_fsids(self, requests: DataFrame) -> DataFrame:
         """Random access: rows (fsid) to usid, text and target without expanding the corpus.
 
-        The block is found with a binned range join (average block size as the bin), the template,
-        suffix and noun with division and equality joins on their frequency slots.
+        The block, the template and the suffix are each the last one that starts at or before the place asked
+        for; the noun follows by division.
         """
-        blocks = self.blocks()
-        width = max(1, int(blocks.agg(F.ceil(F.avg("n_fsids"))).first()[0] or 1))
-        binned = blocks.filter("n_fsids > 0").withColumn(
-            "bin",
-            F.explode(F.sequence(F.floor(F.col("fsid_start") / width), F.floor((F.col("fsid_start") + F.col("n_fsids") - 1) / width))),
-        )
-        found = requests.withColumn("bin", F.floor(F.col("fsid") / width)).join(binned, "bin")
-        found = found.filter("fsid >= fsid_start AND fsid < fsid_start + n_fsids").withColumn("rest", F.expr("fsid - fsid_start"))
-        template_slots = self.prompts.withColumn("tslot", F.explode(F.expr("sequence(tfreq_before, tfreq_before + tfreq - 1)")))
-        suffix_slots = self.suffixes.withColumn("sslot", F.explode(F.expr("sequence(sfreq_before, sfreq_before + sfreq - 1)")))
-        rows = (
-            found.withColumn("tslot", F.expr("rest div (freq_sum * sfreq_sum)"))
-            .join(template_slots, ["kind", "tslot"])
-            .withColumn("rest", F.expr("rest - tfreq_before * freq_sum * sfreq_sum"))
-            .withColumn("sslot", F.expr("rest div (tfreq * freq_sum)"))
-            .join(suffix_slots, ["n_hyp", "sslot"])
-            .withColumn("nslot", F.expr("(rest - sfreq_before * tfreq * freq_sum) div (tfreq * sfreq)"))
-        )
-        slots = F.flatten(F.transform("freqs", lambda f, i: F.array_repeat(i.cast("long"), f)))
-        rows = rows.withColumn("npos", F.get(slots, F.col("nslot").cast("int"))).withColumn(
-            "noun", F.get("nouns", F.col("npos").cast("int"))
-        )
+        blocks = cut_lineage(self.blocks().filter("n_fsids > 0"))
+        found = last_start(requests.select("fsid"), blocks, [], "fsid", "fsid_start").join(blocks, "fsid_start")
+        found = found.filter("fsid < fsid_start + n_fsids").withColumn("rest", F.expr("fsid - fsid_start"))
+        asked = found.withColumn("tslot", F.expr("rest div (freq_sum * sfreq_sum)"))
+        templates = self.prompts.select("kind", "tpos", "tfreq", "template", "need_article", "need_hyp_comma", F.col("tfreq_before").alias("tstart"))
+        rows = last_start(asked, templates, ["kind"], "tslot", "tstart").join(templates, ["kind", "tstart"])
+        rows = rows.withColumn("rest", F.expr("rest - tstart * freq_sum * sfreq_sum")).withColumn("sslot", F.expr("rest div (tfreq * freq_sum)"))
+        suffixes = self.suffixes.drop("sblock").withColumnRenamed("sfreq_before", "sstart")
+        rows = last_start(rows, suffixes, ["n_hyp"], "sslot", "sstart").join(suffixes, ["n_hyp", "sstart"])
+        rows = rows.withColumn("nslot", F.expr("(rest - sstart * tfreq * freq_sum) div (tfreq * sfreq)"))
+        ends = F.transform("freqs", lambda f, i: freq_sum(F.slice("freqs", F.lit(1), i + 1)))
+        npos = F.size(F.filter(ends, lambda end: end <= F.col("nslot")))
+        rows = rows.withColumn("npos", npos).withColumn("noun", F.get("nouns", F.col("npos")))
         usid = F.expr("usid_start + (tpos * n_suffixes + spos) * n_nouns + npos").alias("usid")
         return rows.select("fsid", usid, sample_text().alias("text"), F.col("target_noun").alias("target"))
 
@@ -303,10 +285,8 @@ def noun_multisets(vocab: DataFrame, prompts: DataFrame, multi_target_freq: list
         .withColumn("item", F.concat_ws("/", "id", "unit"))
         .select("target_noun", "kind", "noun", "item")
     )
-    slots = pin_small(prompts.select(
-        "kind", "template", "need_article",
-        F.explode(F.expr("sequence(tfreq_before, tfreq_before + tfreq - 1)")).alias("tslot"),
-    ))
+    prompts = cut_lineage(prompts.drop("seen"))
+    slots = prompts.groupBy("kind").agg(F.sum("tfreq").alias("n_slots"))
     plan = [(m, r) for m, f in enumerate(multi_target_freq, 1) for r in range(1, f + 1)]
     if not plan:
         raise ValueError("at least one multi-target frequency must be positive")
@@ -317,20 +297,17 @@ def noun_multisets(vocab: DataFrame, prompts: DataFrame, multi_target_freq: list
             for s in range(m)
         ]
     )
-    rows = units.repartition("item").join(slots, "kind").select("*", F.inline(draws))
+    drawn = units.join(slots, "kind").withColumn("tslot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)))
+    rows = drawn.drop("n_slots").select("*", F.inline(draws))
     by = ["m", "repetition", "kind", "tslot"]
-    digest = seeded_digest(seed, *[F.col(c) for c in by], F.col("slot"), F.col("item"))
-    rows = rows.withColumn("__digest", digest).withColumn(
-        "named", F.when(F.col("need_article"), indefinite(F.col("noun"))).otherwise(F.col("noun"))
-    )
+    rows = rows.withColumn("__digest", seeded_digest(seed, *[F.col(c) for c in by], F.col("slot"), F.col("item")))
     ranked = bucketed_rank(rows, [*by, "slot"], digest_bucket(F.col("__digest")), [F.col("__digest"), F.col("item")], "rank")
-    sets = ranked.groupBy(*by, "rank").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "named", "target_noun"))).alias("members"),
-        F.min("template").alias("template"),
-    )
-    nouns = F.array_join(F.transform("members", lambda x: x["named"]), " and ")
-    return sets.select(
-        *by, "rank", fill_template(F.col("template"), nouns).alias("text"),
+    sets = ranked.groupBy(*by, "rank").agg(F.array_sort(F.collect_list(F.struct("slot", "noun", "target_noun"))).alias("members"))
+    templates = prompts.select("kind", "template", "need_article", F.explode(F.expr("sequence(tfreq_before, tfreq_before + tfreq - 1)")).alias("tslot"))
+    filled = sets.join(templates, ["kind", "tslot"])
+    named = F.transform("members", lambda x: F.when(F.col("need_article"), indefinite(x["noun"])).otherwise(x["noun"]))
+    return filled.select(
+        *by, "rank", fill_template(F.col("template"), F.array_join(named, " and ")).alias("text"),
         F.transform("members", lambda x: x["target_noun"]).alias("targets"),
     )
 

@@ -1,4 +1,4 @@
-"""Size-checked pinning of configuration-sized tables."""
+"""Literal rows of known size."""
 
 from __future__ import annotations
 
@@ -7,24 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-MAX_PINNED_ROWS = 20_000
-
-
-def try_pin(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> tuple[DataFrame, int | None]:
-    """`df` as a local relation and its row count if that is at most `max_rows`, else `df` itself and None.
-
-    Used for template and mapping tables. A pinned table has an exact size estimate, so the planner
-    broadcasts it without a shuffle; a larger one stays distributed and joins by shuffle.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df, None
-    return df.sparkSession.createDataFrame(head, schema=df.schema), head.num_rows
-
-
-def pin_small(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
-    return try_pin(df, max_rows)[0]
-
 
 def local_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A few literal rows as a local relation with a known size."""

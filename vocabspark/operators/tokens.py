@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.tokens import is_monotone
-from .ordinals import bucketed_rank
+from .ordinals import ranged_rank
 from .small import local_rows
 
-TOKEN_BLOCK = 256
 MOST_TOKENS = 1 << 22  # ids of any tokenizer are smaller
 
 
@@ -54,7 +53,7 @@ def compact_ids(df: DataFrame, pad_id: int, end_id: int, start_id: int | None =
     n_special = 2 if with_start else 1
     skip = {pad_id, end_id} | ({start_id} if start_id is not None else set())
     used = df.select(F.explode("token_ids").alias("token_id")).distinct().filter(~F.col("token_id").isin(*skip))
-    ranked = bucketed_rank(used, [], F.floor(F.col("token_id") / TOKEN_BLOCK), [F.col("token_id")], "compact_id")
+    ranked = ranged_rank(used, [], [F.col("token_id")], "compact_id")
     dense = ranked.select(F.col("token_id").cast("int").alias("token_id"), (F.col("compact_id") + n_special).cast("int").alias("compact_id"))
     fixed = local_rows(df.sparkSession, sorted(special.items()), "token_id int, compact_id int")
     return fixed.unionByName(dense)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut_lineage
-from .ordinals import bucketed_rank
+from .ordinals import ranged_rank
 
 SMALLEST_DOUBLE_HALVINGS = 1075
 
@@ -19,8 +19,8 @@ def cumulative_any(df: DataFrame, by: list[str], order: str, flag: str, out: str
 
 
 def batch_positions(metrics: DataFrame, run: str = "run_id") -> DataFrame:
-    """Batches of each run numbered from 0 in time order; minutes are the buckets, so a long run is spread."""
-    return bucketed_rank(metrics, [run], F.date_trunc("minute", "ts"), [F.col("ts"), F.col("event_id")], "batch_id")
+    """Batches of each run numbered from 0 in time order; a long run, or a burst in it, is spread over ranges of time."""
+    return ranged_rank(metrics, [run], [F.col("ts"), F.col("event_id")], "batch_id")
 
 
 def ewa_metrics(metrics: DataFrame, halflife: float, chunk: int = 1, run: str = "run_id", block: int | None = None) -> DataFrame:

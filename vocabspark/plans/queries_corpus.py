@@ -271,7 +271,7 @@ def _(spark, sf):
     from ..operators.ordinals import deal_round_robin
 
     nouns = V.explode_nouns(X.vocab(spark, sf))
-    dealt = deal_round_robin(nouns, ["kind"], F.expr("id div 1024"), [F.col("id"), F.col("npos")], F.lit(7))
+    dealt = deal_round_robin(nouns, ["kind"], [F.col("id"), F.col("npos")], F.lit(7))
     return dealt.select("noun", "kind", "id", "slot")
 
 

@@ -278,10 +278,10 @@ def _(spark, sf):
          s AS (SELECT user_id, sum(count(*)) OVER (ORDER BY user_id) - count(*) AS start FROM events GROUP BY user_id)
     SELECT user_id, event_id, ((start + p) // 64)::BIGINT AS batch, ((start + p) % 64)::BIGINT AS batch_pos FROM r JOIN s USING (user_id)""")
 def _(spark, sf):
-    from ..operators.ordinals import bucketed_rank
+    from ..operators.ordinals import ranged_rank
 
     rows = X.table(spark, sf, "events").select("user_id", "event_id")
-    placed = bucketed_rank(rows, ["user_id"], F.expr("event_id div 4096"), [F.col("event_id")], "p")
+    placed = ranged_rank(rows, ["user_id"], [F.col("event_id")], "p")
     return E.rebatch_sources(placed, 64, "user_id", "p").select("user_id", "event_id", "batch", "batch_pos")
 
 
