@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import SLICE, cut_lineage
-from .tokens import Encoder
+from .tokens import encoder
 
 WINDOW, SLOT = 2048, 128
 
@@ -31,12 +31,12 @@ def _encode(path: str, pattern: str, end_id: int):
     """For batches of (id, source, text): the ids with the end id, and where they start in the task's queue of that source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, queued = Encoder(path, pattern), TaskContext.get().partitionId(), {}
+        encode, task, queued = encoder(path, pattern), TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(2, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = [encoder.encode(t or "") + end for t in part.column("__text").to_pylist()]
+                ids = [encode(t or "") + end for t in part.column("__text").to_pylist()]
                 starts = []
                 for source, own in zip(part.column("__source").to_pylist(), ids):
                     starts.append(queued.get(source, 0))
@@ -133,16 +133,15 @@ def pack(
     schema = T.StructType([own.schema[0], own.schema[1], *fields])
     encoded = cut_lineage(own.mapInArrow(_encode(tokenizer, pattern, end_id), schema))
     size = F.octet_length("__ids") / 2
-    parts = encoded.groupBy("__source", "__task").agg(F.sum(size).cast("long").alias("__n"))
-    before = W.partitionBy("__source").orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
-    parts = cut_lineage(parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    parts = cut_lineage(encoded.groupBy("__source", "__task").agg(F.sum(size).cast("long").alias("__n")))
     sources = sorted(parts.groupBy("__source").agg(F.sum("__n").alias("n")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
     shares = None if weights is None else [weights[r[0]] for r in sources]
     schedule = Schedule([r.n for r in sources], shares, slot)
     numbers = docs.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(sources)], "__s string, __number int")
-    places = parts.join(numbers, F.col("__source").eqNullSafe(F.col("__s"))).select(
-        F.col("__source").alias("__s"), F.col("__task").alias("__t"), "__number", "__before"
-    )
+    before = W.partitionBy("__source").orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
+    numbered = parts.join(numbers, F.col("__source").eqNullSafe(F.col("__s")))
+    # written, so that the planner knows its size: while it is small the ids need no shuffle
+    places = cut_lineage(numbered.select("__s", F.col("__task").alias("__t"), "__number", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
     placed = encoded.join(places, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__task") == F.col("__t")))
     rows = placed.select(F.col(id_col), "__number", (F.col("__before") + F.col("__start")).alias("__at"), "__ids")
     made = [T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")]

@@ -32,7 +32,7 @@ def _(spark, sf_dir):
 @query("op2_packing")
 def _(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
-    pieces = packing.pack(docs, "doc_id", "text", "source", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    pieces = packing.pack(docs, "doc_id", "text", "source", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
