@@ -75,7 +75,7 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, tau, segments):
             for b in rng.sample(range(64), rng.randint(0, tau + 2)):
                 x ^= 1 << b
             fps.add(x)
-    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    df = spark.createDataFrame([(signed(f), signed(f), b"") for f in fps], "node long, fp long, check binary")
     from vocabspark.llm.components import connected_components
 
     roots = {r.node: r.root for r in connected_components(simhash.near_links(df, tau, segments)).collect()}
@@ -91,3 +91,17 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs, "doc_id", "text").collect())
     assert got == [(False, 1, 1), (False, 2, 1), (False, 3, 3), (False, 3, 3), (False, 7, 7), (True, 0, 1), (True, 0, 3)]
     assert simhash.near_duplicates(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_fingerprints_must_agree_too(spark):
+    """Texts with the same words in another order share the first fingerprint, not the second."""
+    rng = random.Random(9)
+    words = [f"word{rng.getrandbits(40)}" for _ in range(300)]
+    near = words.copy()
+    near[150] = "changed"
+    other = sorted(words)
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other)), (4, " ".join(words)), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, "doc_id", "text", 1, True, 7, 8, least_chars=5, check_words=5).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+    assert simhash.most_apart(0.8, 4) == 45 and simhash.most_apart(1.0, 4) == 0

@@ -16,16 +16,16 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def dedup_lines(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
-    """`docs` with `text_col` less repeated passages, and the new columns n_lines and n_removed (long).
+def dedup_lines(docs: DataFrame, id_col: str, text_col: str, width: int = 3, out: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """`docs` with `text_col` less repeated passages, and the new columns `out` (long): its lines and those removed.
 
     Lines are compared without blanks at their ends; blank lines are skipped when windows of `width` consecutive lines are
     formed. A window that stands anywhere in the table more than once keeps its first place, by id (null
     first), then the text's digest, then position; the lines of all its later places are removed, overlapping
     places as one. A removed line's first place is always earlier, so no line is lost from the table.
-    Texts with fewer lines than `width` stay as they are, as do null texts (n_lines 0). Rows equal in id and
-    text are one document: they keep the same lines. An empty table gives an empty one. n_lines and n_removed
-    replace columns of these names.
+    Texts with fewer lines than `width` stay as they are, as do null texts (0 lines). Rows equal in id and
+    text are one document: they keep the same lines. An empty table gives an empty one. The new columns
+    replace columns of their names.
 
     Only digests of windows are shuffled, 128 bits each, and counted before the shuffle, so a window that stands in
     a third of the rows meets as one row of each task; the join back to its places can be split.
@@ -51,8 +51,8 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, width: int = 3) ->
     cut = parts.withColumn("__gone", F.coalesce(covered, F.array().cast("array<int>")))
     text = F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return cut.withColumns(
-        {text_col: text, "n_lines": F.size("__full").cast("long"), "n_removed": F.size("__gone").cast("long")}
-    ).select(*[n for n in names if n not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+        {text_col: text, out[0]: F.size("__full").cast("long"), out[1]: F.size("__gone").cast("long")}
+    ).select(*[n for n in names if n not in out], *out)
 
 
 ORACLE = r"""
