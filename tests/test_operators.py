@@ -197,8 +197,8 @@ def test_translation_needs_a_superset(spark):
 
 def test_multiset_difference(spark):
     df = lambda *x: spark.createDataFrame([(v,) for v in x], "v string")
-    assert tuple(multiset_difference(df("a", "a", "b"), df("a", "b", "c")).first()) == (1, 1)
-    assert tuple(multiset_difference(df("a", "b"), df("b", "a")).first()) == (0, 0)
+    assert tuple(multiset_difference(df("a", "a", "b"), df("a", "b", "c")).first()) == (3, 3, 1, 1)
+    assert tuple(multiset_difference(df("a", "b"), df("b", "a")).first()) == (2, 2, 0, 0)
 
 
 def placeholders(caption, nouns, kind):
@@ -303,3 +303,18 @@ def test_rescore_loses_no_candidate(spark):
     assert plain == [(3, -0.5), (1, -1.0), (2, -2.0)]
     scored = [(r.target_id, r.score, r.prob) for r in K.rescore(rows, prior, 1.0, 0.0, 5).orderBy("rank").collect()]
     assert scored == [(2, -1.0, scored[0][2]), (1, -float("inf"), 0.0), (3, -float("inf"), 0.0)]
+
+
+def test_logits_and_ties_beyond_one_matrix(spark):
+    rng = np.random.default_rng(4)
+    vectors, classes = rng.integers(-2, 3, (60, 4)).astype(float), rng.integers(-1, 2, (40, 4)).astype(float)
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    protos = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(classes)], "class_id long, vector array<double>")
+    want = vectors @ classes.T
+    for options in ({}, {"limit": 0, "block": 7, "slice_rows": 11}):
+        got = {r.id: r.logits for r in VS.prototype_logits(emb, protos, ["id"], **options).collect()}
+        assert all(np.allclose(got[i], want[i]) for i in range(60))
+        top = {}
+        for r in VS.top_prototypes(emb, protos, 3, ["id"], **options).collect():
+            top.setdefault(r.id, {})[r["rank"]] = r.class_id
+        assert all([top[i][k] for k in (1, 2, 3)] == np.argsort(-want[i], kind="stable")[:3].tolist() for i in range(60))

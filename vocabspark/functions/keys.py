@@ -26,3 +26,8 @@ def digest_uniform(digest: Column) -> Column:
     """The digest as a double in (0, 1)."""
     as_long = F.conv(F.substring(digest, 1, HEX_PER_UNIT), 16, 10).cast("double")
     return (as_long + F.lit(0.5)) / F.lit(float(16**HEX_PER_UNIT))
+
+
+def digest_long(digest: Column, hex_digits: int = 15) -> Column:
+    """Leading digits of a digest as a non-negative long."""
+    return F.conv(F.substring(digest, 1, hex_digits), 16, 10).cast("long")

@@ -14,18 +14,24 @@ ModelFactory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
 def hashing_model(dim: int = 64, seed: int = 0) -> ModelFactory:
-    """A stand-in text model for tests: seeded character-trigram hashing, unit vectors."""
+    """A stand-in text model for tests: seeded character-trigram hashing by MD5, unit vectors."""
 
     def make() -> Callable[[np.ndarray], np.ndarray]:
-        import xxhash
+        import hashlib
+        from functools import lru_cache
+
+        @lru_cache(maxsize=100_000)
+        def place(trigram: str) -> tuple[int, float]:
+            h = int(hashlib.md5(f"{seed}|{trigram}".encode()).hexdigest()[:15], 16)
+            return h % dim, 1.0 if h // dim % 2 else -1.0
 
         def embed(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float32)
             for row, text in enumerate(texts):
                 padded = f"  {text} "
                 for i in range(len(padded) - 2):
-                    h = xxhash.xxh64_intdigest(padded[i : i + 3], seed)
-                    out[row, h % dim] += 1.0 if (h >> 32) & 1 else -1.0
+                    at, sign = place(padded[i : i + 3])
+                    out[row, at] += sign
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
         return embed

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.keys import digest_long, seeded_digest
+
 SCHEMES = ("GaussElem", "GaussVec", "GaussAngle", "UniformAngle", "GaussElemUniformAngle")
 
 
@@ -80,4 +82,4 @@ def add_noise(
             out = np.where(uniform[:, 1:] < mix_ratio, spread(), element())
         return pd.Series(list(out.astype(np.float32)))
 
-    return noisy(vec, F.xxhash64(F.lit(seed), key))
+    return noisy(vec, digest_long(seeded_digest(seed, key)))

@@ -124,18 +124,21 @@ def model_maximum(scores: DataFrame) -> DataFrame:
 
 
 def score_grid(scores: DataFrame) -> DataFrame:
-    """Decoding x model grid: each cell, means over models, maxima over decodings (row kinds cell, mean, max)."""
-    sets = scores.groupingSets(
-        [[F.col("gencfg"), F.col("file"), F.col("k")], [F.col("gencfg"), F.col("k")], [F.col("file"), F.col("k")]],
-        "gencfg", "file", "k",
-    ).agg(
-        F.grouping("gencfg").alias("g_gencfg"), F.grouping("file").alias("g_file"),
-        F.avg("score").alias("mean_score"), F.avg("score_ratio").alias("mean_ratio"),
-        F.max("score").alias("max_score"), F.max("score_ratio").alias("max_ratio"),
-    )
-    kind = F.when(F.col("g_file") == 1, "mean").when(F.col("g_gencfg") == 1, "max").otherwise("cell")
-    pick = lambda name: F.when(F.col("kind") == "max", F.col(f"max_{name}")).otherwise(F.col(f"mean_{name}")).alias(name)
-    return sets.withColumn("kind", kind).select("kind", "gencfg", "file", "k", pick("score"), pick("ratio"))
+    """Decoding x model grid of scores with their ratios, by kind of row.
+
+    cell: one decoding of one model; mean: a decoding over the models; max: a model's best decoding; top: per k the
+    best of the decodings' means. A maximum's ratio is that of the row with the highest score (ties: the higher ratio).
+    """
+    best = lambda name: F.max_by(name, F.struct("score", "ratio"))
+    cells = scores.select(F.lit("cell").alias("kind"), "gencfg", "file", "k", "score", F.col("score_ratio").alias("ratio"))
+    none = F.lit(None).cast("string")
+    means = cells.groupBy("gencfg", "k").agg(F.avg("score").alias("score"), F.avg("ratio").alias("ratio"))
+    highest = cells.groupBy("file", "k").agg(best("score").alias("s"), best("ratio").alias("r"))
+    top = means.groupBy("k").agg(best("gencfg").alias("gencfg"), best("score").alias("s"), best("ratio").alias("r"))
+    columns = ["kind", "gencfg", "file", "k", "score", "ratio"]
+    rows = cells.unionByName(means.select(F.lit("mean").alias("kind"), "gencfg", none.alias("file"), "k", "score", "ratio"))
+    rows = rows.unionByName(highest.select(F.lit("max").alias("kind"), none.alias("gencfg"), "file", "k", F.col("s").alias("score"), F.col("r").alias("ratio")))
+    return rows.unionByName(top.select(F.lit("top").alias("kind"), "gencfg", none.alias("file"), "k", F.col("s").alias("score"), F.col("r").alias("ratio"))).select(*columns)
 
 
 def best_cell(scores: DataFrame) -> DataFrame:

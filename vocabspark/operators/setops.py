@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row with the number of surplus copies on each side; both zero means equal multisets.
+    """One row with the number of surplus copies on each side, both zero for equal multisets, and the rows of each side.
 
     Copies are counted before the comparison, so a row with very many copies is one counter.
     """
     tagged = left.withColumn("__side", F.lit(1)).unionByName(right.withColumn("__side", F.lit(-1)))
-    balance = tagged.groupBy(*left.columns).agg(F.sum("__side").alias("balance"))
+    balance = tagged.groupBy(*left.columns).agg(
+        F.sum("__side").alias("balance"), F.count_if(F.col("__side") > 0).alias("l"), F.count_if(F.col("__side") < 0).alias("r")
+    )
     return balance.agg(
+        F.coalesce(F.sum("l"), F.lit(0)).alias("n_left"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_right"),
         F.coalesce(F.sum(F.greatest("balance", F.lit(0))), F.lit(0)).alias("only_left"),
         F.coalesce(F.sum(F.greatest(-F.col("balance"), F.lit(0))), F.lit(0)).alias("only_right"),
     )

@@ -26,6 +26,7 @@ from ..session import cut_lineage
 PROTO_LIMIT_BYTES = 64 * 1024 * 1024
 PROTO_LIMIT_ROWS = 16_384
 PROTO_BLOCK = 2048
+TILE_CELLS = 1 << 20  # dot products that a task holds at a time: rows are taken in tiles of so many cells
 ROWS_PER_SLICE = 20_000
 HIST_BINS, HIST_MIN, HIST_MAX = 360, 0.0, 180.0
 
@@ -54,13 +55,14 @@ def _list_matrix(column: pa.Array) -> np.ndarray:
 def _bounded_matrix(protos: DataFrame, limit: int):
     """(class ids, matrix) in class order if the table is within the limits, else None.
 
-    One job: it stops at `PROTO_LIMIT_ROWS` rows, so no larger table comes to the driver.
+    Rows and bytes are counted first, so no larger table comes to the driver.
     """
     if limit <= 0:
         return None
-    head = protos.select("class_id", "vector").limit(PROTO_LIMIT_ROWS + 1).toArrow()
-    if head.num_rows > PROTO_LIMIT_ROWS or head.nbytes > limit:
+    size = protos.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("elements")).first()
+    if size.n > PROTO_LIMIT_ROWS or 8 * (size.elements or 0) > limit:
         return None
+    head = protos.select("class_id", "vector").toArrow()
     rows = sorted(zip(head["class_id"].to_pylist(), head["vector"].to_pylist()))
     return [r[0] for r in rows], _matrix([r[1] for r in rows])
 
@@ -82,9 +84,10 @@ def _score_blocks(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             for batch in batches:
-                if batch.num_rows:
-                    rows = batch.select(keep).to_pandas()
-                    out = fn(rows, ids, matrix, _list_matrix(batch.column("__vec")) @ matrix.T)
+                tile = max(1, TILE_CELLS // max(1, len(ids)))
+                for at in range(0, batch.num_rows, tile):
+                    part = batch.slice(at, tile)
+                    out = fn(part.select(keep).to_pandas(), ids, matrix, _list_matrix(part.column("__vec")) @ matrix.T)
                     yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
         return data.mapInArrow(run, schema), True
@@ -107,7 +110,9 @@ def _score_blocks(
             return fn(rows.iloc[:0], [], np.empty((0, 0)), np.empty((0, 0)))
         classes = classes.sort_values("class_id")
         matrix = _matrix(classes["vector"])
-        return fn(rows, list(classes["class_id"]), matrix, _matrix(rows["__vec"]) @ matrix.T)
+        ids, tile = list(classes["class_id"]), max(1, TILE_CELLS // len(classes))
+        parts = (rows.iloc[at : at + tile] for at in range(0, len(rows), tile))
+        return pd.concat([fn(part, ids, matrix, _matrix(part["__vec"]) @ matrix.T) for part in parts])
 
     keys = ["__slice", "__block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, schema), False
@@ -132,9 +137,12 @@ def top_prototypes(
     def best(rows: pd.DataFrame, ids: list, matrix: np.ndarray, dots: np.ndarray) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({**{c: rows[c] for c in keep}, "rank": [], "class_id": [], "dot": []})
-        # Stable sort on the negated dot keeps class order among ties.
-        order = np.argsort(-dots, axis=1, kind="stable")[:, :k]
-        n = order.shape[1]
+        n = min(k, dots.shape[1])
+        if n < dots.shape[1] // 4:  # only those at or above the n-th largest, so that ties at the cut stay in class order
+            cut = np.partition(dots, dots.shape[1] - n, axis=1)[:, dots.shape[1] - n]
+            order = np.stack([(at := np.flatnonzero(row >= c))[np.argsort(-row[at], kind="stable")[:n]] for row, c in zip(dots, cut)])
+        else:
+            order = np.argsort(-dots, axis=1, kind="stable")[:, :n]
         out = {c: np.repeat(rows[c].to_numpy(), n) for c in keep}
         out["rank"] = np.tile(np.arange(1, n + 1, dtype=np.int32), len(rows))
         out["class_id"] = np.asarray(ids)[order].ravel()
@@ -152,27 +160,28 @@ def top_prototypes(
     )
 
 
-def prototype_logits(df: DataFrame, protos: DataFrame, keep: list[str], vec: str = "embedding", limit: int = PROTO_LIMIT_BYTES) -> DataFrame:
-    """All dot products of a row as one array in class order. The prototype table must be bounded."""
-    bounded = _bounded_matrix(protos, limit)
-    if bounded is None:
-        raise ValueError("too many prototypes for one array per row; use top_prototypes")
-    shared = df.sparkSession.sparkContext.broadcast(bounded)
+def prototype_logits(
+    df: DataFrame, protos: DataFrame, keep: list[str], vec: str = "embedding",
+    limit: int = PROTO_LIMIT_BYTES, block: int = PROTO_BLOCK, slice_rows: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """All dot products of a row as one array in class order, whatever the number of prototypes.
 
-    schema = f"{_ddl(df, keep)}, logits array<double>"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    `keep` must identify a row. Beyond one matrix each block gives its part of the array, and the parts are put together by row.
+    """
+    class_type = dict(protos.dtypes)["class_id"]
+    schema = f"{_ddl(df, keep)}, classes array<{class_type}>, dots array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, matrix = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                dots = _list_matrix(batch.column(vec)) @ matrix.T
-                offsets = np.arange(0, dots.size + 1, dots.shape[1], dtype=np.int32)
-                logits = pa.ListArray.from_arrays(offsets, dots.ravel())
-                columns = [batch.column(c) for c in keep] + [logits]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    return df.select(*keep, vec).mapInArrow(run, schema)
+    def part(rows: pd.DataFrame, ids: list, matrix: np.ndarray, dots: np.ndarray) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({**{c: rows[c] for c in keep}, "classes": [], "dots": []})
+        return pd.DataFrame({**{c: rows[c] for c in keep}, "classes": [ids] * len(rows), "dots": list(dots)})
+
+    parts, whole = _score_blocks(df, protos, keep, vec, schema, part, limit, block, slice_rows)
+    if whole:
+        return parts.select(*keep, F.col("dots").alias("logits"))
+    pairs = F.arrays_zip("classes", "dots")
+    joined = parts.select(*keep, pairs.alias("p")).groupBy(*keep).agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    return joined.select(*keep, F.transform("p", lambda x: x["dots"]).alias("logits"))
 
 
 def accuracy(predicted: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:

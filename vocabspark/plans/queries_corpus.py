@@ -311,8 +311,8 @@ def _(spark, sf):
     return rows.groupBy("rank").agg(members.alias("members"))
 
 
-@query("s06_multiset_equality", "vocab_nouns vocab_links prompt_rows hypernym_rows", """
-    SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right""")
+@query("s06_multiset_equality", "vocab_nouns prompt_rows", "WITH " + _MULTISET.strip() + """
+    SELECT count(*) AS n_left, count(*) AS n_right, 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM units u JOIN slots s ON s.kind = u.kind""")
 def _(spark, sf):
     """Multisets of size one are exactly the frequency-weighted corpus without hypernyms."""
     from ..operators.setops import multiset_difference

@@ -100,12 +100,13 @@ def _(spark, sf):
 
 
 @query("a08_score_grid", "scored", cum_sql(5, """
-    SELECT CASE WHEN grouping(file) = 1 THEN 'mean' WHEN grouping(gencfg) = 1 THEN 'max' ELSE 'cell' END AS kind, gencfg, file, k,
-           round(CASE WHEN grouping(gencfg) = 1 THEN max(score) ELSE avg(score) END, 6) AS score,
-           round(CASE WHEN grouping(gencfg) = 1 THEN max(score_ratio) ELSE avg(score_ratio) END, 6) AS ratio
-    FROM topk GROUP BY GROUPING SETS ((gencfg, file, k), (gencfg, k), (file, k))"""))
+    , means AS (SELECT gencfg, k, avg(score) AS score, avg(score_ratio) AS ratio FROM topk GROUP BY ALL)
+    SELECT 'cell' AS kind, gencfg, file, k, round(score, 6) AS score, round(score_ratio, 6) AS ratio FROM topk
+    UNION ALL SELECT 'mean', gencfg, NULL, k, round(score, 6), round(ratio, 6) FROM means
+    UNION ALL SELECT 'max', NULL, file, k, round(max(score), 6), round(arg_max(score_ratio, (score, score_ratio)), 6) FROM topk GROUP BY file, k
+    UNION ALL SELECT 'top', arg_max(gencfg, (score, ratio)), NULL, k, round(max(score), 6), round(arg_max(ratio, (score, ratio)), 6) FROM means GROUP BY k"""))
 def _(spark, sf):
-    return _rounded(R.grid_report(X.predictions(spark, sf), X.annotations(spark, sf), 5), "score", "ratio")
+    return _rounded(S.score_grid(S.topk_scores(scored(spark, sf), 5)), "score", "ratio")
 
 
 @query("a08_best_cell", "scored", cum_sql(1, """
@@ -312,12 +313,12 @@ def _(spark, sf):
 
 
 @query("r04_grid_report", "scored", cum_sql(2, """
-    SELECT CASE WHEN grouping(file) = 1 THEN 'mean' WHEN grouping(gencfg) = 1 THEN 'max' ELSE 'cell' END AS kind, gencfg, file, k,
-           round(CASE WHEN grouping(gencfg) = 1 THEN max(score) ELSE avg(score) END, 6) AS score,
-           round(CASE WHEN grouping(gencfg) = 1 THEN max(score_ratio) ELSE avg(score_ratio) END, 6) AS ratio
-    FROM topk GROUP BY GROUPING SETS ((gencfg, file, k), (gencfg, k), (file, k))"""))
+    , means AS (SELECT gencfg, k, avg(score) AS score, avg(score_ratio) AS ratio FROM topk GROUP BY ALL),
+      best AS (SELECT file, k, max(score) AS score, arg_max(score_ratio, (score, score_ratio)) AS ratio FROM topk GROUP BY file, k)
+    SELECT file, k, round(score, 6) AS score, round(ratio, 6) AS ratio, round(score - top, 6) AS above_mean
+    FROM best JOIN (SELECT k, max(score) AS top FROM means GROUP BY k) USING (k)"""))
 def _(spark, sf):
-    return _rounded(R.grid_report(X.predictions(spark, sf), X.annotations(spark, sf), 2), "score", "ratio")
+    return _rounded(R.grid_report(X.predictions(spark, sf), X.annotations(spark, sf), 2), "score", "ratio", "above_mean")
 
 
 @query("f12_decoding_names", "", """

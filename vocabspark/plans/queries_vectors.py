@@ -546,35 +546,69 @@ def _(spark, sf):
          k AS (SELECT vec_id, -ln((('0x' || substr(md5('7|' || vec_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / exp(s) AS arrival FROM l)
     SELECT vec_id FROM k ORDER BY arrival, vec_id LIMIT 100""")
 def _(spark, sf):
-    logits = VS.prototype_logits(X.embeddings(spark, sf), protos(spark, sf), ["vec_id"])
-    topics = logits.withColumn("topics", F.array(F.get("logits", F.lit(0)), F.get("logits", F.lit(3))))
-    weight = VS.special_weight(F.col("topics"), [0.1, 0.2], [3.0, 2.0])
-    return L.weighted_sample_n(topics.select("vec_id", weight.alias("w")), "vec_id", F.col("w"), 100, X.SEED).select("vec_id")
-
-
-def _noise_query(name: str, scheme: str, low: float, high: float, **options):
-    """Noisy vectors checked by what must hold of each: unit norm and the angle range of the scheme."""
-
-    @query(name, "", "SELECT vec_id, 64::INT AS dim, 1.0::DOUBLE AS norm, true AS angle_ok FROM embeddings")
+    topics = protos(spark, sf).filter(F.col("class_id").isin(0, 3))  # only the topics that have a weight
+    logits = VS.prototype_logits(X.embeddings(spark, sf), topics, ["vec_id"])
+    weight = VS.special_weight(F.col("logits"), [0.1, 0.2], [3.0, 2.0])
+    return L.weighted_sample_n(logits.select("vec_id", weight.alias("w")), "vec_id", F.col("w"), 100, X.SEED).select("vec_id")
+
+
+# The seeded draws again: SplitMix64 over the counters of a row's key, modulo 2^64, then Box-Muller.
+_DRAWS = """
+  keyed AS (SELECT vec_id, ('0x' || substr(md5('7|' || vec_id), 1, 15))::BIGINT::UHUGEINT AS key FROM embeddings),
+  z0 AS (SELECT vec_id, i, ((key + i::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM keyed, unnest(range(1, 69)) r(i)),
+  z1 AS (SELECT vec_id, i, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM z0),
+  z2 AS (SELECT vec_id, i, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM z1),
+  u AS (SELECT vec_id, i, ((xor(z, z >> 31) >> 11)::DOUBLE + 0.5) / 9007199254740992.0::DOUBLE AS u FROM z2),
+  one AS (SELECT vec_id, max(u) FILTER (WHERE i = 1) AS u1, max(u) FILTER (WHERE i = 2) AS u2,
+                 sqrt(-2 * ln(max(u) FILTER (WHERE i = 3))) * cos(2 * pi() * max(u) FILTER (WHERE i = 4)) AS scalar FROM u GROUP BY vec_id),
+  gauss AS (SELECT a.vec_id, a.i - 5 + h * 32 AS pos, sqrt(-2 * ln(a.u)) * CASE h WHEN 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * b.u) END AS g
+            FROM u a JOIN u b ON b.vec_id = a.vec_id AND b.i = a.i + 32, (VALUES (0), (1)) hs(h) WHERE a.i BETWEEN 5 AND 36),
+  v AS (SELECT vec_id, pos, x, g, u1, u2, scalar FROM vec_elems JOIN gauss USING (vec_id, pos) JOIN one USING (vec_id)),
+  m AS (SELECT *, sum(x * g) OVER w AS d, sqrt(sum(g * g) OVER w) AS gn FROM v WINDOW w AS (PARTITION BY vec_id)),
+  o AS (SELECT *, (g - x * d) / sqrt(sum((g - x * d) * (g - x * d)) OVER (PARTITION BY vec_id)) AS q FROM m),
+  raw AS (SELECT vec_id, pos, x, __RAW__ AS y FROM o),
+  y AS (SELECT vec_id, pos, x, y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)) AS y FROM raw)"""
+_RAW = {
+    "GaussElem": "x + g * {vec_norm} / sqrt(64)",
+    "GaussVec": "x + g / gn * scalar * {vec_norm}",
+    "GaussAngle": "x * cos(radians(greatest(least(scalar * {angle_std}, {angle_max}), -{angle_max}))) + q * sin(radians(greatest(least(scalar * {angle_std}, {angle_max}), -{angle_max})))",
+    "UniformAngle": "x * cos(radians({angle_min} + u1 * ({angle_max} - {angle_min}))) + q * sin(radians({angle_min} + u1 * ({angle_max} - {angle_min})))",
+}
+_RAW["GaussElemUniformAngle"] = "CASE WHEN u2 < {mix_ratio} THEN " + _RAW["UniformAngle"] + " ELSE " + _RAW["GaussElem"] + " END"
+
+
+def _noise_query(name: str, scheme: str, **options):
+    """Noisy vectors: their norm, their angle to the row's vector and a weighted sum of their elements."""
+
+    @query(name, "vec_elems", "WITH " + _DRAWS.strip().replace("__RAW__", _RAW[scheme].format(**options)) + """
+    SELECT vec_id, count(*)::INT AS dim, round(sqrt(sum(y * y)), 5) AS norm, round(degrees(acos(least(sum(x * y) / sqrt(sum(x * x)), 1.0))), 2) AS angle, round(sum(y * (pos + 1)), 2) AS weighted
+    FROM y GROUP BY vec_id""")
     def _(spark, sf):
         x = F.col("embedding")
         rows = X.embeddings(spark, sf).withColumn("noisy", add_noise(x, F.col("vec_id"), X.SEED, scheme, **options))
         a, b = V.as_double(x), V.as_double(F.col("noisy"))
         angle = V.angle_degrees(V.dot(V.normalise(a), V.normalise(b)))
-        return rows.select("vec_id", F.size("noisy").alias("dim"), F.round(V.norm(b), 5).alias("norm"), angle.between(low, high).alias("angle_ok"))
+        weighted = V.vec_sum(F.transform(b, lambda y, i: y * (i + 1)))
+        return rows.select("vec_id", F.size("noisy").alias("dim"), F.round(V.norm(b), 5).alias("norm"), F.round(angle, 2).alias("angle"), F.round(weighted, 2).alias("weighted"))
 
 
-_noise_query("e11_noise_gauss_elem", "GaussElem", 1e-3, 45.0, vec_norm=0.3)
-_noise_query("e12_noise_gauss_vec", "GaussVec", 0.0, 90.0, vec_norm=0.3)
-_noise_query("e13_noise_gauss_angle", "GaussAngle", 0.0, 15.001, angle_std=10.0, angle_max=15.0)
-_noise_query("e14_noise_uniform_angle", "UniformAngle", 4.999, 20.001, angle_min=5.0, angle_max=20.0)
-_noise_query("e15_noise_mix", "GaussElemUniformAngle", 1e-3, 45.0, vec_norm=0.3, angle_min=5.0, angle_max=20.0, mix_ratio=0.4)
+_noise_query("e11_noise_gauss_elem", "GaussElem", vec_norm=0.3)
+_noise_query("e12_noise_gauss_vec", "GaussVec", vec_norm=0.3)
+_noise_query("e13_noise_gauss_angle", "GaussAngle", angle_std=10.0, angle_max=15.0)
+_noise_query("e14_noise_uniform_angle", "UniformAngle", angle_min=5.0, angle_max=20.0)
+_noise_query("e15_noise_mix", "GaussElemUniformAngle", vec_norm=0.3, angle_min=5.0, angle_max=20.0, mix_ratio=0.4)
 
 
-@query("e18_text_embeddings", "vocab_nouns", "SELECT id, noun, 1.0::DOUBLE AS norm FROM vocab_nouns")
+@query("e18_text_embeddings", "vocab_nouns", """
+    WITH h AS (SELECT noun, i, ('0x' || substr(md5('7|' || substr('  ' || noun || ' ', i, 3)), 1, 15))::BIGINT AS h FROM (SELECT DISTINCT noun FROM vocab_nouns), unnest(range(1, length(noun) + 2)) r(i)),
+         s AS (SELECT noun, h % 64 AS place, sum(CASE WHEN h // 64 % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY ALL),
+         e AS (SELECT noun, round(sum(x * (place + 1)) / greatest(sqrt(sum(x * x)), 1e-12), 1) AS weighted, count(*) FILTER (WHERE x <> 0) AS n_used FROM s GROUP BY noun)
+    SELECT id, noun, weighted, n_used FROM vocab_nouns JOIN e USING (noun)""")
 def _(spark, sf):
     from ..operators.vocab import explode_nouns
 
     rows = explode_nouns(X.vocab(spark, sf)).select("id", F.col("noun"))
     embedded = embed_texts(rows, hashing_model(64, X.SEED), text="noun")
-    return embedded.select("id", "noun", F.round(V.norm(V.as_double(F.col("embedding"))), 5).alias("norm"))
+    x = V.as_double(F.col("embedding"))
+    weighted = V.vec_sum(F.transform(x, lambda y, i: y * (i + 1)))
+    return embedded.select("id", "noun", F.round(weighted, 1).alias("weighted"), F.size(F.filter(x, lambda y: y != 0)).cast("long").alias("n_used"))

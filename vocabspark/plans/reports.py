@@ -56,7 +56,11 @@ def model_max_report(preds: DataFrame, ann: DataFrame) -> DataFrame:
 
 
 def grid_report(preds: DataFrame, ann: DataFrame, k: int) -> DataFrame:
-    return S.score_grid(S.topk_scores(S.attach_category(preds, ann), k))
+    """Each model's best decoding per k, with its distance from the best decoding's mean over the models."""
+    grid = S.score_grid(S.topk_scores(S.attach_category(preds, ann), k))
+    top = grid.filter("kind = 'top'").select("k", F.col("score").alias("top"))
+    best = grid.filter("kind = 'max'").join(top, "k")
+    return best.select("file", "k", "score", "ratio", (F.col("score") - F.col("top")).alias("above_mean")).orderBy("k", F.desc("score"), "file")
 
 
 def specificity_report(preds: DataFrame, ann: DataFrame, spec: DataFrame, strict: bool = True) -> DataFrame:
