@@ -161,9 +161,9 @@ def test_pack_requests(spark):
     rng = random.Random(5)
     rows = sorted((f"i{rng.randrange(60):02d}", r, rng.randrange(100, 900), rng.randrange(50, 200)) for r in range(300))
     df = spark.createDataFrame(rows, "image string, request long, num_bytes long, num_tokens long")
-    got = A.pack_requests(df, 20, 9000, 4000, shards=1).collect()
+    got = A.pack_requests(df, 20, 9000, 4000).collect()
     assert {(r["image"], r["request"]): r["batch"] for r in got} == pack(rows, 20, 9000, 4000)
-    many = A.pack_requests(df, 20, 9000, 4000, shards=3).collect()
+    many = A.pack_requests(df, 20, 9000, 4000, images_per_shard=12).collect()
     by_shard = {}
     for r in many:
         by_shard.setdefault(r["shard"], []).append(r)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.keys import digest_bucket, seeded_digest
+from ..functions.keys import digest_bucket, digest_long, seeded_digest
 from ..functions.text import canon, squeeze
 from ..session import cut_lineage
 from .ordinals import bucketed_rank, ranged_sums
@@ -24,13 +24,8 @@ TOKENS_PER_IMAGE = 85
 USD_PER_MILLION_IN = 5
 USD_PER_MILLION_OUT = 15
 
-# Fixed value: the instruction that goes with every request.
-SYSTEM_TEXT = (
-    "You are an AI assistant that has one and only one narrow task that you should strictly adhere to at all times. Given an image and an enumerated list of nouns by the user, "
-    "you should first describe everything you see in the image in complete detail, and then provide an exactly matching enumerated list that for each noun provided by the user "
-    "(explicitly repeat the noun) strictly classifies the noun into one of exactly two categories using a single word - Correct or Incorrect. Correct means that at least one "
-    "instance of the noun is visible in the image. Incorrect means nothing very visually similar to the noun is visible in the image."
-)
+# Fixed value: the length of the instruction that goes with every request.
+SYSTEM_CHARS = 639
 
 
 @dataclass(frozen=True)
@@ -139,40 +134,40 @@ def request_texts(lists: DataFrame, seed: int | None = None) -> DataFrame:
     grouped = lists.groupBy("image", "request").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["noun"]).alias("nouns"))
     lines = F.transform("nouns", lambda noun, i: F.concat((i + 1).cast("string"), F.lit(") "), noun))
     text = F.array_join(lines, "\n")
-    tokens = F.lit(len(SYSTEM_TEXT) / CHARS_PER_TOKEN) + (F.lit(float(TOKENS_PER_IMAGE)) + F.length(text) / F.lit(CHARS_PER_TOKEN))
+    tokens = F.lit(SYSTEM_CHARS / CHARS_PER_TOKEN) + (F.lit(float(TOKENS_PER_IMAGE)) + F.length(text) / F.lit(CHARS_PER_TOKEN))
     return grouped.select("image", "request", "nouns", text.alias("text"), F.bround(tokens).cast("long").alias("num_tokens"))
 
 
-def pack_requests(requests: DataFrame, max_requests: int, max_bytes: int, max_tokens: int, shards: int = 1) -> DataFrame:
+def pack_requests(requests: DataFrame, max_requests: int, max_bytes: int, max_tokens: int, images_per_shard: int = 50_000) -> DataFrame:
     """Greedy batches of requests (image, request, num_bytes, num_tokens), cut at image boundaries.
 
     A batch closes after an image once it reaches a limit, the token limit with room for ten more
-    requests of the last size. Images are spread over `shards` by hash and each shard is packed on its
-    own in image order: the fold streams over its sorted rows with a few counters.
+    requests of the last size. Images are dealt to shards by digest, as many shards as they need, and each shard is
+    packed on its own in image order. The fold sees one row per image, its sums, and keeps a few counters.
     """
-    schema = "shard int, batch int, image string, request long, num_bytes long, num_tokens long"
-    rows = (
-        requests.select(F.pmod(F.xxhash64("image"), F.lit(shards)).cast("int").alias("shard"), "image", F.col("request").cast("long").alias("request"),
-                        F.col("num_bytes").cast("long").alias("num_bytes"), F.col("num_tokens").cast("long").alias("num_tokens"))
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "image", "request")
-    )
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, image, batch, count, size, tokens, last = None, None, 0, 0, 0, 0, 0
-        for frame in batches:
+    rows = requests.select("image", *[F.col(c).cast("long").alias(c) for c in ("request", "num_bytes", "num_tokens")])
+    sums = cut_lineage(rows.groupBy("image").agg(
+        F.count("*").alias("n"), F.sum("num_bytes").alias("size"), F.sum("num_tokens").alias("tokens"), F.max_by("num_tokens", "request").alias("last")
+    ))
+    shards = 1 + sums.count() // images_per_shard
+    placed = sums.withColumn("shard", F.pmod(digest_long(F.md5(F.col("image").cast("binary"))), F.lit(shards)).cast("int"))
+    ordered = placed.select("shard", "image", "n", "size", "tokens", "last").repartition(shards, "shard").sortWithinPartitions("shard", "image")
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, batch, count, size, tokens, last = None, 0, 0, 0, 0, 0
+        for frame in frames:
             numbers = []
-            for row in frame.itertuples(index=False):
-                if row.shard != shard:
-                    shard, image, batch, count, size, tokens = row.shard, None, 0, 0, 0, 0
-                if image is not None and row.image != image:
-                    if count >= max_requests or size >= max_bytes or tokens >= max_tokens - last * 10:
-                        batch, count, size, tokens = batch + 1, 0, 0, 0
-                image, count, size, tokens, last = row.image, count + 1, size + row.num_bytes, tokens + row.num_tokens, row.num_tokens
+            for own, n, bytes_, used, final in zip(*(frame[c].tolist() for c in ("shard", "n", "size", "tokens", "last"))):
+                if own != shard:
+                    shard, batch, count, size, tokens = own, 0, 0, 0, 0
+                elif count >= max_requests or size >= max_bytes or tokens >= max_tokens - last * 10:
+                    batch, count, size, tokens = batch + 1, 0, 0, 0
+                count, size, tokens, last = count + n, size + bytes_, tokens + used, final
                 numbers.append(batch)
-            yield frame.assign(batch=pd.Series(numbers, dtype="int32"))[["shard", "batch", "image", "request", "num_bytes", "num_tokens"]]
+            yield frame.assign(batch=pd.Series(numbers, dtype="int32"))[["shard", "batch", "image"]]
 
-    return rows.mapInPandas(pack, schema)
+    batches = ordered.mapInPandas(pack, "shard int, batch int, image string")
+    return rows.join(batches, "image").select("shard", "batch", "image", "request", "num_bytes", "num_tokens")
 
 
 # Enumerated answer lines (number, then text up to the line end) and the verdict that ends one.
@@ -210,7 +205,8 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     rows = _once(rows, **{name: F.when(strict[name], found(_VERDICT_LINE, mark)).otherwise(F.col(f"all_{name}")) for name, mark in marks.items()})
     use_dots, use_brackets = F.size("dots") == n, F.size("brackets") == n
     first_line = F.when(use_dots, _line_pattern(strict["dots"], marks["dots"])).otherwise(_line_pattern(strict["brackets"], marks["brackets"]))
-    head = F.call_function("substring_index", text, F.regexp_substr(text, first_line), F.lit(1))
+    # the description ends where the first line matches, wherever else its text stands
+    head = F.substr(text, F.lit(1), F.greatest(F.regexp_instr(text, first_line) - 1, F.lit(0)))
     chosen = F.when(use_dots, F.col("dots")).when(use_brackets, F.col("brackets"))
     rows = _once(rows, chosen=chosen, description=squeeze(head))
 

@@ -539,10 +539,12 @@ def with_ctes(names: str, sql: str) -> str:
     seen: dict[str, str] = {}
     _closure(names.split(), seen)
     body = sql.strip()
-    own = ""
+    own, start = "", "WITH "
     if body[:5].upper() == "WITH ":
         own, body = body[5:], ""
+    if own[:10].upper() == "RECURSIVE ":
+        own, start = own[10:], "WITH RECURSIVE "
     parts = [f"{name} AS ({text.strip()})" for name, text in seen.items()]
     if own:
-        return "WITH " + ", ".join([*parts, own])
+        return start + ", ".join([*parts, own])
     return ("WITH " + ", ".join(parts) + "\n" + body) if parts else body

@@ -73,15 +73,27 @@ def _(spark, sf):
 @query("g18_request_texts", "opinion_pairs", f"""
     WITH {_LISTS}, n AS (SELECT *, row_number() OVER (PARTITION BY image, request ORDER BY slot, noun) AS k FROM lists),
          x AS (SELECT image, request, string_agg(k || ') ' || noun, chr(10) ORDER BY k) AS text FROM n GROUP BY ALL)
-    SELECT image, request, text, round_even({len(A.SYSTEM_TEXT)} / 3.8::DOUBLE + 85 + length(text) / 3.8::DOUBLE, 0)::BIGINT AS num_tokens FROM x""")
+    SELECT image, request, text, round_even({A.SYSTEM_CHARS} / 3.8::DOUBLE + 85 + length(text) / 3.8::DOUBLE, 0)::BIGINT AS num_tokens FROM x""")
 def _(spark, sf):
     return A.request_texts(lists(spark, sf)).drop("nouns")
 
 
-@query("l07_packed_requests")
+@query("l07_packed_requests", "opinion_pairs", f"""
+    WITH RECURSIVE {_LISTS}, n AS (SELECT *, row_number() OVER (PARTITION BY image, request ORDER BY slot, noun) AS k FROM lists),
+         x AS (SELECT image, request, string_agg(k || ') ' || noun, chr(10) ORDER BY k) AS text FROM n GROUP BY ALL),
+         r AS (SELECT image, request, length(text) + 1000 AS num_bytes, round_even({A.SYSTEM_CHARS} / 3.8::DOUBLE + 85 + length(text) / 3.8::DOUBLE, 0)::BIGINT AS num_tokens FROM x),
+         i AS (SELECT image, count(*) AS n, sum(num_bytes) AS size, sum(num_tokens) AS tokens, arg_max(num_tokens, request) AS last FROM r GROUP BY image),
+         o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY image) AS pos FROM (
+                 SELECT *, (('0x' || substr(md5(image), 1, 15))::BIGINT % (1 + (SELECT count(*) FROM i) // 200))::INT AS shard FROM i)),
+         f AS (SELECT shard, pos, image, 0 AS batch, n, size, tokens, last FROM o WHERE pos = 1
+               UNION ALL
+               SELECT o.shard, o.pos, o.image, f.batch + CASE WHEN full_up THEN 1 ELSE 0 END, CASE WHEN full_up THEN 0 ELSE f.n END + o.n,
+                      CASE WHEN full_up THEN 0 ELSE f.size END + o.size, CASE WHEN full_up THEN 0 ELSE f.tokens END + o.tokens, o.last
+               FROM (SELECT *, n >= 40 OR size >= 60000 OR tokens >= 20000 - last * 10 AS full_up FROM f) f JOIN o ON o.shard = f.shard AND o.pos = f.pos + 1)
+    SELECT f.shard, f.batch, r.image, r.request, r.num_bytes::BIGINT AS num_bytes, r.num_tokens FROM f JOIN r ON r.image = f.image""")
 def _(spark, sf):
     rows = A.request_texts(lists(spark, sf)).withColumn("num_bytes", F.length("text") + 1000)
-    return A.pack_requests(rows, 40, 60_000, 20_000, shards=4)
+    return A.pack_requests(rows, 40, 60_000, 20_000, images_per_shard=200)
 
 
 _ACCEPT = f"""
