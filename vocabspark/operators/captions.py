@@ -15,11 +15,10 @@ from pyspark.sql import Window as W
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import CAPTION_TAIL, caption_lines, caption_template, fill_template, transliterate
 from ..session import cut_lineage
-from .ordinals import bucketed_rank
+from .ordinals import bucketed_rank, ranged_rank
 from .vocab import explode_nouns, freq_sum
 
 QUOTA_CAP = 10  # frequency above which a noun gets no more captions
-HEAD_ANSWERS = 500  # answers per noun in the first fold
 
 # Fixed value: the request text for a list of captions.
 CAPTION_REQUEST = (
@@ -128,6 +127,7 @@ class _CaptionState:
         self.have: dict[str, dict[str, None]] = {"singular": {}, "plural": {}}
         self.idle = 0
         self.stopped = False
+        self.seen = 0
 
     def missing(self, kind: str) -> int:
         return self.want[kind] - len(self.have[kind])
@@ -135,12 +135,21 @@ class _CaptionState:
     def open(self) -> bool:
         return not self.stopped and (self.missing("singular") > 0 or self.missing("plural") > 0)
 
-    def answer(self, lines) -> list[tuple[str, int, str]]:
+    def close_answer(self) -> None:
+        """Five fruitless answers at the start, or four after an accepted caption, end the noun."""
+        self.stopped = self.stopped or self.idle > 3
+        self.idle += 1
+        self.seen += 1
+
+    def answer(self, ordinal: int, singulars, plurals) -> list[tuple[str, int, str]]:
+        """The answer at this place among the noun's, by the templates of its lines; those skipped since had none."""
+        while self.seen < ordinal and not self.stopped:
+            self.close_answer()
         accepted = []
-        for line in lines:
-            pick = {}
-            for kind in ("singular", "plural"):
-                pick[kind] = next((t for t in line[kind] if t not in self.have[kind]), None)
+        if not self.open():
+            return accepted
+        for singular, plural in zip(singulars, plurals):
+            pick = {kind: next((t for t in line if t not in self.have[kind]), None) for kind, line in (("singular", singular), ("plural", plural))}
             if pick["singular"] and pick["plural"]:
                 # Both fit: it goes to the side that misses more, ties to the plural.
                 drop = "singular" if self.missing("singular") <= self.missing("plural") else "plural"
@@ -150,35 +159,17 @@ class _CaptionState:
                     accepted.append((kind, len(self.have[kind]), template))
                     self.have[kind][template] = None
                     self.idle = 0
-        # Five fruitless answers at the start, or four after an accepted caption, end the noun.
-        if self.idle > 3:
-            self.stopped = True
-        self.idle += 1
+        self.close_answer()
         return accepted
 
 
-def collect_captions(answers: DataFrame, vocab: DataFrame, head: int = HEAD_ANSWERS) -> DataFrame:
+def collect_captions(answers: DataFrame, vocab: DataFrame) -> DataFrame:
     """Accepted captions (id, kind, pos, caption, seq) from answers in `seq` order, under the quotas of `vocab`.
 
-    The rule depends on what was accepted before, so each noun's answers run in order. Nearly every
-    noun is settled after a few answers, so the first `head` answers per noun are folded first; the
-    ranked filter cuts every noun before the shuffle, however many answers it has. Only nouns that
-    are still open after that, and have more answers, are folded again over all their answers.
-    """
-    ranked = answers.withColumn("__rank", F.row_number().over(W.partitionBy("id").orderBy("seq")))
-    first = cut_lineage(_fold_captions(ranked.filter(F.col("__rank") <= head).drop("__rank"), vocab))
-    longer = answers.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > head).select("id")
-    rest = first.filter("kind = 'open'").select("id").join(longer, "id", "left_semi")
-    settled = first.filter("kind != 'open'").join(rest, "id", "left_anti")
-    again = _fold_captions(answers.join(rest, "id", "left_semi"), vocab).filter("kind != 'open'")
-    return settled.unionByName(again)
-
-
-def _fold_captions(answers: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Fold each noun's answers in order; a noun that would take more ends with an 'open' row.
-
-    Parsing and matching happen in the JVM. The fold streams over sorted partitions and keeps one
-    noun's accepted captions in memory, never its answers.
+    The rule depends on what was accepted before, so each noun's answers count in order. Parsing and matching
+    happen in the JVM, before the shuffle; an answer in which no line fits is only its place among the noun's answers, so just the
+    fitting lines of the others meet. The fold streams over sorted partitions and keeps one noun's accepted
+    captions in memory, never its answers.
     """
     nouns = vocab.select("id", "pretty_noun", "singulars", "plurals", "num_singular_captions", "num_plural_captions")
     singulars = F.when(F.size("singulars") > 0, F.concat(F.array("pretty_noun"), F.col("singulars"))).otherwise(F.col("singulars"))
@@ -190,37 +181,33 @@ def _fold_captions(answers: DataFrame, vocab: DataFrame) -> DataFrame:
         caption_lines(F.col("content")),
         lambda c: F.struct(matches(c, F.col("names"), "singular").alias("singular"), matches(c, F.col("plurals"), "plural").alias("plural")),
     )
+    fitting = F.filter(lines, lambda x: (F.size(x["singular"]) > 0) | (F.size(x["plural"]) > 0))
+    found = answers.join(nouns, "id").withColumn("names", singulars).select(
+        "id", "seq", "num_singular_captions", "num_plural_captions", F.inline(F.array(F.struct(fitting.alias("lines"))))
+    )
+    places = ranged_rank(answers.select("id", "seq"), ["id"], [F.col("seq")], "ordinal")
+    part = lambda kind: F.transform("lines", lambda x: x[kind]).alias(kind)
     rows = (
-        answers.join(nouns, "id")
-        .withColumn("names", singulars)
-        .select("id", "seq", "num_singular_captions", "num_plural_captions", lines.alias("lines"))
+        found.filter(F.size("lines") > 0)
+        .join(places, ["id", "seq"])
+        .select("id", "seq", "ordinal", "num_singular_captions", "num_plural_captions", part("singular"), part("plural"))
         .repartition("id")
-        .sortWithinPartitions("id", "seq")
+        .sortWithinPartitions("id", "ordinal")
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if row.id != current:
-                    if state is not None and state.open():
-                        out.append((current, "open", 0, None, None))
-                    current, state = row.id, _CaptionState(row.num_singular_captions, row.num_plural_captions)
-                if state.open():
-                    out.extend((row.id, kind, pos, text, row.seq) for kind, pos, text in state.answer(row.lines))
-            yield _caption_frame(out)
-        if state is not None and state.open():
-            yield _caption_frame([(current, "open", 0, None, None)])
+            for own, seq, ordinal, want_s, want_p, singular, plural in zip(*(batch[c] for c in batch.columns)):
+                if own != current:
+                    current, state = own, _CaptionState(want_s, want_p)
+                out.extend((own, kind, pos, text, seq) for kind, pos, text in state.answer(ordinal, singular, plural))
+            yield pd.DataFrame(out, columns=["id", "kind", "pos", "caption", "seq"])
 
     return rows.mapInPandas(fold, "id long, kind string, pos int, caption string, seq long")
 
 
-def _caption_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["id", "kind", "pos", "caption", "seq"])
-    return frame.astype({"seq": "Int64"})
-
-
 def join_captions(captions: DataFrame, vocab: DataFrame) -> DataFrame:
     """Dotted captions of vocabulary nouns with `target_noun`."""
     return captions.join(vocab.select("id", "target_noun"), "id").withColumn("caption", with_full_stop(F.col("caption")))

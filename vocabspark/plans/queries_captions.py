@@ -93,7 +93,30 @@ def _(spark, sf):
     return C.templated_captions(captions, X.vocab(spark, sf)).select("seq", "line", "singular_template", "plural_template")
 
 
-@query("f07_collected_captions")
+_FIT = r"""list_filter(list_transform({names}, lambda n: CASE WHEN regexp_matches(caption, '(^|\s)(' || n || ')(\.)?(''s?|[,.?!:])?(\s|$)', 'i')
+               THEN rtrim(regexp_replace(caption, '(^|\s)(' || n || ')(\.)?(''s?|[,.?!:])?(\s|$)', '\1{{{field}}}\4\5', 'gi'), ',.?!:') END), lambda t: t IS NOT NULL)"""
+_SINGULAR = _FIT.format(names="CASE WHEN len(singulars) > 0 THEN list_prepend(pretty_noun, singulars) ELSE singulars END", field="singular")
+
+
+@query("f07_collected_captions", "caption_lines vocab vocab_nouns", f"""
+    WITH RECURSIVE {_QUOTA},
+         w AS (SELECT v.*, coalesce(s.quota, 0) AS want_s, coalesce(p.quota, 0) AS want_p FROM vocab v LEFT JOIN quota s ON s.id = v.id AND s.kind = 'singular' LEFT JOIN quota p ON p.id = v.id AND p.kind = 'plural'),
+         c AS (SELECT l.id, l.seq, l.pos, CASE WHEN numbered THEN {_SINGULAR} ELSE [] END AS s, CASE WHEN numbered THEN {_FIT.format(names="plurals", field="plural")} ELSE [] END AS p, want_s, want_p
+               FROM caption_lines l JOIN w ON w.id = l.id),
+         o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq, pos) AS step, pos = min(pos) OVER (PARTITION BY id, seq) AS first, pos = max(pos) OVER (PARTITION BY id, seq) AS final FROM c),
+         f AS (SELECT id, 0::BIGINT AS step, []::VARCHAR[] AS hs, []::VARCHAR[] AS hp, 0 AS idle, false AS stopped, true AS live, NULL::VARCHAR AS kind, NULL::INT AS pos, NULL::VARCHAR AS caption, NULL::BIGINT AS seq
+               FROM (SELECT DISTINCT id FROM o)
+               UNION ALL
+               SELECT id, step, CASE WHEN took = 'singular' THEN list_append(hs, pick_s) ELSE hs END, CASE WHEN took = 'plural' THEN list_append(hp, pick_p) ELSE hp END,
+                      CASE WHEN took IS NULL THEN idle ELSE 0 END + CASE WHEN final AND live THEN 1 ELSE 0 END,
+                      stopped OR (final AND live AND took IS NULL AND idle > 3), live, took, CASE took WHEN 'singular' THEN len(hs) WHEN 'plural' THEN len(hp) END::INT,
+                      CASE took WHEN 'singular' THEN pick_s WHEN 'plural' THEN pick_p END, seq
+               FROM (SELECT *, CASE WHEN NOT live THEN NULL WHEN pick_s IS NOT NULL AND pick_p IS NOT NULL THEN CASE WHEN want_s - len(hs) <= want_p - len(hp) THEN 'plural' ELSE 'singular' END
+                                    WHEN pick_s IS NOT NULL THEN 'singular' WHEN pick_p IS NOT NULL THEN 'plural' END AS took
+                     FROM (SELECT o.*, f.hs, f.hp, f.idle, f.stopped, CASE WHEN o.first THEN NOT f.stopped AND (len(f.hs) < want_s OR len(f.hp) < want_p) ELSE f.live END AS live,
+                                  list_filter(o.s, lambda t: NOT list_contains(f.hs, t))[1] AS pick_s, list_filter(o.p, lambda t: NOT list_contains(f.hp, t))[1] AS pick_p
+                           FROM f JOIN o ON o.id = f.id AND o.step = f.step + 1)))
+    SELECT id, kind, pos, caption, seq FROM f WHERE kind IS NOT NULL""")
 def _(spark, sf):
     vocab = C.caption_quotas(X.vocab(spark, sf), PER_FREQ)
     return C.collect_captions(X.caption_answers(spark, sf), vocab)
