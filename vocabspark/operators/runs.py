@@ -61,6 +61,21 @@ def pick_by_pattern(results: DataFrame, patterns: dict[str, str]) -> DataFrame:
     ).select("model_dir", "model_name", "column", "r.*", "n_options")
 
 
+def class_results(runs: DataFrame, dataset: str) -> DataFrame:
+    """Per model the newest class evaluation of a dataset that has any result: valid, direct, fixed, guided."""
+    values = {"valid": "valid", "direct": "direct", "fixed": "fixed", "guided": "noun_top1"}
+    rows = runs.filter((F.col("action") == "eval_cls") & (F.col("dataset") == dataset) & F.coalesce(*values.values()).isNotNull())
+    newest = F.min_by(F.struct(*[F.col(c).alias(n) for n, c in values.items()]), _recent())
+    return rows.groupBy("model_dir", "model_name").agg(newest.alias("r")).select("model_dir", "model_name", "r.*")
+
+
+def model_headers(runs: DataFrame) -> DataFrame:
+    """Tag and command per model, of its newest run, and whether all its runs have the same."""
+    newest = F.min_by(F.struct("tag", "command"), _recent())
+    same = (F.countDistinct("tag") <= 1) & (F.countDistinct("command") <= 1)
+    return runs.groupBy("model_dir", "model_name").agg(newest.alias("r"), same.alias("consistent")).select("model_dir", "model_name", "r.*", "consistent")
+
+
 # The marker and prediction lines of a run log.
 _START_LINE = r"(?md)\] Inferencing loaded model on the generated embeddings\.\.\.$"
 _END_LINE = r"(?md)\] -{40,}$"

@@ -314,22 +314,26 @@ def target_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run rows from orders: action by status, model by customer, dataset by priority."""
     action = F.when(F.col("o_orderstatus") == "F", "eval").when(F.col("o_orderstatus") == "O", "eval_cls").otherwise("infer")
+    key, priority, price = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_totalprice")
     dataset = (
-        F.when(F.col("o_orderstatus") == "O", "ImageNet1K")
-        .when(F.col("o_orderpriority") == "1-URGENT", "noun_dataset_cache_vt6.bin")
-        .when(F.col("o_orderpriority") == "2-HIGH", "noun_dataset2_cache_vt6.bin")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "captions2_cache_vt6.bin")
-        .when(F.col("o_orderpriority") == "5-LOW", "cls_cifar10_valid_guide_vt6.bin")
+        F.when(F.col("o_orderstatus") == "O", F.when(key % 8 == 3, "classes22k").otherwise("classes1k"))
+        .when(priority == "1-URGENT", "nouns_v6.bin").when(priority == "2-HIGH", "nouns2_v6.bin").when(priority == "3-MEDIUM", "captions2_v6.bin")
+        .when(priority == "5-LOW", "shapes_valid_guide_v6.bin").when(key % 2 == 0, "shapes_valid_multi_v6.bin")
     )
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), action.alias("action"),
-        F.when(F.col("o_orderkey") % 9 == 0, "crashed").otherwise("finished").alias("state"),
+        key.alias("run_id"), F.col("o_orderdate").alias("created_at"), action.alias("action"),
+        F.when(key % 9 == 0, "crashed").otherwise("finished").alias("state"),
         F.concat(F.lit("host-"), (F.col("o_custkey") % 7).cast("string")).alias("host"),
         F.concat(F.lit("dir_"), (F.expr("o_custkey div 4")).cast("string")).alias("model_dir"),
         F.concat(F.lit("m"), (F.col("o_custkey") % 4).cast("string")).alias("model_name"),
         dataset.alias("dataset"),
-        (F.col("o_totalprice") / 500000).alias("noun_top1"),
-        (F.col("o_totalprice") / 600000).alias("top1"),
+        (price / 500000).alias("noun_top1"),
+        (price / 600000).alias("top1"),
+        F.when(key % 97 == 0, "tag_x").otherwise(F.concat(F.lit("tag_"), (F.col("o_custkey") % 5).cast("string"))).alias("tag"),
+        F.concat(F.lit("train --size "), (F.col("o_custkey") % 3).cast("string")).alias("command"),
+        F.when(F.col("o_orderstatus") != "F", price / 700000).alias("valid"),
+        F.when((F.col("o_orderstatus") == "O") & (key % 4 != 0), price / 800000).alias("direct"),
+        F.when(F.col("o_orderstatus") == "O", price / 900000).alias("fixed"),
     )
 
 
@@ -501,10 +505,13 @@ CTES: dict[str, tuple[str, str]] = {
                CASE o_orderstatus WHEN 'F' THEN 'eval' WHEN 'O' THEN 'eval_cls' ELSE 'infer' END AS action,
                CASE WHEN o_orderkey % 9 = 0 THEN 'crashed' ELSE 'finished' END AS state,
                'host-' || (o_custkey % 7) AS host, 'dir_' || (o_custkey // 4) AS model_dir, 'm' || (o_custkey % 4) AS model_name,
-               CASE WHEN o_orderstatus = 'O' THEN 'ImageNet1K' ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'noun_dataset_cache_vt6.bin'
-                    WHEN '2-HIGH' THEN 'noun_dataset2_cache_vt6.bin' WHEN '3-MEDIUM' THEN 'captions2_cache_vt6.bin'
-                    WHEN '5-LOW' THEN 'cls_cifar10_valid_guide_vt6.bin' END END AS dataset,
-               o_totalprice / 500000 AS noun_top1, o_totalprice / 600000 AS top1
+               CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 8 = 3 THEN 'classes22k' ELSE 'classes1k' END ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'nouns_v6.bin'
+                    WHEN '2-HIGH' THEN 'nouns2_v6.bin' WHEN '3-MEDIUM' THEN 'captions2_v6.bin' WHEN '5-LOW' THEN 'shapes_valid_guide_v6.bin'
+                    ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'shapes_valid_multi_v6.bin' END END END AS dataset,
+               o_totalprice / 500000 AS noun_top1, o_totalprice / 600000 AS top1,
+               CASE WHEN o_orderkey % 97 = 0 THEN 'tag_x' ELSE 'tag_' || (o_custkey % 5) END AS tag, 'train --size ' || (o_custkey % 3) AS command,
+               CASE WHEN o_orderstatus <> 'F' THEN o_totalprice / 700000 END AS valid, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 <> 0 THEN o_totalprice / 800000 END AS direct,
+               CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 900000 END AS fixed
         FROM orders"""),
     "run_metrics": ("", r"""
         SELECT user_id AS run_id, ts, event_id, value AS loss_sum, k + 1 AS loss_basis, event_id % (k + 1) AS correct, k + 1 AS tokens

@@ -13,12 +13,14 @@ from . import reports as RP
 from .registry import query
 
 PATTERNS = {
-    "eval_dataset": r"noun_dataset_cache_vt[0-9]+\.bin",
-    "eval_dataset2": r"noun_dataset2_cache_vt[0-9]+\.bin",
-    "eval_captions2": r"captions2_cache_vt[0-9]+\.bin",
-    "any_nouns": r"noun_dataset[0-9]?_cache_vt[0-9]+\.bin",
-    "cifar10": r"cls_cifar10_valid_(guide|class)_vt[0-9]+\.bin",
+    "eval_nouns": r"nouns_v[0-9]+\.bin",
+    "eval_nouns2": r"nouns2_v[0-9]+\.bin",
+    "eval_captions2": r"captions2_v[0-9]+\.bin",
+    "any_nouns": r"nouns[0-9]?_v[0-9]+\.bin",
 }
+PAIRS = {"shapes": r"shapes_valid_$TYPE_v[0-9]+\.bin"}
+CLASSES = "classes1k"
+_ALL = PATTERNS | {f"shapes_{kind}": PAIRS["shapes"].replace("$TYPE", kind) for kind in ("multi", "guide")}
 
 _PICKED = """
   ev AS (SELECT model_dir, model_name, dataset, arg_min(noun_top1, (-epoch_us(created_at), run_id)) AS noun_top1, arg_min(top1, (-epoch_us(created_at), run_id)) AS top1,
@@ -26,8 +28,16 @@ _PICKED = """
   pats AS (SELECT * FROM (VALUES {values}) p(col, pat)),
   picked AS (SELECT model_dir, model_name, col AS "column", arg_min(noun_top1, first) AS noun_top1, arg_min(top1, first) AS top1, count(*) AS n_options
              FROM ev JOIN pats ON regexp_full_match(dataset, pat) GROUP BY ALL)""".format(
-    values=", ".join(f"('{k}', '{v}')" for k, v in PATTERNS.items())
+    values=", ".join(f"('{k}', '{v}')" for k, v in _ALL.items())
 )
+_TOP1 = ", ".join([f"max(noun_top1) FILTER (WHERE \"column\" = '{c}') AS {c}" for c in _ALL] + [f"max(top1) FILTER (WHERE \"column\" = '{c}') AS {c}_token" for c in PATTERNS])
+_BOARD = f"""
+  heads AS (SELECT model_dir, model_name, arg_min(tag, (-epoch_us(created_at), run_id)) AS tag, arg_min(command, (-epoch_us(created_at), run_id)) AS command,
+                   count(DISTINCT tag) <= 1 AND count(DISTINCT command) <= 1 AS consistent FROM runs GROUP BY ALL),
+  cls AS (SELECT model_dir, model_name, valid, direct, fixed, noun_top1 AS guided FROM runs WHERE action = 'eval_cls' AND dataset = '{CLASSES}' AND coalesce(valid, direct, fixed, noun_top1) IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY model_dir, model_name ORDER BY created_at DESC, run_id) = 1),
+  tops AS (SELECT model_dir, model_name, {_TOP1} FROM picked GROUP BY ALL),
+  board AS (SELECT * FROM heads LEFT JOIN tops USING (model_dir, model_name) LEFT JOIN cls USING (model_dir, model_name))"""
 
 
 @query("pf10_filtered_runs", "runs", """
@@ -49,13 +59,17 @@ def _(spark, sf):
 
 @query("a32_eval_results", "runs", f'WITH {_PICKED.strip()} SELECT model_dir, model_name, "column", noun_top1, top1, n_options FROM picked')
 def _(spark, sf):
-    return R.pick_by_pattern(R.eval_results(X.runs(spark, sf)), PATTERNS)
+    return R.pick_by_pattern(R.eval_results(X.runs(spark, sf)), _ALL)
 
 
-@query("r05_eval_report", "runs", f"""
-    WITH {_PICKED.strip()} SELECT model_dir, model_name, {', '.join(f"max(noun_top1) FILTER (WHERE \"column\" = '{c}') AS {c}" for c in PATTERNS)} FROM (SELECT DISTINCT model_dir, model_name FROM runs) LEFT JOIN picked USING (model_dir, model_name) GROUP BY ALL""")
+@query("a32_class_results", "runs", f"WITH {_PICKED.strip()}, {_BOARD.strip()} SELECT * FROM cls")
 def _(spark, sf):
-    return RP.eval_report(X.runs(spark, sf), PATTERNS)
+    return R.class_results(X.runs(spark, sf), CLASSES)
+
+
+@query("r05_eval_report", "runs", f"WITH {_PICKED.strip()}, {_BOARD.strip()} SELECT * FROM board")
+def _(spark, sf):
+    return RP.eval_report(X.runs(spark, sf), PATTERNS, PAIRS, CLASSES)
 
 
 _LOGGED = """
@@ -68,15 +82,15 @@ def _(spark, sf):
 
 
 _LATEST = """
-  newest AS (SELECT model_dir, model_name, arg_min(run_id, (-epoch_us(created_at), run_id)) AS run_id FROM runs WHERE action = 'infer' AND run_id IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL)"""
+  newest AS (SELECT model_dir, model_name, arg_min(run_id, (-epoch_us(created_at), run_id)) AS run_id, arg_min(tag, (-epoch_us(created_at), run_id)) AS tag, arg_min(valid, (-epoch_us(created_at), run_id)) AS valid FROM runs WHERE action = 'infer' AND run_id IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL)"""
 
 
 @query("r06_infer_report", "run_logs", f"""
     WITH {_LOGGED.strip()}, {_LATEST.strip()}
-    SELECT n.model_dir, n.model_name, n.run_id, {', '.join(f"coalesce(max(pred) FILTER (WHERE sample = 'img_{i}.jpg'), '-') AS img_{i}" for i in range(1, 8))}
+    SELECT n.model_dir, n.model_name, n.run_id, n.tag, n.valid, {', '.join(f"coalesce(max(pred) FILTER (WHERE sample = 'img_{i}.jpg'), '-') AS img_{i}" for i in range(1, 8))}
     FROM newest n LEFT JOIN said s ON s.run_id = n.run_id GROUP BY ALL""")
 def _(spark, sf):
-    return RP.infer_report(X.run_logs(spark, sf), [f"img_{i}.jpg" for i in range(1, 8)])
+    return RP.infer_report(X.run_logs(spark, sf))
 
 
 def annotations(spark, sf):
@@ -94,15 +108,16 @@ _SCORES = """
 
 
 @query("r07_all_report", "run_logs", f"""
-    WITH {_PICKED.strip()}, {_LOGGED.strip()}, {_LATEST.strip()}, {_SCORES.strip()},
-         e AS (SELECT model_dir, model_name, max(noun_top1) FILTER (WHERE "column" = 'eval_captions2') AS eval_captions2 FROM (SELECT DISTINCT model_dir, model_name FROM runs) LEFT JOIN picked USING (model_dir, model_name) GROUP BY ALL)
-    SELECT model_dir, model_name, eval_captions2, coalesce(n, 0) AS n, round(coalesce(tenths, 0) / 10.0, 6)::DOUBLE AS score, round(tenths / 10.0 / n, 6)::DOUBLE AS score_ratio
-    FROM e FULL JOIN sc USING (model_dir, model_name)""")
+    WITH {_PICKED.strip()}, {_BOARD.strip()}, {_LOGGED.strip()}, {_LATEST.strip()}, {_SCORES.strip()},
+         i AS (SELECT w.model_dir, w.model_name, w.valid AS infer_valid, sc.n, sc.tenths FROM newest w LEFT JOIN sc USING (model_dir, model_name))
+    SELECT model_dir, model_name, coalesce(tag, '-') AS tag, coalesce(command, '-') AS command, eval_captions2, eval_captions2_token, valid, direct, fixed, guided, shapes_multi, shapes_guide, infer_valid,
+           coalesce(n, 0) AS n, round(coalesce(tenths, 0) / 10.0, 6)::DOUBLE AS score, round(tenths / 10.0 / n, 6)::DOUBLE AS score_ratio
+    FROM board FULL JOIN i USING (model_dir, model_name)""")
 def _(spark, sf):
-    report = RP.all_report(X.run_logs(spark, sf), X.runs(spark, sf), annotations(spark, sf), {"eval_captions2": PATTERNS["eval_captions2"]})
-    return report.select(
-        "model_dir", "model_name", "eval_captions2", "n", F.round("score", 6).alias("score"), F.round("score_ratio", 6).alias("score_ratio")
-    )
+    captions = {"eval_captions2": PATTERNS["eval_captions2"]}
+    report = RP.all_report(X.run_logs(spark, sf), X.runs(spark, sf), annotations(spark, sf), captions, PAIRS, CLASSES)
+    shown = ["tag", "command", "eval_captions2", "eval_captions2_token", "valid", "direct", "fixed", "guided", "shapes_multi", "shapes_guide", "infer_valid", "n"]
+    return report.select("model_dir", "model_name", *shown, F.round("score", 6).alias("score"), F.round("score_ratio", 6).alias("score_ratio"))
 
 
 @query("j10_merged_results", "runs", """
@@ -133,8 +148,9 @@ def run_documents(spark, sf):
 _FLAT = """
   flat AS (SELECT model_dir AS grp, run_id AS doc, unnest(['action', 'cfg.dataset', 'cfg.depth', 'infer.host']) AS key, unnest([action, dataset, '3', host]) AS value FROM runs
            UNION ALL SELECT model_dir, run_id, 'infer.even', '1' FROM runs WHERE run_id % 2 = 0),
-  diff AS (SELECT f.grp, f.key, count(DISTINCT value) AS n_values, count(value) AS n_present, any_value(n_docs) AS n_docs FROM flat f JOIN (SELECT model_dir AS grp, count(*) AS n_docs FROM runs GROUP BY ALL) d ON d.grp = f.grp
-           GROUP BY f.grp, f.key HAVING count(DISTINCT value) + CASE WHEN count(value) < any_value(n_docs) THEN 1 ELSE 0 END > 1)"""
+  docs AS (SELECT model_dir AS grp, count(*) AS n_docs FROM runs GROUP BY model_dir),
+  keyed AS (SELECT grp, key, count(DISTINCT value) AS n_values, count(value) AS n_present FROM flat GROUP BY grp, key),
+  diff AS (SELECT grp, key, n_values, n_present, n_docs FROM keyed JOIN docs USING (grp) WHERE n_values + CASE WHEN n_present < n_docs THEN 1 ELSE 0 END > 1)"""
 
 
 @query("a27_differing_fields", "runs", f"WITH {_FLAT.strip()} SELECT * FROM diff")
@@ -143,7 +159,7 @@ def _(spark, sf):
     return R.differing_fields(flat, ["grp"], "doc")
 
 
-@query("r08_diff_report", "runs", f"WITH {_FLAT.strip()} SELECT f.grp, f.key, f.doc, f.value FROM flat f JOIN diff d ON d.grp = f.grp AND d.key = f.key")
+@query("r08_diff_report", "runs", f"WITH {_FLAT.strip()} SELECT grp, key, doc, value FROM flat SEMI JOIN diff USING (grp, key)")
 def _(spark, sf):
     return RP.diff_report(run_documents(spark, sf), ["grp"], "doc")
 

@@ -67,38 +67,53 @@ def specificity_report(preds: DataFrame, ann: DataFrame, spec: DataFrame, strict
     return S.specificity_scores(preds, ann, spec, strict)
 
 
-def eval_report(runs: DataFrame, patterns: dict[str, str], sort: str | None = None) -> DataFrame:
-    """One row per model of any run, with the first result of each named dataset pattern."""
-    keys = ["model_dir", "model_name"]
-    picked = R.pick_by_pattern(R.eval_results(runs), patterns)
-    columns = [F.max(F.when(F.col("column") == name, F.col("noun_top1"))).alias(name) for name in patterns]
-    report = runs.select(*keys).distinct().join(picked.groupBy(*keys).agg(*columns), keys, "left")
+MODEL = ["model_dir", "model_name"]
+
+
+def _top1_columns(patterns: dict[str, str], pairs: dict[str, str]) -> tuple[dict[str, str], list]:
+    """All patterns by column, pairs once for each kind, and the columns: noun and token top-1, for pairs the noun's."""
+    kinds = {f"{name}_{kind}": pattern.replace("$TYPE", kind) for name, pattern in pairs.items() for kind in ("multi", "guide")}
+    value = lambda name, field: F.max(F.when(F.col("column") == name, F.col(field)))
+    columns = [value(n, "noun_top1").alias(n) for n in (*patterns, *kinds)] + [value(n, "top1").alias(f"{n}_token") for n in patterns]
+    return patterns | kinds, columns
+
+
+def eval_report(runs: DataFrame, patterns: dict[str, str], pairs: dict[str, str], classes: str, sort: str | None = None) -> DataFrame:
+    """One row per model of any run: tag, command, the first result of each named dataset pattern (noun and token
+    top-1), both kinds of each paired pattern, and the class evaluation of the dataset `classes`."""
+    named, columns = _top1_columns(patterns, pairs)
+    picked = R.pick_by_pattern(R.eval_results(runs), named).groupBy(*MODEL).agg(*columns)
+    report = R.model_headers(runs).join(picked, MODEL, "left").join(R.class_results(runs, classes), MODEL, "left")
     return order_report(report, sort) if sort else report
 
 
-def infer_report(logs: DataFrame, samples: list[str]) -> DataFrame:
-    """Newest infer run per model with its prediction for each named sample, '-' where it has none."""
-    newest = R.latest_per_model(logs.filter("action = 'infer'")).drop("created_at")
+def infer_report(logs: DataFrame, samples: list[str] | None = None) -> DataFrame:
+    """Newest infer run per model with tag, valid share and its prediction for each sample, '-' where it has none.
+
+    By default all samples seen are columns, in order: as many as a report has.
+    """
+    newest = R.latest_per_model(logs.filter("action = 'infer'"), "tag", "valid").drop("created_at")
     said = R.parse_run_logs(logs).select("run_id", "sample", "pred")
+    if samples is None:
+        samples = sorted(r[0] for r in said.join(newest.select("run_id"), "run_id", "left_semi").select("sample").distinct().collect())
     columns = [
         F.coalesce(F.max(F.when(F.col("sample") == s, F.col("pred"))), F.lit("-")).alias(s.rsplit(".", 1)[0]) for s in samples
     ]
-    return newest.join(said, "run_id", "left").groupBy("model_dir", "model_name", "run_id").agg(*columns)
-
-
-def all_report(logs: DataFrame, runs: DataFrame, ann: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """Eval results and infer scores per model; models with one side only keep defaults on the other."""
-    evals = eval_report(runs, patterns)
-    newest = R.latest_per_model(logs.filter("action = 'infer'")).select("run_id")
-    preds = R.parse_run_logs(logs).join(newest, "run_id", "left_semi")
-    scored = S.attach_category(preds.select("model_dir", "model_name", "sample", "pred"), ann)
-    counts = scored.groupBy("model_dir", "model_name").agg(F.count("*").alias("n"), *S.category_counts(F.col("category")))
-    infers = counts.withColumn("score", S.score_of_counts())
-    joined = evals.join(infers, ["model_dir", "model_name"], "full")
+    return newest.join(said, "run_id", "left").groupBy(*MODEL, "run_id", "tag", "valid").agg(*columns)
+
+
+def all_report(logs: DataFrame, runs: DataFrame, ann: DataFrame, patterns: dict[str, str], pairs: dict[str, str], classes: str) -> DataFrame:
+    """Eval results, class evaluation and infer scores per model; models with one side only keep defaults on the other."""
+    evals = eval_report(runs, patterns, pairs, classes)
+    newest = R.latest_per_model(logs.filter("action = 'infer'"), "valid").select(*MODEL, "run_id", F.col("valid").alias("infer_valid"))
+    preds = R.parse_run_logs(logs).join(newest.select("run_id"), "run_id", "left_semi")
+    scored = S.attach_category(preds.select(*MODEL, "sample", "pred"), ann)
+    counts = scored.groupBy(*MODEL).agg(F.count("*").alias("n"), *S.category_counts(F.col("category")))
+    infers = newest.drop("run_id").join(counts.withColumn("score", S.score_of_counts()), MODEL, "left")
+    joined = evals.join(infers, MODEL, "full")
     filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in [*S.CATEGORY_SCORES, "other", "n"]})
-    return filled.withColumns({
-        "score": F.coalesce("score", F.lit(0.0)), "score_ratio": F.when(F.col("n") > 0, F.col("score") / F.col("n")),
-    })
+    filled = filled.withColumns({"score": F.coalesce("score", F.lit(0.0)), "tag": F.coalesce("tag", F.lit("-")), "command": F.coalesce("command", F.lit("-"))})
+    return filled.withColumn("score_ratio", F.when(F.col("n") > 0, F.col("score") / F.col("n")))
 
 
 def diff_report(docs: DataFrame, by: list[str], doc: str) -> DataFrame:
