@@ -97,3 +97,16 @@ def test_sql_functions_equal_column_functions(spark):
     got = spark.sql("SELECT count_if(a = with_article(n) AND c = canonical_noun(n)) AS n FROM sql_function_nouns").first()["n"]
     assert got == len(nouns)
     assert spark.sql("SELECT decoding_topk('beam_k10_vnone_gn_t1_a0') AS k").first()["k"] == 10
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Ψωμί και Θάλασσα", "Psomi kai Thalassa"), ("Щука, Ёж и Юг", "Shchuka, Iozh i Iug"), ("ＡＢＣ　１２！", "ABC 12!"), ("Straße café – déjà", "Strasse cafe - deja"), ("日本 x", "日本 x")],
+)
+def test_transliteration_of_other_scripts(spark, text, want):
+    from vocabspark.functions.register import register_functions
+
+    row = spark.createDataFrame([(text,)], "t string").select(T.transliterate(F.col("t")).alias("a"), T.canon(F.col("t")).alias("c")).first()
+    assert row.a == want
+    register_functions(spark)
+    assert spark.createDataFrame([(text,)], "t string").selectExpr("canonical_noun(t) AS c").first().c == row.c

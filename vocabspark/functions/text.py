@@ -31,6 +31,17 @@ CAPTION_TAIL = ",.?!:"
 CAPTION_MIN_CHARS = 10
 CAPTION_LINE = r"^\s*\d+\s*\."
 
+# Greek and Cyrillic letters and their Latin forms, in alphabetical order; lower case first, the capitals by rule.
+GREEK = (
+    ("α", "a"), ("β", "b"), ("γ", "g"), ("δ", "d"), ("ε", "e"), ("ζ", "z"), ("η", "e"), ("θ", "th"), ("ι", "i"), ("κ", "k"), ("λ", "l"), ("μ", "m"), ("ν", "n"),
+    ("ξ", "x"), ("ο", "o"), ("π", "p"), ("ρ", "r"), ("σ", "s"), ("ς", "s"), ("τ", "t"), ("υ", "u"), ("φ", "ph"), ("χ", "kh"), ("ψ", "ps"), ("ω", "o"),
+)
+CYRILLIC = (
+    ("а", "a"), ("б", "b"), ("в", "v"), ("г", "g"), ("д", "d"), ("е", "e"), ("ж", "zh"), ("з", "z"), ("и", "i"), ("й", "i"), ("к", "k"), ("л", "l"), ("м", "m"), ("н", "n"),
+    ("о", "o"), ("п", "p"), ("р", "r"), ("с", "s"), ("т", "t"), ("у", "u"), ("ф", "f"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ъ", "'"),
+    ("ы", "y"), ("ь", "'"), ("э", "e"), ("ю", "iu"), ("я", "ia"), ("ё", "io"), ("є", "ie"), ("і", "i"), ("ї", "i"), ("ґ", "g"),
+)
+
 NON_CANON = r"[^ 0-9a-z]"
 SPACES = r"(?U)\s+"
 CANON_BREAKS = r"(?U)[\s/-]+"
@@ -58,12 +69,26 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def _letters() -> dict[str, str]:
+    """Greek and Cyrillic letters of both cases by their Latin forms."""
+    out = {}
+    for lower, latin in (*GREEK, *CYRILLIC):
+        out[lower] = latin
+        out[lower.upper()] = latin.capitalize()
+    return out
+
+
 def _latin_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, from the canonical decompositions."""
+    """Characters and the single ASCII ones they become: accented and full-width forms, and spaces, by their
+    decompositions, Greek and Cyrillic letters of one Latin letter, also accented ones, by the tables."""
+    letters = {c: latin for c, latin in _letters().items() if len(latin) == 1}
     source, target = [], []
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+    for code in (*range(0x00C0, 0x0250), *range(0x0370, 0x0530), *range(0x1E00, 0x200B), *range(0xFF01, 0xFF5F), 0x3000):
         char = chr(code)
+        if code < 0xFF00 and not (char.isalpha() or char.isspace()):
+            continue
         base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        base = letters.get(char, letters.get(base, base))
         if char not in SHORT_TRANSLITERATIONS and len(base) == 1 and base.isascii():
             source.append(char)
             target.append(base)
@@ -74,13 +99,26 @@ def _latin_table() -> tuple[str, str]:
 
 
 LATIN_FROM, LATIN_TO = _latin_table()
+#: Characters that become several ASCII ones, each with its replacement.
+LONG_FORMS = (*LONG_TRANSLITERATIONS, *((c, latin) for c, latin in _letters().items() if len(latin) > 1))
 COMBINING_MARKS = r"[̀-ͯ]"
 
 
+#: Text with letters that only the longer list has; most texts have none and skip it.
+LONG_SCRIPTS = "[" + "".join(c for c, _ in LONG_FORMS[len(LONG_TRANSLITERATIONS):]) + "]"
+
+
+def _replaced(text: Column) -> Column:
+    for source, target in LONG_FORMS[len(LONG_TRANSLITERATIONS):]:
+        text = F.replace(text, F.lit(source), F.lit(target))
+    return text
+
+
 def transliterate(text: Column) -> Column:
-    """ASCII form of Latin text; other scripts pass through (and are flagged by `has_bad_canon`)."""
+    """ASCII form of Latin, Greek and Cyrillic text; other scripts pass through (and are flagged by `has_bad_canon`)."""
     for source, target in LONG_TRANSLITERATIONS:
         text = F.replace(text, F.lit(source), F.lit(target))
+    text = F.when(text.rlike(LONG_SCRIPTS), _replaced(text)).otherwise(text)
     return F.regexp_replace(F.translate(text, LATIN_FROM, LATIN_TO), COMBINING_MARKS, "")
 
 

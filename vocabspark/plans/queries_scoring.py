@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import decoding as D
+from ..functions.register import register_functions
 from ..operators import scoring as S
 from ..sources import documents as J
 from . import fixtures as X
@@ -321,15 +322,18 @@ def _(spark, sf):
     return _rounded(R.grid_report(X.predictions(spark, sf), X.annotations(spark, sf), 2), "score", "ratio", "above_mean")
 
 
-@query("f12_decoding_names", "", """
+_DECODINGS = """
     WITH c AS (SELECT o_orderkey, ['greedy', 'beam', 'all'][(o_orderkey % 3 + 1)::INT] AS method, (o_custkey % 9 + 1)::INT AS topk, o_orderkey % 4 > 0 AS vocab_prior,
                       o_orderkey % 4 > 0 AND o_orderkey % 2 = 0 AS vocab_per_token, CASE WHEN o_orderkey % 4 > 0 THEN (o_custkey % 8) / 4.0 ELSE 0 END::DOUBLE AS vocab_scaler,
                       o_custkey % 3 > 0 AS guided, o_custkey % 3 = 2 AS guide_renorm, ((o_orderkey % 5 + 1) / 2.0)::DOUBLE AS temperature, ((o_custkey % 3) / 8.0)::DOUBLE AS length_alpha
                FROM orders)
     SELECT *, method || '_k' || topk || '_v' || CASE WHEN vocab_prior THEN CASE WHEN vocab_per_token THEN 'tok' ELSE 'tgt' END
               || rtrim(rtrim(printf('%.3f', vocab_scaler), '0'), '.') ELSE 'none' END || '_g' || CASE WHEN NOT guided THEN 'n' WHEN guide_renorm THEN 'r' ELSE 'p' END
-              || '_t' || rtrim(rtrim(printf('%.3f', temperature), '0'), '.') || '_a' || rtrim(rtrim(printf('%.3f', length_alpha), '0'), '.') AS name, true AS valid, true AS round_trip FROM c""")
-def _(spark, sf):
+              || '_t' || rtrim(rtrim(printf('%.3f', temperature), '0'), '.') || '_a' || rtrim(rtrim(printf('%.3f', length_alpha), '0'), '.') AS name, true AS valid, true AS round_trip FROM c"""
+
+
+def decodings(spark, sf):
+    """Decoding configurations derived from orders, with their names."""
     orders = X.table(spark, sf, "orders")
     prior = F.col("o_orderkey") % 4 > 0
     cfg = F.struct(
@@ -343,11 +347,24 @@ def _(spark, sf):
         ((F.col("o_orderkey") % 5 + 1) / 2.0).alias("temperature"),
         ((F.col("o_custkey") % 3) / 8.0).alias("length_alpha"),
     )
-    named = orders.select("o_orderkey", cfg.alias("cfg")).withColumn("name", D.make_name(F.col("cfg")))
-    parsed = named.withColumn("parsed", D.parse_name(F.col("name")))
+    return orders.select("o_orderkey", cfg.alias("cfg")).withColumn("name", D.make_name(F.col("cfg")))
+
+
+@query("f12_decoding_names", "", _DECODINGS)
+def _(spark, sf):
+    parsed = decodings(spark, sf).withColumn("parsed", D.parse_name(F.col("name")))
     return parsed.select("o_orderkey", "parsed.*", "name", (D.make_name(F.col("parsed")) == F.col("name")).alias("round_trip"))
 
 
+@query("f12_sql_functions", "", f"SELECT * EXCLUDE (valid), topk AS sql_topk FROM ({_DECODINGS})")
+def _(spark, sf):
+    register_functions(spark)
+    decodings(spark, sf).select("o_orderkey", "name").createOrReplaceTempView("vocabspark_decodings")
+    return spark.sql("""
+        SELECT o_orderkey, c.*, decoding_topk(name) AS sql_topk, name, decoding_name(c) = name AS round_trip
+        FROM (SELECT o_orderkey, name, decoding_config(name) AS c FROM vocabspark_decodings)""")
+
+
 @query("io05_normalised_documents", "predictions", """
     SELECT file, model, gencfg, gen_topk::INT AS gen_topk, sample, k, pred, score FROM predictions""")
 def _(spark, sf):
