@@ -16,6 +16,14 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a new column that is computed once for each row, however often and wherever it is used later.
+
+    A plain column would be put in place of each use, inside the loops over lines too.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def dedup_lines(docs: DataFrame, id_col: str, text_col: str, width: int = 3, out: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """`docs` with `text_col` less repeated passages, and the new columns `out` (long): its lines and those removed.
 
@@ -41,14 +49,14 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, width: int = 3, out
     starts = later.groupBy("d", "t").agg(F.collect_set("k").alias("__k")).withColumnsRenamed({"d": "__d", "t": "__t"})
 
     names = docs.columns
-    lines = _lines(F.col(text_col))
-    at = F.sequence(F.lit(0), F.size("__lines") - 1)
     whole = docs.withColumns({"__id": F.col(id_col), "__digest": F.xxhash64(text_col)})
     joined = whole.join(starts, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__digest") == F.col("__t")), "left")
-    parts = joined.withColumn("__lines", lines).withColumn("__full", F.filter(at, lambda i: _trimmed(F.get("__lines", i)) != ""))
+    at = F.sequence(F.lit(0), F.size("__lines") - 1)
+    parts = _once(joined, "__lines", _lines(F.col(text_col)))
+    parts = _once(parts, "__full", F.filter(at, lambda i: _trimmed(F.get("__lines", i)) != ""))
     covered = F.array_distinct(F.flatten(F.transform("__k", lambda k: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("__full", k + i)))))
+    cut = _once(parts, "__gone", F.coalesce(covered, F.array().cast("array<int>")))
     kept = F.transform(F.array_except(at, F.col("__gone")), lambda i: F.get("__lines", i))
-    cut = parts.withColumn("__gone", F.coalesce(covered, F.array().cast("array<int>")))
     text = F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return cut.withColumns(
         {text_col: text, out[0]: F.size("__full").cast("long"), out[1]: F.size("__gone").cast("long")}
