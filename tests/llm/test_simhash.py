@@ -85,6 +85,18 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, tau, segments):
     assert {frozenset(g) for g in got.values()} == slow_classes(fps, tau)
 
 
+def test_lengthened_keys_find_the_same_links(spark, monkeypatch):
+    """As for more nodes than the exact openings have bits for."""
+    rng = random.Random(8)
+    fps = {rng.getrandbits(64) for _ in range(30)}
+    fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps) for _ in range(4)}
+    df = spark.createDataFrame([(signed(f), signed(f), b"") for f in fps], "node long, fp long, check binary")
+    pairs = lambda: {frozenset((r.u, r.v)) for r in simhash.near_links(df).collect()}
+    plain = pairs()
+    monkeypatch.setattr(simhash, "LEAST_BITS", 40)
+    assert plain == pairs() and plain
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, None), (7, "q r s t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(1), "label": F.lit("x"), "n": F.lit(None).cast("int")})
@@ -102,6 +114,6 @@ def test_long_fingerprints_must_agree_too(spark):
     other = sorted(words)
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other)), (4, " ".join(words)), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, "doc_id", "text", 1, True, 7, 8, least_chars=5, check_words=5).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, "doc_id", "text", 1, True, 6, 7, least_chars=5, check_words=5).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
     assert simhash.most_apart(0.8, 4) == 45 and simhash.most_apart(1.0, 4) == 0

@@ -33,6 +33,8 @@ from .components import connected_components
 BLOCK = 1024
 #: Shingles hashed at a time.
 CHUNK = 50_000
+#: Bits of a key at least, unless no longer key has few enough neighbours.
+LEAST_BITS = 20
 
 
 def _hashes(text: str | None, words: int, distinct: bool, least_chars: int, seed: int) -> np.ndarray:
@@ -236,14 +238,15 @@ def _tile_links(ring: Ring, most: int):
     return links
 
 
-def near_links(nodes: DataFrame, tau: int = 2, segments: int = 7, most: int = 0, least_bits: int = 20) -> DataFrame:
+def near_links(nodes: DataFrame, tau: int = 2, segments: int = 7, most: int = 0) -> DataFrame:
     """(u, v): links between the distinct `nodes` (node, fp, check) whose fp are at most `tau` bits apart.
 
     Where there are long fingerprints, these must also be at most `most` bits apart. The links join
-    exactly those nodes that all such pairs join; within larger buckets they span them.
+    exactly those nodes that all such pairs join; within larger buckets they span them. The exact openings are the keys
+    while they have as many bits as the number of nodes, so that unrelated nodes seldom share one; else the lengthened ones.
     """
     ring = Ring(tau, segments)
-    exact = ring.bits(0, ring.exact) >= least_bits
+    exact = ring.bits(0, ring.exact) >= max(LEAST_BITS, nodes.count().bit_length())
     keys = ring.exact_keys(F.col("fp")) if exact else ring.near_keys(F.col("fp"), ring.near)
     keyed = nodes.select("node", F.explode(keys).alias("k")).select("k.i", "k.key", "node")
     sizes = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).filter("n > 1")
