@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for other strings.
 
-Long strings of key characters get an encoding by their characters (hexadecimal, base 32, letters and
+Long strings of key characters get an encoding by their characters (digits, hexadecimal, base 32, letters and
 digits, base 64). Against independent uniform symbols of that encoding the battery tests the symbols' chi-squared, the runs
 about the middle symbol, and the lag-1 serial correlation; Fisher's rule combines the three. A high combined value means that the
 string may well be random. Short ordinary strings pass by chance, so each string has a decoy of
@@ -36,7 +36,7 @@ _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ORDINARY = re.compile(r"[A-Za-z0-9]+")
 
 _ALPHABETS = (
-    ("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("digits", "0123456789"), ("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("alnum", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
