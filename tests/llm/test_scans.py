@@ -72,6 +72,30 @@ def test_scan(spark):
     assert all("[SECRET]" in clean[i] for i in planted if "random" in got[i].spans)
 
 
+LOWER, DIGITS = string.ascii_lowercase, string.digits
+
+
+@pytest.mark.parametrize(
+    ("before", "alphabet", "length", "after", "encoding"),
+    [
+        ("DB_PASS=", string.ascii_letters + DIGITS + "+/", 64, "==", "base64"), ("?sig=", string.ascii_letters + DIGITS, 40, "&x=1", "alnum"),
+        ("CREDENTIAL=", string.ascii_letters + DIGITS, 40, "", "alnum"), ("a/", string.ascii_letters + DIGITS + "-_", 64, "", "base64url"),
+        ("", LOWER + DIGITS, 64, "", "base36"), ("key-", LOWER + DIGITS, 128, "", "base36"), ("", LOWER + "234567", 64, "", "base32"), ("", LOWER, 64, "", "letters"),
+        ("AKIA" + "A" * 16 + "=", LOWER + DIGITS, 64, "", "base36"), ("AKIA" + "A" * 16, LOWER, 64, "", "letters"),
+    ],
+)
+def test_random_strings_are_tested_in_their_encoding(before, alphabet, length, after, encoding):
+    rng, good = random.Random(14), 0
+    for _ in range(100):
+        key = "".join(rng.choice(alphabet) for _ in range(length - 1)) + "z"
+        text = f"some words {before}{key}{after} and more"
+        at, pad = text.index(key), len(after) if after == "==" else 0
+        found = {(s, e): (stratum.split(":")[0], value) for s, e, stratum, value, _ in secrets.candidates(text, secrets.base_spans(text))}
+        name, value = found.get((at, at + length + pad), ("", 0.0))
+        good += name == encoding and value >= 1 / secrets.BINS
+    assert good >= 90
+
+
 def test_documents_keep_their_base_spans(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

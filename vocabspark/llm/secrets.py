@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for other strings.
 
-Long strings of key characters get an encoding by their characters (digits, hexadecimal, base 32, letters and
-digits, base 64). Against independent uniform symbols of that encoding the battery tests the symbols' chi-squared, the runs
+Long strings of key characters, cut at base spans and at inner `=`, get an encoding by their characters (digits, hexadecimal,
+letters of one case, base 32 and 36 in either case, letters and digits, base 64). Strings with `+`, `/`, `-` or `_` are tested whole, as base 64 may have
+them, and so are the parts between them, as they may also be separators; both are reported where both pass. Against independent uniform symbols of that encoding the battery tests the symbols' chi-squared, the runs
 about the middle symbol, and the lag-1 serial correlation; Fisher's rule combines the three. A high combined value means that the
 string may well be random. Short ordinary strings pass by chance, so each string has a decoy of
 its length and encoding made from ordinary characters around it, and in each stratum of encoding and length the cut is the lowest at which
@@ -14,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,11 +32,16 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(ASSIGN, re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the pattern's greedy runs of 20 characters and more
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}=*")
+#: What a string is tested as: whole, in either base 64, and between all separators.
+_PARTS = tuple(re.compile(p) for p in (r"[A-Za-z0-9+/]{16,}=*", r"[A-Za-z0-9_-]{16,}=*", r"[A-Za-z0-9]{16,}=*"))
 _ORDINARY = re.compile(r"[A-Za-z0-9]+")
 
 _ALPHABETS = (
-    ("digits", "0123456789"), ("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("digits", "0123456789"), ("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"),
+    ("letters", "abcdefghijklmnopqrstuvwxyz"), ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base32", "abcdefghijklmnopqrstuvwxyz234567"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("alnum", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
@@ -92,27 +97,23 @@ def battery(symbols: list[int], size: int) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def _strings(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The places of long strings and their parts outside the base spans, each once, by start, then end."""
+    places, at = set(), 0
+    for start, _, end in [*taken, (len(text), 3, len(text))]:
+        for m in _LONG.finditer(text, at, max(at, start)):
+            for part in _PARTS:
+                places.update(x.span() for x in part.finditer(text, m.start(), m.end()))
+        at = max(at, end)
+    return sorted(places)
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float, float]]:
-    """(start, end, stratum, value, decoy's value) of long strings outside the base spans."""
-    found, starts, ends = [], [], []
-    for start, _, end in taken:  # as disjoint intervals
-        if ends and start < ends[-1]:
-            ends[-1] = max(ends[-1], end)
-        else:
-            starts.append(start)
-            ends.append(end)
-    for m in _LONG.finditer(text):
-        start, end = m.span()
-        at = bisect_right(ends, start)
-        if at < len(starts) and starts[at] < end:
-            continue
-        made = infer(m[0])
-        if made is None:
-            continue
-        name, symbols, size = made
+    """(start, end, stratum, value, decoy's value) of long strings and their parts outside the base spans."""
+    found = []
+    for start, end in _strings(text, taken):
+        name, symbols, size = infer(text[start:end])
         n = len(symbols)
-        if n < 16:
-            continue
         window = text[max(0, start - 4 * n) : start] + " " + text[end : end + 4 * n]
         around = [ord(c) % size for c in "".join(_ORDINARY.findall(window))][:n]
         decoy = battery(around, size) if len(around) == n else 0.0
@@ -161,7 +162,8 @@ def cuts(found: DataFrame, rate: float) -> dict[str, float]:
 def scan(docs: DataFrame, id_col: str, text_col: str, rate: float = 0.05) -> DataFrame:
     """id_col, n_assign, n_access, n_hex, base_sha256, spans of every row; null texts count as empty.
 
-    `spans` has the base kinds and `random`, as kind:start:end by start, then kind; code points, ends exclusive.
+    `spans` has the base kinds and `random`, as kind:start:end by start, then kind; code points, ends exclusive. Spans of
+    `random` may lie in each other.
     Repeated rows have equal results; an empty table has an empty one; other columns are ignored. The scan is
     written once; only the counts by stratum come to the driver.
     """
