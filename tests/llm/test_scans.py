@@ -169,6 +169,20 @@ def test_terms_against_brute_force(spark, disclosure):
     assert clean == 0
 
 
+def test_terms_far_from_their_entity(spark):
+    """A word far from the entity, in each of its documents, gives it away; one that stands in others too doesn't."""
+    rng = random.Random(15)
+    filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    texts = [filler(200) for _ in range(40)]
+    for i in range(4):
+        texts[i] = f"Kowalski {filler(150)} who@mail.example.com {filler(150)} Kowalski, kowalski@home"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in pii.scan(df, "doc_id", "text").collect()}
+    for i, text in enumerate(texts):
+        want = {m.span() for m in re.finditer("[Kk]owalski|home", text)}
+        assert {tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("term")} == want
+
+
 def test_pii_odd_rows(spark):
     df = spark.createDataFrame([(None, None), (None, "a@b.cd word"), (1, "a@b.cd word"), (1, "a@b.cd word")], "doc_id long, text string")
     rows = pii.scan(df, "doc_id", "text").collect()

@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
-Base spans are emails, IP addresses, card and telephone numbers. Each is a protected entity; words close to it are terms
-that may reveal it. Over the whole corpus, a term's information about an entity is their pointwise mutual information
+Base spans are emails, IP addresses, card and telephone numbers. Each is a protected entity; the words of its documents are terms
+that may reveal it, wherever they stand. Over the whole corpus, a term's information about an entity is their pointwise mutual information
 (by documents), and what there is to know is the entity's own information. A term that gives away at least
-`disclosure` of it, and is seen near the entity in at least `support` documents, is a disclosing term:
-its spans near that entity are reported as kind `term`, to be generalised or removed.
+`disclosure` of it, and stands with the entity in at least `support` documents, is a disclosing term:
+its spans in documents with that entity are reported as kind `term`, to be generalised or removed.
 """
 
 from __future__ import annotations
@@ -100,19 +100,44 @@ def nearby(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return out
 
 
+def terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The places of the terms that touch no span."""
+    ends, at = sorted((s, e) for s, _, e in spans), 0
+    reach = 0
+    for m in _TERM.finditer(text):
+        while at < len(ends) and ends[at][0] < m.end():
+            reach = max(reach, ends[at][1])
+            at += 1
+        if reach <= m.start():
+            yield m.span()
+
+
 def _scan(text: str | None) -> tuple:
     text = text or ""
     base = base_spans(text)
     own = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
     counts = [sum(k == kind for _, k, _ in base) for kind in range(4)]
-    near = nearby(text, base)
-    columns = [list(c) for c in zip(*near)] if near else [[], [], [], []]
-    return (*counts, hashlib.sha256(own.encode()).hexdigest(), [s for s, _, _ in base], [k for _, k, _ in base], [e for _, _, e in base], *columns)
+    entities = list({_entity(k, text[s:e]) for s, k, e in base})
+    words = list({term_key(w) for w in {text[a:b].lower() for a, b in terms(text, base)}}) if base else []
+    spans = [[s for s, _, _ in base], [k for _, k, _ in base], [e for _, _, e in base]]
+    return (*counts, hashlib.sha256(own.encode()).hexdigest(), *spans, entities, words, text if base else None)
+
+
+def _places(text: str, starts: list[int], kinds: list[int], ends: list[int], told: list[int]) -> tuple:
+    wanted, known = set(told), {}
+    found = []
+    for a, b in terms(text, list(zip(starts, kinds, ends))):
+        word = text[a:b].lower()
+        if word not in known:
+            known[word] = term_key(word) in wanted
+        if known[word]:
+            found.append((a, b))
+    return [a for a, _ in found], [b for _, b in found]
 
 
 _LONGS = T.ArrayType(T.LongType())
 _FIELDS = [(f"n_{k}", T.LongType()) for k in KINDS[:4]] + [("base_sha256", T.StringType())]
-_FIELDS += [(n, _LONGS) for n in ("__s", "__k", "__e", "__entity", "__term", "__ts", "__te")]
+_FIELDS += [(n, _LONGS) for n in ("__s", "__k", "__e", "__entities", "__terms")] + [("__held", T.StringType())]
 
 
 def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -147,23 +172,27 @@ def scan(docs: DataFrame, id_col: str, text_col: str, disclosure: float = 0.9, s
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     found = cut_lineage(map_rows(rows, [id_col], lambda: _scan, _FIELDS).withColumn("__row", F.monotonically_increasing_id()))
-    near = F.explode(F.arrays_zip("__entity", "__term", "__ts", "__te")).alias("c")
-    seen = found.select("__row", near).select("__row", F.col("c.__entity").alias("entity"), F.col("c.__term").alias("term"), F.col("c.__ts").alias("s"), F.col("c.__te").alias("e"))
-    once = lambda *c: seen.select("__row", *c).distinct().groupBy(*c)
-    pairs = once("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    entities = once("entity").agg(F.count("*").alias("entity_df"))
+    seen = found.select("__row", F.explode("__entities").alias("entity"))
+    entities = seen.groupBy("entity").agg(F.count("*").alias("entity_df")).filter(F.col("entity_df") >= support)
+    held = seen.join(entities.select("entity"), "entity").groupBy("__row").agg(F.collect_list("entity").alias("entities"))
+    listed = cut_lineage(found.join(held, "__row").select("__row", "entities", "__terms"))
+    stand = listed.select("__row", F.explode("entities").alias("entity"), "__terms").select("__row", "entity", F.explode("__terms").alias("term"))
+    pairs = stand.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
     whole = F.log2(F.lit(float(max(found.count(), 1))))
     counted = pairs.join(entities, "entity").join(document_counts(docs, text_col), "term")
     shared = F.log2("both") + whole - F.log2("df") - F.log2("entity_df")
     information = whole - F.log2("entity_df")
     told = counted.filter((information > 0) & (shared >= disclosure * information)).select("entity", "term")
-    spans = seen.join(told, ["entity", "term"]).select("__row", "s", F.lit(4).cast("long").alias("k"), "e").distinct()
-    terms = spans.groupBy("__row").agg(F.collect_list(F.struct("s", "k", "e")).alias("__more"))
+    given = stand.join(told, ["entity", "term"]).groupBy("__row").agg(F.collect_set("term").alias("__told"))
+    texts = found.filter("__held is not null").select("__row", "__held", "__s", "__k", "__e").join(given, "__row")
+    placed = map_rows(texts, ["__row"], lambda: _places, [("__ts", _LONGS), ("__te", _LONGS)])
+    more = F.transform(F.arrays_zip("__ts", "__te"), lambda x: F.struct(x["__ts"].alias("s"), F.lit(4).cast("long").alias("k"), x["__te"].alias("e")))
+    terms_of = placed.select("__row", more.alias("__more"))
     base = F.transform(F.arrays_zip("__s", "__k", "__e"), lambda x: F.struct(x["__s"].alias("s"), x["__k"].alias("k"), x["__e"].alias("e")))
     both = F.array_sort(F.when(F.col("__more").isNull(), base).otherwise(F.concat(base, "__more")))
     names = F.array(*[F.lit(k) for k in KINDS])
-    listed = F.transform(both, lambda x: F.concat_ws(":", F.element_at(names, (x["k"] + 1).cast("int")), x["s"], x["e"]))
-    return found.join(terms, "__row", "left").select(id_col, *[f"n_{k}" for k in KINDS[:4]], "base_sha256", F.concat_ws(",", listed).alias("spans"))
+    spans = F.transform(both, lambda x: F.concat_ws(":", F.element_at(names, (x["k"] + 1).cast("int")), x["s"], x["e"]))
+    return found.drop("__held", "__terms", "__entities").join(terms_of, "__row", "left").select(id_col, *[f"n_{k}" for k in KINDS[:4]], "base_sha256", F.concat_ws(",", spans).alias("spans"))
 
 
 def sanitise(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, remove_terms: bool = False) -> DataFrame:
