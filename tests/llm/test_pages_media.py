@@ -89,6 +89,17 @@ def test_types_and_carving():
     assert media.sniff(blob, "image/png") == (media.UNKNOWN, want) and media.sniff(b"hello", "text/plain") == ("text/plain", [])
 
 
+def test_pdf_ends_at_its_last_section():
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    first = body + b"xref\n0 1\ntrailer <<>>\nstartxref\n" + str(len(body)).encode() + b"\n%%EOF\n"
+    more = first + b"2 0 obj\n<<>>\nendobj\n"
+    updated = more + b"xref\n2 1\ntrailer <</Prev 9>>\nstartxref\n" + str(len(more)).encode() + b"\n%%EOF\r\n"
+    for data in (first, updated):
+        assert media.sniff(data, "application/pdf") == ("application/pdf", [])
+    two = b".." + updated + first + b"--" + first
+    assert [(s, e) for s, e, _ in media.objects(two)[0]] == [(2, 2 + len(updated)), (2 + len(updated), 2 + len(updated + first)), (len(two) - len(first), len(two))]
+
+
 def test_round_trip(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     extra = spark.createDataFrame([(None, None), (-1, ""), (-2, "x" * 192), (-3, "ä" * 97), (-3, "ä" * 97)], "doc_id long, text string")

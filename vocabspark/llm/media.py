@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -108,9 +109,26 @@ def _riff(b: bytes, at: int) -> int | None:
     return end if ok and pos in (end, end + 1) else None
 
 
+_PDF_END = re.compile(rb"startxref\s+([0-9]{1,12})\s+%%EOF")
+_PDF_TABLE = re.compile(rb"xref\b|[0-9]+\s+[0-9]+\s+obj\b")
+_BLANKS = re.compile(rb"[\0\t\n\f\r ]*")
+
+
 def _pdf(b: bytes, at: int) -> int | None:
+    """Up to the last %%EOF whose startxref leads to a table of this file: linearised and updated files have several."""
     end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else None
+    if end < 0 or not b[at + 5 : at + 6].isdigit() or b.find(b"startxref", at, end) < 0:
+        return None
+    end += 5
+    for m in _PDF_END.finditer(b, end):
+        table = int(m[1])
+        inner = b.rfind(b"%PDF-", end, m.start())
+        if at + table < m.start() and _PDF_TABLE.match(b, at + table) and not (inner >= 0 and _PDF_TABLE.match(b, inner + table)):
+            end = m.end()
+    blanks = _BLANKS.match(b, end).end()
+    while blanks < len(b) and blanks > end and b[blanks - 1] not in b"\r\n":  # before other bytes, line ends only
+        blanks -= 1
+    return blanks
 
 
 def _zip(b: bytes, at: int) -> int | None:
