@@ -15,7 +15,7 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(registry()))
 def test_query_matches_oracle(spark, con, sf_dir, name):
-    ok, note = compare(spark, con, name, registry()[name], sf_dir)
+    ok, note = compare(spark, con, registry()[name].build, registry()[name].oracle, sf_dir)
     assert ok, note
 
 
