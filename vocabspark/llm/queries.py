@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html_text, lines, media, mixing, packing, pii, quality, secrets, simhash, spans
+from . import codes, common, html_text, innerk, lines, media, mixing, packing, pii, quality, secrets, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,13 @@ def _(spark, sf_dir):
     told = media.describe(stored.withColumn("media_bytes", F.octet_length("media").cast("long")), ["doc_id", "n_bytes", "media_bytes"], "media", "declared")
     feature = F.concat_ws(";", "type", "feature", F.array_join("carved", "+"))
     return told.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+@query("op11_gnat_codes", codes.oracle())
+def _(spark, sf_dir):
+    return codes.encode(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query("op12_inner_products", innerk.oracle())
+def _(spark, sf_dir):
+    return innerk.top_inner_products(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
