@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, common, html_text, innerk, lines, media, mixing, packing, pii, quality, secrets, simhash, spans
+from . import codes, common, html_text, innerk, lines, media, mixing, packing, periodic, pii, quality, secrets, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,21 @@ def _(spark, sf_dir):
 @query("op12_inner_products", innerk.oracle())
 def _(spark, sf_dir):
     return innerk.top_inner_products(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+def _made_periodic(words: list[bytes], mark: int | None) -> list[bytes]:
+    """The op13 contract's words: of the texts whose mark ends in 0, those from a place on repeat a period."""
+    n = len(words)
+    if mark is None or mark % 10 or not n:
+        return words
+    g = mark // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op13_periodic_runs")
+def _(spark, sf_dir):
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic.detect(common.table(spark, sf_dir, "documents"), "doc_id", "text", prepare=_made_periodic, by=mark)
+    return periodic.digests(found, "doc_id")
