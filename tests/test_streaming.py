@@ -6,10 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocabspark import streaming as S
-from vocabspark.operators import annotation as A
-from vocabspark.operators import windows as WN
-
-RULE = A.OpinionRule(2, 5, 0.78)
 
 
 @pytest.fixture(scope="module")
@@ -36,33 +32,6 @@ def stream(spark, folder):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def opinions(df):
-    return df.select(F.col("user_id").cast("string").alias("image"), F.col("event_type").alias("noun"), "ts", "event_id", (F.col("value") > 20).alias("opinion"))
-
-
-def test_consensus_replay(spark, pieces):
-    rows = S.run_available(S.stream_consensus(opinions(stream(spark, pieces)), RULE), "update")
-    assert rows.select("batch_id").distinct().count() > 1
-    got = S.latest_updates(rows, ["image", "noun"])
-    accepted = A.accept_opinions(opinions(spark.read.parquet(pieces)), RULE)
-    want = A.consensus(accepted, RULE).select("image", "noun", "n", "n_correct", "category")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_ewa_replay(spark, pieces):
-    metrics = lambda df: df.select(
-        F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("loss_sum"), F.lit(1.0).alias("loss_basis"),
-        (F.col("event_id") % 4).alias("correct"), F.lit(4).alias("tokens"),
-    )
-    got = S.latest_updates(S.run_available(S.stream_ewa(metrics(stream(spark, pieces)), 8), "update"), ["run_id"]).collect()
-    batch = WN.ewa_metrics(WN.batch_positions(metrics(spark.read.parquet(pieces))), 8)
-    want = {r["run_id"]: r for r in batch.groupBy("run_id").agg(F.max_by("ewa_loss", "batch_id").alias("loss"), F.max("ewa_top1").alias("best")).collect()}
-    assert len(got) == len(want)
-    for r in got:
-        assert r["ewa_loss"] == pytest.approx(want[r["run_id"]]["loss"], rel=1e-9)
-        assert r["ewa_top1_max"] == pytest.approx(want[r["run_id"]]["best"], rel=1e-9)
-
-
 @pytest.mark.parametrize("kind", [dict(), dict(slide="12 hours"), dict(session_gap="40 hours", by=("user_id",))])
 def test_usage_windows(spark, pieces, kind):
     usage = lambda df: df.select("ts", "user_id", F.col("event_id").alias("prompt_tokens"), F.lit(1).alias("completion_tokens"))
@@ -74,13 +43,3 @@ def test_usage_windows(spark, pieces, kind):
     watermark = static.agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).first()[0]
     got = {(r["start"], r["requests"], r["prompt_tokens"]) for r in rows.collect()}
     assert got == {(r["s"]["start"], r["n"], r["p"]) for r in want.collect() if r["s"]["end"] <= watermark}
-
-
-def test_batch_health_counts_each_request_once(spark, pieces):
-    health = lambda df: df.select(
-        F.expr("event_id div 50").alias("batch"), F.col("event_id").alias("request_id"), "ts", (F.col("event_type") != "error").alias("valid"), F.lit(50).alias("expected")
-    )
-    twice = health(stream(spark, pieces)).withColumn("c", F.explode(F.array(F.lit(1), F.lit(2)))).drop("c")
-    got = S.latest_updates(S.run_available(S.stream_batch_health(twice, "40 days"), "update"), ["batch"])
-    want = A.batch_health(health(spark.read.parquet(pieces))).drop("stop")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))

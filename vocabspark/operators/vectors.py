@@ -9,10 +9,12 @@ by slices of the embeddings, so neither side is ever whole in one task. No pair
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -52,23 +54,39 @@ def _list_matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
-def _bounded_matrix(protos: DataFrame, limit: int):
-    """(class ids, matrix) in class order if the table is within the limits, else None.
+@dataclass(frozen=True)
+class Prototypes:
+    """A prototype table made ready once, for one table of rows or the micro-batches of a stream.
 
-    Rows and bytes are counted first, so no larger table comes to the driver.
+    Within the limits it is one broadcast matrix; beyond them a written table whose rows know their block.
     """
-    if limit <= 0:
-        return None
-    size = protos.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("elements")).first()
-    if size.n > PROTO_LIMIT_ROWS or 8 * (size.elements or 0) > limit:
-        return None
-    head = protos.select("class_id", "vector").toArrow()
-    rows = sorted(zip(head["class_id"].to_pylist(), head["vector"].to_pylist()))
-    return [r[0] for r in rows], _matrix([r[1] for r in rows])
+
+    class_type: str
+    shared: Broadcast | None
+    blocks: DataFrame | None
+    n_blocks: int
+
+
+def prepare(protos: DataFrame | Prototypes, limit: int = PROTO_LIMIT_BYTES, block: int = PROTO_BLOCK) -> Prototypes:
+    """Rows and bytes are counted first, so no larger table comes to the driver."""
+    if isinstance(protos, Prototypes):
+        return protos
+    kind = dict(protos.dtypes)["class_id"]
+    if limit > 0:
+        size = protos.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("elements")).first()
+        if size.n <= PROTO_LIMIT_ROWS and 8 * (size.elements or 0) <= limit:
+            head = protos.select("class_id", "vector").toArrow()
+            rows = sorted(zip(head["class_id"].to_pylist(), head["vector"].to_pylist()))
+            matrix = [r[0] for r in rows], _matrix([r[1] for r in rows])
+            return Prototypes(kind, protos.sparkSession.sparkContext.broadcast(matrix), None, 1)
+    written = cut_lineage(protos.select("class_id", "vector"))
+    n_blocks = -(-written.count() // block)
+    placed = written.withColumn("__block", F.pmod(F.xxhash64("class_id"), F.lit(max(1, n_blocks))).cast("int"))
+    return Prototypes(kind, None, placed, n_blocks)
 
 
 def _score_blocks(
-    df: DataFrame, protos: DataFrame, keep: list[str], vec: str, schema: str,
+    df: DataFrame, protos: DataFrame | Prototypes, keep: list[str], vec: str, schema: str,
     fn: Callable[[pd.DataFrame, list, np.ndarray, np.ndarray], pd.DataFrame], limit: int, block: int, slice_rows: int,
 ) -> tuple[DataFrame, bool]:
     """Run `fn(rows, class_ids, matrix, dots)` on every (batch of rows) x (block of prototypes).
@@ -76,9 +94,9 @@ def _score_blocks(
     The flag says whether each row met all prototypes at once.
     """
     data = df.select(*keep, F.col(vec).alias("__vec"))
-    bounded = _bounded_matrix(protos, limit)
-    if bounded is not None:
-        shared = df.sparkSession.sparkContext.broadcast(bounded)
+    ready = prepare(protos, limit, block)
+    if ready.shared is not None:
+        shared = ready.shared
         arrow = to_arrow_schema(StructType.fromDDL(schema))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,18 +110,13 @@ def _score_blocks(
 
         return data.mapInArrow(run, schema), True
 
-    if df.isStreaming:
-        raise ValueError("a stream needs a prototype table within the size limits")
-    protos = cut_lineage(protos)
-    n_rows, n_protos = df.count(), protos.count()
-    n_blocks, n_slices = -(-n_protos // block), max(1, -(-n_rows // slice_rows))
+    # A stream's micro-batches meet the blocks one by one, see `streaming.stream_classify`.
+    n_slices = max(1, -(-df.count() // slice_rows))
     key = F.xxhash64(*[F.col(c) for c in keep])
     left = data.withColumn("__slice", F.pmod(key, F.lit(n_slices)).cast("int")).withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    right = protos.withColumn("__block", F.pmod(F.xxhash64("class_id"), F.lit(n_blocks)).cast("int")).withColumn(
-        "__slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))
+        "__block", F.explode(F.sequence(F.lit(0), F.lit(max(0, ready.n_blocks - 1))))
     )
+    right = ready.blocks.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
 
     def pair(rows: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(classes):
@@ -124,14 +137,15 @@ def _ddl(df: DataFrame, names: list[str]) -> str:
 
 
 def top_prototypes(
-    df: DataFrame, protos: DataFrame, k: int, keep: list[str], vec: str = "embedding",
+    df: DataFrame, protos: DataFrame | Prototypes, k: int, keep: list[str], vec: str = "embedding",
     limit: int = PROTO_LIMIT_BYTES, block: int = PROTO_BLOCK, slice_rows: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """The k nearest prototypes per row by dot product (ties: smallest class), rank from 1.
 
     `keep` must identify a row.
     """
-    class_type = dict(protos.dtypes)["class_id"]
+    protos = prepare(protos, limit, block)
+    class_type = protos.class_type
     schema = f"{_ddl(df, keep)}, rank int, class_id {class_type}, dot double"
 
     def best(rows: pd.DataFrame, ids: list, matrix: np.ndarray, dots: np.ndarray) -> pd.DataFrame:
@@ -168,7 +182,8 @@ def prototype_logits(
 
     `keep` must identify a row. Beyond one matrix each block gives its part of the array, and the parts are put together by row.
     """
-    class_type = dict(protos.dtypes)["class_id"]
+    protos = prepare(protos, limit, block)
+    class_type = protos.class_type
     schema = f"{_ddl(df, keep)}, classes array<{class_type}>, dots array<double>"
 
     def part(rows: pd.DataFrame, ids: list, matrix: np.ndarray, dots: np.ndarray) -> pd.DataFrame:

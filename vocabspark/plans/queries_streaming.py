@@ -23,7 +23,7 @@ def opinion_stream(spark, sf):
     WITH {_ACCEPT.strip()}, c AS (SELECT image, noun, count(*) AS n, count(*) FILTER (WHERE opinion) AS n_correct FROM q WHERE ok GROUP BY ALL)
     SELECT image, noun, n, n_correct, {_CATEGORY} AS category FROM c""")
 def _(spark, sf):
-    rows = S.run_available(S.stream_consensus(opinion_stream(spark, sf), RULE), "update")
+    rows = S.run_to_end(opinion_stream(spark, sf), lambda opinions: S.stream_consensus(opinions, RULE), "update")
     return S.latest_updates(rows, ["image", "noun"])
 
 
@@ -55,7 +55,7 @@ def _(spark, sf):
         F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("loss_sum"), tokens.alias("loss_basis"),
         F.pmod(F.col("event_id"), tokens).alias("correct"), tokens.alias("tokens"),
     )
-    rows = S.latest_updates(S.run_available(S.stream_ewa(metrics, halflife=8), "update"), ["run_id"])
+    rows = S.run_totals(S.run_ewa(metrics, halflife=8, span="1 day", watermark="2 hours"))
     return rows.withColumns({c: F.round(c, 6) for c in ("ewa_loss", "ewa_top1", "ewa_top1_max")})
 
 
@@ -76,16 +76,19 @@ def _(spark, sf):
     SELECT vec_id, rank, class_id, round(dot, 6) AS dot FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dot DESC, class_id) AS rank FROM dots) WHERE rank = 1""")
 def _(spark, sf):
     protos = VS.prototypes(X.embeddings(spark, sf), "label")
-    rows = S.run_available(S.stream_classify(S.read_table_stream(spark, sf, "embeddings"), protos, ["vec_id"]), "append")
+    rows = S.run_available(S.read_table_stream(spark, sf, "embeddings"), each=S.stream_classify(protos, ["vec_id"]))
     return rows.select("vec_id", "rank", "class_id", F.round("dot", 6).alias("dot"))
 
 
 @query("st07_stream_batch_health", "", """
-    WITH g AS (SELECT event_id // 200 AS batch, 200::INT AS expected, count(*) AS n_answers, count(*) FILTER (WHERE event_type <> 'error') AS n_valid FROM events GROUP BY 1)
-    SELECT *, n_answers >= expected AS done, n_valid >= expected * 0.8::DOUBLE AS accepted FROM g""")
+    WITH g AS (SELECT event_id // 200 AS batch, 200::INT AS expected, count(*) AS n_answers, count(*) FILTER (WHERE event_type <> 'error') AS n_valid, max(ts) AS last FROM events GROUP BY 1),
+         f AS (SELECT *, batch % 3 AS run, n_answers >= expected AS done, n_valid >= expected * 0.8::DOUBLE AS accepted FROM g),
+         b AS (SELECT *, (count(*) FILTER (WHERE done AND NOT accepted) OVER (PARTITION BY run ORDER BY last, batch))::BIGINT AS n_bad FROM f)
+    SELECT run, batch, expected, n_answers, n_valid, done, accepted, n_bad, n_bad >= 5 AS stop FROM b""")
 def _(spark, sf):
+    batch = F.expr("event_id div 200")
     events = S.read_table_stream(spark, sf, "events").select(
-        F.expr("event_id div 200").alias("batch"), F.col("event_id").alias("request_id"), "ts", (F.col("event_type") != "error").alias("valid"), F.lit(200).alias("expected")
+        (batch % 3).alias("run"), batch.alias("batch"), F.col("event_id").alias("request_id"), "ts", (F.col("event_type") != "error").alias("valid"), F.lit(200).alias("expected")
     )
-    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return S.latest_updates(S.run_available(S.stream_batch_health(twice, "40 days"), "update"), ["batch"])
+    health = lambda answers: S.stream_batch_health(answers.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy"), "40 days", "40 days")
+    return S.run_to_end(events, health).drop("batch_id", "closed_at")

@@ -1,101 +1,12 @@
-"""Streaming jobs: consensus, usage, training metrics, scoring, classification, batch health.
-
-State is a few numbers per key. Progress and state live in the checkpoint folder the session names,
-so a job goes on after losing executors or the driver.
-"""
+"""Streaming jobs whose state Spark's own operators keep: usage windows and scoring."""
 
 from __future__ import annotations
 
-import heapq
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.annotation import OpinionRule, usage_cost
+from ..operators.annotation import usage_cost
 from ..operators.scoring import attach_category
-from ..operators.vectors import top_prototypes
-from ..session import checkpoint_dir
-
-
-def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """A Parquet table file (or a folder that files arrive in) as a stream, with the table's schema.
-
-    `files_per_trigger` bounds a micro-batch, and so the rows of one key that are ordered at a time.
-    """
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-
-
-def run_available(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
-    """Process all available input, writing each micro-batch to its own folder, and read the rows back.
-
-    A repeated micro-batch overwrites its folder, so a restart does not write rows twice.
-    """
-    spark = stream.sparkSession
-    path = path or f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    schema = stream.schema
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
-
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    rows = spark.read.schema(schema.add("batch_id", "long")).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-    return rows
-
-
-def latest_updates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The last update of each key from an update-mode result."""
-    fields = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*fields), "batch_id")
-    return rows.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*")
-
-
-def _needed(rule: OpinionRule, n: int, right: int) -> int:
-    c = rule.confidence
-    settle = min((c * n - right) / (1 - c), (c * n - (n - right)) / (1 - c), rule.most - n)
-    return max(int(np.ceil(settle)), rule.least - n, 0)
-
-
-def _category(rule: OpinionRule, n: int, right: int) -> str:
-    if right / n >= rule.confidence:
-        return "correct_primary"
-    return "incorrect" if (n - right) / n >= rule.confidence else "close_primary"
-
-
-def stream_consensus(opinions: DataFrame, rule: OpinionRule) -> DataFrame:
-    """Consensus per (image, noun), updated while opinions are still needed.
-
-    Within a micro-batch opinions count in (ts, event_id) order. At most `most` opinions can ever be
-    accepted, so only that many per key and micro-batch are held.
-    """
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, right = state.get if state.exists else (0, 0)
-        head: list[tuple] = []
-        for frame in frames:
-            rows = zip(frame["ts"], frame["event_id"], frame["opinion"])
-            head = heapq.nsmallest(rule.most, [*head, *rows], key=lambda r: r[:2])
-        before = n
-        for _, _, opinion in head:
-            if _needed(rule, n, right) <= 0:
-                break
-            n, right = n + 1, right + int(opinion)
-        state.update((n, right))
-        if n > before:
-            yield pd.DataFrame({"image": [key[0]], "noun": [key[1]], "n": [n], "n_correct": [right], "category": [_category(rule, n, right)]})
-
-    return opinions.groupBy("image", "noun").applyInPandasWithState(
-        update, "image string, noun string, n long, n_correct long, category string", "n long, n_correct long", "update", GroupStateTimeout.NoTimeout
-    )
 
 
 def stream_usage(
@@ -118,56 +29,6 @@ def stream_usage(
     )
 
 
-def stream_ewa(metrics: DataFrame, halflife: float, chunk: int = 1) -> DataFrame:
-    """Exponentially weighted loss and accuracy per run after each micro-batch, with the best accuracy so far.
-
-    Rows of a run count in (ts, event_id) order; `files_per_trigger` bounds a micro-batch.
-    """
-    steps = halflife * chunk
-    block = max(1, min(4096, int(400 * steps)))  # keeps the relative weights inside the double range
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, *sums, best = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        values = rows[["loss_sum", "loss_basis", "correct", "tokens"]].to_numpy(dtype=np.float64)
-        last = np.array(sums)
-        for start in range(0, len(values), block):
-            part = values[start : start + block]
-            age = np.arange(1, len(part) + 1)[:, None] / steps
-            running = (last + np.cumsum(part * 2.0**age, axis=0)) * 2.0**-age
-            best = max(best, float((running[:, 2] / running[:, 3]).max()))
-            last = running[-1]
-        n, (loss, basis, correct, tokens) = n + len(values), map(float, last)
-        state.update((n, loss, basis, correct, tokens, best))
-        yield pd.DataFrame({"run_id": [key[0]], "n_batches": [n], "ewa_loss": [loss / basis], "ewa_top1": [correct / tokens], "ewa_top1_max": [best]})
-
-    return metrics.groupBy("run_id").applyInPandasWithState(
-        update, "run_id long, n_batches long, ewa_loss double, ewa_top1 double, ewa_top1_max double",
-        "n long, loss double, basis double, correct double, tokens double, best double", "update", GroupStateTimeout.NoTimeout,
-    )
-
-
 def stream_score(preds: DataFrame, ann: DataFrame) -> DataFrame:
     """Predictions with their category as they arrive; the annotations are static."""
     return attach_category(preds, ann)
-
-
-def stream_classify(embeds: DataFrame, protos: DataFrame, keep: list[str], k: int = 1) -> DataFrame:
-    """Nearest prototypes of embeddings as they arrive; the prototype table must be bounded."""
-    return top_prototypes(embeds, protos, k, keep)
-
-
-def stream_batch_health(responses: DataFrame, watermark: str, min_valid: float = 0.8) -> DataFrame:
-    """Answers per request batch, each request counted once: done, and accepted if enough are valid.
-
-    Columns in: batch, request_id, ts, valid, expected. The stop rule over bad batches is
-    `operators.annotation.batch_health` on the written rows.
-    """
-    timed = responses.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    once = timed.dropDuplicatesWithinWatermark(["request_id"])
-    counts = once.groupBy("batch").agg(
-        F.max("expected").alias("expected"), F.count("*").alias("n_answers"), F.count_if("valid").alias("n_valid")
-    )
-    return counts.withColumns({
-        "done": F.col("n_answers") >= F.col("expected"), "accepted": F.col("n_valid") >= F.col("expected") * F.lit(min_valid),
-    })
