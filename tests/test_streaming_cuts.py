@@ -123,7 +123,7 @@ def test_state_ends(spark, events, tmp_path):
 
     with _states_on_disk(spark):
         S.run_to_end(source, job, run=run, path=f"{tmp_path}/job")
-    assert sum(left[0]) > 20 and sum(left[1]) <= 4, left
+    assert sum(left[0]) > 10 and sum(left[1]) == 2, left  # the mark's window and its place among the seen
 
 
 @pytest.mark.parametrize("limit", [0, 1 << 20])
