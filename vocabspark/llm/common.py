@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 
-__all__ = ["cut_lineage", "map_rows", "table", "text_of"]
+__all__ = ["cut_lineage", "discard", "map_rows", "table", "text_of"]
 
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE = 256
