@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import digest_bucket, seeded_digest
 from ..functions.text import field_names, fill_template, indefinite, squeeze
 from ..session import cut_lineage
-from .ordinals import bucketed_rank, last_start, prefix_ids, ranged_sums
+from .ordinals import bucketed_rank, last_at_most, last_start, prefix_ids, ranged_sums
 from .vocab import explode_nouns, freq_sum, with_hypernym_targets
 
 # Characters after a field that make a closing comma unnecessary.
@@ -227,17 +227,17 @@ class CorpusPlan:
         """Random access: rows (fsid) to usid, text and target without expanding the corpus.
 
         The block, the template and the suffix are each the last one that starts at or before the place asked
-        for; the noun follows by division.
+        for; the noun follows by division. Blocks grow with the vocabulary and are met by ranges; templates and
+        suffixes come from a prompt file, so those of a kind are one sorted array, searched by halves.
         """
         blocks = cut_lineage(self.blocks().filter("n_fsids > 0"))
         found = last_start(requests.select("fsid"), blocks, [], "fsid", "fsid_start").join(blocks, "fsid_start")
         found = found.filter("fsid < fsid_start + n_fsids").withColumn("rest", F.expr("fsid - fsid_start"))
         asked = found.withColumn("tslot", F.expr("rest div (freq_sum * sfreq_sum)"))
         templates = self.prompts.select("kind", "tpos", "tfreq", "template", "need_article", "need_hyp_comma", F.col("tfreq_before").alias("tstart"))
-        rows = last_start(asked, templates, ["kind"], "tslot", "tstart").join(templates, ["kind", "tstart"])
+        rows = _in_order(asked, templates, "kind", "tslot", "tstart")
         rows = rows.withColumn("rest", F.expr("rest - tstart * freq_sum * sfreq_sum")).withColumn("sslot", F.expr("rest div (tfreq * freq_sum)"))
-        suffixes = self.suffixes.drop("sblock").withColumnRenamed("sfreq_before", "sstart")
-        rows = last_start(rows, suffixes, ["n_hyp"], "sslot", "sstart").join(suffixes, ["n_hyp", "sstart"])
+        rows = _in_order(rows, self.suffixes.drop("sblock").withColumnRenamed("sfreq_before", "sstart"), "n_hyp", "sslot", "sstart")
         rows = rows.withColumn("nslot", F.expr("(rest - sstart * tfreq * freq_sum) div (tfreq * sfreq)"))
         ends = F.transform("freqs", lambda f, i: freq_sum(F.slice("freqs", F.lit(1), i + 1)))
         npos = F.size(F.filter(ends, lambda end: end <= F.col("nslot")))
@@ -246,6 +246,15 @@ class CorpusPlan:
         return rows.select("fsid", usid, sample_text().alias("text"), F.col("target_noun").alias("target"))
 
 
+def _in_order(rows: DataFrame, parts: DataFrame, by: str, at: str, start: str) -> DataFrame:
+    """`rows` with the columns of the last part of their `by` that starts at or before `at`."""
+    part = F.struct(start, *[c for c in parts.columns if c not in (by, start)])
+    lists = parts.groupBy(by).agg(F.array_sort(F.collect_list(part)).alias("__parts"))
+    lists = lists.withColumn("__starts", F.transform("__parts", lambda p: p[start]))
+    met = rows.join(lists, by).withColumn("__at", last_at_most(F.col("__starts"), F.col(at)))
+    return met.select(*rows.columns, F.get("__parts", F.col("__at")).alias("__part")).select(*rows.columns, "__part.*")
+
+
 def sample_text() -> Column:
     """Text of an expanded row: article, noun, hypernym suffix, prompt template."""
     hypernym = F.get("hypernym_targets", F.col("hyp_idx"))

@@ -75,6 +75,19 @@ def deal_round_robin(df: DataFrame, by: Sequence[str], order: Sequence[Column],
     return ranked.withColumn(out, F.pmod(F.col("__deal"), count)).drop("__deal")
 
 
+def last_at_most(ascending: Column, value: Column) -> Column:
+    """Index of the last number in a sorted array that is at most `value`, by halving; 0 if none is."""
+    halvings = F.ceil(F.log2(F.size(ascending) + F.lit(1.0))).cast("int")
+
+    def half(bounds: Column, _: Column) -> Column:
+        middle = F.ceil((bounds["low"] + bounds["high"]) / 2).cast("int")
+        reached = F.get(ascending, middle) <= value
+        return F.struct(F.when(reached, middle).otherwise(bounds["low"]).alias("low"), F.when(reached, bounds["high"]).otherwise(F.greatest(middle - 1, bounds["low"])).alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), (F.size(ascending) - 1).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), halvings), whole, half, lambda bounds: bounds["low"])
+
+
 def last_start(points: DataFrame, starts: DataFrame, by: Sequence[str], at: str, start: str) -> DataFrame:
     """`points` with `start`: the largest start of their group at or before `at`, null if there is none.
 

@@ -129,16 +129,21 @@ def score_grid(scores: DataFrame) -> DataFrame:
     cell: one decoding of one model; mean: a decoding over the models; max: a model's best decoding; top: per k the
     best of the decodings' means. A maximum's ratio is that of the row with the highest score (ties: the higher ratio).
     """
-    best = lambda name: F.max_by(name, F.struct("score", "ratio"))
-    cells = scores.select(F.lit("cell").alias("kind"), "gencfg", "file", "k", "score", F.col("score_ratio").alias("ratio"))
-    none = F.lit(None).cast("string")
-    means = cells.groupBy("gencfg", "k").agg(F.avg("score").alias("score"), F.avg("ratio").alias("ratio"))
-    highest = cells.groupBy("file", "k").agg(best("score").alias("s"), best("ratio").alias("r"))
-    top = means.groupBy("k").agg(best("gencfg").alias("gencfg"), best("score").alias("s"), best("ratio").alias("r"))
-    columns = ["kind", "gencfg", "file", "k", "score", "ratio"]
-    rows = cells.unionByName(means.select(F.lit("mean").alias("kind"), "gencfg", none.alias("file"), "k", "score", "ratio"))
-    rows = rows.unionByName(highest.select(F.lit("max").alias("kind"), none.alias("gencfg"), "file", "k", F.col("s").alias("score"), F.col("r").alias("ratio")))
-    return rows.unionByName(top.select(F.lit("top").alias("kind"), "gencfg", none.alias("file"), "k", F.col("s").alias("score"), F.col("r").alias("ratio"))).select(*columns)
+    sets = [["gencfg", "file", "k"], ["gencfg", "k"], ["file", "k"]]
+    sums = scores.groupingSets(sets, "gencfg", "file", "k").agg(
+        F.grouping("gencfg").alias("over_gencfg"), F.grouping("file").alias("over_file"),
+        F.avg("score").alias("mean_score"), F.avg("score_ratio").alias("mean_ratio"),
+        F.max("score").alias("best_score"), F.max_by("score_ratio", F.struct("score", "score_ratio")).alias("best_ratio"),
+    )
+    highest = F.col("over_gencfg") == 1
+    kind = F.when(highest, "max").when(F.col("over_file") == 1, "mean").otherwise("cell")
+    rows = sums.select(
+        kind.alias("kind"), "gencfg", "file", "k", F.when(highest, F.col("best_score")).otherwise(F.col("mean_score")).alias("score"),
+        F.when(highest, F.col("best_ratio")).otherwise(F.col("mean_ratio")).alias("ratio"),
+    )
+    place = F.row_number().over(W.partitionBy("kind", "k").orderBy(F.desc("score"), F.desc("ratio"), "gencfg"))
+    kinds = F.when((F.col("kind") == "mean") & (place == 1), F.array(F.lit("mean"), F.lit("top"))).otherwise(F.array("kind"))
+    return rows.withColumn("kinds", kinds).select(F.explode("kinds").alias("kind"), "gencfg", "file", "k", "score", "ratio")
 
 
 def best_cell(scores: DataFrame) -> DataFrame:
@@ -260,8 +265,24 @@ def mean_over_models(ratios: DataFrame, value: str, max_k: int, by: tuple[str, .
 
 
 def dataset_cube(ratios: DataFrame, value: str) -> DataFrame:
-    """Means per (dataset, gencfg, k), per (gencfg, k) over datasets, and per k over all."""
-    return ratios.rollup("k", "gencfg", "dataset").agg(F.avg(value).alias("mean"), F.count("*").alias("n")).filter(F.col("k").isNotNull())
+    """Means per (dataset, gencfg, k), per (gencfg, k) over datasets, and per k over all, with the decodings' order.
+
+    Within a dataset, and over all (dataset null), decodings are ranked for each k by their mean, ties at nine places by name; `is_best` says that
+    no mean is higher. The means over all decodings have neither.
+    """
+    means = ratios.rollup("k", "gencfg", "dataset").agg(
+        F.avg(value).alias("mean"), F.count("*").alias("n"), F.grouping("k").alias("all"), F.grouping("gencfg").alias("over_gencfg"), F.grouping("dataset").alias("over_dataset")
+    ).filter("all = 0")
+    peers = W.partitionBy("over_gencfg", "over_dataset", "k", "dataset")
+    mark = F.round("mean", 9)
+    place, best = F.row_number().over(peers.orderBy(mark.desc(), "gencfg")), mark == F.max(mark).over(peers)
+    ranked = F.col("over_gencfg") == 0
+    return means.select("k", "gencfg", "dataset", "mean", "n", F.when(ranked, place).alias("rank"), F.when(ranked, best).alias("is_best"))
+
+
+def best_decodings(cube: DataFrame, top: int = 1) -> DataFrame:
+    """The best decoding of each dataset, and of all (dataset null), by its mean top-`top` ratio."""
+    return cube.filter((F.col("rank") == 1) & (F.col("k") == top)).select("dataset", "gencfg", "mean", "n")
 
 
 def prediction_sets(preds: DataFrame, topk: int, gencfgs: list[str] | None = None) -> DataFrame:

@@ -132,10 +132,13 @@ def _(spark, sf):
     return _rounded(rows, "prediction_score", "overall_score")
 
 
-@query("r09_specificity_report", "predictions annotations specificity cat_scores", _SPEC)
+@query("r09_specificity_report", "predictions annotations specificity cat_scores", f"""
+    SELECT *, printf('%.2f%%', round(100 * prediction_score, 2)) AS prediction_text, printf('%.2f%%', round(100 * overall_score, 2)) AS overall_text,
+           rank() OVER (ORDER BY prediction_score DESC)::INT AS prediction_place, rank() OVER (ORDER BY overall_score DESC)::INT AS overall_place
+    FROM ({_SPEC.replace(', 6)', ', 9)')})""")
 def _(spark, sf):
     rows = R.specificity_report(X.predictions(spark, sf), X.annotations(spark, sf), X.specificity(spark, sf), strict=False)
-    return _rounded(rows, "prediction_score", "overall_score")
+    return rows.withColumns({c: F.round(c, 9) for c in ("prediction_score", "overall_score")})
 
 
 @query("j08_prediction_specificity", "predictions specificity", """
@@ -225,16 +228,34 @@ def _(spark, sf):
     return means.withColumn("mean", F.when(F.col("mean") == float("-inf"), F.col("mean")).otherwise(F.round("mean", 6)))
 
 
-@query("a15_dataset_cube", "predictions annotations", result_sql("""
-    SELECT k, gencfg, dataset, round(avg(topk), 6) AS mean, count(*) AS n
+_CUBE = """
+    SELECT k, gencfg, dataset, avg(topk) AS mean, count(*) AS n, grouping(gencfg) AS g, grouping(dataset) AS d
     FROM (SELECT k, gencfg, 'set_' || (sid % 3) AS dataset, file, count(*) FILTER (WHERE best = 0) / count(*) AS topk
           FROM (SELECT *, CAST(sample[5:] AS BIGINT) AS sid FROM hits) GROUP BY ALL)
-    GROUP BY ROLLUP (k, gencfg, dataset) HAVING grouping(k) = 0"""))
-def _(spark, sf):
+    GROUP BY ROLLUP (k, gencfg, dataset) HAVING grouping(k) = 0"""
+
+
+def dataset_cube(spark, sf):
     rows = results(spark, sf).withColumn("dataset", F.concat(F.lit("set_"), (F.col("sample_id") % 3).cast("string")))
     # The dataset takes the model's place in the group, so that each set has its own ratios.
     per_set = S.topk_hit_ratios(rows.withColumn("model", F.col("dataset"))).withColumnRenamed("model", "dataset")
-    return _rounded(S.dataset_cube(per_set, "topk"), "mean")
+    return S.dataset_cube(per_set, "topk")
+
+
+@query("a15_dataset_cube", "predictions annotations", result_sql(f"""
+    SELECT k, gencfg, dataset, round(mean, 6) AS mean, n,
+           CASE WHEN g = 0 THEN row_number() OVER (PARTITION BY g, d, k, dataset ORDER BY round(mean, 9) DESC, gencfg) END::INT AS rank,
+           CASE WHEN g = 0 THEN round(mean, 9) = max(round(mean, 9)) OVER (PARTITION BY g, d, k, dataset) END AS is_best
+    FROM ({_CUBE})"""))
+def _(spark, sf):
+    return _rounded(dataset_cube(spark, sf), "mean")
+
+
+@query("a15_best_decodings", "predictions annotations", result_sql(f"""
+    SELECT dataset, arg_min(gencfg, (-round(mean, 9), gencfg)) AS gencfg, round(max(mean), 6) AS mean, arg_min(n, (-round(mean, 9), gencfg)) AS n
+    FROM ({_CUBE}) WHERE g = 0 AND k = 1 GROUP BY d, dataset"""))
+def _(spark, sf):
+    return _rounded(S.best_decodings(dataset_cube(spark, sf)), "mean")
 
 
 @query("l01_ordered_report", "scored", cum_sql(1, """

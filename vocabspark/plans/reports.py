@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import runs as R
 from ..operators import scoring as S
@@ -58,13 +59,18 @@ def model_max_report(preds: DataFrame, ann: DataFrame) -> DataFrame:
 def grid_report(preds: DataFrame, ann: DataFrame, k: int) -> DataFrame:
     """Each model's best decoding per k, with its distance from the best decoding's mean over the models."""
     grid = S.score_grid(S.topk_scores(S.attach_category(preds, ann), k))
-    top = grid.filter("kind = 'top'").select("k", F.col("score").alias("top"))
-    best = grid.filter("kind = 'max'").join(top, "k")
-    return best.select("file", "k", "score", "ratio", (F.col("score") - F.col("top")).alias("above_mean")).orderBy("k", F.desc("score"), "file")
+    top = F.max(F.when(F.col("kind") == "top", F.col("score"))).over(W.partitionBy("k"))
+    rows = grid.withColumn("above_mean", F.col("score") - top).filter("kind = 'max'")
+    return rows.select("file", "k", "score", "ratio", "above_mean").orderBy("k", F.desc("score"), "file")
 
 
 def specificity_report(preds: DataFrame, ann: DataFrame, spec: DataFrame, strict: bool = True) -> DataFrame:
-    return S.specificity_scores(preds, ann, spec, strict)
+    """Both scores of each prediction file as shares and as texts of two places, with its place by either score."""
+    scores = S.specificity_scores(preds, ann, spec, strict)
+    percent = lambda c: F.format_string("%.2f%%", F.round(100 * F.round(c, 9), 2))
+    place = lambda c: F.rank().over(W.orderBy(F.round(c, 9).desc()))  # noqa: E731  a row for each file and decoding
+    columns = ("prediction_score", "overall_score")
+    return scores.withColumns({f"{c.split('_')[0]}_{kind}": of(c) for c in columns for kind, of in (("text", percent), ("place", place))})
 
 
 MODEL = ["model_dir", "model_name"]
