@@ -103,29 +103,42 @@ def unencodable_targets(df: DataFrame, mapping: DataFrame) -> DataFrame:
     return encode_tokens(df, mapping).filter("n_missing > 0").select("target_id", "n_missing")
 
 
-def _prefixes(df: DataFrame, *keep: str, end_id: int | None = None) -> DataFrame:
-    """Rows (target_id, pos, prefix, token): each token with the text of all tokens before it.
+def _root() -> Column:
+    return F.struct(F.lit(42).cast("long").alias("a"), F.lit(43).cast("long").alias("b"))
+
+
+def _step(node: Column, token: Column) -> Column:
+    return F.struct(F.xxhash64(node["a"], token.cast("int")).alias("a"), F.xxhash64(node["b"], token.cast("int"), F.lit(1)).alias("b"))
+
+
+def path_node(tokens: Column) -> Column:
+    """The prefix tree's node that a path of tokens leads to: 128 bits, chained from the root token by token.
+
+    A node is as wide for a long path as for a short one, and the table of nodes needs no round for each level.
+    """
+    return F.aggregate(tokens, _root(), _step)
+
+
+def _steps(df: DataFrame, *keep: str, end_id: int | None = None) -> DataFrame:
+    """Rows (target_id, pos, node, token): each token with the node of the path before it.
 
     With `end_id` the end of each target is a token as well, so that a target that begins another has a path of its own.
     """
-    if end_id is not None:
-        df = df.withColumn("token_ids", F.concat("token_ids", F.array(F.lit(end_id).cast("int"))))
-    ids = F.col("token_ids")
-    return df.select(
-        "target_id", *keep,
-        F.inline(
-            F.transform(
-                ids, lambda t, i: F.struct(i.alias("pos"), F.array_join(F.slice(ids, F.lit(1), i), ",").alias("prefix"), t.alias("token"))
-            )
-        ),
+    ids = F.col("token_ids") if end_id is None else F.concat("token_ids", F.array(F.lit(end_id).cast("int")))
+    # One walk down the path, which leaves the nodes it has passed.
+    start = F.struct(_root().alias("node"), F.array().cast("array<struct<node:struct<a:bigint,b:bigint>,token:int>>").alias("passed"))
+    walk = lambda at, t: F.struct(
+        _step(at["node"], t).alias("node"), F.array_append(at["passed"], F.struct(at["node"].alias("node"), t.cast("int").alias("token"))).alias("passed")
     )
+    passed = F.aggregate(ids, start, walk, lambda at: at["passed"])
+    return df.select("target_id", *keep, F.posexplode(passed).alias("pos", "s")).select("target_id", *keep, "pos", "s.node", "s.token")
 
 
 def prefix_nodes(vocab: DataFrame, end_id: int | None = None) -> DataFrame:
-    """Prefix tree nodes (prefix, token): targets through the node, through its prefix, and sibling tokens."""
-    nodes = _prefixes(vocab, end_id=end_id).groupBy("prefix", "token").agg(F.count("*").alias("n"))
-    totals = nodes.groupBy("prefix").agg(F.sum("n").alias("n_prefix"), F.count("*").alias("n_siblings"))
-    return nodes.join(totals, "prefix")
+    """Prefix tree steps (node, token): targets through the step, through its node, and sibling tokens."""
+    steps = _steps(vocab, end_id=end_id).groupBy("node", "token").agg(F.count("*").alias("n"))
+    totals = steps.groupBy("node").agg(F.sum("n").alias("n_prefix"), F.count("*").alias("n_siblings"))
+    return steps.join(totals, "node")
 
 
 def vocabulary_prior(targets: DataFrame, vocab: DataFrame, per_token: bool, end_id: int | None = None) -> DataFrame:
@@ -135,7 +148,7 @@ def vocabulary_prior(targets: DataFrame, vocab: DataFrame, per_token: bool, end_
     Targets are unpadded; with `end_id` their end is a step of the path too.
     """
     nodes = prefix_nodes(vocab, end_id)
-    joined = _prefixes(targets, end_id=end_id).join(nodes, ["prefix", "token"], "left")
+    joined = _steps(targets, end_id=end_id).join(nodes, ["node", "token"], "left")
     share = F.lit(1.0) / F.col("n_siblings") if per_token else F.col("n") / F.col("n_prefix")
     summed = joined.groupBy("target_id").agg(F.count_if(F.col("n").isNull()).alias("unseen"), F.sum(F.log(share)).alias("s"))
     return summed.select("target_id", F.when(F.col("unseen") > 0, F.lit(float("inf"))).otherwise(F.col("s")).alias("prior"))
@@ -156,22 +169,22 @@ def rescore(candidates: DataFrame, prior: DataFrame | None, scaler: float, alpha
 
 
 def allowed_tokens(guides: DataFrame, end_id: int | None = None) -> DataFrame:
-    """Distinct (prefix, token) that some guide target allows; with `end_id`, the end after a whole target."""
-    return _prefixes(guides, end_id=end_id).select("prefix", "token").distinct()
+    """Distinct steps (node, token) that some guide target allows; with `end_id`, the end after a whole target."""
+    return _steps(guides, end_id=end_id).select("node", "token").distinct()
 
 
 def guided_log_softmax(logits: DataFrame, allowed: DataFrame, renormalise: bool) -> DataFrame:
-    """Log-softmax of the allowed next tokens of each (sample, prefix).
+    """Log-softmax of the allowed next tokens of each (sample, node): the columns of `logits` but `logit`, and logprob.
 
     With renormalisation only allowed tokens share the probability; otherwise all tokens do and the
     rest is then masked out. A group holds at most one row per vocabulary token.
     """
-    flagged = logits.join(allowed.withColumn("legal", F.lit(True)), ["prefix", "token"], "left_semi" if renormalise else "left")
-    group = W.partitionBy("sample", "prefix")
+    flagged = logits.join(allowed.withColumn("legal", F.lit(True)), ["node", "token"], "left_semi" if renormalise else "left")
+    group = W.partitionBy("sample", "node")
     shifted = flagged.withColumn("shifted", F.col("logit") - F.max("logit").over(group))
     scored = shifted.withColumn("logprob", F.col("shifted") - F.log(F.sum(F.exp("shifted")).over(group)))
     legal = scored if renormalise else scored.filter("legal")
-    return legal.select("sample", "prefix", "token", "logprob")
+    return legal.select(*[c for c in logits.columns if c != "logit"], "logprob")
 
 
 def _scored(target: Column, pad_id: int, end_id: int | None) -> Column:
@@ -205,8 +218,8 @@ def achievable_accuracy(df: DataFrame, pad_id: int, end_id: int | None = None) -
     Groups are the few targets of one row. Rows are padded, or unpadded with `end_id`, whose end is then scored too.
     """
     rows = df.withColumnRenamed("m", "target_id").withColumn("token_ids", F.filter("token_ids", lambda t: t != pad_id))
-    units = _prefixes(rows, "row_id", "weight", end_id=end_id).filter(F.col("weight") > 0)
-    keys = ["row_id", "pos", "prefix"]
+    units = _steps(rows, "row_id", "weight", end_id=end_id).filter(F.col("weight") > 0)
+    keys = ["row_id", "pos", "node"]
     sums = units.groupBy(*keys, "token").agg(F.sum("weight").alias("w"))
     best = sums.groupBy(*keys).agg(F.max_by("token", F.struct("w", -F.col("token"))).alias("best"))
     judged = units.join(best, keys).withColumn("hit", F.col("token") == F.col("best"))

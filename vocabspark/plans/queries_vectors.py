@@ -432,7 +432,7 @@ def logit_rows(spark, sf):
         F.col("l_orderkey").alias("sample"),
         F.when(F.col("l_linenumber") % 5 == 0, whole).when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.ascii("p_name").cast("string")).alias("prefix"),
         F.when(F.col("l_suppkey") % 3 == 0, END).otherwise((F.lit(97) + F.col("l_suppkey") % 26).cast("int")).alias("token"),
-    ).agg(F.max(F.col("l_discount") * 10 + F.col("l_quantity") / 10).alias("logit"))
+    ).agg(F.max(F.col("l_discount") * 10 + F.col("l_quantity") / 10).alias("logit")).withColumn("node", K.path_node(F.filter(F.split("prefix", ","), lambda t: t != "").cast("array<int>")))
 
 
 @query("e21_guided_renormalised", "target_tokens", f"""
@@ -440,7 +440,7 @@ def logit_rows(spark, sf):
     SELECT sample, prefix, token, round(logit - ln(sum(exp(logit)) OVER (PARTITION BY sample, prefix)), 6) AS logprob FROM legal""")
 def _(spark, sf):
     allowed = K.allowed_tokens(X.target_tokens(spark, sf).filter("target_id % 2 = 0"), END)
-    return K.guided_log_softmax(logit_rows(spark, sf), allowed, renormalise=True).withColumn("logprob", F.round("logprob", 6))
+    return K.guided_log_softmax(logit_rows(spark, sf), allowed, renormalise=True).drop("node").withColumn("logprob", F.round("logprob", 6))
 
 
 @query("e21_guided_masked", "target_tokens", f"""
@@ -449,7 +449,7 @@ def _(spark, sf):
     SELECT sample, prefix, token, round(logit - z, 6) AS logprob FROM legal JOIN z USING (sample, prefix)""")
 def _(spark, sf):
     allowed = K.allowed_tokens(X.target_tokens(spark, sf).filter("target_id % 2 = 0"), END)
-    return K.guided_log_softmax(logit_rows(spark, sf), allowed, renormalise=False).withColumn("logprob", F.round("logprob", 6))
+    return K.guided_log_softmax(logit_rows(spark, sf), allowed, renormalise=False).drop("node").withColumn("logprob", F.round("logprob", 6))
 
 
 def token_predictions(spark, sf):
