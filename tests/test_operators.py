@@ -313,8 +313,15 @@ def test_logits_and_ties_beyond_one_matrix(spark):
     protos = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(classes)], "class_id long, vector array<double>")
     want = vectors @ classes.T
     for options in ({}, {"limit": 0, "block": 7, "slice_rows": 11}):
-        got = {r.id: r.logits for r in VS.prototype_logits(emb, protos, ["id"], **options).collect()}
-        assert all(np.allclose(got[i], want[i]) for i in range(60))
+        for block in (7, 64):
+            got = {(r.id, r.first_class): r.logits for r in VS.prototype_logits(emb, protos, ["id"], **{**options, "block": block}).collect()}
+            assert set(got) == {(i, c) for i in range(60) for c in range(0, 40, block)}
+            assert all(np.allclose(logits, want[i, c : c + block]) for (i, c), logits in got.items())
+        topics = spark.createDataFrame([(c, 0.5 * (c % 3), 0.01 * c) for c in range(40)], "class_id long, mean double, factor double")
+        logits = VS.prototype_logits(emb, protos, ["id"], **{**options, "block": 7})
+        weights = {r.id: r.weight for r in VS.special_weights(logits, ["id"], topics, 7).collect()}
+        excess = np.maximum(want - 0.5 * (np.arange(40) % 3), 0) * 0.01 * np.arange(40)
+        assert all(np.isclose(weights[i], np.exp(excess[i].sum())) for i in range(60))
         top = {}
         for r in VS.top_prototypes(emb, protos, 3, ["id"], **options).collect():
             top.setdefault(r.id, {})[r["rank"]] = r.class_id

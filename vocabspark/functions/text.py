@@ -172,9 +172,13 @@ def caption_field_pattern(noun: Column) -> Column:
 
 def caption_template(caption: Column, noun: Column, field: str) -> Column:
     """Caption with `noun` replaced by {field}; null where the noun is not in it."""
-    pattern = caption_field_pattern(noun)
-    replaced = F.regexp_replace(caption, pattern, F.lit("$1{" + field + "}$4$5"))
-    return F.when(F.regexp_like(caption, pattern), F.rtrim(replaced, F.lit(CAPTION_TAIL)))
+    # A caption without the noun's letters needs no pattern; of the others only those that the pattern has changed have the noun, or else
+    # those in which it stands as the field already.
+    near = F.contains(F.lower(caption), F.lower(noun))
+    mark = F.lit("\u0001{" + field + "}")
+    replaced = F.when(near, F.regexp_replace(caption, caption_field_pattern(noun), F.lit("$1\u0001{" + field + "}$4$5")))
+    found = F.contains(replaced, mark)
+    return F.when(found, F.rtrim(F.replace(replaced, mark, F.lit("{" + field + "}")), F.lit(CAPTION_TAIL)))
 
 
 def field_names(template: Column) -> Column:

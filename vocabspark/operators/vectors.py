@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import vectors as V
 from ..session import cut_lineage
+from .ordinals import ranged_rank
 
 PROTO_LIMIT_BYTES = 64 * 1024 * 1024
 PROTO_LIMIT_ROWS = 16_384
@@ -81,7 +82,7 @@ def prepare(protos: DataFrame | Prototypes, limit: int = PROTO_LIMIT_BYTES, bloc
             return Prototypes(kind, protos.sparkSession.sparkContext.broadcast(matrix), None, 1)
     written = cut_lineage(protos.select("class_id", "vector"))
     n_blocks = -(-written.count() // block)
-    placed = written.withColumn("__block", F.pmod(F.xxhash64("class_id"), F.lit(max(1, n_blocks))).cast("int"))
+    placed = ranged_rank(written, [], [F.col("class_id")], "__at").withColumn("__block", F.expr(f"__at div {block}").cast("int")).drop("__at")
     return Prototypes(kind, None, placed, n_blocks)
 
 
@@ -175,28 +176,24 @@ def top_prototypes(
 
 
 def prototype_logits(
-    df: DataFrame, protos: DataFrame, keep: list[str], vec: str = "embedding",
+    df: DataFrame, protos: DataFrame | Prototypes, keep: list[str], vec: str = "embedding",
     limit: int = PROTO_LIMIT_BYTES, block: int = PROTO_BLOCK, slice_rows: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """All dot products of a row as one array in class order, whatever the number of prototypes.
+    """All dot products of a row in class order, in blocks: `first_class` and the `logits` of it and at most `block` - 1 classes after it.
 
-    `keep` must identify a row. Beyond one matrix each block gives its part of the array, and the parts are put together by row.
+    No row grows with the number of classes; both plans cut the classes alike. `keep` must identify a row.
     """
     protos = prepare(protos, limit, block)
-    class_type = protos.class_type
-    schema = f"{_ddl(df, keep)}, classes array<{class_type}>, dots array<double>"
+    schema = f"{_ddl(df, keep)}, first_class {protos.class_type}, logits array<double>"
 
-    def part(rows: pd.DataFrame, ids: list, matrix: np.ndarray, dots: np.ndarray) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({**{c: rows[c] for c in keep}, "classes": [], "dots": []})
-        return pd.DataFrame({**{c: rows[c] for c in keep}, "classes": [ids] * len(rows), "dots": list(dots)})
+    def parts(rows: pd.DataFrame, ids: list, matrix: np.ndarray, dots: np.ndarray) -> pd.DataFrame:
+        frames = [
+            pd.DataFrame({**{c: rows[c] for c in keep}, "first_class": [ids[at]] * len(rows), "logits": list(dots[:, at : at + block])})
+            for at in range(0, len(ids), block)
+        ]
+        return pd.concat(frames) if frames and len(rows) else pd.DataFrame({**{c: rows[c] for c in keep}, "first_class": [], "logits": []})
 
-    parts, whole = _score_blocks(df, protos, keep, vec, schema, part, limit, block, slice_rows)
-    if whole:
-        return parts.select(*keep, F.col("dots").alias("logits"))
-    pairs = F.arrays_zip("classes", "dots")
-    joined = parts.select(*keep, pairs.alias("p")).groupBy(*keep).agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
-    return joined.select(*keep, F.transform("p", lambda x: x["dots"]).alias("logits"))
+    return _score_blocks(df, protos, keep, vec, schema, parts, limit, block, slice_rows)[0]
 
 
 def accuracy(predicted: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
@@ -307,10 +304,14 @@ def position_correlation(df: DataFrame, positions: int, vec: str = "embedding")
     return sums.select("i", "j", (cov / (std("qi", "si") * std("qj", "sj"))).alias("corr"))
 
 
-def special_weight(logits: Column, means: list[float], factors: list[float]) -> Column:
-    """Topic weight of a row: exp of the factored positive excess of each logit over its mean."""
-    terms = F.zip_with(
-        F.zip_with(logits, F.array(*[F.lit(m) for m in means]), lambda x, m: F.greatest(x - m, F.lit(0.0))),
-        F.array(*[F.lit(f) for f in factors]), lambda x, f: x * f,
-    )
-    return F.exp(V.vec_sum(terms))
+def special_weights(logits: DataFrame, keep: list[str], topics: DataFrame, block: int = PROTO_BLOCK) -> DataFrame:
+    """(keep, weight): exp of the summed positive excess of each logit over its topic's mean, times its factor.
+
+    `logits` are blocks of `prototype_logits` over all of `topics` (class_id, mean, factor), which are cut into the same blocks; the
+    sums of a row's blocks are added.
+    """
+    placed = ranged_rank(topics.select("class_id", "mean", "factor"), [], [F.col("class_id")], "at").withColumn("block", F.expr(f"at div {block}"))
+    lists = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("class_id", "mean", "factor"))).alias("own"))
+    lists = lists.select(F.col("own")[0]["class_id"].alias("first_class"), "own")
+    excess = F.zip_with("logits", "own", lambda x, t: F.greatest(x - t["mean"], F.lit(0.0)) * t["factor"])
+    return logits.join(lists, "first_class").groupBy(*keep).agg(F.exp(F.sum(V.vec_sum(excess))).alias("weight"))

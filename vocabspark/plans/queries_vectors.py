@@ -46,13 +46,13 @@ def _(spark, sf):
 
 
 @query("j12_prototype_logits", "dots", """
-    SELECT vec_id, count(*) AS n, round(sum(dot), 6) AS total, round(max(dot), 6) AS high, round(min(dot), 6) AS low,
-           round(sum(dot * (class_id + 1)), 6) AS ordered FROM dots GROUP BY vec_id""")
+    SELECT vec_id, class_id // 4 * 4 AS first_class, count(*) AS n, round(sum(dot), 6) AS total, round(max(dot), 6) AS high, round(min(dot), 6) AS low,
+           round(sum(dot * (class_id % 4 + 1)), 6) AS ordered FROM dots GROUP BY vec_id, class_id // 4""")
 def _(spark, sf):
-    rows = VS.prototype_logits(X.embeddings(spark, sf), protos(spark, sf), ["vec_id"])
+    rows = VS.prototype_logits(X.embeddings(spark, sf), protos(spark, sf), ["vec_id"], block=4)
     ordered = V.vec_sum(F.transform("logits", lambda x, i: x * (i + 1)))
     return rows.select(
-        "vec_id", F.size("logits").alias("n"), F.round(V.vec_sum(F.col("logits")), 6).alias("total"),
+        "vec_id", "first_class", F.size("logits").alias("n"), F.round(V.vec_sum(F.col("logits")), 6).alias("total"),
         F.round(F.array_max("logits"), 6).alias("high"), F.round(F.array_min("logits"), 6).alias("low"), F.round(ordered, 6).alias("ordered"),
     )
 
@@ -548,8 +548,10 @@ def _(spark, sf):
 def _(spark, sf):
     topics = protos(spark, sf).filter(F.col("class_id").isin(0, 3))  # only the topics that have a weight
     logits = VS.prototype_logits(X.embeddings(spark, sf), topics, ["vec_id"])
-    weight = VS.special_weight(F.col("logits"), [0.1, 0.2], [3.0, 2.0])
-    return L.weighted_sample_n(logits.select("vec_id", weight.alias("w")), "vec_id", F.col("w"), 100, X.SEED).select("vec_id")
+    first = F.col("class_id") == 0
+    special = topics.select("class_id", F.when(first, 0.1).otherwise(0.2).alias("mean"), F.when(first, 3.0).otherwise(2.0).alias("factor"))
+    weights = VS.special_weights(logits, ["vec_id"], special)
+    return L.weighted_sample_n(weights, "vec_id", F.col("weight"), 100, X.SEED).select("vec_id")
 
 
 # The seeded draws again: SplitMix64 over the counters of a row's key, modulo 2^64, then Box-Muller.
