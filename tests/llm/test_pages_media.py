@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -34,6 +35,49 @@ def test_article(page):
     assert html_text.main_text(page) == WANT
 
 
+LONG = [f"Paragraph {i}, with enough words, commas and length to count as text of the article, {'and more ' * i}so it goes on." for i in range(5)]
+BODY = "".join(f"<p>{p}</p>" for p in LONG)
+
+
+@pytest.mark.parametrize(
+    "page, title",
+    [
+        (f"<div id='content' class='has-sidebar'>{BODY}</div><div class='sidebar'><p>Side text</p></div>", None),
+        (f"<body class='no-sidebar'><div class='post-with-comments'><article>{BODY}</article><div class='comments'><p>A reader, says</p></div></div>", None),
+        (f"<div class='content'><div class='entry-header'><h1>Title</h1></div>{BODY}</div>", "Title"),
+        (f"<div class='search'><div class='widget'>{BODY}</div></div><div id=footer>Foot</div>", None),
+        (f"<article><p>{LONG[0]} <svg class='i'/></p>{''.join(f'<p>{p}</p>' for p in LONG[1:])}</article>", None),
+        (f"<div class='main-text'>{BODY}</div><div class='comments'>{''.join(f'<p>Reader {i}, with {LONG[4]}</p>' for i in range(30))}</div>", None),
+    ],
+)
+def test_names_that_tell_of_the_layout(page, title):
+    assert html_text.main_blocks(page) == ([title] if title else []) + LONG
+
+
+def test_scoring_without_an_article_element():
+    """The best container by its points, computed slowly from the markup, is the one that is kept."""
+    rng = random.Random(8)
+    for _ in range(60):
+        groups = [[f"{'word ' * rng.randint(3, 60)}end{', more' * rng.randint(0, 6)}" for _ in range(rng.randint(1, 6))] for _ in range(4)]
+        linked = [rng.random() < 0.4 for _ in groups]
+        shown = lambda p, link: f"<p><a href=x>{p}</a></p>" if link else f"<p>{p}</p>"
+        page = "".join(f"<section><div>{''.join(shown(p, link) for p in g)}</div></section>" for g, link in zip(groups, linked))
+        points = [0 if link else sum(1 + p.count(",") + min(len(p) / 100, 3) for p in g) for g, link in zip(groups, linked)]
+        kept = html_text.main_blocks(page)
+        if max(points) > sum(points) / 3:  # else the page's root, two levels above, is the best container
+            best = points.index(max(points))
+            assert [p for p in kept if p in groups[best]] == groups[best]
+            assert not any(p in kept for g, link in zip(groups, linked) if link for p in g if p not in groups[best])
+
+
+def test_long_pages_of_odd_tags():
+    """Time linear in the page: names that aren't open, deep nests, blocks inside long inline runs."""
+    began = time.time()
+    for page in ("<b>" * 100_000 + "</i>" * 100_000 + "x", "<b>" * 100_000 + "<div>x</div>" * 50_000, "<p>" + "<b>" * 50_000 + "</p>" * 50_000, "<ul>" + "<b>" * 60_000 + "<li>x</li>" * 60_000, "<div>" * 100_000 + "<li>x</li>" * 30_000):
+        assert "x" in html_text.main_text(page) or "x" not in page
+    assert time.time() - began < 20
+
+
 def test_open_tags_and_odd_pages():
     assert html_text.main_blocks("<article><h1>T</h1><p><b>One two.<br><p>Three</p></article>") == ["T", "One two.", "Three"]
     assert html_text.main_blocks("<ul><li>a<li>b</ul>") == ["a", "b"]

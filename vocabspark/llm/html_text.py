@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import takewhile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,13 @@ _NAMED_OUT = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond share sharing social related recommended "
     "popup modal overlay notice alert widget toolbar pagination pager login signup search form".split()
 )
+#: Words before a listed one that make a name say something about the layout, or about the head of the article, and not what the element is.
+_LAYOUT = frozenset("has no with without show hide hidden toggle enable enabled disable disabled".split())
+_OWN_HEAD = frozenset("entry post article content story page section title".split())
+_COMMENTS = frozenset("comment comments disqus respond".split())
+#: Share of the page's unlinked text from which an element is the page's content, whatever its name, unless that is of reader comments.
+CONTENT = 0.5
+_SELF_CLOSED = frozenset(("svg", "math"))
 _ARTICLE = frozenset(("article", "main"))
 _CORE = frozenset(("html", "body", "article", "main"))
 
@@ -78,8 +86,11 @@ def _events(page: str):
                 attributes.setdefault(attr[1].lower(), (attr[2] or "").strip("\"'"))
         at += 1
         tag = name[0].lower()
+        whole = tag in _SELF_CLOSED and page[at - 2] == "/"
         yield text, tag, closing, attributes
-        if tag in _RAW and not closing:
+        if whole:
+            yield "", tag, True, {}
+        elif tag in _RAW and not closing:
             end = _RAW[tag].search(page, at)
             at = end.start() if end else len(page)
 
@@ -93,19 +104,44 @@ def _is_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in _ROLES:
         return True
-    names = _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return any(n in _NAMED_OUT for n in names) and not (in_article and tag in _HEADING)
+    return False
+
+
+def _named(tag: str, attributes: dict[str, str], in_article: bool) -> str | None:
+    """What an element is by the names in its class and id, if that is not the article: "comments", "other" or None."""
+    if tag in _CORE or not attributes or (in_article and tag in _HEADING):
+        return None
+    kind = None
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = _WORDS.findall(name)
+        for before, word in zip([None, *words], words):
+            if word in _NAMED_OUT and before not in _LAYOUT and not (word in ("header", "form") and before in _OWN_HEAD):
+                if word in _COMMENTS:
+                    return "comments"
+                kind = "other"
+    return kind
 
 
 class _Tree:
     """Block elements by number, each after its parent, and the blocks of text in page order."""
 
     def __init__(self, page: str) -> None:
-        self.parent, self.tag, self.out = [-1], ["html"], [False]
+        self.parent, self.tag, self.out, self.named = [-1], ["html"], [False], [None]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         stack = [("html", 0)]  # tag, element; an inline tag has the element that holds it
+        places: dict[str, list[int]] = {}  # of each tag in the stack, without the first
+        bounds: list[int] = []  # places of the tags that are not inline
         buffer, linked, links, article = [], 0, 0, 0
 
+        def push(tag: str, element: int) -> None:
+            places.setdefault(tag, []).append(len(stack))
+            if tag not in _INLINE:
+                bounds.append(len(stack))
+            stack.append((tag, element))
+
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         def flush() -> None:
             nonlocal linked
             text = " ".join("".join(buffer).split())
@@ -121,6 +157,9 @@ class _Tree:
                 if tag not in _INLINE or self.tag[element] == tag:
                     flush()
                 stack.pop()
+                places[tag].pop()
+                if tag not in _INLINE:
+                    bounds.pop()
                 links -= tag == "a"
                 article -= tag in _ARTICLE
 
@@ -133,7 +172,7 @@ class _Tree:
             if not tag:
                 continue
             if closing:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+                at = last((tag,))
                 if at:
                     close(at)
                 elif tag == "p":
@@ -147,22 +186,18 @@ class _Tree:
                     flush()
                 continue
             if tag in _ENDS_P:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] not in _INLINE), 0)
-                if at and stack[at][0] == "p":
-                    close(at)
+                if bounds and stack[bounds[-1]][0] == "p":
+                    close(bounds[-1])
             if tag in _CLOSES:
-                names, bounds = _CLOSES[tag]
-                at = 0
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in bounds:
-                        break
-                    if stack[i][0] in names:
-                        at = i
+                names, ends = _CLOSES[tag]
+                end = last(ends)
+                at = min((i for name in names for i in takewhile(lambda i: i > end, reversed(places.get(name, ())))), default=0)
                 if at:
                     close(at)
             out = _is_out(tag, attributes, article > 0)
-            if tag in _INLINE and not out:
-                stack.append((tag, stack[-1][1]))
+            named = _named(tag, attributes, article > 0)
+            if tag in _INLINE and not out and not named:
+                push(tag, stack[-1][1])
             else:
                 if tag not in _INLINE:
                     flush()
@@ -170,27 +205,41 @@ class _Tree:
                     pass
                 held = stack[-1][1]
                 if tag in _INLINE:
-                    self._aside(held)
+                    self._add(held, "inline-out", True, None)
                 else:
-                    self._add(held, tag, out)
-                stack.append((tag, len(self.tag) - 1))
+                    self._add(held, tag, out, named)
+                push(tag, len(self.tag) - 1)
             links += tag == "a"
             article += tag in _ARTICLE
         close(0 + 1)
         flush()
 
-    def _add(self, parent: int, tag: str, out: bool) -> None:
+    def _add(self, parent: int, tag: str, out: bool, named: str | None) -> None:
         self.parent.append(parent)
         self.tag.append(tag)
         self.out.append(out or self.out[parent])
+        self.named.append(named)
 
-    def _aside(self, parent: int) -> None:
-        self._add(parent, "inline-out", True)
+    def take_out_named(self) -> None:
+        """Leave out what its names say is not the article, unless it holds an article or main, or most of the page's unlinked text."""
+        n = len(self.tag)
+        unlinked, holds = [0] * n, [t in _ARTICLE for t in self.tag]
+        for element, text, in_links in self.blocks:
+            unlinked[element] += len(text) - in_links
+        for e in range(n - 1, 0, -1):
+            unlinked[self.parent[e]] += unlinked[e]
+            holds[self.parent[e]] = holds[self.parent[e]] or holds[e]
+        for e in range(1, n):
+            kind = self.named[e]
+            own = bool(kind) and not holds[e] and (kind == "comments" or unlinked[e] < CONTENT * unlinked[0])
+            self.out[e] = self.out[e] or own or self.out[self.parent[e]]
+        self.blocks = [b for b in self.blocks if not self.out[b[0]]]
 
 
 def main_blocks(page: str | None) -> list[str]:
     """The article's blocks of text in page order."""
     tree = _Tree(page or "")
+    tree.take_out_named()
     parent, tag = tree.parent, tree.tag
     n = len(tag)
     points, chars, linked, links_in = [0.0] * n, [0] * n, [0] * n, [0] * n
