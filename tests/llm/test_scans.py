@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import string
 
@@ -127,11 +128,36 @@ def test_base_pii():
         assert pii.base_spans(text) == slow_pii(text), text
 
 
+def test_base_pii_of_long_runs():
+    """Time linear in the text."""
+    began = time.time()
+    million = 1_000_000
+    texts = ["1" * million, "a" * million + " x@y", "a" * million + "@" + "b" * million, "@" * million, "1." * million, "+1" + "(" * million, "1 " * million, "a@b." * (million // 4)]
+    assert [len(pii.base_spans(t)) for t in texts] == [0, 0, 0, 0, million // 4, 0, 0, million // 8]
+    assert time.time() - began < 16
+
+
+def test_many_entities_in_one_text(spark):
+    """Entities of the same rows are counted as one, so a text's entities don't multiply its terms."""
+    many = " ".join(f"user{i}@mail.example.com" for i in range(3000)) + " Kowalski " + " ".join(f"word{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000))
+    texts = [many, many] + [f"alpha beta {i}" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r.doc_id: r for r in pii.scan(df, "doc_id", "text").collect()}
+    assert time.time() - began < 60
+    terms = [x for x in got[0].spans.split(",") if x.startswith("term")]
+    assert got[0].n_email == 3000 and len(terms) == 3001 and got[0].spans == got[1].spans and not got[5].spans
+
+
 def slow_terms(docs, disclosure, support):
     import math
 
     docs = [t or "" for t in docs]
-    near = [pii.nearby(t, slow_pii(t)) for t in docs]
+    near = []
+    for t in docs:
+        spans = slow_pii(t)
+        free = [m.span() for m in re.finditer(r"[^\W\d_]{3,}", t) if all(m.end() <= s or e <= m.start() for s, _, e in spans)]
+        near.append([(pii._entity(k, t[s:e]), pii.term_key(t[a:b]), a, b) for s, k, e in spans for a, b in free])
     words = [{pii.term_key(w) for w in re.findall(r"[^\W\d_]{3,}", t.lower())} for t in docs]
     out = [set() for _ in docs]
     for i, found in enumerate(near):

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,16 +24,15 @@ from .common import SLICE, cut_lineage, map_rows
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address is looked for at its "@": the name before it is the run of name characters that ends there.
+_NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# A match can only begin where a run of digits does, as all its digits have the same end.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
-#: Words on each side of an entity that are held for its terms.
-NEAR = 6
-#: Characters on each side in which these words are looked for.
-REACH = 200
 #: Terms a task counts before it hands its counts on.
 COUNTED = 300_000
 
@@ -56,11 +54,23 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, leftmost and apart, in time linear in the text."""
+    done = 0  # nothing before belongs to a later name
+    at = text.find("@")
+    while at >= 0:
+        start = done + len(text[done:at].rstrip(_NAME))
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        done = host.end() if host else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds, by start, then kind."""
     spans = []
-    if "@" in text:
-        spans += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+    spans += [(start, 0, end) for start, end in emails(text)]
     spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_small, m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
@@ -80,26 +90,6 @@ def _entity(kind: int, text: str) -> int:
     return term_key(f"{KINDS[kind]}:{_digits(text) if kind in (2, 3) else text.lower()}")
 
 
-def nearby(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms close to each span and in no span."""
-    out, starts, ends = [], [], []
-    for s, _, e in spans:
-        if ends and s < ends[-1]:
-            ends[-1] = max(ends[-1], e)
-        else:
-            starts.append(s)
-            ends.append(e)
-    for s, kind, e in spans:
-        left = [m.span() for m in _TERM.finditer(text, max(0, s - REACH), s)][-NEAR:]
-        right = [m.span() for m in _TERM.finditer(text, e, min(len(text), e + REACH))][:NEAR]
-        entity = _entity(kind, text[s:e])
-        for a, b in left + right:
-            at = bisect_left(ends, a + 1)
-            if at == len(starts) or starts[at] >= b:
-                out.append((entity, term_key(text[a:b]), a, b))
-    return out
-
-
 def terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """The places of the terms that touch no span."""
     ends, at = sorted((s, e) for s, _, e in spans), 0
@@ -173,8 +163,14 @@ def scan(docs: DataFrame, id_col: str, text_col: str, disclosure: float = 0.9, s
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     found = cut_lineage(map_rows(rows, [id_col], lambda: _scan, _FIELDS).withColumn("__row", F.monotonically_increasing_id()))
     seen = found.select("__row", F.explode("__entities").alias("entity"))
-    entities = seen.groupBy("entity").agg(F.count("*").alias("entity_df")).filter(F.col("entity_df") >= support)
-    held = seen.join(entities.select("entity"), "entity").groupBy("__row").agg(F.collect_list("entity").alias("entities"))
+    # Entities of the same rows have the same counts with every term, so one of them stands for all: a text that lists very many
+    # addresses, and its copies, have few such classes.
+    same = [F.bit_xor(F.xxhash64("__row", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    known = seen.groupBy("entity").agg(F.count("*").alias("entity_df"), *same).filter(F.col("entity_df") >= support)
+    classes = known.groupBy("entity_df", "m0", "m1").agg(F.min("entity").alias("class"))
+    named = cut_lineage(known.join(classes, ["entity_df", "m0", "m1"]).select("entity", "class", "entity_df"))
+    entities = named.filter("entity = class").select("entity", "entity_df")
+    held = seen.join(named.select("entity", "class"), "entity").groupBy("__row").agg(F.collect_set("class").alias("entities"))
     listed = cut_lineage(found.join(held, "__row").select("__row", "entities", "__terms"))
     stand = listed.select("__row", F.explode("entities").alias("entity"), "__terms").select("__row", "entity", F.explode("__terms").alias("term"))
     pairs = stand.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
