@@ -114,6 +114,19 @@ def _zip() -> bytes:
     return out.getvalue()
 
 
+def test_many_magic_bytes():
+    """Time linear in the bytes where nothing is confirmed."""
+    began = time.time()
+    for data in (b"%PDF-1 " * 80_000, b"\x1f\x8b\x08" * 80_000, b"\x1f\x8b\x08\x08 " * 80_000 + b"\0", b"PK\x03\x04" * 100_000, b"%PDF-1 startxref" * 30_000, b"\x1f\x8b\x08\0\0\0\0\0\0\0" * 50_000):
+        found, rejected = media.objects(data)
+        assert not found and rejected >= 30_000
+    assert time.time() - began < 12
+    named = io.BytesIO()
+    with gzip.GzipFile("a name", "wb", fileobj=named) as out:
+        out.write(b"text " * 5000)
+    assert media.objects(b"\x1f\x8b\x08\xe0 junk " + named.getvalue() + b"tail")[0] == [(10, 10 + len(named.getvalue()), "application/gzip")]
+
+
 GIF = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff!\xf9\x04\x00\x00\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
 JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd12\xff\x0034\xff\xd0\xff\xd9"
 BMP = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\0\0\0\0"

@@ -13,6 +13,7 @@ import math
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -114,10 +115,27 @@ _PDF_TABLE = re.compile(rb"xref\b|[0-9]+\s+[0-9]+\s+obj\b")
 _BLANKS = re.compile(rb"[\0\t\n\f\r ]*")
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+class Places:
+    """Where marks stand in some bytes; each mark is looked for once, however often it is asked for."""
+
+    def __init__(self, b: bytes) -> None:
+        self.b, self.of = b, {}
+        #: Places from which a deflate stream could not be read.
+        self.unread: set[int] = set()
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of `mark` at or after `at`, -1 if there is none."""
+        if mark not in self.of:
+            self.of[mark] = [m.start() for m in re.finditer(re.escape(mark), self.b)]
+        found = self.of[mark]
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+
+def _pdf(b: bytes, at: int, places: Places) -> int | None:
     """Up to the last %%EOF whose startxref leads to a table of this file: linearised and updated files have several."""
-    end = b.find(b"%%EOF", at)
-    if end < 0 or not b[at + 5 : at + 6].isdigit() or b.find(b"startxref", at, end) < 0:
+    end = places.after(b"%%EOF", at)
+    if end < 0 or not b[at + 5 : at + 6].isdigit() or not 0 <= places.after(b"startxref", at) <= end - 9:
         return None
     end += 5
     for m in _PDF_END.finditer(b, end):
@@ -131,8 +149,8 @@ def _pdf(b: bytes, at: int) -> int | None:
     return blanks
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, places: Places) -> int | None:
+    end = places.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -140,20 +158,33 @@ def _zip(b: bytes, at: int) -> int | None:
     return end + 22 + note if whole and end + 22 + note <= len(b) else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    if at + 18 > len(b) or b[at + 3] & 0xE0:
+def _gzip(b: bytes, at: int, places: Places) -> int | None:
+    if at + 18 > len(b) or (flags := b[at + 3]) & 0xE0:
+        return None
+    begin = at + 10 + (2 + int.from_bytes(b[at + 10 : at + 12], "little") if flags & 4 else 0)
+    for flag in (8, 16):  # name and comment end with a zero
+        if flags & flag:
+            begin = places.after(b"\0", begin) + 1
+            if not begin:
+                return None
+    if begin in places.unread:
         return None
-    reader, pos = zlib.decompressobj(31), at
+    reader, pos, step = zlib.decompressobj(31), at, 1024
     try:
         while not reader.eof:
-            part = reader.unconsumed_tail or b[pos : pos + 65536]
+            part = reader.unconsumed_tail or b[pos : pos + step]
             pos += 0 if reader.unconsumed_tail else len(part)
+            step = min(2 * step, 65536)
             if not part:
-                return None
+                break
             reader.decompress(part, 1 << 20)
     except zlib.error:
-        return None
-    return pos - len(reader.unused_data)
+        pass
+    if reader.eof:
+        return pos - len(reader.unused_data)
+    if not flags & 2:  # else the header's own checksum may be what is wrong
+        places.unread.add(begin)
+    return None
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -188,16 +219,20 @@ def _automaton() -> ahocorasick.Automaton:
     return made
 
 
+#: Validators that look for something far ahead.
+_SEARCHING = (_pdf, _zip, _gzip)
+
+
 def objects(data: bytes) -> tuple[list[tuple[int, int, str]], int]:
     """The confirmed objects (start, end, type) in order, none inside another, and how many magic bytes were not confirmed."""
-    found, rejected, over = [], 0, 0
+    found, rejected, over, places = [], 0, 0, Places(data)
     # matches end in order; those that start earlier and end later still start first, as no magic holds another
     for last, (i, length) in _automaton().iter(data.decode("latin-1")):
         start = last + 1 - length
         if start < over:
             continue
         _, kind, validate = FORMATS[i]
-        end = validate(data, start)
+        end = validate(data, start, places) if validate in _SEARCHING else validate(data, start)
         if end is None:
             rejected += 1
             continue
