@@ -12,6 +12,7 @@ import wave
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
 from vocabspark.llm import html_text, media, spans
@@ -100,6 +101,42 @@ def test_pages_table(spark, sf_small):
         assert next(r.text for r in rows if r.page_id == page.page_id) == "\n\n".join(b for b in blocks if b)
 
 
+def test_likeness_goes_on_after_differences():
+    rng = random.Random(6)
+    make = lambda words: spans.Prefixes(spans.codes(" ".join(words))).fingerprint()
+    words = [f"word{rng.randrange(5000)}" for _ in range(400)]
+    for places in ((40, 360), (10, 390), (5, 100, 200, 300)):
+        changed = words.copy()
+        for at in places:
+            changed[at] = "another"
+        assert spans.likeness(make(words), make(changed)) > (0.9 if len(places) == 2 else 0.8)
+        inserted = words.copy()
+        for at in places[::-1]:
+            inserted[at:at] = ["one", "more"]
+        assert spans.likeness(make(words), make(inserted)) > (0.9 if len(places) == 2 else 0.8)
+    other = [f"word{rng.randrange(5000)}" for _ in range(400)]
+    assert spans.likeness(make(words), make(other)) < 0.1
+    assert 0.6 < spans.likeness(make(words), make(words[:280] + other[:120])) < 0.8
+    assert 0.4 < spans.likeness(make(words), make(words + other)) < 0.6  # another scale of cuts
+    assert 0.4 < spans.likeness(make(words), make(other[:300] + words[:50] + other[300:] + words[50:])) < 0.6
+    for text in ("a" * 100_000, "ab" * 50_000, ""):
+        mark = spans.Prefixes(spans.codes(text)).fingerprint()
+        assert len(mark) < 20_000 and spans.likeness(mark, mark) == 1.0
+
+
+def test_spans_are_hashed_free_of_their_places():
+    rng = random.Random(7)
+    text = "".join(rng.choice("ab") for _ in range(300))
+    whole = spans.Prefixes(spans.codes(text))
+    starts, ends = np.array([0, 17, 100, 299]), np.array([9, 80, 300, 300])
+    for i, (h0, h1) in enumerate(zip(*whole.free(starts, ends))):
+        part = spans.Prefixes(spans.codes(text[starts[i] : ends[i]]))
+        assert (int(h0), int(h1)) == part.span(0, part.n)
+    cut = whole.own_spans(8)
+    assert cut["length"].sum() == 300
+    assert list(spans._coarser(cut, 1 << 40)) == [(*whole.span(0, 300), 300)]
+
+
 def _wav() -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

@@ -4,14 +4,17 @@ The prefix array of a text has, for every n, the sum of its first n code points,
 prime. Two such arrays with primes near 2^31 give the hash of any span by one difference, so any
 two spans can be held equal, and the longest common extension of two positions is found by binary search. A
 fingerprint is made of hashes of whole prefixes and whole suffixes at steps of a power of two, some tens each, with the
-length and the hash of all. The likeness of two texts is found on these alone: binary search for the longest common prefix, then for the longest
-common suffix of the rest, as a share of the longer text.
+length and the hash of all, and of the spans between cuts that the text itself sets (where the hash of the eight code points before has enough
+zeros), which cover all of it. The likeness of two texts is found on these alone: binary search for the longest common prefix, then for the longest
+common suffix of the rest, or the spans that both have, whichever is the larger share of the longer text; so agreement is taken up again after
+each difference.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +27,22 @@ from .common import SLICE
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 69069069)
+#: The bases, then their inverses.
+_FACTORS = [*BASES, *(pow(b, -1, p) for b, p in zip(BASES, PRIMES))]
+#: Code points that decide on a cut, and the length of a span, about, at least.
+WINDOW, SPAN = 8, 16
+_SPAN = np.dtype([("length", ">u4"), ("level", "u1"), ("h0", ">u4"), ("h1", ">u4")])
 #: Steps of a fingerprint at least and twice as many at most, unless the text is shorter.
 STEPS = 32
 
-_powers = [np.ones(1, dtype=np.uint64) for _ in PRIMES]
+_powers = [np.ones(1, dtype=np.uint64) for _ in _FACTORS]
 
 
 def powers(k: int, n: int) -> np.ndarray:
-    """The first n powers of base k, by doubling; kept for the next text."""
+    """The first n powers of factor k, by doubling; kept for the next text."""
     while len(_powers[k]) < n:
-        have, p = _powers[k], np.uint64(PRIMES[k])
-        top = np.uint64(int(have[-1]) * BASES[k] % PRIMES[k])
+        have, p = _powers[k], np.uint64(PRIMES[k % 2])
+        top = np.uint64(int(have[-1]) * _FACTORS[k] % PRIMES[k % 2])
         _powers[k] = np.concatenate([have, have * top % p])
     return _powers[k][:n]
 
@@ -91,7 +99,33 @@ class Prefixes:
             free = (s[self.n] + p - s[self.n - at]) % p * (powers(k, self.n)[at] * back % p) % p
             behind ^= free << np.uint64(31 * (1 - k))
         mixed = [((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(">u4").tobytes() for x in (ahead, behind)]
-        return (struct.pack(">QII", self.n, int(self.sums[0][-1]), int(self.sums[1][-1])) + mixed[0] + mixed[1]).hex()
+        return (struct.pack(">QII", self.n, int(self.sums[0][-1]), int(self.sums[1][-1])) + mixed[0] + mixed[1] + self.own_spans(max(step, SPAN)).tobytes()).hex()
+
+    def free(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The hashes of spans, free of their places."""
+        out = []
+        for k, prime in enumerate(PRIMES):
+            p, s = np.uint64(prime), self.sums[k]
+            out.append((s[ends] + p - s[starts]) % p * powers(2 + k, self.n + 1)[starts] % p)
+        return out
+
+    def own_spans(self, step: int) -> np.ndarray:
+        """The spans between the text's own cuts, about `step` long each and a quarter of it at least; a span's level is that of its end."""
+        if not self.n:
+            return np.empty(0, dtype=_SPAN)
+        ends = np.arange(min(WINDOW, self.n), self.n, dtype=np.int64)
+        x = self.free(ends - min(WINDOW, self.n), ends)
+        mixed = ((x[0] << np.uint64(31)) ^ x[1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        some = np.flatnonzero(mixed & np.uint64(step - 1) == 0)
+        cuts, levels, least = [0], [], max(1, step // 4)
+        for at, m in zip(ends[some].tolist(), mixed[some].tolist()):
+            if at - cuts[-1] >= least:
+                cuts.append(at)
+                levels.append((m & -m).bit_length() if m else 33)
+        cuts, made = np.array([*cuts, self.n]), np.empty(len(cuts), dtype=_SPAN)
+        made["length"], made["level"] = np.diff(cuts), [*levels, 255]
+        made["h0"], made["h1"] = self.free(cuts[:-1], cuts[1:])
+        return made
 
 
 def step_of(n: int) -> int:
@@ -107,23 +141,42 @@ def _longest(a: np.ndarray, b: np.ndarray) -> int:
     return low
 
 
+def _coarser(spans: np.ndarray, step: int) -> Counter:
+    """Spans joined where their ends are no cuts for `step`, as (hashes, length) with the number of each.
+
+    The hash of two spans in a row is that of the first and, moved by its length, that of the second.
+    """
+    out, held, length = Counter(), [0, 0], 0
+    for n, level, *hashes in spans.tolist():
+        held = [(h + x * pow(b, length, p)) % p for h, x, b, p in zip(held, hashes, BASES, PRIMES)]
+        length += n
+        if level >= step.bit_length():
+            out[(*held, length)] += 1
+            held, length = [0, 0], 0
+    return out
+
+
 def likeness(one: str, two: str) -> float:
-    """0 to 1, from two fingerprints: the share of the longer text in the common prefix and, after it, suffix; 1 if equal."""
+    """0 to 1, from two fingerprints: the share of the longer text in the common prefix and, after it, suffix, or in spans of both; 1 if equal."""
     if one == two:
         return 1.0
-    parts, lengths = [], []
+    parts, lengths, own = [], [], []
     for fingerprint in (one, two):
         raw = bytes.fromhex(fingerprint)
         n = struct.unpack(">Q", raw[:8])[0]
+        at = 16 + 8 * len(range(step_of(n), n, step_of(n)))
         lengths.append(n)
-        parts.append(np.frombuffer(raw[16:], dtype=">u4").reshape(2, -1))
+        parts.append(np.frombuffer(raw[16:at], dtype=">u4").reshape(2, -1))
+        own.append(np.frombuffer(raw[at:], dtype=_SPAN))
     steps = [step_of(n) for n in lengths]
     step = max(steps)
     grids = [p[:, step // s - 1 :: step // s] for p, s in zip(parts, steps)]
     longest = max(lengths)
     ahead = _longest(grids[0][0], grids[1][0]) * step
     behind = _longest(grids[0][1], grids[1][1]) * step
-    return min(ahead + behind, min(lengths)) / longest if longest else 1.0
+    both = _coarser(own[0], max(step, SPAN)) & _coarser(own[1], max(step, SPAN))
+    shared = sum(span[2] * n for span, n in both.items())
+    return min(max(ahead + behind, shared), min(lengths)) / longest if longest else 1.0
 
 
 _COLUMNS = [("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())]
