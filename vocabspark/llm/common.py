@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, discard
 
-__all__ = ["cut_lineage", "discard", "map_rows", "table", "text_of"]
+__all__ = ["aside", "cut_lineage", "discard", "map_rows", "table", "text_of"]
 
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE = 256
@@ -22,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """`df` with its columns that begin as helper columns do (two underscores) renamed, what `names` are now, and a function that
+    gives such columns of a result their own names back."""
+    new: dict[str, str] = {}
+    for c in df.columns:
+        if c.startswith("__"):
+            name = f"own{c}"
+            while name.lower() in {x.lower() for x in [*df.columns, *new.values()]}:
+                name = f"own_{name}"
+            new[c] = name
+    back = {v: k for k, v in new.items()}
+    return df.withColumnsRenamed(new), [new.get(n, n) for n in names], lambda out: out.withColumnsRenamed(back)
+
+
 def text_of(column: str):
     """The text column as a string, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

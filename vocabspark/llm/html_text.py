@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import aside, map_rows
 
 _OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -292,5 +292,6 @@ def extract(pages: DataFrame, keep: list[str], html_col: str) -> DataFrame:
     Each page is taken whole and by itself, so repeated rows have equal results and an empty table an empty one.
     """
     start = lambda: lambda page: (lambda text: (text, len(text)))(main_text(page))
+    pages, (html_col, *keep), back = aside(pages, html_col, *keep)
     rows = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
-    return map_rows(rows, keep, start, [("text", T.StringType()), ("n_chars", T.LongType())])
+    return back(map_rows(rows, keep, start, [("text", T.StringType()), ("n_chars", T.LongType())]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 BLANKS = " \t\r"
 
 
@@ -38,6 +40,11 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, width: int = 3, out
     Only digests of windows are shuffled, 128 bits each, and counted before the shuffle, so a window that stands in
     a third of the rows meets as one row of each task; the join back to its places can be split.
     """
+    plain, (id_col, text_col), back = aside(docs.drop(*[c for c in out if c not in (id_col, text_col)]), id_col, text_col)
+    return back(_dedup(plain, id_col, text_col, width, out))
+
+
+def _dedup(docs: DataFrame, id_col: str, text_col: str, width: int, out: tuple[str, str]) -> DataFrame:
     named = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), _lines(F.col(text_col)).alias("lines"))
     full = named.select("d", "t", F.filter(F.transform("lines", _trimmed), lambda x: x != "").alias("own")).filter(F.size("own") >= width)
     spot = lambda k: [F.get("own", k + i) for i in range(width)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import aside, map_rows
 
 UNKNOWN = "application/octet-stream"
 
@@ -311,8 +311,9 @@ def store_texts(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
         payload, n = padded(text)
         return store(payload), UNKNOWN, n
 
+    docs, (text_col, *keep), back = aside(docs, text_col, *keep)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    return map_rows(rows, keep, lambda: one, [("media", T.BinaryType()), ("declared", T.StringType()), ("n_bytes", T.LongType())])
+    return back(map_rows(rows, keep, lambda: one, [("media", T.BinaryType()), ("declared", T.StringType()), ("n_bytes", T.LongType())]))
 
 
 def describe(table: DataFrame, keep: list[str], media_col: str, declared_col: str) -> DataFrame:
@@ -333,7 +334,8 @@ def describe(table: DataFrame, keep: list[str], media_col: str, declared_col: st
 
     text, whole = T.StringType(), T.LongType()
     fields = [("type", text), ("was_wrong", T.BooleanType()), ("carved", T.ArrayType(text)), ("payload_bytes", whole), ("payload_sha256", text), ("tail_crc32", whole), ("media_sha256", text), ("feature", text)]
-    return map_rows(table.select(*keep, F.col(media_col).alias("__media"), F.col(declared_col).alias("__declared")), keep, lambda: one, fields)
+    table, (media_col, declared_col, *keep), back = aside(table, media_col, declared_col, *keep)
+    return back(map_rows(table.select(*keep, F.col(media_col).alias("__media"), F.col(declared_col).alias("__declared")), keep, lambda: one, fields))
 
 
 def carve(table: DataFrame, keep: list[str], media_col: str) -> DataFrame:
@@ -342,7 +344,8 @@ def carve(table: DataFrame, keep: list[str], media_col: str) -> DataFrame:
     def one(media):
         return ([f"{s}:{e}:{k}" for s, e, k in objects(media)[0]] if media is not None else [],)
 
+    table, (media_col, *keep), back = aside(table, media_col, *keep)
     found = map_rows(table.select(*keep, F.col(media_col).alias("__media"), F.col(media_col).alias("__bytes")), [*keep, "__bytes"], lambda: one, [("__found", T.ArrayType(T.StringType()))])
     each = found.select(*keep, "__bytes", F.explode("__found").alias("__o")).withColumn("__o", F.split("__o", ":", 3))
     at, end = F.element_at("__o", 1).cast("int"), F.element_at("__o", 2).cast("int")
-    return each.select(*keep, F.element_at("__o", 3).alias("type"), at.cast("long").alias("at"), F.substring("__bytes", at + 1, end - at).alias("data"))
+    return back(each.select(*keep, F.element_at("__o", 3).alias("type"), at.cast("long").alias("at"), F.substring("__bytes", at + 1, end - at).alias("data")))

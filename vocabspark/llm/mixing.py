@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut_lineage
+from .common import aside, cut_lineage
 
 #: Rows of one source and size that one task puts in order.
 GROUP = 20_000
@@ -55,7 +55,16 @@ def mix(docs: DataFrame, id_col: str, source_col: str, size: Column, weights: di
     Rows of one source and size are dealt to buckets by digest, as many as they need, so no source or size is put in order by
     one task; only the buckets' counts are summed along a source. One row of each source comes to the driver.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "copies")]
+    counted = "words"
+    while counted in docs.columns:
+        counted += "_"
+    names = list(docs.columns if keep is None else keep)
+    plain, (id_col, source_col, *names), back = aside(docs.select("*", size.alias(counted)), id_col, source_col, *names)
+    return back(_mix(plain, id_col, source_col, F.col(counted), weights, seed, most, names))
+
+
+def _mix(docs: DataFrame, id_col: str, source_col: str, size: Column, weights: dict[str | None, float] | None, seed: int, most: int, keep: list[str]) -> DataFrame:
+    kept = [c for c in keep if c not in ("size", "source_size", "target", "copies")]
     group = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     rows = docs.select(*kept, F.col(source_col).cast("string").alias("__source"), group.alias("__g"), size.alias("size"), F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("")).alias("__key"))
     small = cut_lineage(rows.groupBy("__g", "__source", "size").agg(F.count("*").alias("__n")))

@@ -215,8 +215,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str, out: st
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                x = np.array([features(t) for t in part.column("__text").to_pylist()], dtype=float)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(model.score(x))], names=[*keep, out])
+                x = np.array([features(t) for t in part.column(len(keep)).to_pylist()], dtype=float)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(model.score(x))], names=[*keep, out])
 
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*keep, F.col(text_col).cast("string"))
     return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())]))
