@@ -218,5 +218,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str, out: st
                 x = np.array([features(t) for t in part.column(len(keep)).to_pylist()], dtype=float)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(model.score(x))], names=[*keep, out])
 
-    rows = docs.select(*keep, F.col(text_col).cast("string"))
+    free = "__text"
+    while free in keep:
+        free += "_"
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(free))
     return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())]))
