@@ -43,3 +43,14 @@ def test_usage_windows(spark, pieces, kind):
     watermark = static.agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).first()[0]
     got = {(r["start"], r["requests"], r["prompt_tokens"]) for r in rows.collect()}
     assert got == {(r["s"]["start"], r["n"], r["p"]) for r in want.collect() if r["s"]["end"] <= watermark}
+
+
+def test_tables_that_are_files_or_folders(spark, tmp_path):
+    rows = spark.range(20).withColumn("x", F.col("id") * 2)
+    rows.repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    rows.toPandas().to_parquet(f"{tmp_path}/one.parquet")
+    rows.toPandas().to_parquet(f"{tmp_path}/one_more.parquet")
+    spark.range(5).write.parquet(f"{tmp_path}/other.parquet")
+    for name, times in (("many", 1), ("one", 2)):
+        got = S.run_available(S.read_table_stream(spark, str(tmp_path), name)).select("id", "x")
+        assert sorted(map(tuple, got.collect())) == sorted([(i, 2 * i) for i in range(20)] * times), name

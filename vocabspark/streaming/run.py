@@ -17,13 +17,12 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """A Parquet table file (or a folder that files arrive in) as a stream, with the table's schema.
+    """A Parquet table as a stream, with the table's schema: one file, files `name*.parquet` that arrive beside it, or a folder of files.
 
     `files_per_trigger` bounds a micro-batch.
     """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}*.parquet")
 
 
 @contextmanager
