@@ -36,6 +36,16 @@ def test_bucketed_rank_equals_window(spark):
     assert got.count() == df.count()
 
 
+def test_offsets_of_groups_are_not_broadcast(spark):
+    """The planner takes exploded rows for few; their offsets may be as many as rows."""
+    df = spark.range(100).select(F.explode(F.sequence(F.lit(1), F.lit(30))).alias("g"), "id", F.md5(F.col("id").cast("string").cast("binary")).alias("d"))
+    ranked = O.bucketed_rank(df, ["g"], digest_bucket(F.col("d")), [F.col("d")], "r")
+    assert "BroadcastHashJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert df.select(digest_bucket(F.col("d")).alias("b")).filter("length(b) > 3").isEmpty()
+    want = {(g, r["id"]): i for g in range(1, 31) for i, r in enumerate(sorted(df.filter("g = 1").collect(), key=lambda r: r["d"]))}
+    assert {(r["g"], r["id"]): r["r"] for r in ranked.collect()} == want
+
+
 def test_bucketed_rank_with_null_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, x int")
     got = O.bucketed_rank(df, ["g"], F.col("x"), [F.col("x")], "r").collect()

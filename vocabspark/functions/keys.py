@@ -17,8 +17,8 @@ def seeded_digest(seed: int | str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
 
 
-def digest_bucket(digest: Column, hex_digits: int = 5) -> Column:
-    """Leading hex digits of a digest: 16**hex_digits even buckets in digest order."""
+def digest_bucket(digest: Column, hex_digits: int = 3) -> Column:
+    """Leading hex digits of a digest: 16**hex_digits even buckets in digest order, few beside the rows of a large table."""
     return F.substring(digest, 1, hex_digits)
 
 

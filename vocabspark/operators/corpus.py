@@ -288,17 +288,19 @@ def noun_multisets(vocab: DataFrame, prompts: DataFrame, multi_target_freq: list
 
     Columns: m, repetition, kind, tslot, rank, text, targets. Trailing zero frequencies have no effect.
     """
+    plan = [(m, r) for m, f in enumerate(multi_target_freq, 1) for r in range(1, f + 1)]
+    if not plan:
+        raise ValueError("at least one multi-target frequency must be positive")
+    prompts = cut_lineage(prompts.drop("seen"))
+    slots = prompts.groupBy("kind").agg(F.sum("tfreq").alias("n_slots"))
+    # Each vocabulary row is drawn very often: spread the rows by the expected draws.
+    expected = vocab.count() * int(slots.agg(F.sum("n_slots")).first()[0] or 0) * sum(m for m, _ in plan)
     units = (
-        explode_nouns(vocab)
+        explode_nouns(vocab.repartition(1 + expected // ROWS_PER_PARTITION, "id", "target_noun"))
         .withColumn("unit", F.explode(F.expr("sequence(freq_before, freq_before + freq - 1)")))
         .withColumn("item", F.concat_ws("/", "id", "unit"))
         .select("target_noun", "kind", "noun", "item")
     )
-    prompts = cut_lineage(prompts.drop("seen"))
-    slots = prompts.groupBy("kind").agg(F.sum("tfreq").alias("n_slots"))
-    plan = [(m, r) for m, f in enumerate(multi_target_freq, 1) for r in range(1, f + 1)]
-    if not plan:
-        raise ValueError("at least one multi-target frequency must be positive")
     draws = F.array(
         *[
             F.struct(F.lit(m).alias("m"), F.lit(r).alias("repetition"), F.lit(s).alias("slot"))

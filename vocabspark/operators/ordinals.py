@@ -21,7 +21,11 @@ _BUCKET = "__bucket"
 
 
 def _sums(work: DataFrame, kept: Sequence[str], by: Sequence[str], order: Sequence[Column], names: Sequence[str]) -> DataFrame:
-    """Exclusive running sums of the `__v_` columns in (bucket, order) order, per group."""
+    """Exclusive running sums of the `__v_` columns in (bucket, order) order, per group.
+
+    Groups may be as many as rows, and what rows are exploded from says little of their number; so the offsets of groups are
+    merged with the rows and never broadcast.
+    """
     totals = work.groupBy(*by, _BUCKET).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
     before = W.partitionBy(*(by or [F.lit(0)])).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
@@ -30,10 +34,11 @@ def _sums(work: DataFrame, kept: Sequence[str], by: Sequence[str], order: Sequen
     )
     local = W.partitionBy(*by, _BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     summed = work.withColumns({f"__l_{n}": F.coalesce(F.sum(f"__v_{n}").over(local), F.lit(0)) for n in names})
-    same = F.lit(True)
-    for c in [*by, _BUCKET]:
-        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    return summed.join(offsets, same).select(*kept, *[(F.col(f"__o_{n}") + F.col(f"__l_{n}")).alias(n) for n in names])
+    same, nullable = F.lit(True), {f.name for f in work.schema if f.nullable}
+    for c in [*by, _BUCKET]:  # plain equality keeps the rows where the sums have dealt them
+        key = F.col(f"__k_{c}")
+        same = same & (F.col(c).eqNullSafe(key) if c in nullable else F.col(c) == key)
+    return summed.join(offsets.hint("merge") if by else offsets, same).select(*kept, *[(F.col(f"__o_{n}") + F.col(f"__l_{n}")).alias(n) for n in names])
 
 
 def in_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
