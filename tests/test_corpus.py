@@ -158,3 +158,13 @@ def test_embedding_runs_once_per_text(spark):
     assert len(out) == 40
     assert len({tuple(r["embedding"]) for r in out if r["text"] == "same"}) == 1
     assert all(abs(sum(v * v for v in r["embedding"]) - 1) < 1e-5 for r in out)
+
+
+def test_hypernym_names_are_not_broadcast(spark, sf_dir):
+    """A vocabulary's file is small, its rows are not: they are merged."""
+    from vocabspark.operators.vocab import resolve_hypernyms, with_hypernym_targets
+    from vocabspark.plans import fixtures as X
+
+    vocab = X.vocab(spark, sf_dir)
+    for df in (resolve_hypernyms(vocab), with_hypernym_targets(vocab)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()

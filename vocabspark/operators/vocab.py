@@ -67,11 +67,14 @@ def vocab_violations(vocab: DataFrame, threshold: int = 0) -> DataFrame:
 
 
 def resolve_hypernyms(vocab: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
-    """Long rows (id, pos, hypernym_id, hypernym_target), in hypernym order."""
+    """Long rows (id, pos, hypernym_id, hypernym_target), in hypernym order.
+
+    The names are merged: a vocabulary file is much smaller than its rows, which a broadcast would bring to the driver.
+    """
     lookup = vocab if lookup is None else lookup
     links = vocab.select("id", F.posexplode("hypernyms").alias("pos", "hypernym_id"))
     names = lookup.select(F.col("id").alias("hypernym_id"), F.col("target_noun").alias("hypernym_target"))
-    return links.join(names, "hypernym_id").select("id", "pos", "hypernym_id", "hypernym_target")
+    return links.join(names.hint("merge"), "hypernym_id").select("id", "pos", "hypernym_id", "hypernym_target")
 
 
 def with_hypernym_targets(vocab: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
@@ -83,7 +86,7 @@ def with_hypernym_targets(vocab: DataFrame, lookup: DataFrame | None = None) ->
         .select("id", F.transform("links", lambda x: x["hypernym_target"]).alias("hypernym_targets"))
     )
     empty = F.array().cast("array<string>")
-    return vocab.join(grouped, "id", "left").withColumn("hypernym_targets", F.coalesce("hypernym_targets", empty))
+    return vocab.join(grouped.hint("merge"), "id", "left").withColumn("hypernym_targets", F.coalesce("hypernym_targets", empty))
 
 
 def _noun_structs(kind: str) -> Column:
