@@ -171,3 +171,19 @@ def test_pack_requests(spark):
     for shard_rows in by_shard.values():
         plain = sorted((r["image"], r["request"], r["num_bytes"], r["num_tokens"]) for r in shard_rows)
         assert {(r["image"], r["request"]): r["batch"] for r in shard_rows} == pack(plain, 20, 9000, 4000)
+
+
+def test_annotations_and_priors_are_merged(spark, ann):
+    """Exploded rows pass for few with the planner; a broadcast would bring them all to the driver."""
+    from vocabspark.operators import tokens as K
+
+    many = ann.filter("noun = 'twice'").select(F.explode(F.array([F.lit(f"s{i}") for i in range(9)])).alias("sample"), "category", "noun")
+    scored = S.attach_category(predictions(spark, {"s1": ["twice", "good"], "t": ["twice"]}), many)
+    targets = spark.createDataFrame([(1, [1, 2]), (2, [1, 3])], "target_id long, token_ids array<int>")
+    prior = K.vocabulary_prior(targets, targets, per_token=False)
+    rows = spark.createDataFrame([("s", 1, 0.0, 2), ("s", 2, 0.5, 2), ("s", 3, 0.9, 2)], "sample string, target_id long, logprob double, n_tokens int")
+    best = K.rescore(rows, prior, 0.5, 0.0, 2)
+    for df in (scored, prior, best):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["sample"], r["pred"]): r["category"] for r in scored.collect()} == {("s1", "twice"): "close_secondary", ("s1", "good"): None, ("t", "twice"): None}
+    assert [r["target_id"] for r in best.orderBy("rank").collect()] == [2, 1]

@@ -39,9 +39,12 @@ def pair_categories(ann: DataFrame) -> DataFrame:
 
 
 def attach_category(preds: DataFrame, ann: DataFrame) -> DataFrame:
-    """Predictions with their category (null where not annotated)."""
+    """Predictions with their category (null where not annotated).
+
+    Annotations are as many as images times nouns, so they are merged; the planner would take exploded ones for few and broadcast them.
+    """
     pairs = pair_categories(ann).select("sample", F.col("noun").alias("pred"), "category")
-    return preds.join(pairs, ["sample", "pred"], "left")
+    return preds.join(pairs.hint("merge"), ["sample", "pred"], "left")
 
 
 def category_counts(category: Column) -> list[Column]:

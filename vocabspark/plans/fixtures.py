@@ -66,6 +66,14 @@ def part_noun(name: str = "p_name", key: str = "p_partkey") -> Column:
     return F.concat_ws(" ", F.col(name), F.col(key).cast("string"))
 
 
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and names of the parts, merged with what they are joined to.
+
+    They grow with the tables, and their file is many times smaller than the rows that a broadcast would send to the driver.
+    """
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").hint("merge")
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vocabulary row per part; hypernyms are the parts at key/10 and key/100."""
     part = table(spark, sf_dir, "part")
@@ -102,7 +110,7 @@ def faulty_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One class per order: a plural, a re-cased singular and, for some, an unknown name."""
-    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    orders, part = table(spark, sf_dir, "orders"), part_names(spark, sf_dir)
     named = orders.join(part, F.col("o_custkey") == F.col("p_partkey")).select("o_orderkey", "o_orderstatus", part_noun().alias("noun"))
     name = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Zoo-Thing, "), F.upper(F.substring("noun", 1, 1)), F.expr("substring(noun, 2)"), F.lit("s ,"), F.col("noun"))).when(
         F.col("o_orderstatus") == "O", F.concat(F.upper(F.replace(F.col("noun"), F.lit(" "), F.lit("-"))), F.lit(", café thing"))
@@ -114,7 +122,7 @@ def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    line, part = table(spark, sf_dir, "lineitem"), part_names(spark, sf_dir)
     rows = line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linestatus", "l_extendedprice")
     keyed = rows.groupBy(
         F.expr("l_suppkey % 4").cast("int").alias("m"), (F.col("l_linestatus") == "F").alias("short"),
@@ -149,7 +157,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category per (sample, noun); some nouns have two, some none, some samples are left out."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    line, part = table(spark, sf_dir, "lineitem"), part_names(spark, sf_dir)
     pairs = line.select(F.expr("l_orderkey div 10").alias("s"), "l_partkey").filter("s % 17 != 0").distinct()
     code = F.expr("(s * 7 + l_partkey) % 11")
     first = (
@@ -206,7 +214,7 @@ def faulty_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One enumerated caption answer per document, eight to a noun; some lines are not numbered."""
     rows = caption_rows(spark, sf_dir).select("doc_id", "pos", F.regexp_extract("caption", r"^(.*) near the \{", 1).alias("sentence"))
-    part = table(spark, sf_dir, "part").select((F.col("p_partkey")).alias("id"), part_noun().alias("noun"))
+    part = part_names(spark, sf_dir).select((F.col("p_partkey")).alias("id"), part_noun().alias("noun"))
     named = rows.withColumn("id", F.expr("doc_id div 8 + 1")).join(part, "id")
     noun = F.when(F.col("pos") % 3 == 2, F.concat("noun", F.lit("s"))).otherwise(F.upper("noun"))
     head = F.when(F.col("pos") % 5 == 4, F.lit("- ")).otherwise(F.concat((F.col("pos") + 1).cast("string"), F.lit(". ")))
@@ -349,12 +357,12 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infer runs with a log text built from the order's lines; every 11th log has its markers in the wrong order."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(part_names(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
     said = F.concat(F.lit("[I] img_"), F.col("l_linenumber").cast("string"), F.lit(".jpg -->  "), part_noun("p_name", "l_partkey"))
     texts = lines.groupBy(F.col("l_orderkey").alias("run_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", said.alias("line")))), lambda x: x["line"]), "\n").alias("body")
     )
-    rows = runs(spark, sf_dir).join(texts, "run_id")
+    rows = runs(spark, sf_dir).join(texts.hint("merge"), "run_id")
     start, end = "[I] Inferencing loaded model on the generated embeddings...\n", "\n[I] " + "-" * 50 + "\n"
     body = F.when(F.col("run_id") % 11 == 0, F.concat(F.lit(end + start), "body")).otherwise(F.concat(F.lit(start), F.col("body"), F.lit(end)))
     log = F.concat(F.lit("[I] img_0 --> before\n[I] Loading model: /data/"), F.concat_ws("/", "model_dir", "model_name"), F.lit("\n"), body, F.lit("[I] img_9 --> after"))

@@ -63,8 +63,7 @@ def _(spark, sf):
     SELECT l_orderkey, l_linenumber, 'img_' || (l_orderkey // 10) AS sample, p_name || ' ' || l_partkey AS pred, category
     FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN pair_category c ON c.sample = 'img_' || (l_orderkey // 10) AND c.noun = p_name || ' ' || l_partkey""")
 def _(spark, sf):
-    part = X.table(spark, sf, "part").select("p_partkey", "p_name")
-    lines = S.read_table_stream(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = S.read_table_stream(spark, sf, "lineitem").join(X.part_names(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
     preds = lines.select(
         "l_orderkey", "l_linenumber", F.concat(F.lit("img_"), F.expr("l_orderkey div 10")).alias("sample"), X.part_noun("p_name", "l_partkey").alias("pred")
     )

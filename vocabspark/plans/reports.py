@@ -89,7 +89,7 @@ def eval_report(runs: DataFrame, patterns: dict[str, str], pairs: dict[str, str]
     top-1), both kinds of each paired pattern, and the class evaluation of the dataset `classes`."""
     named, columns = _top1_columns(patterns, pairs)
     picked = R.pick_by_pattern(R.eval_results(runs), named).groupBy(*MODEL).agg(*columns)
-    report = R.model_headers(runs).join(picked, MODEL, "left").join(R.class_results(runs, classes), MODEL, "left")
+    report = R.model_headers(runs).join(picked.hint("merge"), MODEL, "left").join(R.class_results(runs, classes).hint("merge"), MODEL, "left")
     return order_report(report, sort) if sort else report
 
 
@@ -115,8 +115,8 @@ def all_report(logs: DataFrame, runs: DataFrame, ann: DataFrame, patterns: dict[
     preds = R.parse_run_logs(logs).join(newest.select("run_id"), "run_id", "left_semi")
     scored = S.attach_category(preds.select(*MODEL, "sample", "pred"), ann)
     counts = scored.groupBy(*MODEL).agg(F.count("*").alias("n"), *S.category_counts(F.col("category")))
-    infers = newest.drop("run_id").join(counts.withColumn("score", S.score_of_counts()), MODEL, "left")
-    joined = evals.join(infers, MODEL, "full")
+    infers = newest.drop("run_id").join(counts.withColumn("score", S.score_of_counts()).hint("merge"), MODEL, "left")
+    joined = evals.join(infers.hint("merge"), MODEL, "full")
     filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in [*S.CATEGORY_SCORES, "other", "n"]})
     filled = filled.withColumns({"score": F.coalesce("score", F.lit(0.0)), "tag": F.coalesce("tag", F.lit("-")), "command": F.coalesce("command", F.lit("-"))})
     return filled.withColumn("score_ratio", F.when(F.col("n") > 0, F.col("score") / F.col("n")))
