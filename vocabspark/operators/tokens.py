@@ -138,7 +138,7 @@ def prefix_nodes(vocab: DataFrame, end_id: int | None = None) -> DataFrame:
     """Prefix tree steps (node, token): targets through the step, through its node, and sibling tokens."""
     steps = _steps(vocab, end_id=end_id).groupBy("node", "token").agg(F.count("*").alias("n"))
     totals = steps.groupBy("node").agg(F.sum("n").alias("n_prefix"), F.count("*").alias("n_siblings"))
-    return steps.join(totals, "node")
+    return steps.join(totals.hint("merge"), "node")
 
 
 def vocabulary_prior(targets: DataFrame, vocab: DataFrame, per_token: bool, end_id: int | None = None) -> DataFrame:
@@ -148,7 +148,7 @@ def vocabulary_prior(targets: DataFrame, vocab: DataFrame, per_token: bool, end_
     Targets are unpadded; with `end_id` their end is a step of the path too.
     """
     nodes = prefix_nodes(vocab, end_id)
-    joined = _steps(targets, end_id=end_id).join(nodes, ["node", "token"], "left")
+    joined = _steps(targets, end_id=end_id).join(nodes.hint("merge"), ["node", "token"], "left")
     share = F.lit(1.0) / F.col("n_siblings") if per_token else F.col("n") / F.col("n_prefix")
     summed = joined.groupBy("target_id").agg(F.count_if(F.col("n").isNull()).alias("unseen"), F.sum(F.log(share)).alias("s"))
     return summed.select("target_id", F.when(F.col("unseen") > 0, F.lit(float("inf"))).otherwise(F.col("s")).alias("prior"))
@@ -161,7 +161,7 @@ def rescore(candidates: DataFrame, prior: DataFrame | None, scaler: float, alpha
     """
     joined = candidates.withColumn("__off", F.lit(0.0))
     if scaler:
-        joined = candidates.join(prior, "target_id", "left").withColumn("__off", F.coalesce(F.lit(scaler) * F.col("prior"), F.lit(float("inf"))))
+        joined = candidates.join(prior.hint("merge"), "target_id", "left").withColumn("__off", F.coalesce(F.lit(scaler) * F.col("prior"), F.lit(float("inf"))))
     score = (F.col("logprob") - F.col("__off")) * F.pow(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"), F.lit(-alpha))
     order = W.partitionBy("sample").orderBy(F.desc("score"), "target_id")
     ranked = joined.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
