@@ -336,3 +336,15 @@ def test_logits_and_ties_beyond_one_matrix(spark):
         for r in VS.top_prototypes(emb, protos, 3, ["id"], **options).collect():
             top.setdefault(r.id, {})[r["rank"]] = r.class_id
         assert all([top[i][k] for k in (1, 2, 3)] == np.argsort(-want[i], kind="stable")[:3].tolist() for i in range(60))
+
+
+def test_achievable_accuracy_does_not_shuffle_steps(spark, monkeypatch):
+    monkeypatch.setattr(K, "TARGETS_PER_PARTITION", 2)
+    rows = [(1, 0, 0.5, [5, 2, 3]), (1, 1, 0.25, [5, 4]), (1, 2, 0.25, [5, 4, 6]), (2, 0, 1.0, [7]), (2, 0, 0.0, [8]), (None, 0, 1.0, [9])]
+    df = spark.createDataFrame(rows, "row_id long, m int, weight double, token_ids array<int>")
+    out = K.achievable_accuracy(df, 0, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Join" not in plan  # targets by row, and the total
+    r = out.first()
+    # at 2 against 4 the weights tie, the lower wins; then 4, end against 5 tie, the end wins
+    assert (r.n_rows, r.n_tokens, r.n_correct) == (2, 4 + 3 + 4 + 2, 4 + 2 + 2 + 2)
