@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabspark.llm import common, lines, mixing, packing, quality, shingles
+from vocabspark.llm import common, lines, mixing, packing, quality, shingles, simhash
+from vocabspark.llm.components import connected_components
 
 #: No SQL says what a fitted model, fingerprints or a tokenizer do.
 ORACLE_SQL = None
@@ -35,11 +36,17 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the least id (null first), then the first in the table.
 
-    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Texts are linked whose SimHash fingerprints differ in two bits at most, as op1 links them, and those whose sets
+    of five-word shingles have a Jaccard similarity of 0.8 or more, which SimHash alone would miss. Groups are what both join.
     """
     placed = docs.withColumn("__place", F.struct("doc_id", F.monotonically_increasing_id().alias("row")))
-    classes = shingles.near_duplicates(placed, "__place", "text", 5, 0.8)
-    firsts = classes.filter(F.col("__place") == F.col("component_id")).select(F.col("__place.row").alias("__row"))
+    alike = simhash.near_duplicates(placed, "__place", "text").select("__place", F.col("component_id").alias("__alike"))
+    classes = common.cut_lineage(alike.join(shingles.near_duplicates(placed, "__place", "text", 5, 0.8), "__place"))
+    # The first document of each class by either way is a node; every document links its two classes.
+    edges = classes.select(F.col("__alike.row").alias("u"), F.col("component_id.row").alias("v")).filter("u <> v").distinct()
+    roots = connected_components(common.cut_lineage(edges)).select(F.col("node").alias("__node"), "root")
+    named = classes.join(roots, F.col("__alike.row") == F.col("__node"), "left").select("__place", F.coalesce("root", "__alike.row").alias("__root"))
+    firsts = named.groupBy("__root").agg(F.min("__place").alias("__first")).select(F.col("__first.row").alias("__row"))
     return docs.withColumn("__at", F.monotonically_increasing_id()).join(firsts, F.col("__at") == F.col("__row"), "left_semi").select(*docs.columns)
 
 

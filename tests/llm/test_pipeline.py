@@ -105,3 +105,22 @@ def test_extra_columns_survive(spark, sf_small):
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, sf_small)
         assert out.columns == docs.columns and out.count() > 0, name
+
+
+def test_near_dedup_joins_links_of_both_ways(spark):
+    """SimHash links what the other way leaves apart, and a group may take both kinds of links."""
+    from vocabspark.llm import shingles, simhash
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(40)]
+    # The chorus is five shingles, very often each: they outweigh the others in a fingerprint, which counts repeats, not in a set.
+    chorus = " ".join([" ".join(base[:5])] * 400)
+    verse = lambda: " ".join(word() for _ in range(30))
+    first, second = chorus + " " + verse(), chorus + " " + verse()
+    texts = [(1, first), (2, second), (3, " ".join(base)), (4, verse())]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t), None, None, None, None) for i, t in texts], SCHEMA)
+    by = lambda df: {r["doc_id"]: r["component_id"] for r in df.collect()}
+    assert by(simhash.near_duplicates(docs, "doc_id", "text")) == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert by(shingles.near_duplicates(docs, "doc_id", "text", 5, 0.8)) == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == [1, 3, 4]
