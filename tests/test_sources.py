@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vocabspark.operators.embtable import fingerprint
 from vocabspark.sources import documents as D
@@ -111,3 +112,13 @@ def test_fingerprint_order_and_exclusion(spark):
         fingerprint(make("a", "1", "b", "3"), ("z",)).alias("w"), fingerprint(make("a", "0", "b", "2"), ("z",), {"a": "1"}).alias("v"),
     ).first()
     assert row["x"] == row["y"] == row["v"] != row["w"]
+
+
+def test_prompts_of_one_dataset_are_dealt_out(spark):
+    """No key of the join holds more than a share of a dataset's prompts."""
+    prompts = spark.range(2000).select(F.lit("cifar10").alias("dataset"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("template"))
+    wanted = spark.createDataFrame([("cifar10",), ("fashionmnist",), ("unheard",)], "dataset string")
+    out = D.resolve_class_prompts(prompts, wanted)
+    assert "share" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((d, "cifar10", i, f"t{i}") for d in ("cifar10", "fashionmnist") for i in range(2000))
+    assert sorted(map(tuple, out.collect())) == want

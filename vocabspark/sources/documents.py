@@ -78,15 +78,22 @@ PROMPT_ALIASES = {
     "imagenet-r": "imagenet1k",
 }
 
+PROMPT_SHARES = 256
+
 
 def resolve_class_prompts(prompts: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Prompts of each dataset (column `dataset`, lower case), through its alias where it has none."""
+    """Prompts of each dataset (column `dataset`, lower case), through its alias where it has none.
+
+    A dataset has any number of prompts: they are dealt into shares, each met by all datasets, so that none is one task's.
+    """
     own = prompts.select("dataset").distinct().withColumn("own", F.lit(True))
     alias = F.lit(None).cast("string")
     for name, target in PROMPT_ALIASES.items():
         alias = F.when(F.col("dataset") == name, F.lit(target)).otherwise(alias)
     keyed = datasets.join(own, "dataset", "left").withColumn("source", F.when(F.col("own"), F.col("dataset")).otherwise(alias))
-    return keyed.join(prompts.withColumnRenamed("dataset", "source"), "source").select("dataset", "source", "pos", "template")
+    shares = keyed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(PROMPT_SHARES - 1))))
+    dealt = prompts.withColumnRenamed("dataset", "source").withColumn("share", F.pmod(F.xxhash64("pos", "template"), F.lit(PROMPT_SHARES)).cast("int"))
+    return shares.join(dealt, ["source", "share"]).select("dataset", "source", "pos", "template")
 
 
 def prediction_paths(paths: list[str]) -> list[str]:
