@@ -168,3 +168,40 @@ def test_hypernym_names_are_not_broadcast(spark, sf_dir):
     vocab = X.vocab(spark, sf_dir)
     for df in (resolve_hypernyms(vocab), with_hypernym_targets(vocab)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _before_merge(df):
+    """The optimized plan below the merge of equal templates."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (merge,) = [i for i, line in enumerate(lines) if "Aggregate [template" in line]
+    return "\n".join(lines[merge + 1:])
+
+
+def test_hypernyms_are_compiled_after_the_merge(spark, monkeypatch):
+    """Leaving out the plain noun puts no pattern on the rows before the merge."""
+    sums, numbered_from = C.ranged_sums, []
+    monkeypatch.setattr(C, "ranged_sums", lambda df, *args, **values: numbered_from.append(df) or sums(df, *args, **values))
+    columns = [F.lit("P").alias("collection"), F.col("id").alias("pos"), F.lit(1).alias("freq")]
+    template = F.when(F.col("id") > 0, F.concat(F.lit("a  "), F.expr("id % 4"), F.lit(" {target}"))).alias("template")
+    C.number_hypernyms(C.compile_hypernyms(spark.range(9).select(*columns, template), "P"))
+    (rows,) = numbered_from
+    below = _before_merge(rows)
+    assert "regexp" not in below and "raise_error" not in below
+
+
+def test_plain_noun_takes_no_number(spark):
+    """Positions and frequencies go on past the null template, wherever it stands; columns stay as compiled."""
+    given = [("K", 0, 2, ", a {target}"), ("K", 1, 5, None), ("K", 2, 3, ", an  {article_target}"), ("K", 3, 1, ", a {target}"), ("K", 4, 4, None), ("K", 5, 1, ", the {target}")]
+    compiled = C.compile_hypernyms(template_rows(spark, given), "K")
+    numbered = C.number_hypernyms(compiled)
+    assert numbered.columns == [*compiled.columns, "hpos", "hfreq_before"]
+    got = [(r.hpos, r.hfreq_before, r.hfreq, r.template, r.template_comma, r.need_article) for r in numbered.orderBy("hpos").collect()]
+    assert got == [
+        (0, 0, 3, ", a {target}", ", a {target},", False), (1, 3, 3, ", an {target}", ", an {target},", True), (2, 6, 1, ", the {target}", ", the {target},", False),
+    ]
+
+
+def test_bad_hypernyms_fail(spark):
+    for template in ("no field", "{target} and {target}", "{thing} here"):
+        with pytest.raises(Exception, match="template"):
+            C.number_hypernyms(C.compile_hypernyms(template_rows(spark, [("K", 0, 1, template), ("K", 1, 1, None)]), "K"))

@@ -97,9 +97,16 @@ def compile_hypernyms(templates: DataFrame, spec: str) -> DataFrame:
 
 
 def number_hypernyms(compiled: DataFrame) -> DataFrame:
-    """Non-null hypernym templates with position (hpos) and frequency before them (hfreq_before)."""
-    rows = compiled.filter("template IS NOT NULL")
-    return ranged_sums(rows, [], [F.col("seen")], hpos=F.lit(1).cast("long"), hfreq_before=F.col("hfreq"))
+    """Non-null hypernym templates with position (hpos) and frequency before them (hfreq_before).
+
+    The plain noun is numbered along, as nothing, and left out by a stored flag: a filter on the template itself would be moved before
+    the merge, where it compiles every row several times. The comma is added after the templates are written.
+    """
+    rows = compiled.withColumn("__plain", F.col("template").isNull()).drop("template_comma")
+    counted = lambda value: F.when(F.col("__plain"), F.lit(0).cast("long")).otherwise(value)
+    numbered = ranged_sums(rows, [], [F.col("seen")], hpos=counted(F.lit(1).cast("long")), hfreq_before=counted(F.col("hfreq")))
+    with_comma = numbered.filter("NOT __plain").withColumn("template_comma", F.concat("template", F.lit(",")))
+    return with_comma.select(*compiled.columns, "hpos", "hfreq_before")
 
 
 def hypernym_freq_dist(numbered: DataFrame, max_hypernyms: int) -> DataFrame:
