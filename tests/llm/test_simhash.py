@@ -117,3 +117,22 @@ def test_long_fingerprints_must_agree_too(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, "doc_id", "text", 1, True, 6, 7, least_chars=5, check_words=5).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
     assert simhash.most_apart(0.8, 4) == 45 and simhash.most_apart(1.0, 4) == 0
+
+
+def test_near_keys_are_all_flips_in_a_small_plan(spark):
+    """The driver holds, prints and compiles the plan of the keys: it must not have a column for each of them."""
+    ring, rng = simhash.Ring(2, 7), random.Random(8)
+    fps = [0, -1, 1 << 62, -(1 << 63), *(rng.getrandbits(64) - (1 << 63) for _ in range(20))]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(2)
+    for length in (ring.near, ring.m):
+        keyed = df.select("fp", F.explode(ring.near_keys(F.col("fp"), length)).alias("k")).select("fp", "k.i", "k.key")
+        expected = set()
+        for fp in fps:
+            for i in range(ring.m):
+                bits, at = ring.bits(i, length), ring.bounds[i]
+                turned = (fp % (1 << 64) >> at | fp % (1 << 64) << 64 - at) % (1 << bits)
+                for key in [turned, *(turned ^ 1 << b for b in range(ring.bits(i, ring.exact), bits))]:
+                    expected.add((fp, i, key - (1 << 64) if key >> 63 else key))
+        got = [tuple(r) for r in keyed.collect()]
+        assert len(got) == len(expected) and set(got) == expected
+        assert len(keyed._jdf.queryExecution().optimizedPlan().toJSON()) < 100_000

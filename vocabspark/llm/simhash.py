@@ -123,13 +123,17 @@ class Ring:
         return F.array(*[F.struct(F.lit(i).alias("i"), self.key(fp, i, self.exact).alias("key")) for i in range(self.m)])
 
     def near_keys(self, fp: Column, length: int) -> Column:
-        """Under each start the chain's bits, and these with one bit flipped beyond the exact opening."""
+        """Under each start the chain's bits, and these with one bit flipped beyond the exact opening.
+
+        The flips are an array that one function goes over: a column for each of them, hundreds in all, is a plan that the
+        driver takes hundreds of megabytes to make and compile.
+        """
         made = []
         for i in range(self.m):
             key, low, high = self.key(fp, i, length), self.bits(i, self.exact), self.bits(i, length)
-            keys = [key, *(key.bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(low, high))]
-            made.extend(F.struct(F.lit(i).alias("i"), k.alias("key")) for k in keys)
-        return F.array(*made)
+            flips = F.array(*(F.lit(x).cast("long") for x in [0, *((1 << b) - (1 << 64 if b == 63 else 0) for b in range(low, high))]))
+            made.append(F.transform(flips, lambda flip: F.struct(F.lit(i).alias("i"), key.bitwiseXOR(flip).alias("key"))))  # noqa: B023
+        return F.flatten(F.array(*made))
 
 
 def _viable(ring: Ring, x: np.ndarray, start: np.ndarray) -> np.ndarray:
