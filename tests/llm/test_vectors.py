@@ -124,6 +124,44 @@ def test_top_over_bands_of_length(spark):
     assert sorted(map(tuple, got.collect()), key=str) == slow_top(rows)
 
 
+def test_plans_of_many_bands_stay_small(spark, monkeypatch):
+    """The cells of 64 bands were nested choices over nested sums in each plan; at such plans the driver's heap ran out."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4) * (1 + i / 100)], 0) for i in range(700)]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    plans, write = [], innerk.cut_lineage
+
+    def noted(table):
+        plans.append(len(table._jdf.queryExecution().optimizedPlan().toString()))
+        return write(table)
+
+    monkeypatch.setattr(innerk, "cut_lineage", noted)
+    longest = {}
+    for bands in (4, 16, 64):
+        monkeypatch.setattr(innerk, "BANDS", bands)
+        plans.clear()
+        got = innerk.top_inner_products(df, "vec_id", "embedding", df.vec_id % 50 == 0, cell=10, block=5)
+        longest[bands] = max(*plans, len(got._jdf.queryExecution().optimizedPlan().toString()))
+    assert longest[64] < 20_000 and longest[64] - longest[16] < 8 * (longest[16] - longest[4]) + 2000
+    assert sorted(map(tuple, got.collect()), key=str) == slow_top(rows)
+
+
+@pytest.mark.parametrize("n", [3000, 300])
+def test_cell_of_equal_scores(n):
+    """Zero queries and a vector that is there many times score the same with rows of many chunks: the first by place stay."""
+    rng = np.random.default_rng(11)
+    cell = rng.integers(-50, 50, (n, 8))
+    cell[rng.random(n) < 0.6] = cell[0]
+    queries, place = np.concatenate([np.zeros((30, 8), dtype=np.int64), cell[:40]]), rng.permutation(n)
+    turn = np.linalg.svd(cell.astype(float), full_matrices=False)[2].T
+    least = np.full(len(queries), innerk._NONE)
+    least[::3] = 1000
+    best, _ = innerk.best_of_cell(queries, least, cell, place, turn, 6)
+    for q, products in enumerate(queries @ cell.T):
+        want = sorted((-s, p, c) for c, (s, p) in enumerate(zip(products.tolist(), place.tolist())) if s >= least[q])[:6]
+        assert [(-s, c) for s, c in zip(best.s[best.q == q].tolist(), best.c[best.q == q].tolist())] == [(s, c) for s, _, c in want]
+
+
 @pytest.mark.parametrize("decay", [1.0, 0.8])
 @pytest.mark.parametrize("large", [False, True])
 def test_cell_prunes_exactly(decay, large):

@@ -7,11 +7,14 @@ below the query's k-th best score is dropped; those left are scored in integers.
 strictly lower ones are dropped, so equal scores always come to the choice by id.
 
 The candidates lie in bands of descending length, and these in cells of a bounded number of rows, dealt by a digest. Queries meet the
-first cell, which gives each a score to beat, and then all cells of the bands whose longest vector could reach it.
+first cell, which gives each a score to beat, and then in passes over ever more cells those of the bands whose longest vector could reach
+it; each pass raises the score. Bands and cells are lists that rows are looked up in, once, so plans stay as small at any number of them.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,39 +24,80 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut_lineage
+from .common import cut_lineage, discard
 from .intvec import integers, matrix
 
 #: Rows of a cell and of a block of queries, about.
 CELL, BLOCK = 8192, 2048
+#: Larger tables have larger cells, so many of them, and larger blocks, up to so many rows and components: what tiles read grows with their number.
+CELLS, MOST, COMPONENTS = 64, 1 << 17, 1 << 23
+#: Tiles that a pass is cut into at least, if the queries are enough.
+TILES = 64
+#: Times as many cells as before that are met at the end of a pass.
+WIDER = 12
 #: Bands of length at most.
 BANDS = 64
-#: Candidates that are scored at a time.
-CHUNK = 1024
+#: Candidates and queries that are scored at a time.
+CHUNK, SLICE = 512, 2048
 #: Shares of the coordinates after which pairs are held against their bounds.
-STEPS = (0.25, 0.5, 0.75)
+STEPS = (0.125, 0.25, 0.5)
 #: Share of pairs left from which all pairs of a chunk are scored by one product.
-DENSE = 0.05
+DENSE = 0.002
+#: Chunks at most that are scored without bounds after bounds have left too many pairs.
+IDLE = 64
 _NONE = np.iinfo(np.int64).min
 
 
 class Best:
-    """The best `k` pairs of each query so far, and the score that another one must reach."""
+    """The best `k` rows of each query so far, and the score that another one must reach."""
 
     def __init__(self, floor: np.ndarray, k: int) -> None:
         self.k, self.floor = k, floor.copy()
-        self.q, self.c, self.s = (np.empty(0, dtype=np.int64) for _ in range(3))
+        self.rows, self.scores = np.full((len(floor), k), -1), np.full((len(floor), k), _NONE + 1)
 
     def add(self, q: np.ndarray, c: np.ndarray, s: np.ndarray, place: np.ndarray) -> None:
-        """`place` gives the order of the candidates at equal scores."""
-        q, c, s = np.concatenate([self.q, q]), np.concatenate([self.c, c]), np.concatenate([self.s, s])
-        order = np.lexsort((place[c], -s, q))
-        q, c, s = q[order], c[order], s[order]
-        at = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = at < self.k
-        self.q, self.c, self.s = q[keep], c[keep], s[keep]
-        full = at[keep] == self.k - 1
-        self.floor[self.q[full]] = np.maximum(self.floor[self.q[full]], self.s[full])
+        """Pairs in order of their queries; `place` gives the order of the candidates at equal scores."""
+        if not len(q):
+            return
+        hit, n = np.unique(q, return_counts=True)
+        group = np.concatenate([np.repeat(np.arange(len(hit)), self.k), np.repeat(np.arange(len(hit)), n)])
+        c, s = np.concatenate([self.rows[hit].ravel(), c]), np.concatenate([self.scores[hit].ravel(), s])
+        order = np.lexsort((np.where(c < 0, len(place), place[c]), -s, group))
+        taken = order[(np.cumsum(n + self.k) - n - self.k)[:, None] + np.arange(self.k)]
+        self.rows[hit], self.scores[hit] = c[taken], s[taken]
+        full = hit[self.rows[hit, -1] >= 0]
+        self.floor[full] = np.maximum(self.floor[full], self.scores[full, -1])
+
+    @property
+    def q(self) -> np.ndarray:
+        return np.nonzero(self.rows >= 0)[0]
+
+    @property
+    def c(self) -> np.ndarray:
+        return self.rows[self.rows >= 0]
+
+    @property
+    def s(self) -> np.ndarray:
+        return self.scores[self.rows >= 0]
+
+
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64))
+
+
+def _turned(m: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    """In single precision, rounded after the rotation."""
+    out = np.empty(m.shape, dtype=np.float32)
+    for at in range(0, len(m), SLICE):
+        out[at : at + SLICE] = m[at : at + SLICE].astype(np.float64) @ rotation
+    return out
+
+
+def _highest(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which `k` of each row's scores are its highest, of equal ones the first."""
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above, equal = scores > kth, scores == kth
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - np.count_nonzero(above, axis=1)[:, None]))
 
 
 def best_of_cell(queries: np.ndarray, floor: np.ndarray, cell: np.ndarray, place: np.ndarray, rotation: np.ndarray, k: int) -> tuple[Best, int]:
@@ -61,44 +105,67 @@ def best_of_cell(queries: np.ndarray, floor: np.ndarray, cell: np.ndarray, place
     best, scored, d = Best(floor, k), 0, cell.shape[1]
     if not len(queries) or not len(cell):
         return best, scored
-    lengths = lambda m: np.sqrt(np.einsum("ij,ij->i", m.astype(np.float64), m.astype(np.float64)))
-    order = np.argsort(-lengths(cell), kind="stable")
-    q, c = queries.astype(np.float64), cell[order].astype(np.float64)
-    q_len, c_len = lengths(q), lengths(c)
-    exact = q_len.max() * c_len[0] < 2.0**52  # then products of floats are those of the integers
-    q_turned, c_turned = q @ rotation, c @ rotation
+    q_len, c_len = _lengths(queries), _lengths(cell)
+    # Chunks by descending length; in a chunk by place, so that the first of equal scores are the ones to keep.
+    order = np.argsort(-c_len, kind="stable")
+    longest = c_len[order[::CHUNK]]
+    order = order[np.lexsort((place[order], np.arange(len(order)) // CHUNK))]
+    # No sum of some of a pair's products is greater than the product of the lengths, so floats that hold that hold the integers' products.
+    top = q_len.max() * longest[0] * (1 + 1e-9)
+    exact = np.float32 if top < 2.0**24 else np.float64 if top < 2.0**52 else np.int64
+    c = cell[order].astype(exact)
+    single = np.float32
     steps = sorted({int(d * s) for s in STEPS} - {0})
-    rest = lambda m, at: np.sqrt(np.einsum("ij,ij->i", m[:, at:], m[:, at:]))
-    q_rest, c_rest = {s: rest(q_turned, s) for s in steps}, {s: rest(c_turned, s) for s in steps}
-    for at in range(0, len(c), CHUNK):
-        part = slice(at, at + CHUNK)
-        room = 1e-9 * q_len * c_len[at] + 1e-6
-        alive = np.flatnonzero(q_len * c_len[at] + room >= best.floor)
-        if not len(alive):
-            break  # all that follow are shorter still
-        goal = (best.floor[alive] - room[alive])[:, None]
-        sums, before, open_pairs = np.zeros((len(alive), len(c[part]))), 0, None
-        for s in steps if (best.floor[alive] > _NONE).any() else []:
-            sums += q_turned[alive, before:s] @ c_turned[part, before:s].T
-            before, open_pairs = s, sums + q_rest[s][alive][:, None] * c_rest[s][part] >= goal
-            if open_pairs.mean() <= DENSE:
-                break
-        if open_pairs is not None and open_pairs.mean() <= DENSE:
-            r, x = np.nonzero(open_pairs)
-            scored += len(r)
-            r, x = alive[r], x + at
-            s = np.empty(len(r), dtype=np.int64)
-            for i in range(0, len(r), 1 << 16):
-                s[i : i + (1 << 16)] = np.einsum("ij,ij->i", queries[r[i : i + (1 << 16)]], cell[order[x[i : i + (1 << 16)]]])
-            good = s >= best.floor[r]
-            best.add(r[good], order[x[good]], s[good], place)
-            continue
-        scores = np.rint(q[alive] @ c[part].T).astype(np.int64) if exact else queries[alive] @ cell[order[part]].T
-        scored += scores.size
-        if scores.shape[1] >= k:
-            best.floor[alive] = np.maximum(best.floor[alive], np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
-        r, x = np.nonzero(scores >= best.floor[alive][:, None])
-        best.add(alive[r], order[x + at], scores[r, x], place)
+    rests = lambda m: {s: _lengths(m[:, s:]).astype(single) for s in steps}
+    c_turned = _turned(c, rotation)
+    c_rest = rests(c_turned)
+    rounding = 4 * (d + 8) * 2.0**-23  # of components, sums and lengths in single precision, as a share of the lengths' product, with room
+    wait, idle = 0, 1
+    for first in range(0, len(queries), SLICE):
+        q = queries[first : first + SLICE].astype(exact)
+        lens, goals = q_len[first : first + SLICE], best.floor[first : first + SLICE]  # a view that `best` raises
+        q_turned, q_rest = None, None
+        for at in range(0, len(c), CHUNK):
+            part, reach = slice(at, at + CHUNK), lens * longest[at // CHUNK]
+            alive = np.flatnonzero(reach * (1 + 1e-9) + 1e-6 >= goals)
+            if not len(alive):
+                break  # all that follow are shorter still
+            if wait:
+                wait -= 1
+            elif steps and (goals[alive] > _NONE).any():
+                if q_turned is None:
+                    q_turned = _turned(q, rotation)
+                    q_rest = rests(q_turned)
+                least = (goals[alive] - reach[alive] * rounding - 1e-6).astype(single)
+                least = np.nextafter(least, single(-np.inf))[:, None]
+                for s in steps:  # partial sums and the products of the rests' lengths in one product
+                    bounds = np.column_stack([q_turned[alive, :s], q_rest[s][alive]]) @ np.column_stack([c_turned[part, :s], c_rest[s][part]]).T
+                    open_pairs = bounds >= least
+                    if few := np.count_nonzero(open_pairs) <= DENSE * open_pairs.size:
+                        break
+                if few:
+                    idle = 1
+                    r, x = np.nonzero(open_pairs)
+                    scored += len(r)
+                    r, x = alive[r], x + at
+                    s = np.empty(len(r), dtype=np.int64)
+                    for i in range(0, len(r), 1 << 16):
+                        s[i : i + (1 << 16)] = np.einsum("ij,ij->i", q[r[i : i + (1 << 16)]], c[x[i : i + (1 << 16)]])
+                    good = s >= goals[r]
+                    best.add(first + r[good], order[x[good]], s[good], place)
+                    continue
+                wait, idle = idle, min(2 * idle, IDLE)
+                alive = alive[open_pairs.any(axis=1)]
+            scores = (q if len(alive) == len(q) else q[alive]) @ c[part].T
+            scored += scores.size
+            hits = scores >= goals[alive].astype(exact)[:, None]
+            some = np.flatnonzero(hits.any(axis=1))
+            hits = hits[some]
+            many = np.flatnonzero(np.count_nonzero(hits, axis=1) > k)
+            if len(many):
+                hits[many] = _highest(scores[some[many]], k)
+            r, x = np.nonzero(hits)
+            best.add(first + alive[some[r]], order[x + at], scores[some[r], x].astype(np.int64), place)
     return best, scored
 
 
@@ -118,12 +185,16 @@ def rotation(rows: DataFrame, width: int) -> np.ndarray:
         return np.zeros((0, 0))
     parts = rows.select("__v").mapInArrow(_products, "i long, products array<double>").select("i", F.posexplode("products").alias("j", "p"))
     made = np.zeros((width, width))
-    for r in parts.groupBy("i", "j").agg(F.sum("p").alias("p")).collect():
-        made[r.i, r.j] = r.p
+    sums = parts.groupBy("i", "j").agg(F.sum("p").alias("p")).toArrow()
+    made[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("p").to_numpy()
     _, vectors = np.linalg.eigh((made + made.T) / 2)
     return np.ascontiguousarray(vectors[:, ::-1])
 
 
+def _list(values: list) -> Column:
+    return F.array(*map(F.lit, values))
+
+
 def _tile(turn: np.ndarray, k: int, schema: pa.Schema):
     """For a block of queries and a cell: rows (row, query, own, vec_id, score) that can be among the best."""
 
@@ -154,52 +225,60 @@ def top_inner_products(
     plain = df.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__v"), F.coalesce(is_query, F.lit(False)).alias("__query"))
     squares = F.aggregate("__v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     rows = cut_lineage(integers(plain, "__v", scale).withColumn("__squares", squares).withColumn("__row", F.monotonically_increasing_id()))
-    count, queries, width = rows.agg(F.count("*"), F.count_if("__query"), F.max(F.size("__v"))).first()
+    count, queries, width, most = rows.agg(F.count("*"), F.count_if("__query"), F.max(F.size("__v")), F.max("__squares")).first()
     kind = T.StructType([T.StructField("__row", T.LongType()), T.StructField("__query_id", rows.schema["__id"].dataType), T.StructField("__squares", T.LongType()), T.StructField("__its", rows.schema["__id"].dataType), T.StructField("__score", T.LongType())])
     turn = rotation(rows, width or 0)
 
     # Bands of descending length, by quantiles; the driver gets their bounds, longest vectors and counts.
+    limit = max(CELL, min(MOST, COMPONENTS // max(width or 0, 1)))
+    cell = max(cell, min(limit, count // CELLS))
     n_bands = max(1, min(BANDS, -(-count // cell)))
     cuts = (rows.agg(F.percentile_approx("__squares", [i / n_bands for i in range(1, n_bands)], 10_000)).first()[0] or []) if n_bands > 1 else []
     cuts = sorted(set(cuts), reverse=True)
-    band = F.lit(0)
-    for x in cuts:
-        band = band + (F.col("__squares") < F.lit(x)).cast("int")
+    band = F.size(F.filter(_list(cuts), lambda x: F.col("__squares") < x)) if cuts else F.lit(0)
     told = {r.band: (r.longest, r.n) for r in rows.groupBy(band.alias("band")).agg(F.max("__squares").alias("longest"), F.count("*").alias("n")).collect()}
-    starts, ends, longest, cells = {}, [], [], 0
-    for b in sorted(told):
-        starts[b], cells = cells, cells + -(-told[b][1] // cell)
-        ends.append(cells)
-        longest.append(told[b][0] ** 0.5)
-    numbered = rows.select("__id", "__v", F.xxhash64("__row").alias("__digest"), band.alias("__band"))
-    own = F.lit(0)
-    for b, first in starts.items():
-        own = F.when(F.col("__band") == b, F.lit(first) + F.pmod("__digest", F.lit(-(-told[b][1] // cell)))).otherwise(own)
-    n_blocks = max(1, -(-queries // block))
-    candidates = numbered.select(own.cast("int").alias("__cell"), F.col("__id").alias("__its_id"), F.col("__v").alias("__its_v"))
-    asked = rows.filter("__query").select("__row", "__id", "__v", "__squares", F.pmod(F.xxhash64("__row"), F.lit(n_blocks)).cast("int").alias("__block"))
+    shares = [-(-told[b][1] // (cell + cell // 8)) if b in told else 0 for b in range(len(cuts) + 1)]
+    starts = [0, *accumulate(shares)]
+    cells = starts[-1]
+    longest = [told[b][0] ** 0.5 if b in told else 0.0 for b in range(len(cuts) + 1)]  # only the last can be empty, and has no cells then
+    # The place of a row is written with it: no filter on cells carries the bands into a plan. Vectors are as short as their lengths allow.
+    short = "short" if (most or 0) < 1 << 30 else "int" if most < 1 << 62 else "long"
+    share = F.pmod(F.xxhash64("__row"), F.greatest(F.col("__share"), F.lit(1)))
+    own = rows.withColumn("__band", band).withColumn("__share", F.element_at(_list(shares), F.col("__band") + 1).cast("long"))
+    own = own.withColumn("__cell", (F.element_at(_list(starts), F.col("__band") + 1) + share).cast("int"))
+    dealt = cut_lineage(own.select("__row", "__id", "__query", "__squares", "__cell", F.col("__v").cast(f"array<{short}>").alias("__v")))
+    discard(rows)
+    candidates = dealt.select("__cell", F.col("__id").alias("__its_id"), F.col("__v").alias("__its_v"))
+    asked = dealt.filter("__query").select("__row", "__id", "__v", "__squares")
 
     tile, arrow = _tile(turn, k + 1, to_arrow_schema(kind)), ["__block", "__cell"]
+    order = [F.col("__score").desc(), F.col("__its").asc_nulls_last()]
+    by_query = W.partitionBy("__row").orderBy(*order)
+
+    def meet(left: DataFrame, start: int, end: int) -> DataFrame:
+        """Queries and the candidates of the cells from `start` to `end`."""
+        n_blocks = max(1, -(-queries // limit), min(-(-queries // block), -(-TILES // (end - start))))
+        left = left.withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(n_blocks)).cast("int"))
+        right = candidates.filter((F.col("__cell") >= start) & (F.col("__cell") < end)).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        return left.groupBy(*arrow).cogroup(right.groupBy(*arrow)).applyInArrow(tile, kind)
 
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        spread = right.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        return left.groupBy(*arrow).cogroup(spread.groupBy(*arrow)).applyInArrow(tile, kind)
-
-    # The first cell, longest of all, gives every query a score to beat.
-    none = F.lit(None).cast("long").alias("__floor")
-    first = cut_lineage(meet(asked.select("*", F.lit(0).alias("__cell"), none), candidates.filter("__cell = 0")))
-    floors = first.groupBy("__row").agg(F.count("*").alias("__n"), F.min("__score").alias("__least")).filter(F.col("__n") > k).select(F.col("__row").alias("__of"), F.col("__least").alias("__floor"))
-    ready = asked.join(floors, F.col("__row") == F.col("__of"), "left").drop("__of")
-    reach = F.sqrt(F.col("__squares").cast("double")) * (1 + 1e-9)
-    last = F.lit(0)
-    for end, most in zip(ends, longest):
-        last = F.when(F.col("__floor").isNull() | (reach * most + 1e-6 >= F.col("__floor")), F.lit(end)).otherwise(last)
-    visits = ready.withColumn("__last", last).filter("__last > 1").withColumn("__cell", F.explode(F.sequence(F.lit(1), F.col("__last") - 1))).drop("__last")
-    found = first.unionByName(meet(visits, candidates.filter("__cell > 0"))) if cells > 1 else first
+    # The first cell, longest of all, gives every query a score to beat; each pass over more cells gives it a higher one.
+    found, done = meet(asked.select("*", F.lit(0).alias("__cell"), F.lit(None).cast("long").alias("__floor")), 0, 1), 1
+    end = cells
+    while done < end:
+        best = cut_lineage(found.withColumn("__rank", F.row_number().over(by_query)).filter(F.col("__rank") <= k + 1).drop("__rank"))
+        floors = best.groupBy("__row").agg(F.count("*").alias("__n"), F.min("__score").alias("__least")).filter(F.col("__n") > k).select(F.col("__row").alias("__of"), F.col("__least").alias("__floor"))
+        reach = F.sqrt(F.col("__squares").cast("double")) * (1 + 1e-9)
+        reached = F.size(F.filter(_list(longest), lambda x: reach * x + 1e-6 >= F.col("__floor")))
+        last = F.when(F.col("__floor").isNull(), F.lit(cells)).otherwise(F.element_at(_list(starts), reached + 1))
+        ready = asked.join(floors, F.col("__row") == F.col("__of"), "left").drop("__of").withColumn("__last", last)
+        found, end = best, min(end, ready.agg(F.max("__last")).first()[0] or 0)
+        if done < end:
+            until = min(end, done * WIDER)
+            visits = ready.filter(F.col("__last") > done).withColumn("__cell", F.explode(F.sequence(F.lit(done), F.least("__last", F.lit(until)) - 1))).drop("__last")
+            found, done = best.unionByName(meet(visits, done, until)), until
 
     # One place more than asked for, as the query's own row may be among them.
-    order = [F.col("__score").desc(), F.col("__its").asc_nulls_last()]
-    by_query = W.partitionBy("__row").orderBy(*order)
     ranked = found.withColumn("__rank", F.row_number().over(by_query)).filter(F.col("__rank") <= k + 1)
     itself = (F.col("__its").eqNullSafe(F.col("__query_id")) & (F.col("__score") == F.col("__squares"))).cast("int")
     passed = ranked.withColumn("__itself", itself).withColumn("__passed", F.sum("__itself").over(W.partitionBy("__row").orderBy("__rank")))
