@@ -146,9 +146,12 @@ def test_plans_of_many_bands_stay_small(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == slow_top(rows)
 
 
+@pytest.mark.parametrize("sizes", [dict(), dict(CHUNK=64, PART=128, SLICE=16)])
 @pytest.mark.parametrize("n", [3000, 300])
-def test_cell_of_equal_scores(n):
+def test_cell_of_equal_scores(monkeypatch, n, sizes):
     """Zero queries and a vector that is there many times score the same with rows of many chunks: the first by place stay."""
+    for name, size in sizes.items():
+        monkeypatch.setattr(innerk, name, size)
     rng = np.random.default_rng(11)
     cell = rng.integers(-50, 50, (n, 8))
     cell[rng.random(n) < 0.6] = cell[0]

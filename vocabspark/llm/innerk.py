@@ -39,6 +39,8 @@ WIDER = 12
 BANDS = 64
 #: Candidates and queries that are scored at a time.
 CHUNK, SLICE = 512, 2048
+#: Candidates of a cell that are turned at a time; a multiple of a chunk.
+PART = 1 << 15
 #: Shares of the coordinates after which pairs are held against their bounds.
 STEPS = (0.125, 0.25, 0.5)
 #: Share of pairs left from which all pairs of a chunk are scored by one product.
@@ -113,59 +115,66 @@ def best_of_cell(queries: np.ndarray, floor: np.ndarray, cell: np.ndarray, place
     # No sum of some of a pair's products is greater than the product of the lengths, so floats that hold that hold the integers' products.
     top = q_len.max() * longest[0] * (1 + 1e-9)
     exact = np.float32 if top < 2.0**24 else np.float64 if top < 2.0**52 else np.int64
-    c = cell[order].astype(exact)
     single = np.float32
     steps = sorted({int(d * s) for s in STEPS} - {0})
     rests = lambda m: {s: _lengths(m[:, s:]).astype(single) for s in steps}
-    c_turned = _turned(c, rotation)
-    c_rest = rests(c_turned)
     rounding = 4 * (d + 8) * 2.0**-23  # of components, sums and lengths in single precision, as a share of the lengths' product, with room
     wait, idle = 0, 1
-    for first in range(0, len(queries), SLICE):
-        q = queries[first : first + SLICE].astype(exact)
-        lens, goals = q_len[first : first + SLICE], best.floor[first : first + SLICE]  # a view that `best` raises
-        q_turned, q_rest = None, None
-        for at in range(0, len(c), CHUNK):
-            part, reach = slice(at, at + CHUNK), lens * longest[at // CHUNK]
-            alive = np.flatnonzero(reach * (1 + 1e-9) + 1e-6 >= goals)
-            if not len(alive):
-                break  # all that follow are shorter still
-            if wait:
-                wait -= 1
-            elif steps and (goals[alive] > _NONE).any():
-                if q_turned is None:
-                    q_turned = _turned(q, rotation)
-                    q_rest = rests(q_turned)
-                least = (goals[alive] - reach[alive] * rounding - 1e-6).astype(single)
-                least = np.nextafter(least, single(-np.inf))[:, None]
-                for s in steps:  # partial sums and the products of the rests' lengths in one product
-                    bounds = np.column_stack([q_turned[alive, :s], q_rest[s][alive]]) @ np.column_stack([c_turned[part, :s], c_rest[s][part]]).T
-                    open_pairs = bounds >= least
-                    if few := np.count_nonzero(open_pairs) <= DENSE * open_pairs.size:
-                        break
-                if few:
-                    idle = 1
-                    r, x = np.nonzero(open_pairs)
-                    scored += len(r)
-                    r, x = alive[r], x + at
-                    s = np.empty(len(r), dtype=np.int64)
-                    for i in range(0, len(r), 1 << 16):
-                        s[i : i + (1 << 16)] = np.einsum("ij,ij->i", q[r[i : i + (1 << 16)]], c[x[i : i + (1 << 16)]])
-                    good = s >= goals[r]
-                    best.add(first + r[good], order[x[good]], s[good], place)
-                    continue
-                wait, idle = idle, min(2 * idle, IDLE)
-                alive = alive[open_pairs.any(axis=1)]
-            scores = (q if len(alive) == len(q) else q[alive]) @ c[part].T
-            scored += scores.size
-            hits = scores >= goals[alive].astype(exact)[:, None]
-            some = np.flatnonzero(hits.any(axis=1))
-            hits = hits[some]
-            many = np.flatnonzero(np.count_nonzero(hits, axis=1) > k)
-            if len(many):
-                hits[many] = _highest(scores[some[many]], k)
-            r, x = np.nonzero(hits)
-            best.add(first + alive[some[r]], order[x + at], scores[some[r], x].astype(np.int64), place)
+    room = np.empty((SLICE, CHUNK), dtype=exact)
+    for start in range(0, len(order), PART):
+        own = order[start : start + PART]
+        c = cell[own].astype(exact)
+        c_turned = _turned(c, rotation)
+        c_rest = rests(c_turned)
+        for first in range(0, len(queries), SLICE):
+            lens, goals = q_len[first : first + SLICE], best.floor[first : first + SLICE]  # a view that `best` raises
+            q, q_turned, q_rest = None, None, None
+            for at in range(0, len(c), CHUNK):
+                part, reach = slice(at, at + CHUNK), lens * longest[(start + at) // CHUNK]
+                alive = np.flatnonzero(reach * (1 + 1e-9) + 1e-6 >= goals)
+                if not len(alive):
+                    break  # all that follow are shorter still
+                if q is None:
+                    q = queries[first : first + SLICE].astype(exact)
+                if wait:
+                    wait -= 1
+                elif steps and (goals[alive] > _NONE).any():
+                    if q_turned is None:
+                        q_turned = _turned(q, rotation)
+                        q_rest = rests(q_turned)
+                    least = (goals[alive] - reach[alive] * rounding - 1e-6).astype(single)
+                    least = np.nextafter(least, single(-np.inf))[:, None]
+                    for s in steps:  # partial sums and the products of the rests' lengths in one product
+                        bounds = np.column_stack([q_turned[alive, :s], q_rest[s][alive]]) @ np.column_stack([c_turned[part, :s], c_rest[s][part]]).T
+                        open_pairs = bounds >= least
+                        if few := np.count_nonzero(open_pairs) <= DENSE * open_pairs.size:
+                            break
+                    if few:
+                        idle = 1
+                        r, x = np.nonzero(open_pairs)
+                        scored += len(r)
+                        r, x = alive[r], x + at
+                        s = np.empty(len(r), dtype=np.int64)
+                        for i in range(0, len(r), 1 << 16):
+                            s[i : i + (1 << 16)] = np.einsum("ij,ij->i", q[r[i : i + (1 << 16)]], c[x[i : i + (1 << 16)]])
+                        good = s >= goals[r]
+                        best.add(first + r[good], own[x[good]], s[good], place)
+                        continue
+                    wait, idle = idle, min(2 * idle, IDLE)
+                    alive = alive[open_pairs.any(axis=1)]
+                    if not len(alive):
+                        continue
+                scores = np.matmul(q if len(alive) == len(q) else q[alive], c[part].T, out=room[: len(alive), : len(c[part])])
+                scored += scores.size
+                least = goals[alive].astype(exact)
+                some = np.flatnonzero(scores.max(axis=1) >= least)
+                scores = scores[some]
+                hits = scores >= least[some][:, None]
+                many = np.flatnonzero(np.count_nonzero(hits, axis=1) > k)
+                if len(many):
+                    hits[many] = _highest(scores[many], k)
+                r, x = np.nonzero(hits)
+                best.add(first + alive[some[r]], own[x + at], scores[r, x].astype(np.int64), place)
     return best, scored
 
 
